@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import bpe
+from tidewheel.llm import bpe, chat, secrets
 
-QUERIES = {"op8_bpe": bpe.op8_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op7_secrets": secrets.op7_secrets, "op8_bpe": bpe.op8_bpe, "op9_chat": chat.op9_chat}
+ORACLES = {"op7_secrets": secrets.SQL, "op9_chat": chat.SQL}
