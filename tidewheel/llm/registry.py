@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import bpe, chat, minhash, secrets, urls
+from tidewheel.llm import bpe, chat, minhash, secrets, toxicity, urls
 
-QUERIES = {"op4_minhash": minhash.op4_minhash, "op5_urls": urls.op5_urls, "op7_secrets": secrets.op7_secrets, "op8_bpe": bpe.op8_bpe, "op9_chat": chat.op9_chat}
+QUERIES = {"op2_toxicity": toxicity.op2_toxicity, "op4_minhash": minhash.op4_minhash, "op5_urls": urls.op5_urls, "op7_secrets": secrets.op7_secrets, "op8_bpe": bpe.op8_bpe, "op9_chat": chat.op9_chat}
 ORACLES = {"op4_minhash": minhash.SQL, "op5_urls": urls.SQL, "op7_secrets": secrets.SQL, "op9_chat": chat.SQL}
