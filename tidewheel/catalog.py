@@ -5,6 +5,89 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewheel.functions.windows import rolling
+from tidewheel.operators import profile as P
+from tidewheel.settings import Metric
+from tidewheel.sources import series as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# SQL pieces
+
+QUANTITY = "SELECT 'quantity' AS series_id, row_number() OVER (ORDER BY d) - 1 AS idx, v AS value FROM (SELECT l_shipdate AS d, sum(l_quantity) AS v FROM lineitem GROUP BY 1)"
+PRICE = "SELECT 'price' AS series_id, row_number() OVER (ORDER BY d) - 1 AS idx, v AS value FROM (SELECT o_orderdate AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1)"
+HOURLY = "SELECT 'hourly' AS series_id, row_number() OVER (ORDER BY h) - 1 AS idx, v AS value FROM (SELECT date_trunc('hour', ts) AS h, sum(value) AS v FROM events GROUP BY 1)"
+FLAGS = "SELECT l_returnflag AS series_id, row_number() OVER (PARTITION BY l_returnflag ORDER BY d) - 1 AS idx, v AS value FROM (SELECT l_returnflag, l_shipdate AS d, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+USERS = "SELECT user_id::VARCHAR AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value FROM events"
+TYPES = """SELECT dim, row_number() OVER (PARTITION BY dim ORDER BY h) - 1 AS idx, coalesce(v, 0) AS value
+  FROM (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events) CROSS JOIN (SELECT event_type, (row_number() OVER (ORDER BY event_type) - 1)::INT AS dim FROM (SELECT DISTINCT event_type FROM events))
+  LEFT JOIN (SELECT date_trunc('hour', ts) AS h, event_type, sum(value) AS v FROM events GROUP BY 1, 2) USING (h, event_type)"""
+
+
+def windows_sql(series: str, m: int, by: str = "series_id") -> str:
+    """Windows of a series: by, i, a, z, mu, sd, const."""
+    return f"""SELECT {by}, i, a, mu, sd, lo = hi AS const, CASE WHEN lo = hi THEN list_transform(a, lambda x: 0.0::DOUBLE) ELSE list_transform(a, lambda x: (x - mu) / sd) END AS z
+    FROM (SELECT {by}, idx AS i, list(value) OVER w AS a, avg(value) OVER w AS mu, stddev_pop(value) OVER w AS sd, min(value) OVER w AS lo, max(value) OVER w AS hi
+          FROM ({series}) WINDOW w AS (PARTITION BY {by} ORDER BY idx ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)) WHERE len(a) = {m}"""
+
+
+def distance_sql(metric: Metric, m: int, x: str = "x", y: str = "y") -> str:
+    if metric.normalized:
+        return f"CASE WHEN {x}.const AND {y}.const THEN 0 WHEN {x}.const OR {y}.const THEN sqrt({m}) ELSE list_distance({x}.z, {y}.z) END"
+    if metric.p == 2:
+        return f"list_distance({x}.a, {y}.a)"
+    return f"pow(list_sum(list_transform(list_zip({x}.a, {y}.a), lambda t: pow(abs(t[1] - t[2]), {metric.p}))), {1 / metric.p!r})"
+
+
+def pairs_sql(series: str, m: int, metric: Metric, zone: int) -> str:
+    return f"w AS ({windows_sql(series, m)}), pairs AS (SELECT x.series_id, x.i, y.i AS j, {distance_sql(metric, m)} AS d FROM w x JOIN w y ON x.series_id = y.series_id AND abs(x.i - y.i) > {zone})"
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def profile_rows(p: DataFrame) -> DataFrame:
+    """series_id, i, d, j, left_j, right_j; missing neighbours as in the reference output: -1."""
+    p = P.nearest(p)
+    c = lambda x: F.coalesce(x, F.lit(-1)).cast("long").alias(x)
+    return p.select("series_id", "i", F.round("d", 6).alias("d"), c("j"), c("left_j"), c("right_j"))
+
+
+def _self_sql(series: str, m: int, metric: Metric, zone: int) -> str:
+    return f"""WITH {pairs_sql(series, m, metric, zone)}
+SELECT w.series_id, w.i::BIGINT AS i, round(min(d), 6) AS d, coalesce(min(struct_pack(d := d, j := j)).j, -1)::BIGINT AS j,
+  coalesce((min(struct_pack(d := d, j := j)) FILTER (j < w.i)).j, -1)::BIGINT AS left_j, coalesce((min(struct_pack(d := d, j := j)) FILTER (j > w.i)).j, -1)::BIGINT AS right_j
+FROM w LEFT JOIN pairs ON w.series_id = pairs.series_id AND w.i = pairs.i GROUP BY 1, 2"""
+
+
+def _self(source, m: int, metric: Metric, **more):
+    return lambda spark, sf: profile_rows(P.self_join(source(spark, sf), m, metric=metric, **more))
+
+
+Z = Metric()
+M = 16
+
+QUERIES["self_join_znorm"] = _self(S.daily_quantity, M, Z)
+ORACLES["self_join_znorm"] = _self_sql(QUANTITY, M, Z, 4)
+QUERIES["self_join_znorm_sql"] = _self(S.hourly_events, 12, Z, strategy="sql")
+ORACLES["self_join_znorm_sql"] = _self_sql(HOURLY, 12, Z, 3)
+for _p in (1.0, 2.0, 3.0):
+    QUERIES[f"self_join_minkowski_p{_p:g}"] = _self(S.hourly_events, 12, Metric(_p))
+    ORACLES[f"self_join_minkowski_p{_p:g}"] = _self_sql(HOURLY, 12, Metric(_p), 3)
+QUERIES["self_join_many_series"] = _self(S.user_events, 8, Z)
+ORACLES["self_join_many_series"] = _self_sql(USERS, 8, Z, 2)
+
+
+@query("rolling_stats", f"SELECT series_id, i::BIGINT AS i, round(mu, 6) AS mu, round(sd, 6) AS sd, list_min(a) AS low, list_max(a) AS high, true AS is_finite, const AS is_const FROM ({windows_sql(QUANTITY, M)})")
+def rolling_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rolling(S.daily_quantity(spark, sf), M).withColumns({"mu": F.round("mu", 6), "sd": F.round("sd", 6)})
