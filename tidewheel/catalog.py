@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions.windows import rolling
+from tidewheel.operators import approximate, chains, compare, multidim, pan, search, segment, snippets
 from tidewheel.operators import profile as P
+from tidewheel.runtime import shared_folder
 from tidewheel.settings import Metric
 from tidewheel.sources import series as S
+from tidewheel.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +96,352 @@ ORACLES["self_join_many_series"] = _self_sql(USERS, 8, Z, 2)
 @query("rolling_stats", f"SELECT series_id, i::BIGINT AS i, round(mu, 6) AS mu, round(sd, 6) AS sd, list_min(a) AS low, list_max(a) AS high, true AS is_finite, const AS is_const FROM ({windows_sql(QUANTITY, M)})")
 def rolling_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rolling(S.daily_quantity(spark, sf), M).withColumns({"mu": F.round("mu", 6), "sd": F.round("sd", 6)})
+
+
+# One query window against a series
+
+AT = 100
+
+
+def _mass(metric: Metric):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        s = S.daily_quantity(spark, sf)
+        return P.distance_profile(s, search.window_at(s, AT, M), metric, AT).select("series_id", "i", F.round("d", 6).alias("d"))
+
+    return run
+
+
+def _mass_sql(metric: Metric) -> str:
+    return f"WITH w AS ({windows_sql(QUANTITY, M)}) SELECT y.series_id, y.i::BIGINT AS i, round(CASE WHEN y.i = {AT} THEN 0 ELSE {distance_sql(metric, M)} END, 6) AS d FROM w x JOIN w y ON x.i = {AT}"
+
+
+for _name, _metric in (("mass_znorm", Z), ("mass_minkowski_p1", Metric(1.0)), ("mass_minkowski_p3", Metric(3.0))):
+    QUERIES[_name], ORACLES[_name] = _mass(_metric), _mass_sql(_metric)
+
+
+def _ab_sql(a: str, b: str, m: int, metric: Metric) -> str:
+    """x, y windows of both, ab: distances."""
+    return f"x AS ({windows_sql(a, m)}), y AS ({windows_sql(b, m)}), ab AS (SELECT x.series_id, y.series_id AS other_id, x.i, y.i AS j, {distance_sql(metric, m)} AS d FROM x, y)"
+
+
+def _ab(metric: Metric):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        p = P.nearest(P.ab_join(S.daily_quantity(spark, sf), S.daily_price(spark, sf), M, metric=metric))
+        return p.select("series_id", "other_id", "i", F.round("d", 2 if metric.p else 6).alias("d"), "j")
+
+    return run
+
+
+for _name, _metric in (("ab_join_znorm", Z), ("ab_join_minkowski", Metric(2.0))):
+    QUERIES[_name] = _ab(_metric)
+    ORACLES[_name] = f"WITH {_ab_sql(QUANTITY, PRICE, M, _metric)} SELECT series_id, other_id, i::BIGINT AS i, round(min(d), {2 if _metric.p else 6}) AS d, min(struct_pack(d := d, j := j)).j::BIGINT AS j FROM ab GROUP BY ALL"
+
+
+@query("topk_profile", f"""WITH {pairs_sql(HOURLY, 12, Z, 3)} SELECT series_id, i::BIGINT AS i, rank::INT AS rank, round(d, 6) AS d, j::BIGINT AS j
+FROM (SELECT *, row_number() OVER (PARTITION BY series_id, i ORDER BY d, j) AS rank FROM pairs) WHERE rank <= 3""")
+def topk_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return P.flat(P.self_join(S.hourly_events(spark, sf), 12, k=3)).withColumn("d", F.round("d", 6))
+
+
+@query("discords_top1", f"""WITH {pairs_sql(QUANTITY, M, Z, 4)}, p AS (SELECT series_id, i, min(d) AS d FROM pairs GROUP BY ALL)
+SELECT series_id, 1 AS rank, i::BIGINT AS i, round(d, 6) AS d FROM p ORDER BY p.d DESC, p.i LIMIT 1""")
+def discords_top1(spark: SparkSession, sf: str) -> DataFrame:
+    return P.discords(P.self_join(S.daily_quantity(spark, sf), M), M).withColumn("d", F.round("d", 6))
+
+
+@query("distances_from_indices", f"""WITH {pairs_sql(HOURLY, 12, Z, 3)} SELECT series_id, i::BIGINT AS i, min(struct_pack(d := d, j := j)).j::BIGINT AS j, round(min(d), 6) AS d FROM pairs GROUP BY ALL""")
+def distances_from_indices(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.hourly_events(spark, sf)
+    return P.from_indices(P.nearest(P.self_join(s, 12)), s, 12).withColumn("d", F.round("d", 6))
+
+
+@query("match", f"""WITH RECURSIVE w AS ({windows_sql(QUANTITY, M)}), q AS (SELECT * FROM w WHERE i = {AT}),
+prof AS (SELECT x.i, CASE WHEN x.i = {AT} THEN 0 ELSE {distance_sql(Z, M, 'x', 'q')} END AS d FROM w x, q),
+bound AS (SELECT greatest(avg(d) - 2 * stddev_pop(d), min(d)) + 1e-8 AS b FROM prof),
+picks(n, taken, d) AS (
+  SELECT 1, [{AT}::BIGINT], 0.0::DOUBLE
+  UNION ALL
+  SELECT n + 1, list_append(taken, best.i), best.d FROM (
+    SELECT p.n, any_value(p.taken) AS taken, min(struct_pack(d := prof.d, i := prof.i)) AS best FROM picks p, prof, bound
+    WHERE p.n < 10 AND prof.d <= b AND len(list_filter(p.taken, lambda t: abs(t - prof.i) <= 4)) = 0 GROUP BY p.n))
+SELECT 'quantity' AS series_id, n::INT AS rank, taken[n] AS i, round(d, 6) AS d FROM picks""")
+def match(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.daily_quantity(spark, sf)
+    return search.match(s, search.window_at(s, AT, M), max_matches=10, query_index=AT).withColumn("d", F.round("d", 6))
+
+
+@query("motifs")
+def motifs(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.daily_quantity(spark, sf)
+    return search.motifs(s, P.self_join(s, M), M, max_motifs=2, cutoff=float("inf"), max_distance=4.0).withColumn("d", F.round("d", 6))
+
+
+# Chains
+
+_LINKS = f"""{pairs_sql(QUANTITY, M, Z, 4)},
+p AS (SELECT w.i, (min(struct_pack(d := d, j := j)) FILTER (j < w.i)).j AS l, (min(struct_pack(d := d, j := j)) FILTER (j > w.i)).j AS r FROM w LEFT JOIN pairs USING (series_id, i) GROUP BY w.i),
+links AS (SELECT a.i AS f, b.i AS t FROM p a JOIN p b ON a.r = b.i AND b.l = a.i),
+chains(chain, pos, i) AS (SELECT i, 0, i FROM p WHERE i NOT IN (SELECT t FROM links) UNION ALL SELECT chain, pos + 1, t FROM chains JOIN links ON f = chains.i),
+sizes AS (SELECT chain, count(*) AS length FROM chains GROUP BY chain)"""
+
+
+@query("chains", f"""WITH RECURSIVE {_LINKS}
+SELECT 'quantity' AS series_id, chain::BIGINT AS chain, pos::BIGINT AS pos, i::BIGINT AS i, length, chain = (SELECT min(struct_pack(n := -length, c := chain)).c FROM sizes) AS longest FROM chains JOIN sizes USING (chain)""")
+def all_chains(spark: SparkSession, sf: str) -> DataFrame:
+    return chains.all_chains(P.self_join(S.daily_quantity(spark, sf), M))
+
+
+@query("anchored_chain", f"""WITH RECURSIVE {_LINKS}, own AS (SELECT chain, pos FROM chains WHERE i = {AT})
+SELECT 'quantity' AS series_id, (c.pos - own.pos)::BIGINT AS pos, c.i::BIGINT AS i FROM chains c JOIN own ON c.chain = own.chain AND c.pos >= own.pos""")
+def anchored_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return chains.anchored_chain(P.self_join(S.daily_quantity(spark, sf), M), AT)
+
+
+# Segmentation
+
+_CURVE = f"""{pairs_sql(QUANTITY, M, Z, 4)}, p AS (SELECT i, min(struct_pack(d := d, j := j)).j AS j FROM pairs GROUP BY i),
+steps AS (SELECT i, sum(s) AS s FROM (SELECT least(i, j) AS i, 1 AS s FROM p UNION ALL SELECT greatest(i, j), -1 FROM p) GROUP BY i),
+curve AS (SELECT p.i, sum(coalesce(s, 0)) OVER (ORDER BY p.i) AS arcs, count(*) OVER () AS w FROM p LEFT JOIN steps USING (i)),
+cac AS (SELECT i, arcs, CASE WHEN i < 80 OR i >= w - 80 THEN 1 ELSE least(1, arcs / (2.0 * (i + 1) * (w - 1 - i) / w)) END AS cac FROM curve)"""
+
+
+@query("fluss_curve", f"WITH {_CURVE} SELECT 'quantity' AS series_id, i::BIGINT AS i, arcs::BIGINT AS arcs, round(cac, 6) AS cac FROM cac")
+def fluss_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.arc_curve(P.nearest(P.self_join(S.daily_quantity(spark, sf), M)), M).withColumn("cac", F.round("cac", 6))
+
+
+@query("fluss_regimes", f"""WITH {_CURVE}, a AS (SELECT min(struct_pack(c := cac, i := i)).i AS i FROM cac),
+b AS (SELECT min(struct_pack(c := CASE WHEN cac.i >= a.i - 80 AND cac.i < a.i + 80 THEN 1 ELSE cac END, i := cac.i)).i AS i FROM cac, a)
+SELECT 'quantity' AS series_id, 1 AS regime, i::BIGINT AS i FROM a UNION ALL SELECT 'quantity', 2, i::BIGINT FROM b""")
+def fluss_regimes(spark: SparkSession, sf: str) -> DataFrame:
+    curve = segment.arc_curve(P.nearest(P.self_join(S.daily_quantity(spark, sf), M)), M)
+    return segment.regimes(curve, M, 3)
+
+
+# Sets of series: hourly sums by event type, as five series
+
+TYPE_SERIES = f"SELECT dim::VARCHAR AS series_id, idx, value FROM ({TYPES})"
+TM = 12
+
+
+def types_as_series(spark: SparkSession, sf: str) -> DataFrame:
+    return S.hourly_events_by_type(spark, sf).select(F.col("dim").cast("string").alias("series_id"), "idx", "value")
+
+
+@query("ostinato", f"""WITH w AS ({windows_sql(TYPE_SERIES, TM)}), near AS (SELECT x.series_id, x.i, y.series_id AS o, min({distance_sql(Z, TM)}) AS d FROM w x JOIN w y ON x.series_id <> y.series_id GROUP BY ALL),
+r AS (SELECT series_id, i, max(d) AS radius, sum(d) / 5 AS mean FROM near GROUP BY ALL), tied AS (SELECT * FROM r WHERE radius <= (SELECT min(radius) * (1 + 1e-5) + 1e-8 FROM r))
+SELECT series_id, i::BIGINT AS i, round(radius, 6) AS radius, round(mean, 6) AS mean FROM tied ORDER BY tied.mean, series_id, tied.i LIMIT 1""")
+def ostinato(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.consensus(types_as_series(spark, sf), TM).withColumns({"radius": F.round("radius", 6), "mean": F.round("mean", 6)})
+
+
+def _mpdist_sql(a: str, b: str, m: int, metric: Metric, condition: str = "true", digits: int = 6) -> str:
+    return f"""WITH x AS ({windows_sql(a, m)}), y AS ({windows_sql(b, m)}), ab AS (SELECT x.series_id AS s, y.series_id AS o, x.i, y.i AS j, {distance_sql(metric, m)} AS d FROM x JOIN y ON {condition}),
+best AS (SELECT s, o, min(d) AS d FROM ab GROUP BY s, o, i UNION ALL SELECT s, o, min(d) FROM ab GROUP BY s, o, j),
+n AS (SELECT s, o, na + nb AS n FROM (SELECT series_id AS s, count(*) + {m - 1} AS na FROM x GROUP BY 1), (SELECT series_id AS o, count(*) + {m - 1} AS nb FROM y GROUP BY 1)),
+ranked AS (SELECT s, o, d, row_number() OVER (PARTITION BY s, o ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY s, o) AS c FROM best)
+SELECT s AS series_id, o AS other_id, round(d, {digits}) AS mpdist FROM ranked JOIN n USING (s, o) WHERE r = least(ceil(0.05 * n), c - 1)"""
+
+
+@query("mpdist", _mpdist_sql(QUANTITY, PRICE, M, Z))
+def mpdist(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.mpdist(S.daily_quantity(spark, sf), S.daily_price(spark, sf), M).withColumn("mpdist", F.round("mpdist", 6))
+
+
+@query("mpdist_minkowski", _mpdist_sql(QUANTITY, PRICE, M, Metric(2.0), digits=2))
+def mpdist_minkowski(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.mpdist(S.daily_quantity(spark, sf), S.daily_price(spark, sf), M, metric=Metric(2.0)).withColumn("mpdist", F.round("mpdist", 2))
+
+
+@query("mpdist_matrix", _mpdist_sql(TYPE_SERIES, TYPE_SERIES, TM, Z, "x.series_id < y.series_id"))
+def mpdist_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.mpdist_matrix(types_as_series(spark, sf), TM).withColumn("mpdist", F.round("mpdist", 6))
+
+
+@query("shapelet_diff", f"""WITH {pairs_sql(QUANTITY, M, Z, 4)}, x AS (SELECT * FROM w), y AS ({windows_sql(PRICE, M)}),
+ab AS (SELECT x.i, min({distance_sql(Z, M)}) AS d FROM x, y GROUP BY x.i), own AS (SELECT i, min(d) AS d FROM pairs GROUP BY i)
+SELECT 'quantity' AS series_id, ab.i::BIGINT AS i, round(ab.d - own.d, 6) AS diff FROM ab JOIN own USING (i) ORDER BY ab.d - own.d DESC, ab.i LIMIT 10""")
+def shapelet_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.shapelets(S.daily_quantity(spark, sf), S.daily_price(spark, sf), M).withColumn("diff", F.round("diff", 6))
+
+
+_COMPLEXITY = f"""ce AS (SELECT i, sqrt(list_sum(list_transform(range(1, {M}), lambda k: pow(a[k + 1] - a[k], 2)))) AS ce FROM w),
+av AS (SELECT i, coalesce((ce - min(ce) OVER ()) / nullif(max(ce) OVER () - min(ce) OVER (), 0), 0) AS av FROM ce)"""
+
+
+@query("complexity_annotation", f"WITH w AS ({windows_sql(QUANTITY, M)}), {_COMPLEXITY} SELECT 'quantity' AS series_id, i::BIGINT AS i, round(av, 6) AS av FROM av")
+def complexity_annotation(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.complexity(S.daily_quantity(spark, sf), M).withColumn("av", F.round("av", 6))
+
+
+@query("annotated_profile", f"""WITH {pairs_sql(QUANTITY, M, Z, 4)}, {_COMPLEXITY}, p AS (SELECT i, min(d) AS d FROM pairs GROUP BY i)
+SELECT 'quantity' AS series_id, i::BIGINT AS i, round(d + (1 - av) * max(d) OVER (), 6) AS d FROM p JOIN av USING (i)""")
+def annotated_profile(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.daily_quantity(spark, sf)
+    return compare.annotate(P.nearest(P.self_join(s, M)).select("series_id", "i", "d"), compare.complexity(s, M)).withColumn("d", F.round("d", 6))
+
+
+@query("swap_scores", f"""WITH heads AS (SELECT series_id, idx, value FROM ({TYPE_SERIES}) WHERE idx < 300), tails AS (SELECT series_id, idx - 300 AS idx, value FROM ({TYPE_SERIES}) WHERE idx >= 300),
+x AS ({windows_sql("SELECT * FROM heads", TM)}), y AS ({windows_sql("SELECT * FROM tails", TM)}),
+least AS (SELECT x.series_id AS s, y.series_id AS o, min({distance_sql(Z, TM)}) AS d FROM x, y GROUP BY ALL)
+SELECT a.s AS series_id, a.o AS other_id, round(a.d / (b.d + 1e-9), 6) AS score FROM least a JOIN least b ON a.s = b.s AND b.s = b.o WHERE a.s <> a.o""")
+def swap_scores(spark: SparkSession, sf: str) -> DataFrame:
+    s = types_as_series(spark, sf)
+    heads, tails = s.where("idx < 300"), s.where("idx >= 300").withColumn("idx", F.col("idx") - 300)
+    return compare.swap_scores(heads, tails, TM).withColumn("score", F.round("score", 6))
+
+
+@query("uniform_scaling", f"""WITH n AS (SELECT count(*) AS n FROM ({PRICE})), scaled AS (SELECT s AS scale, g.idx AS idx, p.value FROM (SELECT s, unnest(range(0, ceil(n * s / 100)::BIGINT)) AS idx FROM n, (SELECT unnest([90, 100, 110]) AS s)) g JOIN ({PRICE}) p ON p.idx = floor(g.idx * 100 / s)),
+x AS ({windows_sql(QUANTITY, M)}), y AS ({windows_sql("SELECT scale AS series_id, idx, value FROM scaled", M)}),
+ab AS (SELECT x.i, min(struct_pack(d := {distance_sql(Z, M)}, scale := y.series_id, j := y.i)) AS b FROM x, y GROUP BY x.i)
+SELECT 'quantity' AS series_id, 'price' AS other_id, i::BIGINT AS i, b.scale::INT AS scale, round(b.d, 6) AS d, b.j::BIGINT AS j FROM ab""")
+def uniform_scaling(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.uniform_scaling(S.daily_quantity(spark, sf), S.daily_price(spark, sf), M, [90, 100, 110]).withColumn("d", F.round("d", 6))
+
+
+# Several dimensions: hourly sums by event type
+
+_DIMS_W = f"w AS ({windows_sql(TYPES, TM, 'dim')})"
+
+
+def _dims_pairs(metric: Metric, condition: str) -> str:
+    """The k-dimensional distance of every pair of windows."""
+    return f"""{_DIMS_W}, each AS (SELECT x.i, y.i AS j, x.dim, {distance_sql(metric, TM)} AS d FROM w x JOIN w y ON x.dim = y.dim AND {condition}),
+multi AS (SELECT i, j, (row_number() OVER o - 1)::INT AS kdim, avg(d) OVER (PARTITION BY i, j ORDER BY d, dim ROWS UNBOUNDED PRECEDING) AS d FROM each WINDOW o AS (PARTITION BY i, j ORDER BY d, dim))"""
+
+
+def _best_multi(metric: Metric, digits: int) -> str:
+    return f"WITH {_dims_pairs(metric, 'abs(x.i - y.i) > 3')} SELECT 'events' AS series_id, i::BIGINT AS i, kdim, round(min(d), {digits}) AS d, min(struct_pack(d := d, j := j)).j::BIGINT AS j FROM multi GROUP BY i, kdim"
+
+
+def _multi(metric: Metric, digits: int):
+    return lambda spark, sf: multidim.multi_profile(S.hourly_events_by_type(spark, sf), TM, metric=metric).withColumn("d", F.round("d", digits))
+
+
+QUERIES["multi_profile"], ORACLES["multi_profile"] = _multi(Z, 6), _best_multi(Z, 6)
+QUERIES["multi_profile_minkowski"], ORACLES["multi_profile_minkowski"] = _multi(Metric(2.0), 4), _best_multi(Metric(2.0), 4)
+
+
+@query("multi_distance_profile", f"WITH {_dims_pairs(Z, f'x.i = {AT}')} SELECT 'events' AS series_id, j::BIGINT AS i, kdim, round(CASE WHEN j = {AT} THEN 0 ELSE d END, 6) AS d FROM multi")
+def multi_distance_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return multidim.distance_profiles(S.hourly_events_by_type(spark, sf), TM, AT).withColumn("d", F.round("d", 6))
+
+
+# The windows at AT and OTHER of each dimension, as eight-bit steps of the normal distribution
+OTHER = 200
+_EDGES = "[" + ", ".join(repr(NormalDist().inv_cdf(q / 256)) for q in range(1, 256)) + "]"
+_CODES = f"""{_DIMS_W}, codes AS (SELECT x.dim, list_transform(x.z, lambda v: len(list_filter({_EDGES}, lambda e: e < v))) AS a, list_transform(y.z, lambda v: len(list_filter({_EDGES}, lambda e: e < v))) AS b
+  FROM w x JOIN w y ON x.dim = y.dim AND x.i = {AT} AND y.i = {OTHER}),
+ranked AS (SELECT dim, list_transform(list_zip(a, b), lambda t: t[1] - t[2]) AS diff, row_number() OVER (ORDER BY sqrt(list_sum(list_transform(list_zip(a, b), lambda t: pow(t[1] - t[2], 2)))), dim) AS r FROM codes)"""
+
+
+@query("description_lengths", f"""WITH {_CODES}, sizes AS (SELECT k, (SELECT count(*) FROM codes) AS dims FROM (SELECT unnest(range(0, 5)) AS k)),
+vals AS (SELECT k, count(DISTINCT v) AS n, list(DISTINCT dim ORDER BY dim) AS subspace FROM (SELECT k, dim, unnest(diff) AS v FROM ranked JOIN sizes ON r <= k + 1) GROUP BY k)
+SELECT k::INT AS kdim, round(8.0 * (2 * dims * {TM} - (k + 1) * {TM}) + (k + 1) * {TM} * log2(n) + n * 8, 6) AS bits, array_to_string(subspace, ',') AS subspace FROM sizes JOIN vals USING (k)""")
+def description_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    d = multidim.description_lengths(S.hourly_events_by_type(spark, sf), TM, [AT] * 5, [OTHER] * 5)
+    return d.select("kdim", F.round("bits", 6).alias("bits"), F.array_join(F.array_sort("subspace").cast("array<string>"), ",").alias("subspace"))
+
+
+@query("subspace", f"WITH {_CODES} SELECT r::INT - 1 AS place, dim::INT AS dim FROM ranked WHERE r <= 3")
+def subspace(spark: SparkSession, sf: str) -> DataFrame:
+    dims = multidim.subspace(S.hourly_events_by_type(spark, sf), TM, AT, OTHER, 2)
+    return spark.createDataFrame(list(enumerate(dims)), "place int, dim int")
+
+
+@query("multi_motifs")
+def multi_motifs(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.hourly_events_by_type(spark, sf)
+    found = multidim.multi_motifs(s, multidim.multi_profile(s, TM), TM, cutoffs=float("inf"), max_motifs=2)
+    return found.withColumns({"d": F.round("d", 6), "bits": F.round("bits", 6), "subspace": F.array_join(F.col("subspace").cast("array<string>"), ",")})
+
+
+# Snippets, pan profiles, approximations
+
+
+@query("snippets")
+def snippet_table(spark: SparkSession, sf: str) -> DataFrame:
+    found, _, _ = snippets.snippets(S.hourly_events(spark, sf), 48, 2)
+    return found.withColumns({"area": F.round("area", 6), "fraction": F.round("fraction", 6)})
+
+
+@query("snippet_regimes")
+def snippet_regimes(spark: SparkSession, sf: str) -> DataFrame:
+    return snippets.snippets(S.hourly_events(spark, sf), 48, 2)[2]
+
+
+PAN = (12, 20, 4)
+
+
+def _pan_sql() -> str:
+    parts = []
+    for turn, m in enumerate(pan.window_sizes(10_000, *PAN)):
+        parts.append(f"SELECT {m} AS m, {turn} AS turn, x.i, min({distance_sql(Z, m)}) AS d FROM ({windows_sql(HOURLY, m)}) x JOIN ({windows_sql(HOURLY, m)}) y ON abs(x.i - y.i) > {-(-m // 4)} GROUP BY x.i")
+    return "pan AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("pan_profile", f"WITH {_pan_sql()} SELECT 'hourly' AS series_id, m::INT AS m, turn::INT AS turn, i::BIGINT AS i, round(d, 6) AS d FROM pan")
+def pan_table(spark: SparkSession, sf: str) -> DataFrame:
+    return pan.pan_profile(S.hourly_events(spark, sf), *PAN).withColumn("d", F.round("d", 6))
+
+
+@query("pan_contrast", f"""WITH {_pan_sql()}, scaled AS (SELECT m, i, least(1, d / (2 * sqrt(m))) AS d FROM pan),
+shown AS (SELECT m, i, 1 / (1 + exp(-10 * ((row_number() OVER (ORDER BY d, m, i) - 1) / (count(*) OVER () - 1) - 0.2))) AS v FROM scaled),
+grid AS (SELECT m, i FROM (SELECT DISTINCT m FROM pan), (SELECT unnest(range(0, (SELECT count(*) FROM ({HOURLY})))) AS i))
+SELECT 'hourly' AS series_id, m::INT AS m, i::BIGINT AS i, round(coalesce(v, (SELECT max(v) FROM shown)), 6) AS value FROM grid LEFT JOIN shown USING (m, i)""")
+def pan_contrast(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.hourly_events(spark, sf)
+    n = s.count()
+    return pan.pan_matrix(pan.pan_profile(s, *PAN), pan.window_sizes(n, *PAN), n, binary=False).withColumn("value", F.round("value", 6))
+
+
+def _flat_rows(p: DataFrame) -> DataFrame:
+    return P.nearest(p).select("series_id", "i", F.round("d", 6).alias("d"), F.coalesce("j", F.lit(-1)).cast("long").alias("j"))
+
+
+_EXACT = f"WITH {pairs_sql(HOURLY, 12, Z, 3)} SELECT series_id, i::BIGINT AS i, round(min(d), 6) AS d, min(struct_pack(d := d, j := j)).j::BIGINT AS j FROM pairs GROUP BY ALL"
+
+
+@query("sampled_profile_all", _EXACT)
+def sampled_profile_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat_rows(approximate.sampled_profile(S.hourly_events(spark, sf), 12, 0.1, updates=10))
+
+
+@query("sampled_profile")
+def sampled_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat_rows(approximate.sampled_profile(S.hourly_events(spark, sf), 12, 0.1))
+
+
+_SEEDS = f"""{pairs_sql(HOURLY, 12, Z, 3)}, seeds AS (SELECT i, min(struct_pack(d := d, j := j)).j AS j FROM pairs WHERE i % 3 = 0 GROUP BY i),
+moved AS (SELECT i + g AS i, j + g AS j FROM seeds, (SELECT unnest([-2, -1, 1, 2]) AS g)),
+offered AS (SELECT pairs.i, pairs.j, d FROM pairs WHERE i % 3 = 0 OR j % 3 = 0 UNION ALL SELECT pairs.i, pairs.j, d FROM pairs JOIN moved ON (pairs.i = moved.i AND pairs.j = moved.j) OR (pairs.i = moved.j AND pairs.j = moved.i))"""
+
+
+@query("extended_profile", f"WITH {_SEEDS} SELECT 'hourly' AS series_id, i::BIGINT AS i, round(min(d), 6) AS d, min(struct_pack(d := d, j := j)).j::BIGINT AS j FROM offered GROUP BY i")
+def extended_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return approximate.extended_profile(S.hourly_events(spark, sf), 12).withColumn("d", F.round("d", 6))
+
+
+# Streams: every user's events as a series
+
+
+def _streamed(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Run a stream over the events table to its end; the rows it wrote."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    points = spark.readStream.schema(events.schema).parquet(f"{sf}/event[s].parquet").select(F.col("user_id").cast("string").alias("series_id"), "ts", "value")
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    run = build(points).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("stream_profile", f"""WITH {pairs_sql(USERS, 8, Z, 2)} SELECT w.series_id, w.i::BIGINT AS i, round(min(d), 6) AS d, coalesce(min(struct_pack(d := d, j := j)).j, -1)::BIGINT AS j
+FROM w LEFT JOIN pairs ON w.series_id = pairs.series_id AND w.i = pairs.i AND j < w.i WHERE w.i >= 3 GROUP BY 1, 2""")
+def stream_profile(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _streamed(spark, sf, "profile", lambda p: incremental.profile_stream(p, 8, 1000))
+    return rows.select("series_id", "i", F.round("d", 6).alias("d"), F.coalesce("j", F.lit(-1)).cast("long").alias("j"))
+
+
+@query("stream_segments")
+def stream_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, sf, "segments", lambda p: incremental.segment_stream(p, 5, 5, 40, factor=1)).select("series_id", "i", F.round("cac", 6).alias("cac"))

@@ -15,8 +15,9 @@ def all_chains(profile: DataFrame) -> DataFrame:
     window's first and place in ceil(log2(length)) joins. ``longest`` marks the longest chain, the first of equals.
     """
     p = profile.select("series_id", "i", "left_j", "right_j")
-    left = p.select("series_id", F.col("i").alias("j"), F.col("left_j").alias("back"))
-    links = p.join(left, (p["series_id"] == left["series_id"]) & (F.col("right_j") == F.col("j")) & (F.col("back") == F.col("i"))).select(p["series_id"], F.col("i").alias("from"), F.col("j").alias("i"))
+    right = p.select("series_id", F.col("i").alias("from"), F.col("right_j").alias("i"))
+    left = p.select("series_id", "i", F.col("left_j").alias("from"))
+    links = right.join(left, ["series_id", "i", "from"])
     state = cut(p.select("series_id", "i").join(links, ["series_id", "i"], "left").select("series_id", "i", F.coalesce("from", "i").alias("up"), F.when(F.col("from").isNull(), 0).otherwise(1).cast("long").alias("pos")))
     while True:
         above = state.select("series_id", F.col("i").alias("up"), F.col("up").alias("next"), F.col("pos").alias("more"))
