@@ -341,11 +341,12 @@ def repeated(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_C
     return drops.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "near")).alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Rows with their lines deduplicated in text, and the columns _lines, _dropped, _near (numbers of lines)."""
-    drops = repeated(docs, max_edits, min_chars).select(F.col("doc_id").alias("_id"), "drops")
-    joined = docs.join(drops, docs["doc_id"] == drops["_id"], "left").select(*[docs[c] for c in docs.columns], "drops")
-    schema = StructType([*docs.schema.fields, StructField("_lines", LongType()), StructField("_dropped", LongType()), StructField("_near", LongType())])
+def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, counts: tuple[str, str, str] = ("_lines", "_dropped", "_near")) -> DataFrame:
+    """Rows with their lines deduplicated in text, and three columns more: all lines, lines taken out, of these near ones."""
+    key, gone_lines = textvec.fresh(docs.columns, "_key", "_drops")
+    drops = repeated(docs, max_edits, min_chars).select(F.col("doc_id").alias(key), F.col("drops").alias(gone_lines))
+    joined = docs.join(drops, F.col("doc_id") == F.col(key), "left").select(*docs.columns, gone_lines)
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in counts)])
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,16 +362,18 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
                 close.append(sum(d["near"] for d in drop))
             columns = list(batch.columns[:-1])
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(gone), pa.array(close, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (count, gone, close))], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
 def drop_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Documents with their lines deduplicated, without those that lost all; n_chars, if there, follows the text."""
-    out = dedup_lines(docs, max_edits, min_chars).where((F.col("_dropped") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
+    names = textvec.fresh(docs.columns, "_lines", "_dropped", "_near")
+    dropped = F.col(names[1])
+    out = dedup_lines(docs, max_edits, min_chars, tuple(names)).where((dropped == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(dropped > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

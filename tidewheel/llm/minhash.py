@@ -13,8 +13,8 @@ With 128 samples in bands of 5 a pair at similarity 0.85 shares no band with pro
 5e-8), and the sketch bound lies six standard deviations from such a pair.
 
 Edge cases: null, empty and blank texts have an empty set, link with nothing and are kept; a text of fewer words than
-a shingle is one shingle; a row without doc_id links with nothing and is kept; repeated doc_ids are not expected (ids are keys) but don't fail; extra columns are ignored
-by ``near_duplicates`` and kept by ``keep_first``.
+a shingle is one shingle; a row without doc_id links with nothing and is kept; repeated rows of one doc_id count as one
+document; extra columns are ignored by ``near_duplicates`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -344,8 +344,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Documents without the near duplicates of a kept one; columns as given."""
-    dropped = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    (name,) = textvec.fresh(docs.columns, "_dropped")
+    dropped = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias(name))
+    return docs.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

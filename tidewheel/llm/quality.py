@@ -224,7 +224,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(Weak(0.5, np.full((2, len(LABELLERS), 3), 1 / 3)), Scorer(np.zeros(BUCKETS, np.float32), 0.0))
     weak = expectation_maximisation(_votes(number), np.array([r["count"] for r in counts]))
     chosen = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text").collect()  # chosen is bounded by sample
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").collect()  # chosen is bounded by sample
     bags, targets = [], []
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "")):
         data = np.frombuffer((r["text"] or "").encode(), np.uint8)

@@ -54,6 +54,17 @@ class _Powers:
 _powers = _Powers()
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores after it until no column has it."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
