@@ -27,6 +27,8 @@ BUCKETS = 1 << 18
 SAMPLE = 4000
 EPOCHS, RATE, GAIN = 10, 0.5, 100.0
 THRESHOLD = 0.5
+#: Share of good texts on which a heuristic votes bad, at most.
+FALSE_ALARMS = 0.005
 LABELLERS = ("capitals", "symbols", "repeats", "marks", "tables", "variety", "lengths", "plain", "lower")
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
@@ -97,7 +99,8 @@ def look(data: np.ndarray, offsets: np.ndarray) -> Seen:
 
     # one mark of punctuation at the end leaves a word plain
     last = data[ends - 1] if n else np.zeros(0, np.uint8)
-    plain = letter + np.isin(last, np.frombuffer(b".,;:?!", np.uint8)) == size
+    # a word that only repeats the one before it isn't plain text either
+    plain = (letter + np.isin(last, np.frombuffer(b".,;:?!", np.uint8)) == size) & ~same
     lower = plain & (upper == 0)
     variety = distinct * np.maximum(1, (some / 100.0)) ** 0.3  # longer texts repeat words more
     average = per_row(size) / some
@@ -151,8 +154,12 @@ class Weak:
         return right / np.maximum(1e-9, (1 - self.prior) * self.rates[0, :, 1:].sum(axis=1) + self.prior * self.rates[1, :, 1:].sum(axis=1))
 
 
-def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> Weak:
-    """Class prior and each labeller's vote rates, from pattern counts. Starts from the bad votes against the good ones."""
+def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, false_alarms: float | None = None) -> Weak:
+    """Class prior and each labeller's vote rates, from pattern counts. Starts from the bad votes against the good ones.
+
+    ``false_alarms`` bounds the share of good texts on which a labeller votes bad. Without it a fault that only one or
+    two heuristics see can pass as a habit of good texts.
+    """
     good, bad = (votes == 2).sum(axis=1), (votes == 1).sum(axis=1)
     # a single bad vote is a fair hint: heuristics look for different faults
     post = np.where(bad == 0, 0.95, np.where(bad == 1, 0.35, 0.1)) * np.where(good == 0, 0.5, 1)
@@ -162,7 +169,11 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
         by_class = np.stack([weight * (1 - post), weight * post])
         total = by_class.sum(axis=1)
         rates = np.stack([(by_class @ (votes == v)) for v in range(3)], axis=2) + 0.5
-        model = Weak(float(np.clip(total[1] / total.sum(), 0.01, 0.99)), rates / rates.sum(axis=2, keepdims=True))
+        rates /= rates.sum(axis=2, keepdims=True)
+        if false_alarms is not None:
+            rates[1, :, 1] = np.minimum(rates[1, :, 1], false_alarms)
+            rates /= rates.sum(axis=2, keepdims=True)
+        model = Weak(float(np.clip(total[1] / total.sum(), 0.01, 0.99)), rates)
         new = model.posterior(votes)
         if np.abs(new - post).max() < 1e-6:
             break
@@ -222,7 +233,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     number = np.array([r["pattern"] for r in counts], np.int64)
     if not len(number):
         return Model(Weak(0.5, np.full((2, len(LABELLERS), 3), 1 / 3)), Scorer(np.zeros(BUCKETS, np.float32), 0.0))
-    weak = expectation_maximisation(_votes(number), np.array([r["count"] for r in counts]))
+    weak = expectation_maximisation(_votes(number), np.array([r["count"] for r in counts]), false_alarms=FALSE_ALARMS)
     chosen = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").collect()  # chosen is bounded by sample
     bags, targets = [], []
