@@ -4,7 +4,7 @@ Each page gets host and path. A fixed list of (host, path prefix) rules comes fi
 subdomains if the path starts with its path, and the longest rule wins. Pages without a rule are judged by templates:
 digit runs in a path become ``*``; a node of a host's tree whose children are nearly all different becomes a wildcard
 too; a branch whose labelled share doesn't differ significantly from that of its siblings together is merged with
-them; and a template is blocked if its smoothed share of bad labelled pages reaches a limit.
+them; and a template with labelled pages is blocked if its smoothed share of bad ones reaches a limit.
 
 Labels come from a labelled table by page id: bad is quality 0 or toxic 1. All counts are over all pages.
 
@@ -91,9 +91,9 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, weight: float
     prior = float(total["b"]) / float(total["n"]) if total["n"] else 0.0
     n = F.when(F.col("merged"), F.col("pool_n")).otherwise(F.col("n"))
     b = F.when(F.col("merged"), F.col("pool_b")).otherwise(F.col("b"))
-    judged = branches.join(pools, ["host", "parent"]).select("host", "template", F.when(F.col("merged"), F.col("parent")).otherwise(F.col("template")).alias("group"), ((b + weight * prior) / (n + weight)).alias("purity"))
-    by_path = templates.join(judged, ["host", "template"]).select("host", "typed", F.col("group").alias("template"), "purity")
-    method = F.when(F.col("purity") >= limit, "block").otherwise("allow")
+    judged = branches.join(pools, ["host", "parent"]).select("host", "template", F.when(F.col("merged"), F.col("parent")).otherwise(F.col("template")).alias("group"), ((b + weight * prior) / (n + weight)).alias("purity"), n.alias("n"))
+    by_path = templates.join(judged, ["host", "template"]).select("host", "typed", F.col("group").alias("template"), "purity", "n")
+    method = F.when((F.col("purity") >= limit) & (F.col("n") > 0), "block").otherwise("allow")
     return given.join(by_path, ["host", "typed"]).select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
 
@@ -131,9 +131,9 @@ branches AS (
 pools AS (SELECT host, parent, sum(n) FILTER (merged) AS pool_n, sum(b) FILTER (merged) AS pool_b FROM branches GROUP BY ALL),
 prior AS (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) AS p FROM leaves),
 judged AS (
-  SELECT host, template, CASE WHEN merged THEN parent ELSE template END AS grp,
+  SELECT host, template, CASE WHEN merged THEN parent ELSE template END AS grp, CASE WHEN merged THEN pool_n ELSE n END AS seen,
     ((CASE WHEN merged THEN pool_b ELSE b END) + {WEIGHT}::DOUBLE * p) / ((CASE WHEN merged THEN pool_n ELSE n END) + {WEIGHT}::DOUBLE) AS purity
   FROM branches JOIN pools USING (host, parent), prior)
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, grp AS template, round(purity, 6) AS purity
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= {LIMIT} AND seen > 0 THEN 'block' ELSE 'allow' END) AS verdict, grp AS template, round(purity, 6) AS purity
 FROM given JOIN templates USING (host, typed) JOIN judged USING (host, template)
 """
