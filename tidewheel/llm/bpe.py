@@ -21,6 +21,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidewheel.runtime import ship, table
 
@@ -34,22 +35,30 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
 
 
-class Ranks(dict):
-    """Ranks by token, and tokens by rank."""
+class Ranks:
+    """A rank file as numbers: the id of each byte, the id that each mergeable pair of ids gives, the bytes of each id."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__(ranks)
         self.tokens = {r: t for t, r in ranks.items()}
+        self.byte = [ranks[bytes([i])] for i in range(256)]
+        self.texts = {r: str(r) for r in self.tokens}
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    self.pairs[a << 32 | b] = rank
 
 
 def merge_replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
     """Ids of each word."""
-    token: list[bytes | None] = []
+    token: list[int] = []
     owner: list[int] = []
     bounds = [0]
+    byte = ranks.byte
     for w, word in enumerate(words):
-        token.extend([word[i : i + 1] for i in range(len(word))])
-        owner.extend([w] * len(word))
+        token += [byte[c] for c in word]
+        owner += [w] * len(word)
         bounds.append(len(token))
     n = len(token)
     after = list(range(1, n + 1))
@@ -59,10 +68,13 @@ def merge_replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
             after[bounds[w + 1] - 1] = -1
             before[bounds[w]] = -1
     index: dict[int, list[int]] = {}
-    get = ranks.get
+    get = ranks.pairs.get
     for i in range(n - 1):
-        if after[i] > 0 and (r := get(token[i] + token[i + 1])) is not None:
-            index.setdefault(r, []).append(i)
+        if after[i] > 0 and (r := get(token[i] << 32 | token[i + 1])) is not None:
+            if r in index:
+                index[r].append(i)
+            else:
+                index[r] = [i]
     heap = list(index)
     heapq.heapify(heap)
     while heap:
@@ -70,26 +82,21 @@ def merge_replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
         places = index.pop(rank, None)
         if places is None:
             continue
-        made = ranks.tokens[rank]
         places.sort()
         waiting: set[int] = set()  # words in which a lower rank has come up: that one goes first
         later: list[int] = []
         for i in places:
-            if owner[i] in waiting:
+            if waiting and owner[i] in waiting:
                 later.append(i)
                 continue
-            left = token[i]
-            if left is None or (j := after[i]) < 0:
-                continue
-            right = token[j]
             # a stale entry: its pair was changed by an earlier merge
-            if len(left) + len(right) != len(made) or left + right != made:
+            if token[i] < 0 or (j := after[i]) < 0 or get(token[i] << 32 | token[j]) != rank:
                 continue
-            token[i], token[j] = made, None
+            token[i], token[j] = rank, -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                r = get(made + token[k])
+                r = get(rank << 32 | token[k])
                 if r is not None:
                     if r in index:
                         index[r].append(i)
@@ -100,7 +107,7 @@ def merge_replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
                         waiting.add(owner[i])
             h = before[i]
             if h >= 0:
-                r = get(token[h] + made)
+                r = get(token[h] << 32 | rank)
                 if r is not None:
                     if r in index:
                         index[r].append(h)
@@ -115,7 +122,7 @@ def merge_replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
             else:
                 index[rank] = later
                 heapq.heappush(heap, rank)
-    return [[ranks[t] for t in token[bounds[w] : bounds[w + 1]] if t is not None] for w in range(len(words))]
+    return [[t for t in token[bounds[w] : bounds[w + 1]] if t >= 0] for w in range(len(words))]
 
 
 class Encoder:
@@ -191,7 +198,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
     ship(spark)
     name = _share(spark, path)
     given = docs.select(*keep, F.col(text).alias("_text"))
-    schema = given.drop("_text").schema.add("ids", "array<int>").add("decoded", "binary")
+    schema = StructType([*given.drop("_text").schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, pattern)
@@ -214,18 +221,18 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep:
     ship(spark)
     name = _share(spark, path)
     given = docs.select(*keep, F.col(text).alias("_text"))
-    schema = given.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = StructType([*given.drop("_text").schema.fields, StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, pattern)
-        sha = hashlib.sha256
+        sha, decimal = hashlib.sha256, encoder.ranks.texts.__getitem__
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             count, of_ids, of_bytes = [], [], []
             for _, run_of in groups(texts):
                 for ids in encoder.encode(run_of):
                     count.append(len(ids))
-                    of_ids.append(sha(",".join(map(str, ids)).encode()).hexdigest())
+                    of_ids.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
                     of_bytes.append(sha(encoder.decode(ids)).hexdigest())
             own = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=schema.names)
