@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,8 @@ def tokens(text: str | None) -> list[str]:
 class Model:
     numbers: np.ndarray  # of each bucket
     bias: float
+    #: Words seen and their numbers; a worker keeps it from task to task.
+    known: dict[str, float] = field(default_factory=dict)
 
     def word(self, word: str) -> float:
         return float(self.numbers[grams(word)].mean())
@@ -132,14 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """Rows with the column ``name``: the probability of label 1."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.numbers, model.bias))  # of a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, bias = shared.value
-        known: dict[str, float] = {}
-
+        numbers, bias, known = shared.value.numbers, shared.value.bias, shared.value.known
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for i, t in enumerate(batch.column(place)):
