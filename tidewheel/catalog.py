@@ -40,8 +40,9 @@ def windows_sql(series: str, m: int, by: str = "series_id") -> str:
 
 
 def distance_sql(metric: Metric, m: int, x: str = "x", y: str = "y") -> str:
+    # snapped as in the kernel; positions are chosen by rounded distances, or the summing order would decide between equals
     if metric.normalized:
-        return f"CASE WHEN {x}.const AND {y}.const THEN 0 WHEN {x}.const OR {y}.const THEN sqrt({m}) ELSE list_distance({x}.z, {y}.z) END"
+        return f"CASE WHEN {x}.const AND {y}.const THEN 0 WHEN {x}.const OR {y}.const THEN sqrt({m}) WHEN list_distance({x}.z, {y}.z) < 1e-7 THEN 0 ELSE list_distance({x}.z, {y}.z) END"
     if metric.p == 2:
         return f"list_distance({x}.a, {y}.a)"
     return f"pow(list_sum(list_transform(list_zip({x}.a, {y}.a), lambda t: pow(abs(t[1] - t[2]), {metric.p}))), {1 / metric.p!r})"
@@ -70,8 +71,8 @@ def profile_rows(p: DataFrame) -> DataFrame:
 
 def _self_sql(series: str, m: int, metric: Metric, zone: int) -> str:
     return f"""WITH {pairs_sql(series, m, metric, zone)}
-SELECT w.series_id, w.i::BIGINT AS i, round(min(d), 6) AS d, coalesce(min(struct_pack(d := d, j := j)).j, -1)::BIGINT AS j,
-  coalesce((min(struct_pack(d := d, j := j)) FILTER (j < w.i)).j, -1)::BIGINT AS left_j, coalesce((min(struct_pack(d := d, j := j)) FILTER (j > w.i)).j, -1)::BIGINT AS right_j
+SELECT w.series_id, w.i::BIGINT AS i, round(min(d), 6) AS d, coalesce(min(struct_pack(d := round(d, 9), j := j)).j, -1)::BIGINT AS j,
+  coalesce((min(struct_pack(d := round(d, 9), j := j)) FILTER (j < w.i)).j, -1)::BIGINT AS left_j, coalesce((min(struct_pack(d := round(d, 9), j := j)) FILTER (j > w.i)).j, -1)::BIGINT AS right_j
 FROM w LEFT JOIN pairs ON w.series_id = pairs.series_id AND w.i = pairs.i GROUP BY 1, 2"""
 
 
@@ -80,7 +81,7 @@ def _self(source, m: int, metric: Metric, **more):
 
 
 Z = Metric()
-M = 16
+M, TM = 16, 12
 
 QUERIES["self_join_znorm"] = _self(S.daily_quantity, M, Z)
 ORACLES["self_join_znorm"] = _self_sql(QUANTITY, M, Z, 4)
@@ -134,7 +135,7 @@ def _ab(metric: Metric):
 
 for _name, _metric in (("ab_join_znorm", Z), ("ab_join_minkowski", Metric(2.0))):
     QUERIES[_name] = _ab(_metric)
-    ORACLES[_name] = f"WITH {_ab_sql(QUANTITY, PRICE, M, _metric)} SELECT series_id, other_id, i::BIGINT AS i, round(min(d), {2 if _metric.p else 6}) AS d, min(struct_pack(d := d, j := j)).j::BIGINT AS j FROM ab GROUP BY ALL"
+    ORACLES[_name] = f"WITH {_ab_sql(QUANTITY, PRICE, M, _metric)} SELECT series_id, other_id, i::BIGINT AS i, round(min(d), {2 if _metric.p else 6}) AS d, min(struct_pack(d := round(d, 9), j := j)).j::BIGINT AS j FROM ab GROUP BY ALL"
 
 
 @query("topk_profile", f"""WITH {pairs_sql(HOURLY, 12, Z, 3)} SELECT series_id, i::BIGINT AS i, rank::INT AS rank, round(d, 6) AS d, j::BIGINT AS j
@@ -149,7 +150,7 @@ def discords_top1(spark: SparkSession, sf: str) -> DataFrame:
     return P.discords(P.self_join(S.daily_quantity(spark, sf), M), M).withColumn("d", F.round("d", 6))
 
 
-@query("distances_from_indices", f"""WITH {pairs_sql(HOURLY, 12, Z, 3)} SELECT series_id, i::BIGINT AS i, min(struct_pack(d := d, j := j)).j::BIGINT AS j, round(min(d), 6) AS d FROM pairs GROUP BY ALL""")
+@query("distances_from_indices", f"""WITH {pairs_sql(HOURLY, 12, Z, 3)} SELECT series_id, i::BIGINT AS i, min(struct_pack(d := round(d, 9), j := j)).j::BIGINT AS j, round(min(d), 6) AS d FROM pairs GROUP BY ALL""")
 def distances_from_indices(spark: SparkSession, sf: str) -> DataFrame:
     s = S.hourly_events(spark, sf)
     return P.from_indices(P.nearest(P.self_join(s, 12)), s, 12).withColumn("d", F.round("d", 6))
@@ -179,7 +180,7 @@ def motifs(spark: SparkSession, sf: str) -> DataFrame:
 # Chains
 
 _LINKS = f"""{pairs_sql(QUANTITY, M, Z, 4)},
-p AS (SELECT w.i, (min(struct_pack(d := d, j := j)) FILTER (j < w.i)).j AS l, (min(struct_pack(d := d, j := j)) FILTER (j > w.i)).j AS r FROM w LEFT JOIN pairs USING (series_id, i) GROUP BY w.i),
+p AS (SELECT w.i, (min(struct_pack(d := round(d, 9), j := j)) FILTER (j < w.i)).j AS l, (min(struct_pack(d := round(d, 9), j := j)) FILTER (j > w.i)).j AS r FROM w LEFT JOIN pairs USING (series_id, i) GROUP BY w.i),
 links AS (SELECT a.i AS f, b.i AS t FROM p a JOIN p b ON a.r = b.i AND b.l = a.i),
 chains(chain, pos, i) AS (SELECT i, 0, i FROM p WHERE i NOT IN (SELECT t FROM links) UNION ALL SELECT chain, pos + 1, t FROM chains JOIN links ON f = chains.i),
 sizes AS (SELECT chain, count(*) AS length FROM chains GROUP BY chain)"""
@@ -197,9 +198,25 @@ def anchored_chain(spark: SparkSession, sf: str) -> DataFrame:
     return chains.anchored_chain(P.self_join(S.daily_quantity(spark, sf), M), AT)
 
 
+@query("geometric_chains", f"""WITH RECURSIVE {pairs_sql(HOURLY, TM, Z, 3)}, p AS (SELECT i AS f, min(struct_pack(d := round(d, 9), j := j)).j AS t FROM pairs WHERE j < i GROUP BY i),
+found(chain, pos, i) AS (
+  SELECT f, 1, t FROM p
+  UNION ALL
+  SELECT g.chain, g.pos + 1, p.t FROM found g JOIN p ON g.i = p.f JOIN w c ON c.i = g.chain JOIN w a ON a.i = g.i JOIN w n ON n.i = p.t
+  WHERE degrees(acos(greatest(-1, least(1, list_cosine_similarity(list_transform(list_zip(a.z, c.z), lambda t: t[1] - t[2]), list_transform(list_zip(n.z, c.z), lambda t: t[1] - t[2])))))) <= 40),
+long AS (SELECT chain, max(pos) AS last FROM found GROUP BY chain HAVING max(pos) >= 2),
+every AS (SELECT chain, 0 AS pos, chain AS i FROM long UNION ALL SELECT found.* FROM found JOIN long USING (chain)),
+steps AS (SELECT a.chain, max(list_distance(x.z, y.z)) AS most FROM every a JOIN every b ON a.chain = b.chain AND b.pos = a.pos + 1 JOIN w x ON x.i = a.i JOIN w y ON y.i = b.i GROUP BY a.chain),
+score AS (SELECT e.chain, list_distance(x.z, y.z) / most AS score FROM every e JOIN long ON e.chain = long.chain AND pos = last JOIN steps ON steps.chain = e.chain JOIN w x ON x.i = e.i JOIN w y ON y.i = e.chain)
+SELECT 'hourly' AS series_id, chain::BIGINT AS chain, pos::INT AS pos, i::BIGINT AS i, round(score, 6) AS score FROM every JOIN score USING (chain)""")
+def geometric_chains(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.hourly_events(spark, sf)
+    return chains.geometric_chains(P.self_join(s, TM), s, TM).withColumn("score", F.round("score", 6))
+
+
 # Segmentation
 
-_CURVE = f"""{pairs_sql(QUANTITY, M, Z, 4)}, p AS (SELECT i, min(struct_pack(d := d, j := j)).j AS j FROM pairs GROUP BY i),
+_CURVE = f"""{pairs_sql(QUANTITY, M, Z, 4)}, p AS (SELECT i, min(struct_pack(d := round(d, 9), j := j)).j AS j FROM pairs GROUP BY i),
 steps AS (SELECT i, sum(s) AS s FROM (SELECT least(i, j) AS i, 1 AS s FROM p UNION ALL SELECT greatest(i, j), -1 FROM p) GROUP BY i),
 curve AS (SELECT p.i, sum(coalesce(s, 0)) OVER (ORDER BY p.i) AS arcs, count(*) OVER () AS w FROM p LEFT JOIN steps USING (i)),
 cac AS (SELECT i, arcs, CASE WHEN i < 80 OR i >= w - 80 THEN 1 ELSE least(1, arcs / (2.0 * (i + 1) * (w - 1 - i) / w)) END AS cac FROM curve)"""
@@ -221,7 +238,6 @@ def fluss_regimes(spark: SparkSession, sf: str) -> DataFrame:
 # Sets of series: hourly sums by event type, as five series
 
 TYPE_SERIES = f"SELECT dim::VARCHAR AS series_id, idx, value FROM ({TYPES})"
-TM = 12
 
 
 def types_as_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,6 +281,25 @@ def shapelet_diff(spark: SparkSession, sf: str) -> DataFrame:
     return compare.shapelets(S.daily_quantity(spark, sf), S.daily_price(spark, sf), M).withColumn("diff", F.round("diff", 6))
 
 
+@query("shapelet_features", f"""WITH w AS ({windows_sql(USERS, 8)}), q AS (SELECT row_number() OVER (ORDER BY i) - 1 AS shapelet, z, const FROM w WHERE series_id = '1' AND i IN (0, 20))
+SELECT w.series_id, shapelet::INT AS shapelet, round(min({distance_sql(Z, 8, 'w', 'q')}), 6) AS d FROM w, q GROUP BY ALL""")
+def shapelet_features(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.user_events(spark, sf)
+    own = s.where("series_id = '1'")
+    return compare.shapelet_features(s, [search.window_at(own, 0, 8), search.window_at(own, 20, 8)]).withColumn("d", F.round("d", 6))
+
+
+@query("steadiness_annotation", f"WITH w AS ({windows_sql(QUANTITY, M)}) SELECT 'quantity' AS series_id, i::BIGINT AS i, CASE WHEN sd * sd * {M} / {M - 1} < 40000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS av FROM w")
+def steadiness_annotation(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.steadiness(S.daily_quantity(spark, sf), M, 40000.0)
+
+
+@query("unclipped_annotation", f"""WITH s AS ({QUANTITY}), e AS (SELECT min(value) AS low, max(value) AS high FROM s), c AS (SELECT i, len(list_filter(a, lambda x: x = low)) + len(list_filter(a, lambda x: x = high)) AS c FROM ({windows_sql(QUANTITY, M)}), e)
+SELECT 'quantity' AS series_id, i::BIGINT AS i, round(1 - coalesce((c - min(c) OVER ()) / nullif(max(c) OVER (), 0), 0), 6) AS av FROM c""")
+def unclipped_annotation(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.unclipped(S.daily_quantity(spark, sf), M).withColumn("av", F.round("av", 6))
+
+
 _COMPLEXITY = f"""ce AS (SELECT i, sqrt(list_sum(list_transform(range(1, {M}), lambda k: pow(a[k + 1] - a[k], 2)))) AS ce FROM w),
 av AS (SELECT i, coalesce((ce - min(ce) OVER ()) / nullif(max(ce) OVER () - min(ce) OVER (), 0), 0) AS av FROM ce)"""
 
@@ -311,7 +346,7 @@ multi AS (SELECT i, j, (row_number() OVER o - 1)::INT AS kdim, avg(d) OVER (PART
 
 
 def _best_multi(metric: Metric, digits: int) -> str:
-    return f"WITH {_dims_pairs(metric, 'abs(x.i - y.i) > 3')} SELECT 'events' AS series_id, i::BIGINT AS i, kdim, round(min(d), {digits}) AS d, min(struct_pack(d := d, j := j)).j::BIGINT AS j FROM multi GROUP BY i, kdim"
+    return f"WITH {_dims_pairs(metric, 'abs(x.i - y.i) > 3')} SELECT 'events' AS series_id, i::BIGINT AS i, kdim, round(min(d), {digits}) AS d, min(struct_pack(d := round(d, 9), j := j)).j::BIGINT AS j FROM multi GROUP BY i, kdim"
 
 
 def _multi(metric: Metric, digits: int):
@@ -399,7 +434,7 @@ def _flat_rows(p: DataFrame) -> DataFrame:
     return P.nearest(p).select("series_id", "i", F.round("d", 6).alias("d"), F.coalesce("j", F.lit(-1)).cast("long").alias("j"))
 
 
-_EXACT = f"WITH {pairs_sql(HOURLY, 12, Z, 3)} SELECT series_id, i::BIGINT AS i, round(min(d), 6) AS d, min(struct_pack(d := d, j := j)).j::BIGINT AS j FROM pairs GROUP BY ALL"
+_EXACT = f"WITH {pairs_sql(HOURLY, 12, Z, 3)} SELECT series_id, i::BIGINT AS i, round(min(d), 6) AS d, min(struct_pack(d := round(d, 9), j := j)).j::BIGINT AS j FROM pairs GROUP BY ALL"
 
 
 @query("sampled_profile_all", _EXACT)
@@ -412,12 +447,12 @@ def sampled_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_rows(approximate.sampled_profile(S.hourly_events(spark, sf), 12, 0.1))
 
 
-_SEEDS = f"""{pairs_sql(HOURLY, 12, Z, 3)}, seeds AS (SELECT i, min(struct_pack(d := d, j := j)).j AS j FROM pairs WHERE i % 3 = 0 GROUP BY i),
+_SEEDS = f"""{pairs_sql(HOURLY, 12, Z, 3)}, seeds AS (SELECT i, min(struct_pack(d := round(d, 9), j := j)).j AS j FROM pairs WHERE i % 3 = 0 GROUP BY i),
 moved AS (SELECT i + g AS i, j + g AS j FROM seeds, (SELECT unnest([-2, -1, 1, 2]) AS g)),
 offered AS (SELECT pairs.i, pairs.j, d FROM pairs WHERE i % 3 = 0 OR j % 3 = 0 UNION ALL SELECT pairs.i, pairs.j, d FROM pairs JOIN moved ON (pairs.i = moved.i AND pairs.j = moved.j) OR (pairs.i = moved.j AND pairs.j = moved.i))"""
 
 
-@query("extended_profile", f"WITH {_SEEDS} SELECT 'hourly' AS series_id, i::BIGINT AS i, round(min(d), 6) AS d, min(struct_pack(d := d, j := j)).j::BIGINT AS j FROM offered GROUP BY i")
+@query("extended_profile", f"WITH {_SEEDS} SELECT 'hourly' AS series_id, i::BIGINT AS i, round(min(d), 6) AS d, min(struct_pack(d := round(d, 9), j := j)).j::BIGINT AS j FROM offered GROUP BY i")
 def extended_profile(spark: SparkSession, sf: str) -> DataFrame:
     return approximate.extended_profile(S.hourly_events(spark, sf), 12).withColumn("d", F.round("d", 6))
 
@@ -435,7 +470,7 @@ def _streamed(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
-@query("stream_profile", f"""WITH {pairs_sql(USERS, 8, Z, 2)} SELECT w.series_id, w.i::BIGINT AS i, round(min(d), 6) AS d, coalesce(min(struct_pack(d := d, j := j)).j, -1)::BIGINT AS j
+@query("stream_profile", f"""WITH {pairs_sql(USERS, 8, Z, 2)} SELECT w.series_id, w.i::BIGINT AS i, round(min(d), 6) AS d, coalesce(min(struct_pack(d := round(d, 9), j := j)).j, -1)::BIGINT AS j
 FROM w LEFT JOIN pairs ON w.series_id = pairs.series_id AND w.i = pairs.i AND j < w.i WHERE w.i >= 3 GROUP BY 1, 2""")
 def stream_profile(spark: SparkSession, sf: str) -> DataFrame:
     rows = _streamed(spark, sf, "profile", lambda p: incremental.profile_stream(p, 8, 1000))

@@ -43,8 +43,8 @@ def windows(series: DataFrame, m: int, by: str = "series_id") -> DataFrame:
 
 
 def z_norm(a: Column, mu: Column, sd: Column, threshold: float = 1e-7) -> Column:
-    """A z-normalised array; a standard deviation below the threshold counts as 1."""
-    return F.transform(a, lambda x: (x - mu) / F.when(sd < threshold, 1.0).otherwise(sd))
+    """A z-normalised array; a standard deviation of 0 or below the threshold counts as 1."""
+    return F.transform(a, lambda x: (x - mu) / F.when((sd < threshold) | (sd == 0), 1.0).otherwise(sd))
 
 
 def sliding_dot(series: DataFrame, query: list[float]) -> DataFrame:
@@ -54,3 +54,26 @@ def sliding_dot(series: DataFrame, query: list[float]) -> DataFrame:
     q = F.array(*[F.lit(float(x)) for x in query])
     arrays = series.select("series_id", F.col("idx").alias("i"), F.collect_list(F.when(is_finite("value"), F.col("value")).otherwise(float("nan"))).over(w).alias("a")).where(F.size("a") == m)
     return arrays.select("series_id", "i", F.aggregate(F.zip_with("a", q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("qt"))
+
+
+def rolling_present(series: DataFrame, m: int) -> DataFrame:
+    """series_id, i, mu, sd, low, high, n over the values that are there (n of them) in each window."""
+    w = frame(m)
+    safe = F.when(is_finite("value"), F.col("value"))
+    out = series.select(
+        "series_id", F.col("idx").alias("i"), F.avg(safe).over(w).alias("mu"), F.stddev_pop(safe).over(w).alias("sd"), F.min(safe).over(w).alias("low"), F.max(safe).over(w).alias("high"),
+        F.count(safe).over(w).alias("n"), F.count(F.lit(1)).over(w).alias("points"),
+    )
+    return out.where(F.col("points") == m).drop("points")
+
+
+def runs(rows: DataFrame, flag: str = "flag") -> DataFrame:
+    """series_id, start, stop (exclusive): the stretches of (series_id, i, flag) where the flag holds."""
+    w = Window.partitionBy("series_id").orderBy("i")
+    kept = rows.where(flag).select("series_id", "i", (F.col("i") - F.row_number().over(w)).alias("island"))
+    return kept.groupBy("series_id", "island").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop")).drop("island")
+
+
+def zone_mask(rows: DataFrame, at: int, zone: int, value: str = "d") -> DataFrame:
+    """Rows with ``value`` NULL in the exclusion zone around a position."""
+    return rows.withColumn(value, F.when(F.abs(F.col("i") - at) > zone, F.col(value)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.operators.profile import ready
 from tidewheel.runtime import cut
+from tidewheel.settings import ZNORM
 
 
 def all_chains(profile: DataFrame) -> DataFrame:
@@ -40,3 +42,44 @@ def anchored_chain(profile: DataFrame, anchor: int) -> DataFrame:
     chains = cut(all_chains(profile))
     own = chains.where(F.col("i") == anchor).select("series_id", "chain", F.col("pos").alias("start"))
     return chains.join(own, ["series_id", "chain"]).where(F.col("pos") >= F.col("start")).select("series_id", (F.col("pos") - F.col("start")).alias("pos"), "i")
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def geometric_chains(profile: DataFrame, series: DataFrame, m: int, theta: float = 40.0) -> DataFrame:
+    """series_id, chain (its last window), pos, i, score: backward chains that keep their direction, of three or more.
+
+    From each window the left neighbours are followed as long as the angle, seen from the chain's last window, between
+    a window and its left neighbour is at most ``theta`` degrees. ``score`` is the distance of both ends over the
+    largest step: a higher one is a more gradual chain. One round of equi-joins extends all chains by one window.
+    """
+    z = ready(series, m, ZNORM).where("is_finite").select("series_id", "i", F.when(F.col("is_const"), F.transform("a", lambda x: F.lit(0.0))).otherwise(F.col("z")).alias("z"))
+    z = cut(z)
+    named = lambda i, name: z.select("series_id", F.col("i").alias(i), F.col("z").alias(name))
+    links = cut(profile.where("left_j IS NOT NULL").select("series_id", F.col("i").alias("at"), F.col("left_j").alias("next")))
+    first = links.select("series_id", F.col("at").alias("chain"), F.col("next").alias("at"))
+    found = cut(first.select("series_id", "chain", F.lit(0).alias("pos"), F.col("chain").alias("i")).unionAll(first.select("series_id", "chain", F.lit(1), "at")))
+    frontier, pos = cut(first), 1
+    while True:
+        pos += 1
+        step = frontier.join(links, ["series_id", "at"]).join(named("chain", "zc"), ["series_id", "chain"]).join(named("at", "za"), ["series_id", "at"]).join(named("next", "zn"), ["series_id", "next"])
+        x, y = _minus(F.col("za"), F.col("zc")), _minus(F.col("zn"), F.col("zc"))
+        cosine = F.try_divide(_dot(x, y), F.sqrt(_dot(x, x) * _dot(y, y)))
+        frontier = cut(step.where(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))) <= theta).select("series_id", "chain", F.col("next").alias("at")))
+        if frontier.isEmpty():
+            break
+        found = cut(found.unionAll(frontier.select("series_id", "chain", F.lit(pos), "at")))
+    long = found.groupBy("series_id", "chain").agg(F.max("pos").alias("last")).where("last >= 2")
+    rows = found.join(long, ["series_id", "chain"]).join(named("i", "z"), ["series_id", "i"])
+    before = rows.select("series_id", "chain", (F.col("pos") + 1).alias("pos"), F.col("z").alias("zb"))
+    length = lambda a, b: F.sqrt(_dot(_minus(a, b), _minus(a, b)))
+    steps = rows.join(before, ["series_id", "chain", "pos"]).groupBy("series_id", "chain").agg(F.max(length(F.col("z"), F.col("zb"))).alias("most"))
+    ends = rows.where("pos = last").join(named("chain", "zc"), ["series_id", "chain"]).select("series_id", "chain", length(F.col("z"), F.col("zc")).alias("span"))
+    score = steps.join(ends, ["series_id", "chain"]).select("series_id", "chain", F.try_divide("span", "most").alias("score"))
+    return rows.join(score, ["series_id", "chain"]).select("series_id", "chain", "pos", "i", "score")

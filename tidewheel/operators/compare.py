@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators.profile import ab_join, nearest, self_join
+from tidewheel.functions.windows import frame, rolling
+from tidewheel.operators.profile import ab_join, distance_profile, nearest, self_join
 from tidewheel.runtime import cut
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings
 
@@ -89,6 +90,31 @@ def annotate(profile: DataFrame, annotation: DataFrame) -> DataFrame:
     return profile.join(annotation, ["series_id", "i"]).join(top, "series_id").select("series_id", "i", (F.col("d") + (1 - F.col("av")) * F.col("top")).alias("d"))
 
 
+def shapelet_features(series: DataFrame, shapelets: list[list[float]], metric: Metric = ZNORM) -> DataFrame:
+    """series_id, shapelet, d: each series' least distance to each shapelet, as features for a classifier."""
+    out = None
+    for n, q in enumerate(shapelets):
+        one = distance_profile(series, q, metric).groupBy("series_id").agg(F.min("d").alias("d")).select("series_id", F.lit(n).alias("shapelet"), "d")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def steadiness(series: DataFrame, m: int, limit: float) -> DataFrame:
+    """series_id, i, av: 1 where a window's sample variance is below ``limit``, else 0."""
+    w = rolling(series, m)
+    return w.select("series_id", "i", F.when(F.col("sd") * F.col("sd") * m / (m - 1) < limit, 1.0).otherwise(0.0).alias("av"))
+
+
+def unclipped(series: DataFrame, m: int) -> DataFrame:
+    """series_id, i, av: less for windows with more points at the series' least or largest value."""
+    ends = series.groupBy("series_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    hit = series.join(ends, "series_id").select("series_id", "idx", ((F.col("value") == F.col("low")).cast("int") + (F.col("value") == F.col("high")).cast("int")).alias("hit"))
+    w = frame(m)
+    counts = hit.select("series_id", F.col("idx").alias("i"), F.sum("hit").over(w).alias("c"), F.count("hit").over(w).alias("n")).where(F.col("n") == m)
+    span = counts.groupBy("series_id").agg(F.min("c").alias("least"), F.max("c").alias("most"))
+    return counts.join(span, "series_id").select("series_id", "i", (1 - F.coalesce(F.try_divide(F.col("c") - F.col("least"), F.col("most")), F.lit(0.0))).alias("av"))
+
+
 def complexity(series: DataFrame, m: int) -> DataFrame:
     """series_id, i, av: each window's complexity estimate, scaled to 0..1 in its series."""
     order = Window.partitionBy("series_id").orderBy("idx")

@@ -67,10 +67,17 @@ def multi_tile(xs: list[kernel.Windows], ys: list[kernel.Windows], zone: int, in
             for k in range(dims):
                 for best, d, flip in ((of_a[k], means[k], False), (of_b[k], means[k].T, True)):
                     low = d.min(axis=1)
-                    at = (d <= low[:, None] + 1e-9).argmax(axis=1)
                     there = np.isfinite(low)
-                    i, j = np.arange(len(d)), np.where(there, at, 0)
-                    real = exact(rows.start + j, cols.start + i)[k] if flip else exact(rows.start + i, cols.start + j)[k]
+                    real_of = (lambda i, j, k=k: exact(rows.start + j, cols.start + i)[k]) if flip else (lambda i, j, k=k: exact(rows.start + i, cols.start + j)[k])
+                    # products lose small distances: whatever may be the nearest is measured directly
+                    i, j = np.nonzero((d**2 <= np.where(there, low, 0)[:, None] ** 2 + 1e-9) & there[:, None])
+                    real = real_of(i, j)
+                    order = np.lexsort((j, np.round(real, kernel.DIGITS), i))
+                    i, j, real = i[order], j[order], real[order]
+                    first = np.unique(i, return_index=True)[1]
+                    at, value = np.zeros(len(d), np.int64), np.full(len(d), np.inf)
+                    at[i[first]], value[i[first]] = j[first], real[first]
+                    real = value
                     lo = a.lo + rows.start if flip else b.lo + cols.start
                     best.offer(cols if flip else rows, np.where(there, real, np.inf)[:, None], np.where(there, lo + at, -1)[:, None])
     return of_a, of_b
@@ -126,7 +133,7 @@ def multi_profile(series: DataFrame, m: int, include: Sequence[int] | None = Non
 
     tasks = max(1, min(plan.count, 2 * series.sparkSession.sparkContext.defaultParallelism + plan.count // 16))
     found = pairs.repartition(tasks).mapInArrow(run, "series_id string, i long, kdim int, d double, j long")
-    best = F.min(F.when(F.col("j").isNotNull(), F.struct("d", "j")))
+    best = F.min(F.when(F.col("j").isNotNull(), F.struct(F.round("d", kernel.DIGITS).alias("q"), "j", "d")))
     return found.groupBy("series_id", "i", "kdim").agg(best.alias("n")).select("series_id", "i", "kdim", F.col("n.d").alias("d"), F.col("n.j").alias("j"))
 
 

@@ -16,6 +16,8 @@ from tidewheel.settings import Metric
 
 #: Correlations this close to a row's best are ties.
 TIE = 1e-13
+#: Decimals to which distances are compared between blocks; the summing order decides beyond them.
+DIGITS = 9
 #: Windows of a side of one matrix product.
 STEP = 512
 
@@ -130,14 +132,15 @@ class Best:
         k = self.d.shape[1]
         if k == 1 and d.shape[1] == 1:
             own_d, own_j = self.d[at, 0], self.j[at, 0]
-            new = (j[:, 0] >= 0) & ((d[:, 0] < own_d) | ((d[:, 0] == own_d) & ((j[:, 0] < own_j) | (own_j < 0))))
+            a, b = np.round(d[:, 0], DIGITS), np.round(own_d, DIGITS)
+            new = (j[:, 0] >= 0) & ((a < b) | ((a == b) & ((j[:, 0] < own_j) | (own_j < 0))))
             self.d[at, 0] = np.where(new, d[:, 0], own_d)
             self.j[at, 0] = np.where(new, j[:, 0], own_j)
             return
         d = np.concatenate([self.d[at], d], axis=1)
         j = np.concatenate([self.j[at], j], axis=1)
         d = np.where(j < 0, np.inf, d)
-        order = np.lexsort((j, d), axis=1)
+        order = np.lexsort((j, np.round(d, DIGITS)), axis=1)
         d, j = np.take_along_axis(d, order, 1), np.take_along_axis(j, order, 1)
         again = np.zeros_like(j, bool)
         for c in range(1, j.shape[1]):
@@ -168,7 +171,7 @@ def _pick(a: Windows, b: Windows, sim: np.ndarray, rows: slice, cols: slice, k:
     d = exact(a, b, np.repeat(i, more), local.ravel()).reshape(n, more)
     d = np.where(there, d, np.inf)
     position = np.where(there, local + b.lo, np.iinfo(np.int64).max)
-    order = np.lexsort((position, d), axis=1)[:, :k]
+    order = np.lexsort((position, np.round(d, DIGITS)), axis=1)[:, :k]
     d, position = np.take_along_axis(d, order, 1), np.take_along_axis(position, order, 1)
     return d, np.where(np.isinf(d), -1, position)
 

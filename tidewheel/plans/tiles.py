@@ -133,10 +133,12 @@ def _run(m: int, block: int, k: int, metric: Metric, zone: int | None):
 
 def merge_profiles(parts: DataFrame, k: int) -> DataFrame:
     """One row per window from partial profiles."""
-    least = lambda d, j: F.min(F.when(F.col(j).isNotNull(), F.struct(F.col(d).alias("d"), F.col(j).alias("j"))))
-    near = F.min(F.when(F.size("nn") > 0, F.element_at("nn", 1))) if k == 1 else F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("nn")))), 1, k)
+    key = lambda d: F.round(d, kernel.DIGITS).alias("q")
+    least = lambda d, j: F.min(F.when(F.col(j).isNotNull(), F.struct(key(d), F.col(j).alias("j"), F.col(d).alias("d"))))
+    first = F.element_at("nn", 1)
+    near = F.min(F.when(F.size("nn") > 0, F.struct(key(first["d"]), first["j"].alias("j"), first["d"].alias("d")))) if k == 1 else F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("nn")))), 1, k)
     merged = parts.groupBy("series_id", "other_id", "i").agg(near.alias("near"), least("left_d", "left_j").alias("l"), least("right_d", "right_j").alias("r"))
-    nn = F.filter(F.array("near"), lambda x: x.isNotNull()) if k == 1 else F.col("near")
+    nn = F.transform(F.filter(F.array("near"), lambda x: x.isNotNull()), lambda x: F.struct(x["d"].alias("d"), x["j"].alias("j"))) if k == 1 else F.col("near")
     return merged.select("series_id", "other_id", "i", nn.alias("nn"), F.col("l.d").alias("left_d"), F.col("l.j").alias("left_j"), F.col("r.d").alias("right_d"), F.col("r.j").alias("right_j"))
 
 
