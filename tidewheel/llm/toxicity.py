@@ -1,7 +1,9 @@
 """Toxicity by subword-bag embeddings under a linear softmax.
 
 A word is the bag of itself and its character n-grams between word marks, hashed into buckets; a word's vector is the
-mean of its grams' vectors, a text's vector the mean of its words', and a linear softmax gives the two classes.
+mean of its grams' vectors. A text's vector is the mean of its distinct words' vectors, weighted by the root of their
+counts, with ``PAD`` zero words added, so that neither a repeated word nor a text of a few words runs away. A linear
+softmax gives the two classes.
 Embeddings and softmax are trained jointly, text by text, by gradient descent in numpy; grams of fewer than ``MIN_TEXTS``
 learned texts stay at zero. Misspellings never seen share most grams with words that were.
 
@@ -18,6 +20,8 @@ null label or id are not learned from; repeated label rows count once (the large
 from __future__ import annotations
 
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tidewheel.llm import textvec
 from tidewheel.runtime import ship, table
 
 BUCKETS = 1 << 18
@@ -39,9 +44,13 @@ MIN_TEXTS = 5
 EPOCHS = 14
 #: Learning rate of the softmax; a gram's is GAIN times as high, for its share of a text is about 1 / GAIN.
 RATE, GAIN = 0.2, 1000.0
+#: Weight of a text of label 1 against one of label 0: the rarer and costlier error.
+POSITIVE = 2.0
+#: Zero words that a text's mean includes.
+PAD = 20.0
 THRESHOLD = 0.3
 #: Words kept with their number in a worker.
-CACHE = 400_000
+CACHE = 200_000
 
 _find = regex.compile(r"[\p{L}\p{N}]+").findall
 
@@ -70,6 +79,13 @@ class Model:
     def word(self, word: str) -> float:
         return float(self.numbers[grams(word)].mean())
 
+    def score(self, text: str | None) -> float:
+        """Of one text, plainly."""
+        words = Counter(tokens(text))
+        weight = {w: n**0.5 for w, n in words.items()}
+        mean = sum(weight[w] * self.word(w) for w in words) / (sum(weight.values()) + PAD)
+        return float(1 / (1 + np.exp(-np.clip(mean + self.bias, -50, 50))))
+
 
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     """Embeddings and softmax, trained jointly on the texts as whole bags of words."""
@@ -77,31 +93,34 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), -50.0)
     rng = np.random.default_rng(seed)
     of_word: dict[str, np.ndarray] = {}
-    bags = []
+    all_used, all_share, ends = array("i"), array("f"), [0]  # one run of memory for all bags
     for t in texts:
-        words = tokens(t)
+        words = Counter(tokens(t))
         if len(of_word) > 100_000:
             of_word.clear()
-        new = [w for w in set(words) if w not in of_word]
+        new = [w for w in words if w not in of_word]
         of_word.update((w, np.array(grams(w), np.int32)) for w in new)
         lists = [of_word[w] for w in words]
         size = np.array([len(x) for x in lists], np.int64)
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         used, inverse = np.unique(flat, return_inverse=True)
-        share = np.repeat(1 / np.maximum(size, 1), size) / max(1, len(words))
-        bags.append((used.astype(np.int32), np.bincount(inverse, share, len(used)).astype(np.float32)))
-    spread = np.zeros(BUCKETS, np.int64)
-    for used, _ in bags:
-        spread[used] += 1
-    bags = [(used[k], share[k]) for used, share in bags for k in [spread[used] >= MIN_TEXTS]]
+        weight = np.sqrt(np.fromiter(words.values(), float, len(words)))
+        share = np.repeat(weight / size, size) / (weight.sum() + PAD)
+        all_used.frombytes(used.astype(np.int32).tobytes())
+        all_share.frombytes(np.bincount(inverse, share, len(used)).astype(np.float32).tobytes())
+        ends.append(len(all_used))
+    of_word.clear()
+    bag_used, bag_share = np.frombuffer(all_used, np.int32), np.frombuffer(all_share, np.float32).copy()
+    spread = np.bincount(bag_used, minlength=BUCKETS)
+    bag_share[spread[bag_used] < MIN_TEXTS] = 0
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     vectors[spread < MIN_TEXTS] = 0
     weights = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    steps, done = EPOCHS * len(bags), 0
+    steps, done = EPOCHS * len(texts), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(bags)).tolist():
-            used, share = bags[i]
+        for i in rng.permutation(len(texts)).tolist():
+            used, share = bag_used[ends[i] : ends[i + 1]], bag_share[ends[i] : ends[i + 1]]
             rate = RATE * (1 - done / steps)
             done += 1
             own = vectors[used]
@@ -110,8 +129,12 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
             error = np.exp(z - z.max())
             error /= error.sum()
             error[labels[i]] -= 1
+            if labels[i]:
+                error *= POSITIVE
             back = weights @ error
+            back /= max(1.0, float(np.sqrt(back @ back)) / 10)  # labels that can't be learned mustn't let steps grow
             weights -= rate * np.outer(mean, error)
+            np.clip(weights, -10, 10, out=weights)
             bias -= rate * error
             vectors[used] = own - np.outer(rate * GAIN * share, back)
     side = weights[:, 1] - weights[:, 0]
@@ -123,12 +146,20 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, held_out:
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_label"))
     chosen = known.where(F.crc32(F.col("_id").cast("string").cast("binary")) % 4 != held_out).orderBy(F.xxhash64("_id"), "_id").limit(limit)
     # bounded by limit
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", F.col("text"), F.col("_label").alias("label"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", F.col("_label").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
-    rows = sorted(labelled(docs, labels, limit).collect(), key=lambda r: (r["_id"], r["text"] or ""))
-    return train([r["text"] for r in rows], [r["label"] for r in rows])
+    """The model of a bounded sample, trained in one task of an executor: neither texts nor bags come to the driver."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((r["_id"], r["text"] or "", r["label"]) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.numbers.tobytes()], pa.binary()), pa.array([model.bias])], names=["numbers", "bias"])
+
+    found = labelled(docs, labels, limit).repartition(1).mapInArrow(run, "numbers binary, bias double").first()
+    return Model(np.frombuffer(found["numbers"], np.float32), found["bias"]) if found else train([], [])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
@@ -143,19 +174,22 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for i, t in enumerate(batch.column(place)):
-                words = tokens(t.as_py())
-                new = [w for w in set(words) if w not in known]
+                words = Counter(tokens(t.as_py()))
+                if not words:
+                    continue
+                new = [w for w in words if w not in known]
                 if new:
                     if len(known) > CACHE:
                         known.clear()
-                        new = list(set(words))
+                        new = list(words)
                     # all grams of the new words at once
                     lists = [grams(w) for w in new]
                     n = np.array([len(x) for x in lists])
                     flat = numbers[np.concatenate([np.array(x) for x in lists])]
                     sums = np.add.reduceat(flat.astype(np.float64), np.concatenate([[0], np.cumsum(n)[:-1]])) / n
                     known.update(zip(new, sums.tolist(), strict=True))
-                out[i] = sum(map(known.__getitem__, words)) / len(words) if words else 0.0
+                weight = np.sqrt(np.fromiter(words.values(), float, len(words)))
+                out[i] = weight @ np.fromiter(map(known.__getitem__, words), float, len(words)) / (weight.sum() + PAD)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out + bias, -50, 50))))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -176,4 +210,5 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents scored below ``threshold``; columns as given."""
     columns = docs.columns
-    return score(docs, fit(docs, labels), name="_score").where(F.col("_score") < threshold).select(*columns)
+    (name,) = textvec.fresh(columns, "_score")
+    return score(docs, fit(docs, labels), name=name).where(F.col(name) < threshold).select(*columns)
