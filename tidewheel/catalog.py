@@ -171,7 +171,22 @@ def match(spark: SparkSession, sf: str) -> DataFrame:
     return search.match(s, search.window_at(s, AT, M), max_matches=10, query_index=AT).withColumn("d", F.round("d", 6))
 
 
-@query("motifs")
+def _picks_sql(n: int, bound: str) -> str:
+    """The greedy matches of candidate c<n>: its distance profile and the choices so far."""
+    return f"""prof{n} AS (SELECT x.i, CASE WHEN x.i = q.i THEN 0 ELSE {distance_sql(Z, M, 'x', 'q')} END AS d FROM c{n} JOIN w q ON q.i = c{n}.i, w x),
+picks{n}(n, taken, d) AS (
+  SELECT 1, [i], 0.0::DOUBLE FROM c{n}
+  UNION ALL
+  SELECT n + 1, list_append(taken, best.i), best.d FROM (
+    SELECT p.n, any_value(p.taken) AS taken, min(struct_pack(d := t.d, i := t.i)) AS best FROM picks{n} p, prof{n} t
+    WHERE p.n < 10 AND t.d <= {bound} AND len(list_filter(p.taken, lambda g: abs(g - t.i) <= 4)) = 0 GROUP BY p.n)),
+gone{n} AS (SELECT taken FROM picks{n} ORDER BY n DESC LIMIT 1)"""
+
+
+@query("motifs", f"""WITH RECURSIVE {pairs_sql(QUANTITY, M, Z, 4)}, p AS (SELECT i, min(d) AS d FROM pairs GROUP BY i),
+c1 AS (SELECT min(struct_pack(d := d, i := i)).i AS i FROM p), {_picks_sql(1, "4.0 + 1e-8")},
+c2 AS (SELECT min(struct_pack(d := d, i := i)).i AS i FROM p, gone1 WHERE len(list_filter(taken, lambda g: abs(g - p.i) <= 4)) = 0), {_picks_sql(2, "4.0 + 1e-8")}
+SELECT 0 AS motif, n::INT AS rank, taken[n] AS i, round(d, 6) AS d FROM picks1 UNION ALL SELECT 1, n::INT, taken[n], round(d, 6) FROM picks2""")
 def motifs(spark: SparkSession, sf: str) -> DataFrame:
     s = S.daily_quantity(spark, sf)
     return search.motifs(s, P.self_join(s, M), M, max_motifs=2, cutoff=float("inf"), max_distance=4.0).withColumn("d", F.round("d", 6))
@@ -394,13 +409,22 @@ def multi_motifs(spark: SparkSession, sf: str) -> DataFrame:
 # Snippets, pan profiles, approximations
 
 
-@query("snippets")
+# with the sub-window as long as the window, MPdist is the distance itself
+_SNIPPETS = f"""w AS ({windows_sql(HOURLY, 48)}), every AS (SELECT (x.i // 48) AS chunk, y.i, {distance_sql(Z, 48)} AS d FROM w x JOIN w y ON x.i % 48 = 0),
+a1 AS (SELECT chunk, sum(d) AS area FROM every GROUP BY chunk ORDER BY area, chunk LIMIT 1), cur AS (SELECT i, d FROM every JOIN a1 USING (chunk)),
+a2 AS (SELECT chunk, sum(least(every.d, cur.d)) AS area FROM every JOIN cur USING (i) GROUP BY chunk ORDER BY 2, 1 LIMIT 1),
+own AS (SELECT i, min(struct_pack(d := d, s := s)).s AS s FROM (SELECT i, d, 0 AS s FROM cur UNION ALL SELECT i, d, 1 FROM every JOIN a2 USING (chunk)) GROUP BY i)"""
+
+
+@query("snippets", f"""WITH {_SNIPPETS} SELECT 'hourly' AS series_id, s AS snippet, (chunk * 48)::BIGINT AS i, round(area, 6) AS area, round((SELECT count(*) FROM own WHERE own.s = a.s) / (SELECT count(*) FROM own), 6) AS fraction
+FROM (SELECT 0 AS s, * FROM a1 UNION ALL SELECT 1, * FROM a2) a""")
 def snippet_table(spark: SparkSession, sf: str) -> DataFrame:
     found, _, _ = snippets.snippets(S.hourly_events(spark, sf), 48, 2)
     return found.withColumns({"area": F.round("area", 6), "fraction": F.round("fraction", 6)})
 
 
-@query("snippet_regimes")
+@query("snippet_regimes", f"""WITH {_SNIPPETS}, islands AS (SELECT i, s, i - row_number() OVER (PARTITION BY s ORDER BY i) AS g FROM own)
+SELECT 'hourly' AS series_id, s AS snippet, min(i)::BIGINT AS start, (max(i) + 1)::BIGINT AS stop FROM islands GROUP BY s, g""")
 def snippet_regimes(spark: SparkSession, sf: str) -> DataFrame:
     return snippets.snippets(S.hourly_events(spark, sf), 48, 2)[2]
 
@@ -457,6 +481,11 @@ def extended_profile(spark: SparkSession, sf: str) -> DataFrame:
     return approximate.extended_profile(S.hourly_events(spark, sf), 12).withColumn("d", F.round("d", 6))
 
 
+@query("anytime_profile_all", _EXACT)
+def anytime_profile_all(spark: SparkSession, sf: str) -> DataFrame:
+    return approximate.anytime_profile(S.hourly_events(spark, sf), 12, 0.25, updates=4).select("series_id", "i", F.round("d", 6).alias("d"), "j")
+
+
 # Streams: every user's events as a series
 
 

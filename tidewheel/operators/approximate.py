@@ -150,3 +150,12 @@ def extended_profile(series: DataFrame, m: int, s: int | None = None, metric: Me
     both = carried.select("series_id", "i", "d", "j").unionAll(carried.select("series_id", F.col("j").alias("i"), "d", F.col("i").alias("j"))).unionAll(base.where("j IS NOT NULL").select("series_id", "i", "d", "j"))
     best = both.groupBy("series_id", "i").agg(F.min(F.struct("d", "j")).alias("n"))
     return base.select("series_id", "i").join(best, ["series_id", "i"], "left").select("series_id", "i", F.col("n.d").alias("d"), F.col("n.j").alias("j"))
+
+
+def anytime_profile(series: DataFrame, m: int, percentage: float = 0.01, updates: int = 1, s: int | None = None, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0) -> DataFrame:
+    """series_id, i, d, j: the extended profile of every s-th window, refined by sampled diagonals."""
+    start = extended_profile(series, m, s, metric, settings)
+    sample = sampled_profile(series, m, percentage, updates, metric=metric, settings=settings, seed=seed).select("series_id", "i", F.get("nn", F.lit(0)).alias("n")).select("series_id", "i", F.col("n.d").alias("d"), F.col("n.j").alias("j"))
+    entry = F.when(F.col("j").isNotNull(), F.struct(F.round("d", kernel.DIGITS).alias("q"), "j", "d"))
+    best = start.unionAll(sample).groupBy("series_id", "i").agg(F.min(entry).alias("n"))
+    return best.select("series_id", "i", F.col("n.d").alias("d"), F.col("n.j").alias("j"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators.approximate import sampled_profile
+from tidewheel.operators.approximate import anytime_profile
 from tidewheel.operators.profile import nearest, self_join
 from tidewheel.runtime import cut
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings, largest_window
@@ -40,13 +40,14 @@ def window_sizes(n: int, low: int = 3, high: int | None = None, step: int = 1) -
 def pan_profile(series: DataFrame, low: int = 3, high: int | None = None, step: int = 1, updates: int | None = None, percentage: float = 1.0, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0) -> DataFrame:
     """series_id, m, turn, i, d: the profile of each window size processed so far (``updates`` of them, all by default).
 
-    One series. ``percentage`` below 1 samples diagonals of each profile.
+    One series. With ``percentage`` below 1 each profile is extended from every s-th window and refined by that share
+    of the diagonals.
     """
     n = series.agg((F.max("idx") + 1).alias("n")).first()["n"]
     out = None
     for turn, m in enumerate(window_sizes(n, low, high, step)[:updates]):
-        p = self_join(series, m, metric=metric, settings=settings) if percentage >= 1 else sampled_profile(series, m, percentage, metric=metric, settings=settings, seed=seed)
-        one = nearest(p).select("series_id", F.lit(m).alias("m"), F.lit(turn).alias("turn"), "i", "d")
+        p = nearest(self_join(series, m, metric=metric, settings=settings)) if percentage >= 1 else anytime_profile(series, m, percentage, metric=metric, settings=settings, seed=seed)
+        one = p.select("series_id", F.lit(m).alias("m"), F.lit(turn).alias("turn"), "i", "d")
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -77,10 +78,8 @@ def pan_matrix(pan: DataFrame, sizes: list[int], n: int, threshold: float = 0.2,
     cells = cut(cells)
     done = sorted(r["m"] for r in cells.select("m").distinct().collect())  # window sizes: a driver-side parameter list
     shows = [(m, next((x for x in done if x >= m), None)) for m in sorted(sizes)]
-    table = cells.sparkSession.createDataFrame(shows, "m int, source int")
     top = cells.groupBy("series_id").agg(F.max("d").alias("top"))
     grid = top.select("series_id", "top", F.explode(F.expr(f"sequence(0L, {n}L - 1)")).alias("i")).select("*", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(x).cast("int").alias("source")) for m, x in shows])).alias("x")).select("series_id", "top", "i", "x.m", "x.source")
-    del table
     return grid.join(cells.select("series_id", F.col("m").alias("source"), "i", "d"), ["series_id", "source", "i"], "left").select("series_id", "m", "i", F.coalesce("d", "top").alias("value"))
 
 
