@@ -66,6 +66,12 @@ def test_lines(docs):
     assert lines.drop_lines(docs.where("false")).count() == 0
 
 
+def test_lines_of_one_id_with_two_texts(spark):
+    line = "a line of words that is long enough"
+    df = spark.createDataFrame([(1, f"{line}\nshort\n{line}s"), (1, "other"), (2, f"{line[:-1]}x")], "doc_id long, text string")
+    assert sorted(r["text"] for r in lines.dedup_lines(df).collect()) == sorted([f"{line}\nshort", "other", ""])
+
+
 def test_minhash(docs):
     rows = by_id(minhash.near_duplicates(docs))
     assert [rows[i]["n_shingles"] for i in (2, 3, 4)] == [0, 0, 0] and all(rows[i]["kept"] for i in (1, 2, 3, 4, 5, 7, None))

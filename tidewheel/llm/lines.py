@@ -15,9 +15,9 @@ occurrences are taken out of their texts. Lines shorter than ``min_chars`` are l
    ``BLOCK`` lines): segment index again, then banded bit-parallel edit distance, and only across lines that aren't
    connected yet.
 
-Edge cases: null and empty texts and blank lines stay as they are; rows without doc_id pass unchanged; repeated rows
-of one doc_id count as one document; a document that loses every line that isn't blank goes in ``drop_lines``; extra
-columns are kept.
+Edge cases: null and empty texts and blank lines stay as they are; rows without doc_id pass unchanged; rows of one
+doc_id are taken for copies of one document; a document that loses every line that isn't blank goes in ``drop_lines``;
+extra columns are kept.
 """
 
 from __future__ import annotations
@@ -295,6 +295,13 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def line_hash(line: str) -> int:
+    """The first hash of a line's identity."""
+    data = np.frombuffer(line.encode(), np.uint8)
+    own = Lines(data, np.array([0, len(data)], np.int64), 0)
+    return int(textvec.spans(own.prefix(_ODD1), own.start, own.start + own.size).view(np.int64)[0])
+
+
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, wanted) to (h1, line)."""
     for batch in batches:
@@ -302,8 +309,10 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, wanted in zip(batch.column(1), batch.column(2), strict=True):
             own = text.as_py().split("\n")
             for w in wanted.as_py():
-                h.append(w["h1"])
-                lines.append(own[w["pos"]])
+                # rows of one doc_id may hold other texts
+                if w["pos"] < len(own) and line_hash(own[w["pos"]]) == w["h1"]:
+                    h.append(w["h1"])
+                    lines.append(own[w["pos"]])
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(lines, pa.string())], names=["h1", "line"])
 
 
