@@ -25,8 +25,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from tidewheel.runtime import ship, table
 
-#: Pretokens kept with their ids in a worker.
-CACHE = 400_000
+#: Pretokens of a generation, of two kept with their ids in a worker.
+CACHE = 450_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -133,9 +133,20 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.cache = cache
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def learn(self, pretokens: set[str]) -> None:
-        new = [w for w in pretokens if w not in self.known]
+        if len(self.known) > self.cache:
+            # two generations: what is met again moves on, the rest goes with the next turn
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in pretokens:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             for w, ids in zip(part, merge_replay([w.encode() for w in part], self.ranks), strict=True):
@@ -143,8 +154,6 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text."""
-        if len(self.known) > self.cache:
-            self.known.clear()
         split = [self.find(t) for t in texts]
         self.learn({w for s in split for w in s})
         known = self.known
