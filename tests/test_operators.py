@@ -197,3 +197,37 @@ def test_recipes(spark):
     top = p.agg(F.max("d")).first()[0]
     rows = compare.annotate(p, av).join(p.withColumnRenamed("d", "old"), ["series_id", "i"]).join(av, ["series_id", "i"]).collect()
     assert all(abs(r["d"] - (r["old"] + (1 - r["av"]) * top)) < 1e-9 for r in rows)
+
+
+def test_sampled_topk_equals_join(spark):
+    s = S.from_values(spark, np.random.default_rng(11).uniform(size=50).tolist())
+    rows = lambda p: [(r["i"], r["rank"], r["j"]) for r in P.flat(p).orderBy("i", "rank").collect()]
+    assert rows(approximate.sampled_profile(s, 5, 0.5, updates=2, k=3, settings=SMALL)) == rows(P.self_join(s, 5, k=3))
+
+
+def test_anytime_profile_only_improves(spark):
+    x = np.random.default_rng(12).uniform(size=60).tolist()
+    s = S.from_values(spark, x)
+    best = oracle.nearest(oracle.self_matrix(x, 5, 2))[0]
+    start = [r["d"] for r in approximate.extended_profile(s, 5, settings=SMALL).orderBy("i").collect()]
+    both = [r["d"] for r in approximate.anytime_profile(s, 5, 0.25, settings=SMALL).orderBy("i").collect()]
+    assert all(b - 1e-9 <= y <= x + 1e-9 for b, y, x in zip(best, both, start, strict=True))
+
+
+def test_streams_equal_batch(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.uniform(size=40).tolist(), "b": rng.uniform(size=30).tolist()}
+    rows = [(s, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", v) for s, vs in values.items() for i, v in enumerate(vs)]
+    points = spark.createDataFrame(rows, "series_id string, t string, value double").select("series_id", F.to_timestamp("t").alias("ts"), "value")
+    for part in (points.where("ts < '2024-01-01 00:00:20'"), points.where("ts >= '2024-01-01 00:00:20'")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = incremental.profile_stream(source, 5, 1000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {(r["series_id"], r["i"]): (r["d"], r["j"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    for name, vs in values.items():
+        left = kernel.self_profile(np.array(vs), 5, ZNORM, 2).left
+        for (s, i), (d, j) in got.items():
+            if s == name:
+                assert (j is None and left.j[i, 0] < 0) or (j == left.j[i, 0] and abs(d - left.d[i, 0]) < 1e-9)
+    assert len(got) >= 60 - 8
