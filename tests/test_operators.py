@@ -148,8 +148,10 @@ def test_sampled_profiles(spark):
     other = S.from_values(spark, {"o": x[:40]})
     ab = P.nearest(approximate.sampled_profile(s, 5, 0.5, updates=2, other=other, settings=SMALL)).orderBy("i").collect()
     assert np.allclose([r["d"] for r in ab], oracle.matrix(x, x[:40], 5).min(axis=1))
-    whole = approximate.extended_profile(s, 5, 1, settings=SMALL).orderBy("i").collect()
+    whole = P.nearest(approximate.extended_profile(s, 5, 1, settings=SMALL)).orderBy("i").collect()
     assert np.allclose([r["d"] for r in whole], want[0])
+    rows = lambda p: [(r["i"], r["rank"], r["j"]) for r in P.flat(p).orderBy("i", "rank").collect()]
+    assert rows(approximate.extended_profile(s, 5, 1, k=3, settings=SMALL)) == rows(P.self_join(s, 5, k=3))
 
 
 def test_pan(spark):
@@ -209,8 +211,8 @@ def test_anytime_profile_only_improves(spark):
     x = np.random.default_rng(12).uniform(size=60).tolist()
     s = S.from_values(spark, x)
     best = oracle.nearest(oracle.self_matrix(x, 5, 2))[0]
-    start = [r["d"] for r in approximate.extended_profile(s, 5, settings=SMALL).orderBy("i").collect()]
-    both = [r["d"] for r in approximate.anytime_profile(s, 5, 0.25, settings=SMALL).orderBy("i").collect()]
+    start = [r["d"] for r in P.nearest(approximate.extended_profile(s, 5, settings=SMALL)).orderBy("i").collect()]
+    both = [r["d"] for r in P.nearest(approximate.anytime_profile(s, 5, 0.25, settings=SMALL)).orderBy("i").collect()]
     assert all(b - 1e-9 <= y <= x + 1e-9 for b, y, x in zip(best, both, start, strict=True))
 
 

@@ -478,12 +478,12 @@ offered AS (SELECT pairs.i, pairs.j, d FROM pairs WHERE i % 3 = 0 OR j % 3 = 0 U
 
 @query("extended_profile", f"WITH {_SEEDS} SELECT 'hourly' AS series_id, i::BIGINT AS i, round(min(d), 6) AS d, min(struct_pack(d := round(d, 9), j := j)).j::BIGINT AS j FROM offered GROUP BY i")
 def extended_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return approximate.extended_profile(S.hourly_events(spark, sf), 12).withColumn("d", F.round("d", 6))
+    return _flat_rows(approximate.extended_profile(S.hourly_events(spark, sf), 12))
 
 
 @query("anytime_profile_all", _EXACT)
 def anytime_profile_all(spark: SparkSession, sf: str) -> DataFrame:
-    return approximate.anytime_profile(S.hourly_events(spark, sf), 12, 0.25, updates=4).select("series_id", "i", F.round("d", 6).alias("d"), "j")
+    return _flat_rows(approximate.anytime_profile(S.hourly_events(spark, sf), 12, 0.25, updates=4))
 
 
 # Streams: every user's events as a series

@@ -92,7 +92,7 @@ def sampled_profile(series: DataFrame, m: int, percentage: float = 0.01, updates
     return out.drop("other_id") if other is None else out.select("series_id", "other_id", "i", "nn")
 
 
-def _sampled_rows(m: int, block: int, metric: Metric, zone: int, s: int):
+def _sampled_rows(m: int, block: int, metric: Metric, zone: int, s: int, k: int):
     """Whole profiles of every s-th window: offered to it, and to all windows it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,14 +103,13 @@ def _sampled_rows(m: int, block: int, metric: Metric, zone: int, s: int):
                 b = a if ia == ib else kernel.prepare(tiles._array(batch.column(6), r), m, metric, ib * block)
                 for x, y in ((a, b), (b, a)) if ia != ib else ((a, b),):
                     at = np.flatnonzero((x.lo + np.arange(len(x))) % s == 0)
-                    own, others = kernel.Found.of(len(x), 1), kernel.Found.of(len(y), 1)
+                    own, others = kernel.Found.of(len(x), k), kernel.Found.of(len(y), k)
                     for i in at.tolist():
                         j = np.arange(len(y))
                         d = kernel.exact(x, y, np.full(len(y), i), j)
                         d[np.abs(j + y.lo - (i + x.lo)) <= zone] = np.inf
-                        if np.isfinite(d).any():
-                            best = int(d.argmin())
-                            own.near.offer(slice(i, i + 1), np.array([[d[best]]]), np.array([[best + y.lo]]))
+                        best = np.argsort(np.round(d, kernel.DIGITS), kind="stable")[:k]
+                        own.near.offer(slice(i, i + 1), d[best][None, :], np.where(np.isfinite(d[best]), best + y.lo, -1)[None, :])
                         others.near.offer(slice(0, len(y)), d[:, None], np.where(np.isfinite(d), i + x.lo, -1)[:, None])
                     yield tiles._emit(sid, oid, x.lo, own)
                     yield tiles._emit(sid, oid, y.lo, others)
@@ -118,8 +117,8 @@ def _sampled_rows(m: int, block: int, metric: Metric, zone: int, s: int):
     return run
 
 
-def extended_profile(series: DataFrame, m: int, s: int | None = None, metric: Metric = ZNORM, settings: Settings = DEFAULT) -> DataFrame:
-    """series_id, i, d, j: every s-th window's exact neighbour, carried s - 1 steps along its diagonal both ways.
+def extended_profile(series: DataFrame, m: int, s: int | None = None, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT) -> DataFrame:
+    """series_id, i, nn: every s-th window's exact k nearest, the nearest carried s - 1 steps along its diagonal both ways.
 
     The carried pairs are (i + g, j + g): an explode and two equi-joins with the windows.
     """
@@ -136,26 +135,33 @@ def extended_profile(series: DataFrame, m: int, s: int | None = None, metric: Me
         .select("series_id", "other_id", "a", "b", "va", "ca", "vb", "cb")
     )
     tasks = max(1, min(plan.count, 2 * spark.sparkContext.defaultParallelism + plan.count // 16))
-    found = cut(tiles.merge_profiles(rows.repartition(tasks).mapInArrow(_sampled_rows(m, block, metric, zone, s), tiles.PROFILE), 1))
-    base = found.select("series_id", "i", F.get("nn", F.lit(0)).alias("n")).select("series_id", "i", F.col("n.d").alias("d"), F.col("n.j").alias("j"))
-    seeds = base.where((F.col("i") % s == 0) & F.col("j").isNotNull())
+    found = cut(tiles.merge_profiles(rows.repartition(tasks).mapInArrow(_sampled_rows(m, block, metric, zone, s, k), tiles.PROFILE), k)).select("series_id", "i", "nn")
     steps = [g for g in range(-(s - 1), s) if g]
     if not steps:
-        return base
+        return found
+    seeds = found.where((F.col("i") % s == 0) & (F.size("nn") > 0)).select("series_id", "i", F.get("nn", F.lit(0))["j"].alias("j"))
     moved = seeds.select("series_id", "i", "j", F.explode(F.array(*map(F.lit, steps))).alias("g")).select("series_id", (F.col("i") + F.col("g")).alias("i"), (F.col("j") + F.col("g")).alias("j"))
     w = ready(series, m, metric)
     x = w.select("series_id", "i", F.struct(*w.columns).alias("x"))
     y = w.select("series_id", F.col("i").alias("j"), F.struct(*w.columns).alias("y"))
     carried = moved.join(x, ["series_id", "i"]).join(y, ["series_id", "j"]).select("series_id", "i", "j", distance(metric, m).alias("d")).where("d IS NOT NULL")
-    both = carried.select("series_id", "i", "d", "j").unionAll(carried.select("series_id", F.col("j").alias("i"), "d", F.col("i").alias("j"))).unionAll(base.where("j IS NOT NULL").select("series_id", "i", "d", "j"))
-    best = both.groupBy("series_id", "i").agg(F.min(F.struct("d", "j")).alias("n"))
-    return base.select("series_id", "i").join(best, ["series_id", "i"], "left").select("series_id", "i", F.col("n.d").alias("d"), F.col("n.j").alias("j"))
-
-
-def anytime_profile(series: DataFrame, m: int, percentage: float = 0.01, updates: int = 1, s: int | None = None, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0) -> DataFrame:
-    """series_id, i, d, j: the extended profile of every s-th window, refined by sampled diagonals."""
-    start = extended_profile(series, m, s, metric, settings)
-    sample = sampled_profile(series, m, percentage, updates, metric=metric, settings=settings, seed=seed).select("series_id", "i", F.get("nn", F.lit(0)).alias("n")).select("series_id", "i", F.col("n.d").alias("d"), F.col("n.j").alias("j"))
-    entry = F.when(F.col("j").isNotNull(), F.struct(F.round("d", kernel.DIGITS).alias("q"), "j", "d"))
-    best = start.unionAll(sample).groupBy("series_id", "i").agg(F.min(entry).alias("n"))
-    return best.select("series_id", "i", F.col("n.d").alias("d"), F.col("n.j").alias("j"))
+    both = carried.select("series_id", "i", "d", "j").unionAll(carried.select("series_id", F.col("j").alias("i"), "d", F.col("i").alias("j")))
+    return _nearest_of(found, both, k)
+
+
+def _nearest_of(profile: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each window, of its own and those that (series_id, i, d, j) offers."""
+    own = profile.select("series_id", "i", F.explode("nn").alias("n")).select("series_id", "i", "n.d", "n.j")
+    each = own.unionAll(pairs.select("series_id", "i", "d", "j")).groupBy("series_id", "i", "j").agg(F.min("d").alias("d"))
+    entry = F.struct(F.round("d", kernel.DIGITS).alias("q"), "j", "d")
+    best = F.array(F.min(entry)) if k == 1 else F.slice(F.array_sort(F.collect_list(entry)), 1, k)
+    nn = each.groupBy("series_id", "i").agg(F.transform(best, lambda n: F.struct(n["d"].alias("d"), n["j"].alias("j"))).alias("nn"))
+    none = F.expr("CAST(array() AS array<struct<d:double,j:bigint>>)")
+    return profile.select("series_id", "i").join(nn, ["series_id", "i"], "left").select("series_id", "i", F.coalesce("nn", none).alias("nn"))
+
+
+def anytime_profile(series: DataFrame, m: int, percentage: float = 0.01, updates: int = 1, s: int | None = None, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0) -> DataFrame:
+    """series_id, i, nn: the extended profile of every s-th window, refined by sampled diagonals."""
+    sample = sampled_profile(series, m, percentage, updates, k=k, metric=metric, settings=settings, seed=seed)
+    pairs = sample.select("series_id", "i", F.explode("nn").alias("n")).select("series_id", "i", "n.d", "n.j")
+    return _nearest_of(extended_profile(series, m, s, k, metric, settings), pairs, k)

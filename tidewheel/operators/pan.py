@@ -46,8 +46,8 @@ def pan_profile(series: DataFrame, low: int = 3, high: int | None = None, step:
     n = series.agg((F.max("idx") + 1).alias("n")).first()["n"]
     out = None
     for turn, m in enumerate(window_sizes(n, low, high, step)[:updates]):
-        p = nearest(self_join(series, m, metric=metric, settings=settings)) if percentage >= 1 else anytime_profile(series, m, percentage, metric=metric, settings=settings, seed=seed)
-        one = p.select("series_id", F.lit(m).alias("m"), F.lit(turn).alias("turn"), "i", "d")
+        p = self_join(series, m, metric=metric, settings=settings) if percentage >= 1 else anytime_profile(series, m, percentage, metric=metric, settings=settings, seed=seed)
+        one = nearest(p).select("series_id", F.lit(m).alias("m"), F.lit(turn).alias("turn"), "i", "d")
         out = one if out is None else out.unionAll(one)
     return out
 
