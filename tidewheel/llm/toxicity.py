@@ -22,7 +22,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -49,8 +49,8 @@ POSITIVE = 2.0
 #: Zero words that a text's mean includes.
 PAD = 20.0
 THRESHOLD = 0.3
-#: Words kept with their number in a worker.
-CACHE = 200_000
+#: Words of a generation, of two kept with their numbers in a worker.
+CACHE = 250_000
 
 _find = regex.compile(r"[\p{L}\p{N}]+").findall
 
@@ -73,12 +73,26 @@ def tokens(text: str | None) -> list[str]:
 class Model:
     numbers: np.ndarray  # of each bucket
     bias: float
-    #: Words seen and their numbers; a worker keeps it from task to task.
+    #: Words seen and their numbers, in two generations; a worker keeps them from task to task.
     known: dict[str, float] = field(default_factory=dict)
+    older: dict[str, float] = field(default_factory=dict)
 
     def word(self, word: str) -> float:
         return float(self.numbers[grams(word)].mean())
 
+    def unknown(self, words: Iterable[str]) -> list[str]:
+        """Words without a number yet. A full generation becomes the older one; what is met again moves on."""
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        return new
+
     def score(self, text: str | None) -> float:
         """Of one text, plainly."""
         words = Counter(tokens(text))
@@ -165,23 +179,22 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """Rows with the column ``name``: the probability of label 1."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model.numbers, model.bias))  # of a fixed size
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, bias, known = shared.value.numbers, shared.value.bias, shared.value.known
+        own: Model = shared.value
+        numbers, bias = own.numbers, own.bias
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for i, t in enumerate(batch.column(place)):
                 words = Counter(tokens(t.as_py()))
                 if not words:
                     continue
-                new = [w for w in words if w not in known]
+                new = own.unknown(words)
+                known = own.known
                 if new:
-                    if len(known) > CACHE:
-                        known.clear()
-                        new = list(words)
                     # all grams of the new words at once
                     lists = [grams(w) for w in new]
                     n = np.array([len(x) for x in lists])
