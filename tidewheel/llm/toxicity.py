@@ -50,7 +50,7 @@ POSITIVE = 2.0
 PAD = 20.0
 THRESHOLD = 0.3
 #: Words of a generation, of two kept with their numbers in a worker.
-CACHE = 250_000
+CACHE = 100_000
 
 _find = regex.compile(r"[\p{L}\p{N}]+").findall
 
