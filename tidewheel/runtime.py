@@ -12,14 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+#: Rows of an Arrow batch at most: batches of long texts are copied on both sides of the worker's pipe.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors.
+    """Make this package importable on the executors, and keep Arrow batches small.
 
-    Nothing happens where the repository is on ``PYTHONPATH`` or the driver runs inside it; otherwise the
+    For imports nothing happens where the repository is on ``PYTHONPATH`` or the driver runs inside it; otherwise the
     package is zipped once per application and distributed with ``addPyFile``.
     """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     on_path = str(ROOT) in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
     if app in _shipped or on_path or Path.cwd() == ROOT or "site-packages" in str(ROOT):
