@@ -127,6 +127,18 @@ def test_line_dedup_brute_force(spark, edits, monkeypatch):
         assert got == {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in drop) for i, t in enumerate(docs)}
 
 
+def test_short_lines_are_linked_if_equal(spark, tmp_path, sf_dir):
+    import corpus_pipeline
+
+    docs = [(1, "Les.\n \nWh the.\nWh the.", "x", "y", 20), (2, "Les.\nLea.\n \nown words", "x", "y", 20), (3, "Les.\n  ", "x", "y", 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {1: "Les.\n \nWh the.", 2: "Lea.\n \nown words"}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, df, sf_dir).collect()} == want
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: (r["n_dropped"], r["n_near"], r["text_sha256"]) for r in lines.op1_lines(spark, str(tmp_path)).collect()}
+    assert rows == {i: (1, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in (want | {3: "  "}).items()}
+
+
 def test_edit_distance_bound():
     rng = random.Random(3)
     for _ in range(3000):

@@ -2,7 +2,8 @@
 
 Lines are linked if they are equal or at most ``max_edits`` edits (inserted, deleted or replaced code points) apart. Of
 each component of linked lines the first occurrence in the corpus (smallest document, then position) stays; all other
-occurrences are taken out of their texts. Lines shorter than ``min_chars`` are left alone.
+occurrences are taken out of their texts. The edit join needs ``min_chars`` characters, equality ``exact_chars`` ones;
+lines shorter than ``min_chars`` have no near ones, and stay where they are blank.
 
 1. One pass over whole texts gives each line's 128-bit identity and, once a chunk for repeated lines, its join keys: the
    hashes of its ``max_edits`` + 1 segments under its own length, and of the substrings that a line of up to ``max_edits``
@@ -37,10 +38,13 @@ from tidewheel.runtime import cut, ship, table
 
 MAX_EDITS = 1
 MIN_CHARS = 20
+#: Equal lines need no length: the query and the pipeline link them from one character on.
+EXACT_CHARS = 1
 BLOCK = 2048
 #: Bits of the document bitmap (a fixed 2 MB); more documents only let more rows through to the exact join.
 BITMAP = 1 << 24
 _U = np.uint64
+_BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 _ODD1, _ODD2 = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 
 
@@ -63,7 +67,7 @@ def selections(edits: int) -> Iterator[tuple[int, int, int]]:
 class Lines:
     """Lines of a chunk of rows as ranges of code points."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_chars: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_chars: int, exact_chars: int | None = None):
         text = data.tobytes().decode("utf-8", "replace")
         self.points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         # bytes that begin a code point number the points
@@ -83,6 +87,9 @@ class Lines:
         inner[last] = False
         end[last], end[inner] = rows[1:], breaks
         good = end - start >= min_chars
+        if exact_chars is not None and exact_chars < min_chars:
+            solid = np.concatenate([[0], np.cumsum(~np.isin(self.points, _BLANK))])
+            good |= (end - start >= exact_chars) & (solid[end] > solid[start])
         self.row, self.pos = row[good], (np.arange(len(row)) - first[row])[good]
         self.start, self.size = start[good], (end - start)[good]
 
@@ -119,11 +126,11 @@ class Lines:
 _LINES = StructType([StructField("doc_id", LongType()), StructField("pos", IntegerType()), StructField("h1", LongType()), StructField("h2", LongType()), StructField("keys", ArrayType(LongType()))])
 
 
-def _scan(edits: int, min_chars: int):
+def _scan(edits: int, min_chars: int, exact_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in textvec.chunks(batch.column(1)):
-                own = Lines(data, offsets, min_chars)
+                own = Lines(data, offsets, min_chars, exact_chars)
                 if not len(own.row):
                     continue
                 total = own.prefix(_ODD1)
@@ -316,12 +323,12 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(lines, pa.string())], names=["h1", "line"])
 
 
-def repeated(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """doc_id and drops: positions of the lines to take out, with near (whether the first is another text)."""
     spark = docs.sparkSession
     ship(spark)
     given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = cut(given.mapInArrow(_scan(max_edits, min_chars), _LINES))
+    lines = cut(given.mapInArrow(_scan(max_edits, min_chars, min_chars if exact_chars is None else exact_chars), _LINES))
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
 
     keys = lines.where("size(keys) > 0").select(F.explode("keys").alias("key"), "h1").select(F.shiftright("key", 1).alias("bucket"), "key", "h1")
@@ -350,10 +357,10 @@ def repeated(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_C
     return drops.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "near")).alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, counts: tuple[str, str, str] = ("_lines", "_dropped", "_near")) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, counts: tuple[str, str, str] = ("_lines", "_dropped", "_near"), exact_chars: int | None = None) -> DataFrame:
     """Rows with their lines deduplicated in text, and three columns more: all lines, lines taken out, of these near ones."""
     key, gone_lines = textvec.fresh(docs.columns, "_key", "_drops")
-    drops = repeated(docs, max_edits, min_chars).select(F.col("doc_id").alias(key), F.col("drops").alias(gone_lines))
+    drops = repeated(docs, max_edits, min_chars, exact_chars).select(F.col("doc_id").alias(key), F.col("drops").alias(gone_lines))
     joined = docs.join(drops, F.col("doc_id") == F.col(key), "left").select(*docs.columns, gone_lines)
     schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in counts)])
     place = docs.columns.index("text")
@@ -376,16 +383,16 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     return joined.mapInArrow(run, schema)
 
 
-def drop_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """Documents with their lines deduplicated, without those that lost all; n_chars, if there, follows the text."""
     names = textvec.fresh(docs.columns, "_lines", "_dropped", "_near")
     dropped = F.col(names[1])
-    out = dedup_lines(docs, max_edits, min_chars, tuple(names)).where((dropped == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
+    out = dedup_lines(docs, max_edits, min_chars, tuple(names), exact_chars).where((dropped == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(dropped > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=EXACT_CHARS)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.col("_near").alias("n_near"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
