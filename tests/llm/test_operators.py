@@ -252,6 +252,20 @@ def test_contamination_kinds(spark):
     assert {r["doc_id"]: (r["kind"], r["items"]) for r in decontam.contamination(df, bench, limit=5).collect()} == got
 
 
+def contaminated(spark, item, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontam.contamination(df, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    return [r["kind"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_one_exchanged_name_near_an_end(spark):
+    item = "in the winter Karin sold more red apples than she had sold in summer"
+    words = [w for w in item.split() if w != "Karin"]
+    for at in range(1, 13):
+        own = " ".join(words[:at] + ["Karin"] + words[at:])
+        assert contaminated(spark, own, own.replace("Karin", "Petra"), own.replace("Karin", "nobody")) == ["template", None], own
+
+
 def test_planted_benchmark_passages(spark):
     docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
     bench = pd.read_parquet("/root/testdata/sf0.01/benchmark.parquet")

@@ -4,8 +4,9 @@ Texts become tokens (runs of letters, runs of digits). Numbers, the units after
 a sentence) have typed placeholders, and windows of ``WINDOW`` tokens are hash-joined twice: as they read, with numbers
 and units typed, and as templates, with names typed too. A document is contaminated by an item if the windows that both
 share along one alignment cover ``NEEDED`` windows of it (13 tokens by default) or all of a shorter item. In template
-matches at least five tokens of a window must be literal, and slots have to be consistent: equal values in the item
-stand against equal values in the document and different ones against different ones.
+matches windows of both sorts count together, at least five tokens of the whole span must be plain words, and slots have
+to be consistent: equal values in the item stand against equal values in the document and different ones against
+different ones.
 
 The benchmark side is held in blocks of at most ``BLOCK_TOKENS`` tokens (a larger benchmark is taken block by block, each
 against all documents), so what goes to the executors is bounded. Everything about a document is decided where its
@@ -146,7 +147,8 @@ class Index:
                     if which == "template":
                         plain = np.convolve(t.kind == WORD, np.ones(w, int), "valid")
                         named = np.convolve(t.kind == NAME, np.ones(w, int), "valid")
-                        good = (plain >= min(LITERAL, w - 1)) & (named > 0)
+                        # plain words are asked for over the whole span; a window without any finds nothing of its own
+                        good = (plain > 0) & (named > 0)
                     keys.append(hashes[good])
                     item.append(np.full(good.sum(), i))
                     pos.append(np.flatnonzero(good))
@@ -185,24 +187,40 @@ class Index:
                 return False
         return True
 
+    def together(self, tokens: Tokens, item: Tokens, row: int, shift: int, w: int) -> set[int]:
+        """Places of the item whose windows along one alignment are equal token by token, as they read or as templates."""
+        low, high = max(0, int(tokens.rows[row]) - shift), min(len(item.value), int(tokens.rows[row + 1]) - shift)
+        there = slice(low + shift, high + shift)
+        same = (item.literal[low:high] == tokens.literal[there]) | (item.template[low:high] == tokens.template[there])
+        return set((np.flatnonzero(np.convolve(same, np.ones(w, int), "valid") == w) + low).tolist()) if high - low >= w else set()
+
+    def plain(self, item: Tokens, places: set[int], w: int) -> bool:
+        """Whether the span at ``places`` has enough plain words."""
+        span = {p + k for p in places for k in range(w)}
+        return sum(item.kind[q] == WORD for q in span) >= min(LITERAL, w - 1)
+
     def judge(self, tokens: Tokens, needed: int) -> dict[int, dict[int, str]]:
         """Items by row, and whether the match is exact (as it reads) or by template."""
-        aligned: dict[tuple, set[int]] = {}
+        aligned: dict[tuple, dict[int, set[int]]] = {}
         for (w, which) in self.tables:
             for p, i, q in self.hits(tokens, w, which):
                 row = int(np.searchsorted(tokens.rows, p, "right")) - 1
-                aligned.setdefault((row, i, which, w, p - q), set()).add(q)
+                places = aligned.setdefault((row, i, w), {}).setdefault(p - q, set())
+                if which == "literal":
+                    places.add(q)
         found: dict[int, dict[int, str]] = {}
-        best: dict[tuple, set[int]] = {}
-        for (row, i, which, w, shift), places in aligned.items():
-            need = min(needed, len(self.items[i][1].value) - w + 1)
-            if which == "literal":
-                # an edit shifts what follows it: alignments add up
-                best.setdefault((row, i), set()).update(places)
-                if len(best[row, i]) >= need:
-                    found.setdefault(row, {})[i] = "exact"
-            elif len(places) >= need and found.get(row, {}).get(i) != "exact" and self.consistent(tokens, self.items[i][1], shift, places, w):
-                found.setdefault(row, {})[i] = "template"
+        for (row, i, w), shifts in aligned.items():
+            item = self.items[i][1]
+            need = min(needed, len(item.value) - w + 1)
+            # an edit shifts what follows it: alignments of literal windows add up
+            if len(set().union(*shifts.values())) >= need:
+                found.setdefault(row, {})[i] = "exact"
+                continue
+            for shift in shifts:
+                places = self.together(tokens, item, row, shift, w)
+                if len(places) >= need and self.plain(item, places, w) and self.consistent(tokens, item, shift, places, w):
+                    found.setdefault(row, {})[i] = "template"
+                    break
         return found
 
 
