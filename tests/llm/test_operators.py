@@ -266,6 +266,20 @@ def test_one_exchanged_name_near_an_end(spark):
         assert contaminated(spark, own, own.replace("Karin", "Petra"), own.replace("Karin", "nobody")) == ["template", None], own
 
 
+def test_slots_of_matches_as_they_read(spark):
+    sums = "to find what we have you add the numbers {} and {} then write the sum down"
+    texts = [sums.format(a, b) for a, b in ((7, 7), (5, 5), (5, 6))]
+    assert contaminated(spark, texts[0], *texts) == ["exact", "exact", None]
+    assert contaminated(spark, texts[2], *texts) == [None, None, "exact"]
+    row = " ".join(map(str, range(20, 33)))
+    assert contaminated(spark, row, f"so {row} it is", " ".join(map(str, range(60, 80)))) == ["exact", None]
+    assert contaminated(spark, "42", "there were 42 of them", "there were 43 of them", "none") == ["exact", None, None]
+    # what follows an edit still counts
+    long = "take the 3 eggs and the 4 apples from our table now then put 3 of the eggs back in here"
+    edited = long.replace("now", "right now")
+    assert contaminated(spark, long, edited.replace("3", "8"), edited.replace("put 3", "put 9")) == ["exact", None]
+
+
 def test_planted_benchmark_passages(spark):
     docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
     bench = pd.read_parquet("/root/testdata/sf0.01/benchmark.parquet")

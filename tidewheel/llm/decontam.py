@@ -4,9 +4,10 @@ Texts become tokens (runs of letters, runs of digits). Numbers, the units after
 a sentence) have typed placeholders, and windows of ``WINDOW`` tokens are hash-joined twice: as they read, with numbers
 and units typed, and as templates, with names typed too. A document is contaminated by an item if the windows that both
 share along one alignment cover ``NEEDED`` windows of it (13 tokens by default) or all of a shorter item. In template
-matches windows of both sorts count together, at least five tokens of the whole span must be plain words, and slots have
-to be consistent: equal values in the item stand against equal values in the document and different ones against
-different ones.
+matches windows of both sorts count together. In all matches at least five tokens of the whole span must be plain words
+(as it reads: words or names), and slots have to be consistent: equal values in the item stand against equal values in
+the document and different ones against different ones. Spans with fewer words, mostly slots, are compared by their raw
+values.
 
 The benchmark side is held in blocks of at most ``BLOCK_TOKENS`` tokens (a larger benchmark is taken block by block, each
 against all documents), so what goes to the executors is bounded. Everything about a document is decided where its
@@ -137,13 +138,15 @@ class Index:
         self.sizes = sorted({min(window, len(t.value)) for _, t in items if len(t.value)})
         self.tables = {}
         for w in self.sizes:
-            for which in ("literal", "template"):
+            for which in ("literal", "template", "value"):
                 keys, item, pos = [], [], []
                 for i, (_, t) in enumerate(items):
                     if min(window, len(t.value)) != w:
                         continue
                     hashes = t.windows(which, w)
-                    good = np.ones(len(hashes), bool)
+                    # windows of slots alone are looked up by their values
+                    worded = np.convolve((t.kind == WORD) | (t.kind == NAME), np.ones(w, int), "valid") > 0
+                    good = ~worded if which == "value" else worded
                     if which == "template":
                         plain = np.convolve(t.kind == WORD, np.ones(w, int), "valid")
                         named = np.convolve(t.kind == NAME, np.ones(w, int), "valid")
@@ -174,53 +177,72 @@ class Index:
             for k in range(a, b):
                 yield p, int(item[k]), int(pos[k])
 
-    def consistent(self, tokens: Tokens, item: Tokens, shift: int, places: set[int], w: int) -> bool:
-        """Whether the slots of the item's windows at ``places`` map one to one onto the document's."""
-        there: dict[tuple[int, int], int] = {}
-        back: dict[tuple[int, int], int] = {}
-        for q in sorted({p + k for p in places for k in range(w)}):
-            kind = int(item.kind[q])
-            if kind == WORD:
-                continue
-            a, b = int(item.value[q]), int(tokens.value[q + shift])
-            if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-                return False
-        return True
-
-    def together(self, tokens: Tokens, item: Tokens, row: int, shift: int, w: int) -> set[int]:
-        """Places of the item whose windows along one alignment are equal token by token, as they read or as templates."""
+    def slots(self, tokens: Tokens, item: Tokens, shift: int, places: set[int], w: int) -> set[tuple[int, int, int]]:
+        """(kind, value in the item, value in the document) of the slots in the item's windows at ``places``."""
+        span = {p + k for p in places for k in range(w)}
+        return {(int(item.kind[q]), int(item.value[q]), int(tokens.value[q + shift])) for q in span if item.kind[q] != WORD}
+
+    @staticmethod
+    def consistent(slots: set[tuple[int, int, int]]) -> bool:
+        """Whether slots map one to one."""
+        return len({(kind, a) for kind, a, _ in slots}) == len({(kind, b) for kind, _, b in slots}) == len(slots)
+
+    def together(self, tokens: Tokens, item: Tokens, row: int, shift: int, w: int) -> tuple[set[int], set[int], set[int]]:
+        """Places of the item whose windows along one alignment are equal token by token: by value, as they read, and as they read or as templates."""
         low, high = max(0, int(tokens.rows[row]) - shift), min(len(item.value), int(tokens.rows[row + 1]) - shift)
+        if high - low < w:
+            return set(), set(), set()
         there = slice(low + shift, high + shift)
-        same = (item.literal[low:high] == tokens.literal[there]) | (item.template[low:high] == tokens.template[there])
-        return set((np.flatnonzero(np.convolve(same, np.ones(w, int), "valid") == w) + low).tolist()) if high - low >= w else set()
-
-    def plain(self, item: Tokens, places: set[int], w: int) -> bool:
-        """Whether the span at ``places`` has enough plain words."""
+        value = item.value[low:high] == tokens.value[there]
+        literal = item.literal[low:high] == tokens.literal[there]
+        either = literal | (item.template[low:high] == tokens.template[there])
+        value, literal, either = (set((np.flatnonzero(np.convolve(x, np.ones(w, int), "valid") == w) + low).tolist()) for x in (value, literal, either))
+        return value, literal, either
+
+    def worded(self, item: Tokens, places: set[int], w: int, kinds: tuple[int, ...]) -> bool:
+        """Whether the span at ``places`` has enough tokens of these kinds."""
         span = {p + k for p in places for k in range(w)}
-        return sum(item.kind[q] == WORD for q in span) >= min(LITERAL, w - 1)
+        return sum(item.kind[q] in kinds for q in span) >= max(1, min(LITERAL, w - 1))
+
+    def exact(self, tokens: Tokens, item: Tokens, parts: list[tuple[int, set[int], set[int]]], w: int, need: int) -> bool:
+        """Whether alignments (shift, places by value, places as they read) add up: an edit shifts what follows it."""
+        if len(set().union(*(value for _, value, _ in parts))) >= need:
+            return True
+        own = []
+        for shift, value, literal in parts:
+            slots = self.slots(tokens, item, shift, literal, w)
+            if not self.consistent(slots):
+                literal, slots = value, self.slots(tokens, item, shift, value, w)
+            if literal:
+                own.append((literal, slots))
+        own.sort(key=lambda x: -len(x[0]))
+        if len(set().union(*(places for places, _ in own))) < need:
+            return False
+        # alignments that agree about the slots, around each of them in turn
+        for places, slots in own:
+            for others, more in own:
+                if len(places) < need and not others <= places and self.consistent(slots | more):
+                    places, slots = places | others, slots | more
+            if len(places) >= need and self.worded(item, places, w, (WORD, NAME)):
+                return True
+        return False
 
     def judge(self, tokens: Tokens, needed: int) -> dict[int, dict[int, str]]:
         """Items by row, and whether the match is exact (as it reads) or by template."""
-        aligned: dict[tuple, dict[int, set[int]]] = {}
+        aligned: dict[tuple, set[int]] = {}
         for (w, which) in self.tables:
             for p, i, q in self.hits(tokens, w, which):
                 row = int(np.searchsorted(tokens.rows, p, "right")) - 1
-                places = aligned.setdefault((row, i, w), {}).setdefault(p - q, set())
-                if which == "literal":
-                    places.add(q)
+                aligned.setdefault((row, i, w), set()).add(p - q)
         found: dict[int, dict[int, str]] = {}
         for (row, i, w), shifts in aligned.items():
             item = self.items[i][1]
             need = min(needed, len(item.value) - w + 1)
-            # an edit shifts what follows it: alignments of literal windows add up
-            if len(set().union(*shifts.values())) >= need:
+            parts = [(shift, *self.together(tokens, item, row, shift, w)) for shift in sorted(shifts)]
+            if self.exact(tokens, item, [p[:3] for p in parts], w, need):
                 found.setdefault(row, {})[i] = "exact"
-                continue
-            for shift in shifts:
-                places = self.together(tokens, item, row, shift, w)
-                if len(places) >= need and self.plain(item, places, w) and self.consistent(tokens, item, shift, places, w):
-                    found.setdefault(row, {})[i] = "template"
-                    break
+            elif any(len(x) >= need and self.worded(item, x, w, (WORD,)) and self.consistent(self.slots(tokens, item, shift, x, w)) for shift, _, _, x in parts):
+                found.setdefault(row, {})[i] = "template"
         return found
 
 
