@@ -309,6 +309,12 @@ def test_secret_spans(spark):
     assert all(rows[i]["n_example"] == 1 and rows[i]["n_live"] == 0 for i in (2, 3, 4))
 
 
+def test_a_value_in_many_repositories_of_few_owners(spark):
+    docs = [(i, "ghp_placeholderplaceholder00", f"owner {i % 2}") for i in range(200)] + [(1000 + i, "ghp_livelivelivelivelive01", "one") for i in range(3)]
+    rows = {r["doc_id"]: (r["spans"], r["n_live"], r["n_example"]) for r in secrets.secrets(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert {rows[i] for i in range(200)} == {("", 0, 1)} and {rows[1000 + i] for i in range(3)} == {("token:0:26", 1, 0)}
+
+
 def test_url_rules_and_templates(spark):
     pages = [(1, "http://x.example.com/en/7?q"), (2, "http://x.example.com/en/8"), (3, "http://shop.example.net/de/8"), (4, "http://com/en/"), (5, "http://notcom/en/1"), (6, "http://a.org/es/x")]
     pages += [(100 + i, f"http://bad.example.info/spam/{i}") for i in range(30)] + [(200 + i, f"http://good.example.info/post/word{i}x") for i in range(30)]

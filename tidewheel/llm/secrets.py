@@ -3,7 +3,8 @@
 Spans come from ``split`` and ``regexp_extract_all`` over the same pattern: the pieces outside and inside matches
 alternate, so their lengths in code points give every offset without a Python function. Each candidate value is then
 counted over the corpus: the distinct owners (``source``) and repositories (documents) that hold it. A value of many
-owners is an example that was copied; a value of one or two owners is live-looking.
+owners or many repositories is an example that was copied; one of few owners and few repositories is live-looking. The
+SQL oracle counts owners only: it says the same of values in at most ``MAX_REPOSITORIES`` repositories.
 
 Kinds, in this order: ``assign``, ``access`` and ``hex`` are the base; ``token`` (published prefixes of service
 tokens) is added by the method, outside base spans and only if its value is live-looking.
@@ -21,6 +22,8 @@ from tidewheel.runtime import cut, table
 
 #: A value of more owners than this is a copied example.
 MAX_OWNERS = 2
+#: A value in more repositories than this is one too, whoever owns them.
+MAX_REPOSITORIES = 10
 KINDS = ("assign", "access", "hex", "token")
 
 # The base patterns. {12,} and the like can't stand in for the length of ``assign``: a match that is
@@ -90,10 +93,10 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
 
 
-def secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, doc_id: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
+def secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, doc_id: str = "doc_id", text: str = "text", owner: str = "source", max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example of each row."""
     found = cut(scan(docs, doc_id, text, owner).withColumn("row", F.monotonically_increasing_id()))
-    counts = ownership(found).withColumn("live", F.col("owners") <= max_owners)
+    counts = ownership(found).withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     each = found.where("size(base) + size(more) > 0").select("row", F.explode(F.concat("base", "more")).alias("s"))
     judged = (
         each.withColumn("value", F.sha2(F.col("s.value"), 256))
