@@ -258,6 +258,16 @@ def contaminated(spark, item, *texts):
     return [r["kind"] for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
+def test_repeated_rows_under_many_blocks(spark):
+    first, second = "the quick brown fox jumps over the lazy dog every single morning", "a small boat sails along the river bank before the evening comes"
+    docs = [(1, first), (1, first), (1, second), (1, "clean"), (None, first), (None, "clean"), (2, f"{first}. {second}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(8, first), (9, second)], "item_id long, text string")
+    want = sorted([(1, "8"), (1, "8"), (1, "9"), (1, ""), (None, "8"), (None, ""), (2, "8,9")], key=str)
+    for limit in (5, decontam.BLOCK_TOKENS):
+        assert sorted([(r["doc_id"], r["items"]) for r in decontam.contamination(df, bench, limit=limit).collect()], key=str) == want
+
+
 def test_one_exchanged_name_near_an_end(spark):
     item = "in the winter Karin sold more red apples than she had sold in summer"
     words = [w for w in item.split() if w != "Karin"]

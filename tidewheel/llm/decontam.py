@@ -261,16 +261,19 @@ def blocks(benchmark: DataFrame, window: int, limit: int = BLOCK_TOKENS) -> Iter
         yield Index(held, window)
 
 
-def _judge(shared, needed: int):
+def _judge(shared, needed: int, keep: bool):
+    """Rows (doc_id, items, exact, text) with the items of one more block; ``keep``: with their text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
-            for first, end, data, offsets in textvec.chunks(batch.column(1)):
+            for first, end, data, offsets in textvec.chunks(batch.column(3)):
                 found = index.judge(Tokens(data, offsets), needed) if len(data) else {}
+                own = batch.slice(first, end - first)
                 of_row = [found.get(r, {}) for r in range(end - first)]
-                ids = [sorted(index.items[i][0] for i in f) for f in of_row]
-                exact = [any(v == "exact" for v in f.values()) for f in of_row]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(ids, pa.list_(pa.int64())), pa.array(exact)], names=["doc_id", "items", "exact"])
+                ids = [sorted([*x, *(index.items[i][0] for i in f)]) for x, f in zip(own.column(1).to_pylist(), of_row, strict=True)]
+                exact = [x or any(v == "exact" for v in f.values()) for x, f in zip(own.column(2).to_pylist(), of_row, strict=True)]
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(exact, pa.bool_()), *([own.column(3)] if keep else [])], names=own.schema.names[: 3 + keep])
 
     return run
 
@@ -279,17 +282,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     """doc_id, contaminated, n_items, items (ids, comma-joined), kind (exact, template or null) of each row."""
     spark = docs.sparkSession
     ship(spark)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [given.mapInArrow(_judge(spark.sparkContext.broadcast(x), needed), "doc_id long, items array<long>, exact boolean") for x in blocks(benchmark, window, limit)]
-    if not parts:
-        judged = given.select("doc_id", F.expr("CAST(array() AS array<long>)").alias("items"), F.lit(False).alias("exact"))
-    elif len(parts) == 1:
-        judged = parts[0]
-    else:
-        judged = parts[0]
-        for p in parts[1:]:
-            judged = judged.unionAll(p)
-        judged = judged.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.max("exact").alias("exact"))
+    judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("CAST(array() AS array<long>)").alias("items"), F.lit(False).alias("exact"), "text")
+    # one block after another over the same rows, so repeated rows stay apart
+    parts = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, window, limit)]
+    for k, part in enumerate(parts, 1):
+        keep = k < len(parts)
+        judged = judged.mapInArrow(_judge(part, needed, keep), "doc_id long, items array<long>, exact boolean" + ", text string" * keep)
     n = F.size("items").cast("long")
     return judged.select(
         "doc_id",
