@@ -1,30 +1,30 @@
-"""Session helpers: worker imports, checkpoints."""
+"""Session helpers: worker imports, tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import sys
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
-#: Rows of an Arrow batch at most: batches of long texts are copied on both sides of the worker's pipe.
-BATCH_ROWS = 1000
+#: Folders written by ``cut`` that nobody has removed yet, newest last.
+_written: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, and keep Arrow batches small.
+    """Make this package importable on the executors.
 
-    For imports nothing happens where the repository is on ``PYTHONPATH`` or the driver runs inside it; otherwise the
-    package is zipped once per application and distributed with ``addPyFile``.
+    Nothing happens where the repository is on ``PYTHONPATH`` or the driver runs inside it; otherwise the package is
+    zipped once per application and distributed with ``addPyFile``.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     on_path = str(ROOT) in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
     if app in _shipped or on_path or Path.cwd() == ROOT or "site-packages" in str(ROOT):
@@ -40,18 +40,51 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The application's folder below ``spark.checkpoint.dir``; where the session names none (tests), a temporary one."""
+    """The application's folder below ``spark.checkpoint.dir``.
+
+    Where the session names none, a local master gets a temporary folder; a cluster has no folder that all its machines
+    see, so that is an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewheel"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared folder and read it from there: its lineage ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that no later read needs."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def last_cut() -> str:
+    """The folder of the newest table, to be removed once a later table stands for it."""
+    return _written[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside are deleted at the end: for a caller that has written its result by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        remove(spark, *_written[before:])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
