@@ -70,6 +70,10 @@ def test_lines_of_one_id_with_two_texts(spark):
     line = "a line of words that is long enough"
     df = spark.createDataFrame([(1, f"{line}\nshort\n{line}s"), (1, "other"), (2, f"{line[:-1]}x")], "doc_id long, text string")
     assert sorted(r["text"] for r in lines.dedup_lines(df).collect()) == sorted([f"{line}\nshort", "other", ""])
+    # a line that occurs once in the corpus stays, whatever another row of the id loses at its place
+    once = "only one row of the corpus has this line"
+    df = spark.createDataFrame([(1, line), (2, f"{line}\nmore"), (2, f"{once}\nmore words of the other row")], "doc_id long, text string")
+    assert sorted(r["text"] for r in lines.dedup_lines(df).collect()) == sorted([line, "more", f"{once}\nmore words of the other row"])
 
 
 def test_minhash(docs):

@@ -98,9 +98,9 @@ def test_odd_sketch_estimates_high_similarities():
 # Lines
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_dedup_brute_force(spark, edits, monkeypatch):
-    rng = random.Random(edits)
+@pytest.mark.parametrize("tiers", [((20, 1),), ((20, 2),), ((20, 1), (24, 3)), ((20, 4),)])
+def test_line_dedup_brute_force(spark, tiers, monkeypatch):
+    rng = random.Random(len(tiers))
     pool = ["".join(rng.choice("ab é") for _ in range(rng.randrange(18, 30))) for _ in range(25)]
     docs = []
     for _ in range(40):
@@ -113,7 +113,7 @@ def test_line_dedup_brute_force(spark, edits, monkeypatch):
         docs.append("\n".join(own + rng.choice(([], [""], ["short"]))))
     places = [(i, p, x) for i, t in enumerate(docs) for p, x in enumerate(t.split("\n")) if len(x) >= 20]
     texts = sorted({x for _, _, x in places})
-    links = [(a, b) for a in range(len(texts)) for b in range(a) if lines._small(texts[a], texts[b]) <= edits]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if lines._small(texts[a], texts[b]) <= lines.allowed(min(len(texts[a]), len(texts[b])), tiers)]
     root = union(links, range(len(texts)))
     first: dict = {}
     for i, p, x in places:
@@ -123,7 +123,7 @@ def test_line_dedup_brute_force(spark, edits, monkeypatch):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     for block in (2048, 4):
         monkeypatch.setattr(lines, "BLOCK", block)
-        got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df, edits).collect()}
+        got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df, tiers).collect()}
         assert got == {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in drop) for i, t in enumerate(docs)}
 
 
@@ -139,6 +139,47 @@ def test_short_lines_are_linked_if_equal(spark, tmp_path, sf_dir):
     assert rows == {i: (1, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in (want | {3: "  "}).items()}
 
 
+def test_probes_meet_every_near_line():
+    """A line within the edits of another has one of its stored segments among its own probes."""
+    rng = random.Random(9)
+    tiers = ((12, 1), (24, 3), (36, 5))
+    import numpy as np
+
+    def keys(x):
+        data = np.frombuffer(x.encode(), np.uint8)
+        found, _ = lines.Lines(data, np.array([0, len(data)]), 12).keys(tiers)
+        return set(found.tolist())
+
+    for _ in range(3000):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randrange(12, 60)))
+        edits = lines.allowed(len(a), tiers)
+        b = list(a)
+        for _ in range(rng.randrange(edits + 1)):
+            at, kind = rng.randrange(len(b)), rng.randrange(3)
+            if kind == 0:
+                b[at] = rng.choice("abcd")
+            elif kind == 1:
+                b.insert(at, rng.choice("abcd"))
+            elif len(b) > 12:
+                del b[at]
+        b = "".join(b)
+        if lines._small(a, b) <= lines.allowed(min(len(a), len(b)), tiers):
+            short, long = sorted((a, b), key=len)
+            stored = {k for k in keys(short) if k % 2 == 0}
+            assert {k & ~1 for k in keys(long)} & stored, (a, b)
+
+
+def test_lines_that_a_weak_hash_confuses(spark):
+    one = ["a"]
+    for _ in range(10):
+        one += ["b" if c == "a" else "a" for c in one]
+    a = "".join(one)
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()} == {1: a, 2: b, 3: ""}
+    assert textvec.hash_word(a.encode()) != textvec.hash_word(b.encode())
+
+
 def test_edit_distance_bound():
     rng = random.Random(3)
     for _ in range(3000):

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -29,19 +30,19 @@ def plain_lines(docs):
     where: dict[str, list] = {}
     for i, t in docs.items():
         for p, x in enumerate(t.split("\n")):
-            if len(x) >= lines.MIN_CHARS:
+            if x.strip():
                 where.setdefault(x, []).append((i, p))
     texts = sorted(where, key=len)
+    letters = np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, minlength=64) for x in texts])
+    sizes = np.array([len(x) for x in texts])
     links = []
-    for a in range(len(texts)):
-        b = a + 1
-        while b < len(texts) and len(texts[b]) - len(texts[a]) <= lines.MAX_EDITS:
-            x, y = texts[a], texts[b]
-            same = sum(u == v for u, v in zip(x, y, strict=False))
-            # one edit leaves most characters in place from one end or the other
-            if (same > len(x) // 3 or sum(u == v for u, v in zip(x[::-1], y[::-1], strict=False)) > len(x) // 3) and lines._small(x, y) <= lines.MAX_EDITS:
-                links.append((a, b))
-            b += 1
+    for a, x in enumerate(texts):
+        edits = lines.allowed(len(x), lines.TIERS)
+        if edits:
+            end = int(np.searchsorted(sizes, len(x) + edits, "right"))
+            # an edit changes two letter counts by one at most
+            near = np.flatnonzero(np.abs(letters[a + 1 : end] - letters[a]).sum(axis=1) <= 2 * edits) + a + 1
+            links += [(a, b) for b in near.tolist() if lines._small(x, texts[b]) <= edits]
     root = components(len(texts), links)
     first: dict[int, tuple] = {}
     for n, x in enumerate(texts):

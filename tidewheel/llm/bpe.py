@@ -5,8 +5,13 @@ pair's rank to the positions that hold the pair; merges are applied in rank orde
 the touched neighbours get new entries. Words never interact, so the ids of a word are those that merging the word
 alone, lowest rank first and leftmost first, gives.
 
-Edge cases: null and empty texts have no tokens (and the digests of the empty string); a rank file must cover the
-256 single bytes.
+Pretokens never interact, so a replay over any set of them gives the same ids: each task replays the distinct pretokens
+of a run of texts that it hasn't seen, ``TOGETHER`` at a time under one index, and keeps their ids within ``CACHE``
+bytes until it ends. An index over the pretokens of the whole corpus would need one machine to hold them.
+
+Edge cases: null and empty texts have no tokens (and the digests of the empty string); repeated rows are encoded each;
+an empty table gives no rows; one very long text is a run of its own; extra columns are left out, or kept where ``keep``
+names them; merges of one rank within a word go from left to right; a rank file must cover the 256 single bytes.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from tidewheel.runtime import ship, table
+from tidewheel.llm.worker import Cache, ready, tidy
+from tidewheel.runtime import table
 
-#: Pretokens of a generation, of two kept with their ids in a worker.
-CACHE = 450_000
+#: Bytes of a generation of pretokens with their ids, of two that a task keeps.
+CACHE = 48 << 20
+#: Pretokens whose merges are replayed together.
+TOGETHER = 20_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -126,37 +135,25 @@ def merge_replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of the distinct pretokens seen."""
+    """Encodes texts; keeps the ids of the distinct pretokens of its task, within bounds."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
-        self.ranks = Ranks(ranks)
+    def __init__(self, ranks: Ranks, pattern: str, cache: int = CACHE):
+        self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.cache = cache
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, pretokens: set[str]) -> None:
-        if len(self.known) > self.cache:
-            # two generations: what is met again moves on, the rest goes with the next turn
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for w in pretokens:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
+        self.cache = Cache(cache)
+
+    def learn(self, pretokens: set[str]) -> dict[str, tuple[int, ...]]:
+        new = self.cache.missing(pretokens)
+        for a in range(0, len(new), TOGETHER):
+            part = new[a : a + TOGETHER]
             for w, ids in zip(part, merge_replay([w.encode() for w in part], self.ranks), strict=True):
-                self.known[w] = tuple(ids)
+                self.cache.put(w, tuple(ids), 8 * len(ids))
+        return self.cache.known
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text."""
         split = [self.find(t) for t in texts]
-        self.learn({w for s in split for w in s})
-        known = self.known
+        known = self.learn({w for s in split for w in s})
         for s in split:
             ids: list[int] = []
             for w in s:
@@ -180,34 +177,38 @@ def groups(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int,
         yield first, run
 
 
-def _encoder(vocabulary: str, pattern: str) -> Encoder:
-    """One encoder a Python worker: it is reused by later tasks."""
-    key = (vocabulary, pattern)
-    if key not in _encoders:
-        path = SparkFiles.get(vocabulary)
-        _encoders.clear()
-        _encoders[key] = Encoder(load_ranks(path), pattern)
-    return _encoders[key]
+#: Number tables of the last rank file that this worker used: of a fixed size.
+_ranks: dict[str, Ranks] = {}
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+def _encoder(shared: str, pattern: str) -> Encoder:
+    """An encoder for one task."""
+    if shared not in _ranks:
+        _ranks.clear()
+        _ranks[shared] = Ranks(load_ranks(SparkFiles.get(shared)))
+    return Encoder(_ranks[shared], pattern)
 
 
 def _share(spark: SparkSession, path: str) -> str:
-    """Send the rank file (a fixed, small table) to every executor; its name there."""
-    name = path.rsplit("/", 1)[-1]
+    """Send the rank file (a fixed, small table) to every executor under a name that its content gives."""
+    with open(path, "rb") as f:
+        data = f.read()
+    name = f"ranks-{hashlib.sha256(data).hexdigest()[:32]}"
     if name not in {f.rsplit("/", 1)[-1] for f in spark.sparkContext.listFiles}:
-        spark.sparkContext.addFile(path)
+        own = f"{tempfile.mkdtemp()}/{name}"  # the driver serves it from there
+        with open(own, "wb") as f:
+            f.write(data)
+        spark.sparkContext.addFile(own)
     return name
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ids array<int>, decoded binary of each row."""
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     name = _share(spark, path)
     given = docs.select(*keep, F.col(text).alias("_text"))
-    schema = StructType([*given.drop("_text").schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
+    schema = StructType([*given.schema.fields[:-1], StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, pattern)
@@ -221,16 +222,16 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
                     names=schema.names,
                 )
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidy(run), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens, ids_sha256, decoded_sha256, made beside the ids so that these needn't travel."""
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     name = _share(spark, path)
     given = docs.select(*keep, F.col(text).alias("_text"))
-    schema = StructType([*given.drop("_text").schema.fields, StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+    schema = StructType([*given.schema.fields[:-1], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, pattern)
@@ -246,7 +247,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep:
             own = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=schema.names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidy(run), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

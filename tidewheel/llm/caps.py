@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components
 from tidewheel.llm.minhash import runs
-from tidewheel.runtime import cut, ship, table
+from tidewheel.llm.worker import ready, tidy
+from tidewheel.runtime import cut, table
 
 DIRECTIONS = 64
 SPREAD = 5.0
@@ -147,7 +148,7 @@ def _link(cosine: float):
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row."""
-    ship(vectors.sparkSession)
+    ready(vectors.sparkSession)
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = given.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import textvec
-from tidewheel.runtime import ship, table
+from tidewheel.llm.worker import ready, tidy
+from tidewheel.runtime import table
 
 WINDOW = 8
 NEEDED = 6
@@ -81,7 +82,7 @@ class Tokens:
         if upper.any():
             folded = data.copy()
             folded[1:][upper] += 0x20
-        h = textvec.spans(textvec.prefix(folded, True), starts, ends)
+        h = textvec.hash_spans(folded, starts, ends)
         if glued.any():
             # the value of a number takes its continuations in
             group = np.cumsum(~glued) - 1
@@ -281,7 +282,7 @@ def _judge(shared, needed: int, keep: bool):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, needed: int = NEEDED, limit: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, contaminated, n_items, items (ids, comma-joined), kind (exact, template or null) of each row."""
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("CAST(array() AS array<long>)").alias("items"), F.lit(False).alias("exact"), "text")
     # one block after another over the same rows, so repeated rows stay apart
     parts = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, window, limit)]
@@ -302,7 +303,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """Documents that hold no benchmark item; columns as given."""
     columns = docs.columns
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     place = columns.index("text")
 
     def keep(shared):

@@ -1,29 +1,34 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are linked if they are equal or at most ``max_edits`` edits (inserted, deleted or replaced code points) apart. Of
-each component of linked lines the first occurrence in the corpus (smallest document, then position) stays; all other
-occurrences are taken out of their texts. The edit join needs ``min_chars`` characters, equality ``exact_chars`` ones;
-lines shorter than ``min_chars`` have no near ones, and stay where they are blank.
-
-1. One pass over whole texts gives each line's 128-bit identity and, once a chunk for repeated lines, its join keys: the
-   hashes of its ``max_edits`` + 1 segments under its own length, and of the substrings that a line of up to ``max_edits``
-   fewer characters could have as segments (length-aware, and only at shifts that the edits left and right of the
-   segment allow).
-2. Lines meet on keys, sorted side by side; a bucket gives a star of edges around one of its stored lines, never pairs.
-   The components of those edges are the candidate groups.
-3. Only the texts of candidate lines travel: a bitmap of fixed size over the documents they stand in is sent to the
-   scan, and the join after it is exact. A group's lines are compared in one task (in block-by-block cells above
-   ``BLOCK`` lines): segment index again, then banded bit-parallel edit distance, and only across lines that aren't
-   connected yet.
-
-Edge cases: null and empty texts and blank lines stay as they are; rows without doc_id pass unchanged; rows of one
-doc_id are taken for copies of one document; a document that loses every line that isn't blank goes in ``drop_lines``;
-extra columns are kept.
+Lines are linked if they are equal, or if at most so many edits (inserted, deleted or replaced code points) lie between
+them as the tier of the shorter one allows: ``TIERS`` lists the least length and the edits of each. Of each component of
+linked lines the first occurrence in the corpus (smallest document, then row, then position) stays; all other
+occurrences are taken out of their texts. Equality alone needs ``exact_chars`` characters and no edits.
+
+1. One pass over whole texts gives each line's identity (a 128-bit cryptographic hash) and, once a chunk for repeated
+   lines, its join keys. A tier of ``e`` edits cuts ``e`` + 1 segments of one size off a line, half of them counted from
+   its start and half from its end. Of a line within ``e`` edits either the segment ``i`` from the start is intact and
+   has at most ``i`` edits before it, or the segment ``i`` from the end is and has at most ``i`` after it (else each of
+   the ``e`` + 1 segments would need an edit of its own). So a line stores its segments, and probes the substrings at up
+   to ``i`` places to either side of segment ``i``; a line little longer than a tier's least length probes the tier
+   below too.
+2. Keys with a stored line and another line are counted first (partial sums, no lists), so that a key that very many
+   lines share is dealt into blocks: its lines meet in cells of two blocks, never in one task. The lines of a cell are
+   compared by letter counts, then by banded bit-parallel edit distance, and only if the cell hasn't connected them yet.
+   Spanning edges leave a cell, never pairs.
+3. Only the texts of candidate lines travel to the cells, and only documents that lose a line meet their list of drops:
+   bitmaps (at most ``BITMAP`` bits) over hashes go to the scans, and the joins after them are exact.
+
+Edge cases: null and empty texts and blank lines stay as they are; rows without doc_id pass unchanged; an empty table
+gives no rows; rows of one doc_id with different texts are rows of their own, and repeated rows of one id and text are
+copies that keep the same lines; ties can't occur, for a line's place is unique; very long texts count whole, in
+chunks of their own; a document that loses every line that isn't blank goes in ``drop_lines``; extra columns are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,42 +38,43 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from tidewheel.llm import textvec
 from tidewheel.llm.components import components
-from tidewheel.llm.minhash import Forest, cells, runs, together
-from tidewheel.runtime import cut, ship, table
+from tidewheel.llm.minhash import Forest, runs
+from tidewheel.llm.worker import ready, tidy
+from tidewheel.runtime import cut, table
 
-MAX_EDITS = 1
-MIN_CHARS = 20
+#: Least length and edits of each tier; tiers of equal edits only differ in the size of their segments.
+TIERS = ((20, 1), (80, 3), (200, 5), (400, 5), (800, 5))
 #: Equal lines need no length: the query and the pipeline link them from one character on.
 EXACT_CHARS = 1
-BLOCK = 2048
-#: Bits of the document bitmap (a fixed 2 MB); more documents only let more rows through to the exact join.
-BITMAP = 1 << 24
+BLOCK = 1024
+#: Bits of a bitmap at most (4 MB); beyond them it lets more rows through to the exact join.
+BITMAP = 1 << 25
 _U = np.uint64
 _BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
-_ODD1, _ODD2 = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
+_ODD = _U(0xC2B2AE3D27D4EB4F)
 
+Tiers = Sequence[tuple[int, int]]
 
-def segments(length: np.ndarray, edits: int, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of segment ``i`` of lines of these lengths: even parts, the longer ones last."""
-    base, extra = length // (edits + 1), length % (edits + 1)
-    short = edits + 1 - extra
-    return i * base + np.maximum(0, i - short), base + (i >= short)
 
+def halves(edits: int) -> tuple[int, int]:
+    """Segments counted from the start and from the end."""
+    return (edits + 2) // 2, (edits + 1) // 2
 
-def selections(edits: int) -> Iterator[tuple[int, int, int]]:
-    """(difference of length, segment, shift) of the substrings to probe, but for those that are the line's own segments."""
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                if less or shift:
-                    yield less, i, shift
+
+def probes(edits: int) -> Iterator[tuple[int, int, int]]:
+    """(side, segment, shift) of every place where a near line can have a segment; shift 0 is the segment's own."""
+    for side, n in enumerate(halves(edits)):
+        for i in range(n):
+            for shift in range(-i, i + 1):
+                yield side, i, shift
 
 
 class Lines:
-    """Lines of a chunk of rows as ranges of code points."""
+    """Lines of a chunk of rows as ranges of code points and of bytes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, min_chars: int, exact_chars: int | None = None):
-        text = data.tobytes().decode("utf-8", "replace")
+        self.raw = data.tobytes()
+        text = self.raw.decode("utf-8", "replace")
         self.points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         # bytes that begin a code point number the points
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -79,19 +85,26 @@ class Lines:
         last = np.cumsum(count) - 1
         first = last - count + 1
         row = np.repeat(np.arange(len(count)), count)
-        start, end = np.empty((2, len(row)), np.int64)
-        inner = np.ones(len(row), bool)
-        inner[first] = False
-        start[first], start[inner] = rows[:-1], breaks + 1
-        inner[:] = True
-        inner[last] = False
-        end[last], end[inner] = rows[1:], breaks
+
+        def bounds(rows: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            start, end = np.empty((2, len(row)), np.int64)
+            inner = np.ones(len(row), bool)
+            inner[first] = False
+            start[first], start[inner] = rows[:-1], breaks + 1
+            inner[:] = True
+            inner[last] = False
+            end[last], end[inner] = rows[1:], breaks
+            return start, end
+
+        start, end = bounds(rows, breaks)
         good = end - start >= min_chars
         if exact_chars is not None and exact_chars < min_chars:
             solid = np.concatenate([[0], np.cumsum(~np.isin(self.points, _BLANK))])
             good |= (end - start >= exact_chars) & (solid[end] > solid[start])
         self.row, self.pos = row[good], (np.arange(len(row)) - first[row])[good]
         self.start, self.size = start[good], (end - start)[good]
+        at, to = bounds(offsets, np.flatnonzero(data == 10))
+        self.bytes_at, self.bytes_to = at[good], to[good]
 
     @staticmethod
     def _slow(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -99,81 +112,76 @@ class Lines:
         sizes = [len(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         return np.concatenate([[0], np.cumsum(sizes)])
 
-    def prefix(self, odd: np.uint64) -> np.ndarray:
+    def identities(self) -> np.ndarray:
+        """(lines, 2): the halves of each line's identity."""
+        raw, digest = self.raw, hashlib.blake2b
+        found = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(self.bytes_at.tolist(), self.bytes_to.tolist(), strict=True)])
+        return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+    def prefix(self) -> np.ndarray:
         textvec._powers.upto(len(self.points) + 1)
         total = np.zeros(len(self.points) + 1, np.uint64)
-        value = (self.points.astype(np.uint64) + _U(1)) * odd
+        value = (self.points.astype(np.uint64) + _U(1)) * _ODD
         value ^= value >> _U(29)
         np.cumsum(value * textvec._powers.up[: len(self.points)], out=total[1:])
         return total
 
-    def keys(self, total: np.ndarray, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
-        """Join keys of each line: stored ones with an even number, probes with an odd one; and which are there."""
-        columns, there = [], []
-        for less, i, shift, probe in [(0, i, 0, 0) for i in range(edits + 1)] + [(*s, 1) for s in selections(edits)]:
-            length = self.size - less
-            at, size = segments(length, edits, i)
-            at = at + shift
-            good = (length >= min_chars) & (at >= 0) & (at + size <= self.size)
-            at = np.where(good, self.start + at, 0)
-            size = np.where(good, size, 0)
-            key = textvec.mix(textvec.spans(total, at, at + size) + (length.astype(np.uint64) << _U(8)) + _U(i))
-            columns.append((key & ~_U(1)) | _U(probe))
-            there.append(good)
-        return np.stack(columns, axis=1), np.stack(there, axis=1)
+    def keys(self, tiers: Tiers) -> tuple[np.ndarray, np.ndarray]:
+        """Join keys and the line of each; stored ones are even numbers, probes odd ones."""
+        total = self.prefix()
+        keys, owners = [], []
+        for t, (least, edits) in enumerate(tiers):
+            size = least // (edits + 1)
+            above = tiers[t + 1][0] if t + 1 < len(tiers) else None
+            own = self.size >= least
+            near = np.zeros(len(own), bool)
+            if above is not None:
+                near = (self.size >= above) & (self.size < above + edits)
+                own &= self.size < above
+            for lines, stores in ((np.flatnonzero(own), True), (np.flatnonzero(near), False)):
+                if not len(lines):
+                    continue
+                start, length = self.start[lines], self.size[lines]
+                for side, i, shift in probes(edits):
+                    at = (i * size if side == 0 else length - (i + 1) * size) + shift
+                    good = (at >= 0) & (at + size <= length)
+                    begin = (start + at)[good]
+                    key = textvec.mix(textvec.spans(total, begin, begin + size) + _U(t << 16 | side << 8 | i))
+                    keys.append((key & ~_U(1)) | _U(not (stores and shift == 0)))
+                    owners.append(lines[good])
+        if not keys:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.concatenate(keys), np.concatenate(owners)
 
 
-_LINES = StructType([StructField("doc_id", LongType()), StructField("pos", IntegerType()), StructField("h1", LongType()), StructField("h2", LongType()), StructField("keys", ArrayType(LongType()))])
+_LINES = StructType([StructField("doc_id", LongType()), StructField("row", LongType()), StructField("pos", IntegerType()), StructField("h1", LongType()), StructField("h2", LongType()), StructField("keys", ArrayType(LongType()))])
 
 
-def _scan(edits: int, min_chars: int, exact_chars: int):
+def _scan(tiers: Tiers, exact_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in textvec.chunks(batch.column(1)):
-                own = Lines(data, offsets, min_chars, exact_chars)
+            for first, end, data, offsets in textvec.chunks(batch.column(2)):
+                own = Lines(data, offsets, tiers[0][0], exact_chars)
                 if not len(own.row):
                     continue
-                total = own.prefix(_ODD1)
-                h1 = textvec.spans(total, own.start, own.start + own.size)
-                h2 = textvec.spans(own.prefix(_ODD2), own.start, own.start + own.size)
-                keys, there = own.keys(total, edits, min_chars)
-                once = np.zeros(len(h1), bool)
-                once[np.unique(h1, return_index=True)[1]] = True
-                there &= once[:, None]
-                ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+                h = own.identities()
+                keys, of = own.keys(tiers)
+                once = np.zeros(len(h), bool)
+                once[np.unique(h[:, 0], return_index=True)[1]] = True
+                keep = once[of]
+                keys, of = keys[keep], of[keep]
+                order = np.argsort(of, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(h)))]).astype(np.int32)
+                at = pa.array(own.row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, end - first).take(pa.array(own.row)), pa.array(own.pos.astype(np.int32)),
-                        pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[there].view(np.int64))),
+                        batch.column(0).slice(first, end - first).take(at), batch.column(1).slice(first, end - first).take(at), pa.array(own.pos.astype(np.int32)),
+                        pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64))),
                     ],
                     names=_LINES.names,
                 )
 
-    return run
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (bucket, key, h) to edges of each bucket around one of its stored lines.
-
-    Stored lines sort before probes in a bucket, so one pass with one carried row suffices, however large a bucket is.
-    """
-    bucket = center = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        b, key, h = (batch.column(i).to_numpy() for i in range(3))
-        begin = np.ones(len(b), bool)
-        begin[1:] = b[1:] != b[:-1]
-        at = np.flatnonzero(begin)
-        group = np.cumsum(begin) - 1
-        stored = key[at] & 1 == 0
-        middle = h[at].copy()
-        if bucket is not None and b[0] == bucket:
-            stored[0], middle[0] = center is not None, center if center is not None else 0
-        edge = stored[group] & (h != middle[group])
-        bucket, center = b[-1], (middle[-1] if stored[-1] else None)
-        if edge.any():
-            yield pa.RecordBatch.from_arrays([pa.array(h[edge]), pa.array(middle[group][edge])], names=["a", "b"])
+    return tidy(run)
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -234,134 +242,172 @@ def _small(a: str, b: str) -> int:
     return last[-1]
 
 
-def link(lines: list[str], edits: int, min_chars: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between these lines."""
-    forest = Forest(len(lines))
-    edges = []
-    index: dict[tuple[int, int, str], list[int]] = {}
-    probes = [(0, i, 0) for i in range(edits + 1)] + list(selections(edits))
-
-    def part(text: str, less: int, i: int, shift: int) -> str | None:
-        length = len(text) - less
-        base, extra = divmod(length, edits + 1)
-        short = edits + 1 - extra
-        at, size = i * base + max(0, i - short) + shift, base + (i >= short)
-        return text[at : at + size] if length >= min_chars and at >= 0 and at + size <= len(text) else None
-
-    for n in sorted(range(len(lines)), key=lambda n: len(lines[n])):
-        text = lines[n]
-        for less, i, shift in probes:
-            piece = part(text, less, i, shift)
-            for m in index.get((len(text) - less, i, piece), ()) if piece is not None else ():
-                if forest.find(m) != forest.find(n) and within(lines[m], text, edits):
-                    forest.join(m, n)
-                    edges.append((m, n))
-        for i in range(edits + 1):
-            index.setdefault((len(text), i, part(text, 0, i, 0)), []).append(n)
+def allowed(length: int, tiers: Tiers) -> int:
+    """Edits that a line of this length may have as the shorter one."""
+    return next((edits for least, edits in reversed(tiers) if length >= least), 0)
+
+
+def link(lines: list[str], block: Sequence[int], tiers: Tiers) -> list[tuple[int, int]]:
+    """A spanning forest of the links between these lines; where there are two blocks, across them only."""
+    n = len(lines)
+    size = np.array([len(x) for x in lines])
+    letters = np.zeros((n, 64), np.int32)
+    if n > 2:
+        for i, x in enumerate(lines):
+            letters[i] = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
+    most = np.array([allowed(int(x), tiers) for x in size])
+    of = np.asarray(block)
+    two = len(np.unique(of)) > 1
+    forest, edges = Forest(n), []
+    for i in range(n - 1):
+        # each edit changes two letter counts by one at most
+        edits = np.where(size[i + 1 :] < size[i], most[i + 1 :], most[i])
+        near = (np.abs(size[i + 1 :] - size[i]) <= edits) & (np.abs(letters[i + 1 :] - letters[i]).sum(axis=1) <= 2 * edits)
+        if two:
+            near &= of[i + 1 :] != of[i]
+        for k in np.flatnonzero(near).tolist():
+            j = i + 1 + k
+            if forest.find(i) != forest.find(j) and within(lines[i], lines[j], int(edits[k])):
+                forest.join(i, j)
+                edges.append((i, j))
     return edges
 
 
-def _verify(edits: int, min_chars: int):
+def _verify(tiers: Tiers):
+    """Rows (bucket, cell_i, cell_j, own, h1, h2, line), cell by cell, to edges."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in runs(batches, 3):
-            ids = cell.column(3).to_pylist()
-            found = link(cell.column(4).to_pylist(), edits, min_chars)
+            if cell.num_rows < 2:
+                continue
+            found = link(cell.column(6).to_pylist(), cell.column(3).to_pylist(), tiers)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found]), pa.array([ids[j] for _, j in found])], names=["a", "b"])
+                h1, h2 = cell.column(4).to_numpy(), cell.column(5).to_numpy()
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[i], h2[i], h1[j], h2[j])], names=["a", "a2", "b", "b2"])
 
-    return run
+    return tidy(run)
 
 
-def _through(bits: np.ndarray):
-    """Rows (doc_id, text) whose document may be in the bitmap."""
+class Bitmap:
+    """A set of 64-bit hashes as bits: may say yes to others, never no to its own."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bits.value
-        for batch in batches:
-            at = textvec.mix(batch.column(0).to_numpy().view(np.uint64)) % _U(BITMAP)
-            hit = own[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1
-            yield batch.filter(pa.array(hit.astype(bool)))
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
-    return run
+    def may(self, hashes: np.ndarray) -> np.ndarray:
+        at = textvec.mix(hashes.view(np.uint64)) & _U(8 * len(self.bits) - 1)
+        return (self.bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bitmap of BITMAP bits over hashes of a long column; each task sends its own words of it at most once."""
+def bitmap(hashes: DataFrame, n: int) -> Bitmap:
+    """Of a long column of ``n`` values: 16 bits a value, ``BITMAP`` at most. A task sends each of its words once."""
+    size = min(BITMAP, max(1 << 16, 1 << (16 * n).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(BITMAP // 64, np.uint64)
+        own = np.zeros(size // 64, np.uint64)
         for batch in batches:
-            at = textvec.mix(batch.column(0).to_numpy().view(np.uint64)) % _U(BITMAP)
+            at = textvec.mix(batch.column(0).to_numpy().view(np.uint64)) & _U(size - 1)
             np.bitwise_or.at(own, (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
         some = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some].view(np.int64))], names=["word", "bits"])
 
-    out = np.zeros(BITMAP // 64, np.uint64)
-    for r in ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+    out = np.zeros(size // 64, np.uint64)
+    for r in hashes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
         out[r["word"]] = np.array([r["bits"]], np.int64).view(np.uint64)[0]
-    return out.view(np.uint8)
-
+    return Bitmap(out.view(np.uint8))
 
-def line_hash(line: str) -> int:
-    """The first hash of a line's identity."""
-    data = np.frombuffer(line.encode(), np.uint8)
-    own = Lines(data, np.array([0, len(data)], np.int64), 0)
-    return int(textvec.spans(own.prefix(_ODD1), own.start, own.start + own.size).view(np.int64)[0])
 
+def _wanted(shared, min_chars: int):
+    """Rows (text) to (h1, h2, line) of the lines that may be candidates."""
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, wanted) to (h1, line)."""
-    for batch in batches:
-        h, lines = [], []
-        for text, wanted in zip(batch.column(1), batch.column(2), strict=True):
-            own = text.as_py().split("\n")
-            for w in wanted.as_py():
-                # rows of one doc_id may hold other texts
-                if w["pos"] < len(own) and line_hash(own[w["pos"]]) == w["h1"]:
-                    h.append(w["h1"])
-                    lines.append(own[w["pos"]])
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(lines, pa.string())], names=["h1", "line"])
-
-
-def repeated(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """doc_id and drops: positions of the lines to take out, with near (whether the first is another text)."""
-    spark = docs.sparkSession
-    ship(spark)
-    given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = cut(given.mapInArrow(_scan(max_edits, min_chars, min_chars if exact_chars is None else exact_chars), _LINES))
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-
-    keys = lines.where("size(keys) > 0").select(F.explode("keys").alias("key"), "h1").select(F.shiftright("key", 1).alias("bucket"), "key", "h1")
-    stars = keys.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_stars, "a long, b long")
-    candidates = components(stars)
-    grouped = candidates.select(F.col("component").alias("grp"), F.col("node").alias("h1")).unionAll(candidates.select(F.col("component").alias("grp"), F.col("component").alias("h1")).distinct())
-    blocks = grouped.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
-    members = cut(grouped.join(lines.groupBy("h1").agg(F.min(F.struct("doc_id", "pos")).alias("at")), "h1"))
-    bits = spark.sparkContext.broadcast(_bitmap(members.select(F.col("at.doc_id"))))  # of a fixed size
-    wanted = members.groupBy(F.col("at.doc_id").alias("_id")).agg(F.collect_list(F.struct("h1", F.col("at.pos").alias("pos"))).alias("wanted"))
-    texts = given.mapInArrow(_through(bits), given.schema).join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "wanted").mapInArrow(_wanted, "h1 long, line string").dropDuplicates(["h1"])
-    dealt = cells(members.select("grp", "h1"), blocks, "grp", "h1").join(texts, "h1").select("grp", "cell_i", "cell_j", "h1", "line")
-    linked = components(together(dealt, "grp").mapInArrow(_verify(max_edits, min_chars), "a long, b long"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Bitmap = shared.value
+        for batch in batches:
+            for _, _, data, offsets in textvec.chunks(batch.column(0)):
+                lines = Lines(data, offsets, min_chars)
+                if not len(lines.row):
+                    continue
+                h = lines.identities()
+                hit = np.flatnonzero(own.may(np.ascontiguousarray(h[:, 0])))
+                hit = hit[np.unique(h[hit, 0], return_index=True)[1]]
+                texts = [lines.raw[a:b].decode("utf-8", "replace") for a, b in zip(lines.bytes_at[hit].tolist(), lines.bytes_to[hit].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit, 0]), pa.array(h[hit, 1]), pa.array(texts, pa.string())], names=["h1", "h2", "line"])
+
+    return tidy(run)
+
+
+def _row(doc_id, text):
+    """A row's identity besides its doc_id."""
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
+
+
+def near_lines(given: DataFrame, lines: DataFrame, tiers: Tiers) -> DataFrame:
+    """(h1, h2, component) of the lines that have a near one."""
+    spark = given.sparkSession
+    # a common line gives its keys once a chunk: the partial distinct leaves one a task
+    keys = lines.where("size(keys) > 0").select(F.explode("keys").alias("key"), "h1").distinct()
+    bucket = F.expr("key & -2").alias("bucket")
+    # lines in the low half, stored ones in the high half of one number
+    counted = keys.select(bucket, F.when(F.col("key") % 2 == 0, (1 << 32) + 1).otherwise(1).alias("one")).groupBy("bucket").agg(F.sum("one").alias("n"))
+    shared = cut(counted.where(f"n > {1 << 32} AND n % {1 << 32} > 1").select("bucket", F.ceil(F.expr(f"n % {1 << 32}") / BLOCK).cast("int").alias("_blocks")))
+    met = keys.select(bucket, "h1").join(shared, "bucket").withColumn("own", F.pmod(F.xxhash64("h1"), F.col("_blocks")).cast("int"))
+    members = cut(met.distinct())
+    candidates = cut(members.select("h1").distinct())
+    bits = spark.sparkContext.broadcast(bitmap(candidates, candidates.count()))  # of bounded size
+    texts = given.select("text").mapInArrow(_wanted(bits, tiers[0][0]), "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"])
+    dealt = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("bucket", F.least("own", "_other").alias("cell_i"), F.greatest("own", "_other").alias("cell_j"), "own", "h1")
+    cells = dealt.join(texts, "h1").select("bucket", "cell_i", "cell_j", "own", "h1", "h2", "line")
+    cells = cells.repartition("bucket", "cell_i", "cell_j").sortWithinPartitions("bucket", "cell_i", "cell_j")
+    edges = cut(cells.mapInArrow(_verify(tiers), "a long, a2 long, b long, b2 long"))
+    nodes = edges.select(F.col("a").alias("h1"), F.col("a2").alias("h2")).unionAll(edges.select(F.col("b").alias("h1"), F.col("b2").alias("h2"))).distinct()
+    linked = components(edges)
+    return nodes.join(linked, F.col("h1") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "h1").alias("component"))
+
+
+def repeated(docs: DataFrame, tiers: Tiers = TIERS, exact_chars: int | None = None) -> DataFrame:
+    """doc_id, row and drops: positions of the lines to take out, with near (whether the first is another text)."""
+    ready(docs.sparkSession)
+    given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _row(F.col("doc_id").cast("long"), F.col("text")).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = cut(given.mapInArrow(_scan(tuple(tiers), tiers[0][0] if exact_chars is None else exact_chars), _LINES))
+    place = F.struct("doc_id", "row", "pos")
+    firsts = cut(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
 
     # near lines share the first occurrence of their component
-    of_line = linked.select("node", "component").unionAll(linked.select(F.col("component").alias("node"), "component").distinct())
-    near = of_line.join(firsts, F.col("node") == F.col("h1"))
+    near = near_lines(given, lines, tuple(tiers)).join(firsts, ["h1", "h2"])
+    near = cut(near.select("component", "h1", "h2", "first"))
     shared = near.groupBy("component").agg(F.min("first").alias("start"))
     near_firsts = near.join(shared, "component").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "start")
-    start = (
+    start = cut(
         firsts.join(near_firsts, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
         .where("n > 1 OR start IS NOT NULL")
         .select("h1", "h2", F.coalesce("start", "first").alias("start"), F.coalesce(F.col("start") != F.col("first"), F.lit(False)).alias("near"))
     )
-    drops = lines.select("doc_id", "pos", "h1", "h2").join(start, ["h1", "h2"]).where((F.col("start.doc_id") != F.col("doc_id")) | (F.col("start.pos") != F.col("pos")))
-    return drops.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "near")).alias("drops"))
+    drops = lines.select("doc_id", "row", "pos", "h1", "h2").join(start, ["h1", "h2"]).where(F.struct("doc_id", "row", "pos") != F.col("start"))
+    return cut(drops.groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "near")).alias("drops")))
+
 
+def _apart(shared, hit: bool):
+    """Rows whose last column may be, or can't be, in the bitmap."""
 
-def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, counts: tuple[str, str, str] = ("_lines", "_dropped", "_near"), exact_chars: int | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Bitmap = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(own.may(batch.column(batch.num_columns - 1).to_numpy()) == hit))
+
+    return run
+
+
+def dedup_lines(docs: DataFrame, tiers: Tiers = TIERS, counts: tuple[str, str, str] = ("_lines", "_dropped", "_near"), exact_chars: int | None = None) -> DataFrame:
     """Rows with their lines deduplicated in text, and three columns more: all lines, lines taken out, of these near ones."""
-    key, gone_lines = textvec.fresh(docs.columns, "_key", "_drops")
-    drops = repeated(docs, max_edits, min_chars, exact_chars).select(F.col("doc_id").alias(key), F.col("drops").alias(gone_lines))
-    joined = docs.join(drops, F.col("doc_id") == F.col(key), "left").select(*docs.columns, gone_lines)
+    spark = docs.sparkSession
+    key, gone_lines, row, other = textvec.fresh(docs.columns, "_key", "_drops", "_row", "_other")
+    drops = repeated(docs, tiers, exact_chars).select(F.col("doc_id").alias(key), F.col("row").alias(other), F.col("drops").alias(gone_lines))
+    bits = spark.sparkContext.broadcast(bitmap(drops.select(other), drops.count()))  # of bounded size
+    marked = docs.withColumn(row, _row(F.col("doc_id").cast("long"), F.col("text")))
+    # rows that lose nothing needn't move
+    hit = marked.mapInArrow(_apart(bits, True), marked.schema).join(drops, (F.col("doc_id") == F.col(key)) & (F.col(row) == F.col(other)), "left").select(*docs.columns, gone_lines)
+    rest = marked.mapInArrow(_apart(bits, False), marked.schema).select(*docs.columns, F.lit(None).cast(hit.schema[gone_lines].dataType).alias(gone_lines))
     schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in counts)])
     place = docs.columns.index("text")
 
@@ -380,14 +426,14 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (count, gone, close))], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return hit.mapInArrow(tidy(run), schema).unionAll(rest.mapInArrow(tidy(run), schema))
 
 
-def drop_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+def drop_lines(docs: DataFrame, tiers: Tiers = TIERS, exact_chars: int | None = None) -> DataFrame:
     """Documents with their lines deduplicated, without those that lost all; n_chars, if there, follows the text."""
     names = textvec.fresh(docs.columns, "_lines", "_dropped", "_near")
     dropped = F.col(names[1])
-    out = dedup_lines(docs, max_edits, min_chars, tuple(names), exact_chars).where((dropped == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
+    out = dedup_lines(docs, tiers, tuple(names), exact_chars).where((dropped == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(dropped > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import textvec
 from tidewheel.llm.components import components
-from tidewheel.runtime import cut, ship, table
+from tidewheel.llm.worker import ready, tidy
+from tidewheel.runtime import cut, table
 
 SAMPLES = 128
 SKETCH_BITS = 1024
@@ -314,7 +315,7 @@ def _confirm(percent: int):
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id) of each row."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = cut(given.mapInArrow(_sign(width, band_rows(percent)), _SIGNED))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")

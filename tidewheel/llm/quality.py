@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import textvec
-from tidewheel.runtime import ship, table
+from tidewheel.llm.worker import ready, tidy
+from tidewheel.runtime import table
 
 BUCKETS = 1 << 18
 #: Documents to learn the scorer from at most, in the order of a hash of their id.
@@ -55,7 +56,7 @@ class Seen:
 
 def look(data: np.ndarray, offsets: np.ndarray) -> Seen:
     starts, ends, rows = textvec.words(data, offsets)
-    word = textvec.spans(textvec.prefix(data, True), starts, ends)
+    word = textvec.hash_spans(data, starts, ends)
     n = len(word)
     size = (ends - starts).astype(np.int32)
 
@@ -133,7 +134,7 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def patterns(docs: DataFrame) -> DataFrame:
     """doc_id and the number of its vote pattern."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_patterns, "doc_id long, pattern long")
 
 

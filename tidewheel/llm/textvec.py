@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C13  # 3 mod 8, so that powers differ in their low bits
+#: Base and prime of a second hash: sums mod 2^64 alone are equal for texts that can be written down, whatever the base.
+SECOND, PRIME = 1_103_515_249, (1 << 31) - 1
 _U = np.uint64
 
 #: Separators of words: space and \t \n \v \f \r.
@@ -35,11 +37,13 @@ _BYTE_LOWER[65:91] = _BYTE[97:123]
 
 
 class _Powers:
-    """Powers of BASE and of its inverse, grown on demand."""
+    """Powers of BASE and of its inverse mod 2^64, and of SECOND and its inverse mod PRIME, grown on demand."""
 
     def __init__(self) -> None:
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
+        self.up2 = np.ones(1, np.uint64)
+        self.down2 = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> None:
         if len(self.up) <= n:
@@ -49,6 +53,11 @@ class _Powers:
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+            for name, base in (("up2", SECOND), ("down2", pow(SECOND, -1, PRIME))):
+                own = np.ones(1, np.uint64)
+                while len(own) < size:  # twice as many each time
+                    own = np.concatenate([own, own * _U(pow(base, len(own), PRIME)) % _U(PRIME)])
+                setattr(self, name, own)
 
 
 _powers = _Powers()
@@ -117,16 +126,34 @@ def spans(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((total[ends] - total[starts]) * _powers.down[starts] + (ends - starts).astype(np.uint64))
 
 
+def prefix2(data: np.ndarray, lower: bool) -> np.ndarray:
+    """The like of ``prefix`` mod PRIME."""
+    _powers.upto(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    value = (_BYTE_LOWER if lower else _BYTE)[data] >> _U(34)
+    np.cumsum(value * _powers.up2[: len(data)] % _U(PRIME), out=total[1:])
+    return total
+
+
+def spans2(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return (total[ends] - total[starts]) % _U(PRIME) * _powers.down2[starts] % _U(PRIME)
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of byte ranges from two independent sums."""
+    return mix(spans(prefix(data, lower), starts, ends) + mix(spans2(prefix2(data, lower), starts, ends) + _U(1)))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row and the number of words)."""
     starts, ends, rows = words(data, offsets)
-    return spans(prefix(data, lower), starts, ends), rows
+    return hash_spans(data, starts, ends, lower), rows
 
 
 def hash_word(word: bytes, lower: bool = True) -> int:
     """The hash that ``word_hashes`` gives one word."""
     data = np.frombuffer(word, np.uint8)
-    return int(spans(prefix(data, lower), np.array([0]), np.array([len(data)]))[0])
+    return int(hash_spans(data, np.array([0]), np.array([len(data)]), lower)[0])
 
 
 def windows(hashes: np.ndarray, w: int) -> np.ndarray:

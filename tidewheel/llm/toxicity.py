@@ -14,7 +14,10 @@ Labels are learned from a bounded sample (``SAMPLE`` rows in the order of a hash
 and cover all rows and whole texts.
 
 Edge cases: null and empty texts have the score of the bias alone; without labelled rows every score is 0; rows with a
-null label or id are not learned from; repeated label rows count once (the larger label); extra columns are ignored.
+null label or id are not learned from; repeated label rows count once (the larger label); rows of one labelled id are
+learned from each, ordered by id and text; repeated rows are scored each; an empty table gives no rows; very long texts
+count whole, in time linear in them; a score of exactly the threshold is toxic; extra columns are ignored by the query
+and kept by ``score`` and ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewheel.llm import textvec
-from tidewheel.runtime import ship, table
+from tidewheel.llm.worker import Cache, ready, tidy
+from tidewheel.runtime import table
 
 BUCKETS = 1 << 18
 DIM = 16
@@ -49,8 +53,8 @@ POSITIVE = 2.0
 #: Zero words that a text's mean includes.
 PAD = 20.0
 THRESHOLD = 0.3
-#: Words of a generation, of two kept with their numbers in a worker.
-CACHE = 100_000
+#: Bytes of a generation of words with their numbers, of two that a task keeps.
+CACHE = 24 << 20
 
 _find = regex.compile(r"[\p{L}\p{N}]+").findall
 
@@ -73,26 +77,10 @@ def tokens(text: str | None) -> list[str]:
 class Model:
     numbers: np.ndarray  # of each bucket
     bias: float
-    #: Words seen and their numbers, in two generations; a worker keeps them from task to task.
-    known: dict[str, float] = field(default_factory=dict)
-    older: dict[str, float] = field(default_factory=dict)
 
     def word(self, word: str) -> float:
         return float(self.numbers[grams(word)].mean())
 
-    def unknown(self, words: Iterable[str]) -> list[str]:
-        """Words without a number yet. A full generation becomes the older one; what is met again moves on."""
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
-        for w in words:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        return new
-
     def score(self, text: str | None) -> float:
         """Of one text, plainly."""
         words = Counter(tokens(text))
@@ -165,20 +153,20 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, held_out:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     """The model of a bounded sample, trained in one task of an executor: neither texts nor bags come to the driver."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(((r["_id"], r["text"] or "", r["label"]) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
         model = train([r[1] for r in rows], [r[2] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([model.numbers.tobytes()], pa.binary()), pa.array([model.bias])], names=["numbers", "bias"])
 
-    found = labelled(docs, labels, limit).repartition(1).mapInArrow(run, "numbers binary, bias double").first()
+    found = labelled(docs, labels, limit).repartition(1).mapInArrow(tidy(run), "numbers binary, bias double").first()
     return Model(np.frombuffer(found["numbers"], np.float32), found["bias"]) if found else train([], [])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """Rows with the column ``name``: the probability of label 1."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Model(model.numbers, model.bias))  # of a fixed size
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     place = docs.columns.index(text)
@@ -186,26 +174,28 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = shared.value
         numbers, bias = own.numbers, own.bias
+        cache = Cache(CACHE)
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for i, t in enumerate(batch.column(place)):
                 words = Counter(tokens(t.as_py()))
                 if not words:
                     continue
-                new = own.unknown(words)
-                known = own.known
+                new = cache.missing(words)
+                known = cache.known
                 if new:
                     # all grams of the new words at once
                     lists = [grams(w) for w in new]
                     n = np.array([len(x) for x in lists])
                     flat = numbers[np.concatenate([np.array(x) for x in lists])]
                     sums = np.add.reduceat(flat.astype(np.float64), np.concatenate([[0], np.cumsum(n)[:-1]])) / n
-                    known.update(zip(new, sums.tolist(), strict=True))
+                    for w, number in zip(new, sums.tolist(), strict=True):
+                        cache.put(w, number)
                 weight = np.sqrt(np.fromiter(words.values(), float, len(words)))
                 out[i] = weight @ np.fromiter(map(known.__getitem__, words), float, len(words)) / (weight.sum() + PAD)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out + bias, -50, 50))))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
