@@ -12,10 +12,10 @@ occurrences are taken out of their texts. Equality alone needs ``exact_chars`` c
    the ``e`` + 1 segments would need an edit of its own). So a line stores its segments, and probes the substrings at up
    to ``i`` places to either side of segment ``i``; a line little longer than a tier's least length probes the tier
    below too.
-2. Keys with a stored line and another line are counted first (partial sums, no lists), so that a key that very many
+2. Keys with a stored line and another line are found first (partial aggregates, no lists), so that a key that very many
    lines share is dealt into blocks: its lines meet in cells of two blocks, never in one task. The lines of a cell are
-   compared by letter counts, then by banded bit-parallel edit distance, and only if the cell hasn't connected them yet.
-   Spanning edges leave a cell, never pairs.
+   compared with those of a like length by letter counts, then by banded bit-parallel edit distance, and only if the
+   cell hasn't connected them yet. Spanning edges leave a cell, never pairs.
 3. Only the texts of candidate lines travel to the cells, and only documents that lose a line meet their list of drops:
    bitmaps (at most ``BITMAP`` bits) over hashes go to the scans, and the joins after them are exact.
 
@@ -43,10 +43,10 @@ from tidewheel.llm.worker import ready, tidy
 from tidewheel.runtime import cut, table
 
 #: Least length and edits of each tier; tiers of equal edits only differ in the size of their segments.
-TIERS = ((20, 1), (80, 3), (200, 5), (400, 5), (800, 5))
+TIERS = ((20, 1), (80, 3), (200, 3), (400, 5), (800, 5))
 #: Equal lines need no length: the query and the pipeline link them from one character on.
 EXACT_CHARS = 1
-BLOCK = 1024
+BLOCK = 2048
 #: Bits of a bitmap at most (4 MB); beyond them it lets more rows through to the exact join.
 BITMAP = 1 << 25
 _U = np.uint64
@@ -251,25 +251,27 @@ def link(lines: list[str], block: Sequence[int], tiers: Tiers) -> list[tuple[int
     """A spanning forest of the links between these lines; where there are two blocks, across them only."""
     n = len(lines)
     size = np.array([len(x) for x in lines])
-    letters = np.zeros((n, 64), np.int32)
+    order = np.argsort(size, kind="stable")
+    size, of = size[order], np.asarray(block)[order]
+    lines = [lines[i] for i in order.tolist()]
+    most = np.array([allowed(x, tiers) for x in size.tolist()])
+    end = np.searchsorted(size, size + most, "right")  # a line's partners among the longer ones
     if n > 2:
-        for i, x in enumerate(lines):
-            letters[i] = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
-    most = np.array([allowed(int(x), tiers) for x in size])
-    of = np.asarray(block)
-    two = len(np.unique(of)) > 1
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.bincount(np.repeat(np.arange(n) * 32, size) + (points & 31), minlength=32 * n).reshape(n, 32).astype(np.int32)
+    two = of.min() != of.max()
     forest, edges = Forest(n), []
-    for i in range(n - 1):
-        # each edit changes two letter counts by one at most
-        edits = np.where(size[i + 1 :] < size[i], most[i + 1 :], most[i])
-        near = (np.abs(size[i + 1 :] - size[i]) <= edits) & (np.abs(letters[i + 1 :] - letters[i]).sum(axis=1) <= 2 * edits)
+    for i in np.flatnonzero(end > np.arange(n) + 1).tolist():
+        edits, others = int(most[i]), np.arange(i + 1, end[i])
         if two:
-            near &= of[i + 1 :] != of[i]
-        for k in np.flatnonzero(near).tolist():
-            j = i + 1 + k
-            if forest.find(i) != forest.find(j) and within(lines[i], lines[j], int(edits[k])):
+            others = others[of[others] != of[i]]
+        if n > 2 and len(others):
+            # each edit changes two letter counts by one at most
+            others = others[np.abs(letters[others] - letters[i]).sum(axis=1) <= 2 * edits]
+        for j in others.tolist():
+            if forest.find(i) != forest.find(j) and within(lines[i], lines[j], edits):
                 forest.join(i, j)
-                edges.append((i, j))
+                edges.append((int(order[i]), int(order[j])))
     return edges
 
 
@@ -345,15 +347,14 @@ def _row(doc_id, text):
 def near_lines(given: DataFrame, lines: DataFrame, tiers: Tiers) -> DataFrame:
     """(h1, h2, component) of the lines that have a near one."""
     spark = given.sparkSession
-    # a common line gives its keys once a chunk: the partial distinct leaves one a task
-    keys = lines.where("size(keys) > 0").select(F.explode("keys").alias("key"), "h1").distinct()
-    bucket = F.expr("key & -2").alias("bucket")
-    # lines in the low half, stored ones in the high half of one number
-    counted = keys.select(bucket, F.when(F.col("key") % 2 == 0, (1 << 32) + 1).otherwise(1).alias("one")).groupBy("bucket").agg(F.sum("one").alias("n"))
-    shared = cut(counted.where(f"n > {1 << 32} AND n % {1 << 32} > 1").select("bucket", F.ceil(F.expr(f"n % {1 << 32}") / BLOCK).cast("int").alias("_blocks")))
-    met = keys.select(bucket, "h1").join(shared, "bucket").withColumn("own", F.pmod(F.xxhash64("h1"), F.col("_blocks")).cast("int"))
-    members = cut(met.distinct())
-    candidates = cut(members.select("h1").distinct())
+    keys = lines.where("size(keys) > 0").select(F.explode("keys").alias("key"), "h1").select(F.expr("key & -2").alias("bucket"), (F.col("key") % 2 == 0).alias("stored"), "h1")
+    # a common line gives its keys once a chunk, and a common key has many lines: both are partial aggregates
+    span = keys.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("stored").alias("stored"))
+    shared = cut(span.where("stored AND low < high").select("bucket"))
+    met = cut(keys.select("bucket", "h1").join(shared, "bucket").distinct())
+    large = met.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+    members = met.join(large, "bucket", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("h1"), F.col("_blocks")).cast("int"))
+    candidates = cut(met.select("h1").distinct())
     bits = spark.sparkContext.broadcast(bitmap(candidates, candidates.count()))  # of bounded size
     texts = given.select("text").mapInArrow(_wanted(bits, tiers[0][0]), "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"])
     dealt = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("bucket", F.least("own", "_other").alias("cell_i"), F.greatest("own", "_other").alias("cell_j"), "own", "h1")
