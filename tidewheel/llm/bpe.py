@@ -137,8 +137,8 @@ def merge_replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
 class Encoder:
     """Encodes texts; keeps the ids of the distinct pretokens of its task, within bounds."""
 
-    def __init__(self, ranks: Ranks, pattern: str, cache: int = CACHE):
-        self.ranks = ranks
+    def __init__(self, ranks: Ranks | dict[bytes, int], pattern: str, cache: int = CACHE):
+        self.ranks = ranks if isinstance(ranks, Ranks) else Ranks(ranks)
         self.find = regex.compile(pattern).findall
         self.cache = Cache(cache)
 

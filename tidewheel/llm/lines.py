@@ -17,7 +17,7 @@ occurrences are taken out of their texts. Equality alone needs ``exact_chars`` c
    compared with those of a like length by letter counts, then by banded bit-parallel edit distance, and only if the
    cell hasn't connected them yet. Spanning edges leave a cell, never pairs.
 3. Only the texts of candidate lines travel to the cells, and only documents that lose a line meet their list of drops:
-   bitmaps (at most ``BITMAP`` bits) over hashes go to the scans, and the joins after them are exact.
+   bitmaps (``bitmap.BITMAP`` bits at most) over hashes go to the scans, and the joins after them are exact.
 
 Edge cases: null and empty texts and blank lines stay as they are; rows without doc_id pass unchanged; an empty table
 gives no rows; rows of one doc_id with different texts are rows of their own, and repeated rows of one id and text are
@@ -32,11 +32,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from tidewheel.llm import textvec
+from tidewheel.llm.bitmap import Bitmap, bitmap, through
 from tidewheel.llm.components import components
 from tidewheel.llm.minhash import Forest, runs
 from tidewheel.llm.worker import ready, tidy
@@ -47,8 +49,6 @@ TIERS = ((20, 1), (80, 3), (200, 3), (400, 5), (800, 5))
 #: Equal lines need no length: the query and the pipeline link them from one character on.
 EXACT_CHARS = 1
 BLOCK = 2048
-#: Bits of a bitmap at most (4 MB); beyond them it lets more rows through to the exact join.
-BITMAP = 1 << 25
 _U = np.uint64
 _BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 _ODD = _U(0xC2B2AE3D27D4EB4F)
@@ -291,35 +291,6 @@ def _verify(tiers: Tiers):
     return tidy(run)
 
 
-class Bitmap:
-    """A set of 64-bit hashes as bits: may say yes to others, never no to its own."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-
-    def may(self, hashes: np.ndarray) -> np.ndarray:
-        at = textvec.mix(hashes.view(np.uint64)) & _U(8 * len(self.bits) - 1)
-        return (self.bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
-
-
-def bitmap(hashes: DataFrame, n: int) -> Bitmap:
-    """Of a long column of ``n`` values: 16 bits a value, ``BITMAP`` at most. A task sends each of its words once."""
-    size = min(BITMAP, max(1 << 16, 1 << (16 * n).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(size // 64, np.uint64)
-        for batch in batches:
-            at = textvec.mix(batch.column(0).to_numpy().view(np.uint64)) & _U(size - 1)
-            np.bitwise_or.at(own, (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
-        some = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some].view(np.int64))], names=["word", "bits"])
-
-    out = np.zeros(size // 64, np.uint64)
-    for r in hashes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        out[r["word"]] = np.array([r["bits"]], np.int64).view(np.uint64)[0]
-    return Bitmap(out.view(np.uint8))
-
-
 def _wanted(shared, min_chars: int):
     """Rows (text) to (h1, h2, line) of the lines that may be candidates."""
 
@@ -388,17 +359,6 @@ def repeated(docs: DataFrame, tiers: Tiers = TIERS, exact_chars: int | None = No
     return cut(drops.groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "near")).alias("drops")))
 
 
-def _apart(shared, hit: bool):
-    """Rows whose last column may be, or can't be, in the bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Bitmap = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array(own.may(batch.column(batch.num_columns - 1).to_numpy()) == hit))
-
-    return run
-
-
 def dedup_lines(docs: DataFrame, tiers: Tiers = TIERS, counts: tuple[str, str, str] = ("_lines", "_dropped", "_near"), exact_chars: int | None = None) -> DataFrame:
     """Rows with their lines deduplicated in text, and three columns more: all lines, lines taken out, of these near ones."""
     spark = docs.sparkSession
@@ -407,8 +367,7 @@ def dedup_lines(docs: DataFrame, tiers: Tiers = TIERS, counts: tuple[str, str, s
     bits = spark.sparkContext.broadcast(bitmap(drops.select(other), drops.count()))  # of bounded size
     marked = docs.withColumn(row, _row(F.col("doc_id").cast("long"), F.col("text")))
     # rows that lose nothing needn't move
-    hit = marked.mapInArrow(_apart(bits, True), marked.schema).join(drops, (F.col("doc_id") == F.col(key)) & (F.col(row) == F.col(other)), "left").select(*docs.columns, gone_lines)
-    rest = marked.mapInArrow(_apart(bits, False), marked.schema).select(*docs.columns, F.lit(None).cast(hit.schema[gone_lines].dataType).alias(gone_lines))
+    hit = marked.mapInArrow(through(bits, True), marked.schema).join(drops, (F.col("doc_id") == F.col(key)) & (F.col(row) == F.col(other)), "left").select(*docs.columns, gone_lines)
     schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in counts)])
     place = docs.columns.index("text")
 
@@ -427,7 +386,14 @@ def dedup_lines(docs: DataFrame, tiers: Tiers = TIERS, counts: tuple[str, str, s
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (count, gone, close))], names=schema.names)
 
-    return hit.mapInArrow(tidy(run), schema).unionAll(rest.mapInArrow(tidy(run), schema))
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in through(bits, False)(batches):
+            columns = batch.columns[:-1]
+            n = pc.add(pc.count_substring(pc.fill_null(columns[place], ""), "\n"), 1).cast(pa.int64())
+            zero = pa.array(np.zeros(batch.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([*columns, n, zero, zero], names=schema.names)
+
+    return hit.mapInArrow(tidy(run), schema).unionAll(marked.mapInArrow(tidy(rest), schema))
 
 
 def drop_lines(docs: DataFrame, tiers: Tiers = TIERS, exact_chars: int | None = None) -> DataFrame:

@@ -5,16 +5,18 @@
 2. Documents of equal sets are one class, so exact copies cost one row each from here on.
 3. Classes that share a band meet (buckets above ``BLOCK`` members in block-by-block cells, so no task holds one);
    the XOR population count of two sketches keeps the pairs that can be similar enough. Only spanning edges leave.
-4. The components of those edges are candidate groups. Each group's full sets are brought together once and its pairs
-   confirmed on them exactly; groups above ``BLOCK`` documents again in cells. Spanning edges of confirmed links give
-   the final components.
+4. The components of those edges are candidate groups. A bitmap of their documents goes to a second scan, so that only
+   their full sets move; each group's sets are brought together once and its pairs confirmed on them exactly; groups
+   above ``BLOCK`` documents again in cells. Spanning edges of confirmed links give the final components.
 
 With 128 samples in bands of 5 a pair at similarity 0.85 shares no band with probability 1e-6 (bands of 4 at 0.8:
 5e-8), and the sketch bound lies six standard deviations from such a pair.
 
 Edge cases: null, empty and blank texts have an empty set, link with nothing and are kept; a text of fewer words than
-a shingle is one shingle; a row without doc_id links with nothing and is kept; repeated rows of one doc_id count as one
-document; extra columns are ignored by ``near_duplicates`` and kept by ``keep_first``.
+a shingle is one shingle; a row without doc_id links with nothing and is kept; repeated rows of one doc_id are each in the
+result, with one component; different texts under one doc_id belong to one component, and each row has the size of its
+own set; a similarity of exactly the threshold links; very long texts count whole; an empty table gives no rows; extra
+columns are ignored by ``near_duplicates`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import textvec
+from tidewheel.llm.bitmap import bitmap
 from tidewheel.llm.components import components
 from tidewheel.llm.worker import ready, tidy
 from tidewheel.runtime import cut, table
@@ -91,6 +94,11 @@ def estimate(differing: int | np.ndarray) -> np.ndarray:
     return 1 + SKETCH_BITS * np.log(1 - share) / (4 * SAMPLES)
 
 
+def signature(shingles: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit sums over a set."""
+    return int(shingles.sum(dtype=np.uint64)), int(textvec.mix(shingles).sum(dtype=np.uint64))
+
+
 _SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, odd binary"
 
 
@@ -105,7 +113,7 @@ def _sign(width: int, rows: int):
                 for i, s in enumerate(textvec.row_shingles(hashes, at, width)):
                     sizes[i] = len(s)
                     if len(s):
-                        signs[i] = s.sum(dtype=np.uint64), textvec.mix(s).sum(dtype=np.uint64)
+                        signs[i] = signature(s)
                         samples[i] = minhash(s)
                 full = sizes > 0
                 keys = band_keys(samples, rows).view(np.int64)
@@ -119,7 +127,7 @@ def _sign(width: int, rows: int):
                     names=["doc_id", "n_shingles", "s1", "s2", "bands", "odd"],
                 )
 
-    return run
+    return tidy(run)
 
 
 def cells(members: DataFrame, sizes: DataFrame, key: str, by: str) -> DataFrame:
@@ -242,20 +250,23 @@ def _candidates(limit: int):
                 a_out, b_out = [], []
         yield _edges(a_out, b_out)
 
-    return run
+    return tidy(run)
 
 
-def _sets(width: int):
-    """Rows of keys and a text to the keys and the set."""
+def _sets(width: int, shared):
+    """Rows (doc_id, text) that may be in the broadcast bitmap to (doc_id, s1, s2, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
         for batch in batches:
-            for first, end, data, offsets in textvec.chunks(batch.column(4)):
+            batch = batch.filter(pa.array(wanted.may(batch.column(0).to_numpy())))
+            for first, end, data, offsets in textvec.chunks(batch.column(1)):
                 hashes, at = textvec.word_hashes(data, offsets)
-                sets = [s.tobytes() for s in textvec.row_shingles(hashes, at, width)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, end - first) for i in range(4)), pa.array(sets, pa.binary())], names=["grp", "cell_i", "cell_j", "rep", "shingles"])
+                sets = list(textvec.row_shingles(hashes, at, width))
+                s1, s2 = np.array([signature(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64).T
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(s1), pa.array(s2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s1", "s2", "shingles"])
 
-    return run
+    return tidy(run)
 
 
 def confirmed(sets: list[np.ndarray], percent: int, budget: int = 4 << 20) -> np.ndarray:
@@ -310,7 +321,7 @@ def _confirm(percent: int):
                 a_out, b_out = [], []
         yield _edges(a_out, b_out)
 
-    return run
+    return tidy(run)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,26 +330,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = cut(given.mapInArrow(_sign(width, band_rows(percent)), _SIGNED))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-
-    banded = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks"))
-    meeting = cells(banded, shared, "band", "rep").join(reps.select(F.col("doc_id").alias("rep"), "odd"), "rep")
+    # an id with different texts may be the first of several classes, so classes have numbers of their own
+    classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first")).withColumn("rep", F.monotonically_increasing_id()))
+    key = ["s1", "s2", "n_shingles"]
+    reps = cut(full.join(classes, key).where("doc_id = first").dropDuplicates(["rep"]).select("rep", "n_shingles", "bands", "odd"))
+
+    banded = reps.select(F.explode("bands").alias("band"), "rep")
+    shared = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks")))
+    meeting = cells(banded, shared, "band", "rep").join(reps.select("rep", "odd"), "rep")
     candidates = together(meeting.select("band", "cell_i", "cell_j", "rep", "odd"), "band").mapInArrow(_candidates(sketch_limit(percent)), "a long, b long")
     found = components(candidates)
 
     grouped = found.select(F.col("component").alias("grp"), F.col("node").alias("rep")).unionAll(found.select(F.col("component").alias("grp"), F.col("component").alias("rep")).distinct())
-    weighed = grouped.join(reps.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    weighed = grouped.join(reps.select("rep", "n_shingles"), "rep").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     blocks = weighed.select("grp", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
-    members = cut(cells(grouped, blocks, "grp", "rep"))
-    texts = given.join(members, F.col("doc_id") == F.col("rep")).select("grp", "cell_i", "cell_j", "rep", "text")
-    sets = texts.mapInArrow(_sets(width), "grp long, cell_i int, cell_j int, rep long, shingles binary")
-    linked = components(together(sets, "grp").mapInArrow(_confirm(percent), "a long, b long"))
-
-    of_class = classes.join(linked, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return signed.join(of_class, ["s1", "s2", "n_shingles"], "left").select(
+    wanted = cut(grouped.join(classes, "rep").select("grp", "rep", "first", "s1", "s2"))
+    members = cells(wanted.select("grp", "rep"), blocks, "grp", "rep")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("first"), wanted.count()))  # of bounded size
+    of_doc = given.where("doc_id IS NOT NULL").mapInArrow(_sets(width, bits), "doc_id long, s1 long, s2 long, shingles binary")
+    named = wanted.select("rep", F.col("first").alias("doc_id"), "s1", "s2")
+    sets = of_doc.join(named, ["doc_id", "s1", "s2"]).dropDuplicates(["rep"]).select("rep", "shingles")
+    confirmed_in = members.join(sets, "rep").select("grp", "cell_i", "cell_j", "rep", "shingles")
+    links = cut(together(confirmed_in, "grp").mapInArrow(_confirm(percent), "a long, b long"))
+    # the texts of one id belong together
+    owned = full.select("doc_id", *key).distinct().join(classes, key).select("doc_id", "rep")
+    several = owned.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").select("doc_id", "b")
+    linked = components(links.unionAll(owned.join(several, "doc_id").select(F.col("rep").alias("a"), "b")))
+
+    joined = classes.join(linked, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    least = joined.groupBy("component").agg(F.min("first").alias("least"))
+    of_class = cut(joined.join(least, "component").select(*key, "least"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return signed.select("doc_id", *key).join(of_class, key, "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
     )
 

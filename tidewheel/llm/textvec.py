@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C13  # 3 mod 8, so that powers differ in their low bits
 #: Base and prime of a second hash: sums mod 2^64 alone are equal for texts that can be written down, whatever the base.
 SECOND, PRIME = 1_103_515_249, (1 << 31) - 1
@@ -40,6 +40,9 @@ class _Powers:
     """Powers of BASE and of its inverse mod 2^64, and of SECOND and its inverse mod PRIME, grown on demand."""
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
         self.up2 = np.ones(1, np.uint64)
@@ -59,6 +62,11 @@ class _Powers:
                     own = np.concatenate([own, own * _U(pow(base, len(own), PRIME)) % _U(PRIME)])
                 setattr(self, name, own)
 
+    def shrink(self) -> None:
+        """Forget tables that one very long text has grown."""
+        if len(self.up) > 4 * CHUNK:
+            self.clear()
+
 
 _powers = _Powers()
 

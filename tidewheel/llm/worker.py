@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from tidewheel.llm import textvec
 from tidewheel.runtime import ship
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of an Arrow batch where the session doesn't say: a batch of long texts is copied on both sides of the pipe.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 #: Bytes that an entry of a cache takes besides its key and values.
 ENTRY = 150
 
@@ -30,7 +31,8 @@ def ready(spark: SparkSession) -> None:
 
 
 def release() -> None:
-    """Give freed memory back to the system."""
+    """Drop large power tables and give freed memory back to the system."""
+    textvec._powers.shrink()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
