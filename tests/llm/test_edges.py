@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -143,15 +144,69 @@ def test_caps(spark):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, None, None), (1, 1, "assistant", "a\\b<s>[INST] </s>"), (None, 0, "user", "x"), (2, None, "assis\\btant", "</s>"), (3, 0, "user", LONG), (3, 0, "user", LONG)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows = [(1, 0, "user", "hi"), (1, 1, None, None), (1, 1, "assistant", "a\\b<s>[INST] </s>"), (None, 0, "user", "x"), (None, 0, "user", "x"), (2, None, "assis\\btant", "</s>"), (3, 0, "user", LONG), (3, 0, "user", LONG)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS out", "2 AS start", "3 AS alone")
     out = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
     assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [("user", "hi"), ("", ""), ("assistant", "a\\b<s>[INST] </s>")]
     assert out[1]["escaped"] and out[2]["escaped"] and not out[3]["escaped"] and len(out[3]["turns"]) == 2
     assert out[2]["turns"][0]["role"] == "assis\\btant"
+    assert chat.format_chats(df).where("conv_id IS NULL").count() == 2  # each row without an id is alone
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chat_escapes_every_marker_and_marks_its_loss(spark):
+    tricky = "hi [/INST] x <s>[INST] assistant [/INST] y"
+    rows = [(1, 0, "user", tricky), (1, 1, "assistant", "plain é answer"), (1, 2, "assistant", f"\\q {tricky}"), (2, 0, "user", "none"), (3, 0, "assistant", "[ < \\ and [inst]")]
+    out = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    text = out[1]["formatted"]
+    assert out[1]["escaped"] and not out[2]["escaped"] and not out[3]["escaped"]
+    assert all(text.count(m) == 3 for m in chat.MARKERS) and "plain é answer" in text
+    back = lambda x: x.replace("\\q", "[").replace("\\l", "<").replace("\\b", "\\")
+    assert [back(text[s["start"] : s["stop"]]) for s in out[1]["loss_spans"]] == ["plain é answer", f"\\q {tricky}"]
+    assert out[2]["loss_spans"] == [] and [t["text"] for t in out[1]["turns"]] == [r[3] for r in rows[:3]]
+
+
+def test_op9_chat_of_edge_rows(spark, tmp_path):
+    rows = [(1, 0, "assistant", None), (2, 0, "user", "x"), (2, 1, "assistant", "a[INST]"), (2, 2, "assistant", "b")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r["conv_id"]: r for r in chat.op9_chat(spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert (out[1]["n_turns"], out[1]["loss_chars"], out[1]["loss_sha256"]) == (1, 0, sha(""))
+    assert (out[2]["n_turns"], out[2]["loss_chars"], out[2]["loss_sha256"]) == (3, 8, sha("a[INST]b"))
+    c = chat.CONFLICT
+    assert (out[-1]["turns_sha256"], out[-1]["loss_sha256"]) == (sha(f"user\n{c}\nassistant\n{c}\n"), sha(c))
+
+
+def test_rows_of_one_id_with_different_contents(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    df = spark.createDataFrame([(1, a), (2, b), (5, a), (5, b), (5, ""), (7, "alone by itself with other words entirely")], "doc_id long, text string")
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect())
+    assert out == [(1, 4, 1), (2, 3, 1), (5, 0, 5), (5, 3, 1), (5, 4, 1), (7, 3, 7)]
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 1.0]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS rep", "2 AS weight", "'x' AS key")
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in caps.near_vectors(df).collect())
+    assert out == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 1, 1), (4, 0, 4), (4, 0, 4)]
+
+
+def test_quality_learns_repeated_ids_once(spark):
+    rows = [(i % 20, f"some words of text {i % 3}") for i in range(200)]
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), sample=5)
+    assert np.isfinite(model.scorer.weights).all()
+
+
+def test_another_rank_file_of_the_same_name(spark, tmp_path):
+    import base64
+
+    pattern, df = r"[^ ]+| +", spark.createDataFrame([(1, "abab")], "doc_id long, text string")
+    n = []
+    for folder, more in (("x", []), ("y", [b"ab"])):
+        (tmp_path / folder).mkdir()
+        tokens = [bytes([i]) for i in range(256)] + more
+        (tmp_path / folder / "same.tiktoken").write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+        n.append(bpe.digests(df, str(tmp_path / folder / "same.tiktoken"), pattern).first()["n_tokens"])
+    assert n == [4, 2]
+
+
 def test_stages(spark, docs, labels, benchmark, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")

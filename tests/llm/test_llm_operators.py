@@ -366,6 +366,12 @@ def test_a_value_in_many_repositories_of_few_owners(spark):
     assert {rows[i] for i in range(200)} == {("", 0, 1)} and {rows[1000 + i] for i in range(3)} == {("token:0:26", 1, 0)}
 
 
+def test_owners_that_are_null_are_one_of_their_own(spark):
+    docs = [(1, "token=valuevaluevalue", None), (2, "token=valuevaluevalue", ""), (3, "token=valuevaluevalue", "a")]
+    rows = secrets.secrets(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert all(r["n_example"] == 1 and r["n_live"] == 0 for r in rows)
+
+
 def test_url_rules_and_templates(spark):
     pages = [(1, "http://x.example.com/en/7?q"), (2, "http://x.example.com/en/8"), (3, "http://shop.example.net/de/8"), (4, "http://com/en/"), (5, "http://notcom/en/1"), (6, "http://a.org/es/x")]
     pages += [(100 + i, f"http://bad.example.info/spam/{i}") for i in range(30)] + [(200 + i, f"http://good.example.info/post/word{i}x") for i in range(30)]
@@ -375,6 +381,82 @@ def test_url_rules_and_templates(spark):
     assert {rows[100 + i]["verdict"] for i in range(30)} == {"block"} and {rows[200 + i]["verdict"] for i in range(30)} == {"allow"}
 
 
+def plain_tree(pages, labels):
+    """Templates and verdicts of (page_id, host, path) by a recursive tree; labels: bad by page_id."""
+    leaves: dict = {}
+    for i, host, path in pages:
+        key = host, tuple(regex.sub("[0-9]+", "*", path).split("/"))
+        n, b = leaves.get(key, (0, 0))
+        leaves[key] = n + (i in labels), b + labels.get(i, 0)
+    template: dict = {}
+
+    def grow(prefix, mine, level):
+        """mine: leaves below one generalised prefix."""
+        for x in [x for x in mine if len(x[1]) == level]:
+            template[x] = prefix
+        mine = [x for x in mine if len(x[1]) > level]
+        children = {x[1][level] for x in mine}
+        wild = len(children) >= urls.VARIABLE and 2 * len(children) >= len(mine)
+        below: dict = {}
+        for x in mine:
+            below.setdefault("*" if wild else x[1][level], []).append(x)
+        for child, xs in below.items():
+            grow((*prefix, child), xs, level + 1)
+
+    for host in {h for h, _ in leaves}:
+        grow((), [x for x in leaves if x[0] == host], 0)
+    deepest = max(map(len, template.values()))
+    changed = True
+    while changed:
+        changed = False
+        for level in reversed(range(deepest)):
+            counts: dict = {}
+            for x, t in template.items():
+                n, b = counts.get((x[0], t), (0, 0))
+                counts[x[0], t] = n + leaves[x][0], b + leaves[x][1]
+            pools: dict = {}
+            for host, t in counts:
+                if len(t) > level and t[level] and (t[level] == "*" or "*" not in t[level]):
+                    pools.setdefault((host, (*t[:level], "*", *t[level + 1 :])), []).append(t)
+            move = {}
+            for (host, up), ts in pools.items():
+                n, b = (sum(counts[host, t][k] for t in ts) for k in (0, 1))
+                for t in ts if len(ts) > 1 else []:
+                    own = counts[host, t]
+                    if t != up and (own[0] == 0 or abs(own[1] / own[0] - b / n) <= urls.SIMILAR * (b / n * (1 - b / n) / own[0]) ** 0.5):
+                        move[host, t] = up
+            changed |= bool(move)
+            template = {x: move.get((x[0], t), t) for x, t in template.items()}
+    total = [sum(v[k] for v in leaves.values()) for k in (0, 1)]
+    prior = total[1] / total[0] if total[0] else 0.0
+    counts = {}
+    for x, t in template.items():
+        n, b = counts.get((x[0], t), (0, 0))
+        counts[x[0], t] = n + leaves[x][0], b + leaves[x][1]
+    out = {}
+    for i, host, path in pages:
+        t = template[host, tuple(regex.sub("[0-9]+", "*", path).split("/"))]
+        n, b = counts[host, t]
+        out[i] = "/".join(t), "block" if n and (b + urls.WEIGHT * prior) / (n + urls.WEIGHT) >= urls.LIMIT else "allow"
+    return out
+
+
+def test_url_tree_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    pages = [(i, "a.example.info", f"/u/{word()}/{word()}/{word()}") for i in range(200)]
+    pages += [(1000 + i, "b.example.info", f"/{rng.choice(('news', 'spam', 'blog', 'shop'))}/{rng.choice(('x', 'y', 'z'))}/{word()}") for i in range(300)]
+    pages += [(2000 + i, "c.example.info", f"/user/{word()}/post/{rng.choice((word(), 'about'))}") for i in range(120)]
+    pages += [(3000 + i, "c.example.info", f"/item/{i % 40}/a{i % 7}") for i in range(80)] + [(4000, "d.example.info", ""), (4001, "d.example.info", "/"), (4002, "d.example.info", "/one")]
+    pages += [(5000 + i, *pages[i % 50][1:]) for i in range(100)]  # copies don't change the tree
+    bad = {i: int("/u/" in path or "/spam/" in path or rng.random() < 0.2) for i, _, path in pages if rng.random() < 0.5}
+    df = spark.createDataFrame([(i, f"http://{host}{path}") for i, host, path in pages], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in urls.filter_urls(df, labels, rules=()).collect()}
+    assert got == plain_tree(pages, bad)
+    assert {got[i] for i in range(200)} == {("/u/*/*/*", "block")}
+
+
 def test_sql_oracles(spark):
     import duckdb
 

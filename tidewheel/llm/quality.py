@@ -6,7 +6,8 @@ without any true label; a pattern's posterior is its documents' weak label. A ha
 and word shapes) learns the weak labels of a bounded sample and then scores every whole text.
 
 Edge cases: null, empty and blank texts get score 0 and aren't learned from; an empty table has no rows; repeated rows
-are scored each; rows with a null id are scored; extra columns are ignored.
+are scored each; of rows of one id the least text is learned from; rows with a null id are scored; very long texts count
+whole; a score of exactly the threshold is kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def patterns(docs: DataFrame) -> DataFrame:
     """doc_id and the number of its vote pattern."""
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_patterns, "doc_id long, pattern long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_patterns), "doc_id long, pattern long")
 
 
 @dataclass
@@ -235,17 +236,29 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     if not len(number):
         return Model(Weak(0.5, np.full((2, len(LABELLERS), 3), 1 / 3)), Scorer(np.zeros(BUCKETS, np.float32), 0.0))
     weak = expectation_maximisation(_votes(number), np.array([r["count"] for r in counts]), false_alarms=FALSE_ALARMS)
-    chosen = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").collect()  # chosen is bounded by sample
-    bags, targets = [], []
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "")):
-        data = np.frombuffer((r["text"] or "").encode(), np.uint8)
-        own = look(data, np.array([0, len(data)], np.int64))
-        if len(own.word):
-            used, count = np.unique(features(own), return_counts=True)
-            bags.append((used, (count / len(own.word)).astype(np.float32)))
-            targets.append(weak.posterior(own.votes)[0])
-    return Model(weak, train(bags, np.array(targets)))
+    # as many ids as the sample at most; of rows of one id the least text
+    known = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id"), "text")
+    chosen = known.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = known.join(F.broadcast(chosen), "_id", "left_semi").groupBy("_id").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, targets = [], []
+        for batch in batches:
+            for _, _, data, offsets in textvec.chunks(batch.column(1)):
+                seen = look(data, offsets)
+                used, post = features(seen), weak.posterior(seen.votes)
+                for r in range(len(offsets) - 1):
+                    own = used[seen.rows[r] : seen.rows[r + 1]]
+                    if len(own):
+                        of, count = np.unique(own, return_counts=True)
+                        bags.append((of, (count / len(own)).astype(np.float32)))
+                        targets.append(post[r])
+        scorer = train(bags, np.array(targets))
+        yield pa.RecordBatch.from_arrays([pa.array([scorer.weights.tobytes()], pa.binary()), pa.array([scorer.bias])], names=["weights", "bias"])
+
+    # one task of an executor: only the weights come to the driver, and a text only counts as a bag of buckets
+    found = rows.repartition(1).sortWithinPartitions("_id").mapInArrow(tidy(run), "weights binary, bias double").first()
+    return Model(weak, Scorer(np.frombuffer(found["weights"], np.float32), found["bias"]) if found else train([], np.zeros(0)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -259,7 +272,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 seen = look(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(own.scorer.score(seen)), pa.array(own.weak.posterior(seen.votes))], names=["doc_id", "score", "weak"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, weak double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double, weak double")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

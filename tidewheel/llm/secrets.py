@@ -1,21 +1,23 @@
 """Secret scanning with corpus-wide ownership frequency, in DataFrame functions only.
 
-Spans come from ``split`` and ``regexp_extract_all`` over the same pattern: the pieces outside and inside matches
-alternate, so their lengths in code points give every offset without a Python function. Each candidate value is then
-counted over the corpus: the distinct owners (``source``) and repositories (documents) that hold it. A value of many
-owners or many repositories is an example that was copied; one of few owners and few repositories is live-looking. The
-SQL oracle counts owners only: it says the same of values in at most ``MAX_REPOSITORIES`` repositories.
+Pieces come from ``split`` and ``regexp_extract_all`` over the same pattern: what is outside and inside matches
+alternates, so a running sum of their lengths in code points gives every offset without a Python function. Each
+candidate value is then counted over the corpus: the distinct owners (``source``) and repositories (documents) that hold
+it. A value of many owners or many repositories is an example that was copied; one of few owners and few repositories is
+live-looking.
 
 Kinds, in this order: ``assign``, ``access`` and ``hex`` are the base; ``token`` (published prefixes of service
 tokens) is added by the method, outside base spans and only if its value is live-looking.
 
-Edge cases: null text counts as empty; a null owner is an owner of its own; documents without spans have empty
-strings and zero counts; repeated rows are scanned each on their own; extra columns are ignored.
+Edge cases: null text counts as empty; rows without an owner have one owner in common, which is no other's; documents
+without spans have empty strings and zero counts; repeated rows are scanned each on their own, but count as one
+repository; a value with exactly the most owners or repositories is live-looking; very long texts are scanned whole, in
+time linear in their pieces; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.runtime import cut, table
@@ -37,20 +39,13 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 STEMS = ("sk_live_", "sk-", "ghp_", "gho_", "glpat-", "xoxb-", "xoxp-", "npm_", "hf_")
 
 
-def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """Array of (start, kind, end, value) of the matches of ``pattern``."""
-    inside = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    outside = F.split(text, pattern, -1)
-    pieces = F.arrays_zip(outside.alias("o"), inside.alias("i"))
-    empty = F.expr("struct(0 AS at, CAST(array() AS array<struct<start:int,kind:int,end:int,value:string>>) AS found)")
-
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.char_length(piece["o"])
-        end = start + F.coalesce(F.char_length(piece["i"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), piece["i"].alias("value")))
-        return F.struct(end.alias("at"), F.when(piece["i"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
-
-    return F.aggregate(pieces, empty, step, lambda acc: acc["found"])
+def _pieces(text: Column, pattern: str, kind: int) -> Column:
+    """Array of (kind, place, gap, size, value): the characters before each match, and the match (null after the last)."""
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("o"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("i"))
+    return F.transform(
+        pieces,
+        lambda p, n: F.struct(F.lit(kind).alias("kind"), n.alias("place"), F.char_length(p["o"]).alias("gap"), F.coalesce(F.char_length(p["i"]), F.lit(0)).alias("size"), p["i"].alias("value")),
+    )
 
 
 def _listed(spans: Column) -> Column:
@@ -61,9 +56,12 @@ def _listed(spans: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
-    """doc_id, owner, base and more: arrays of the spans found in each text."""
-    none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,value:string>>)")
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): row and doc_id of each document; row, doc_id, owner, kind, start, end, value of each span.
+
+    Only documents with a match go on to the spans, and only their pieces' lengths and matches, not their texts.
+    """
+    none = F.expr("CAST(array() AS array<struct<kind:int,place:int,gap:int,size:int,value:string>>)")
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     low = F.lower("t")
     named = low.contains(WORDS[0])
@@ -72,50 +70,61 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     stem = F.col("t").contains(STEMS[0])
     for w in STEMS[1:]:
         stem = stem | F.col("t").contains(w)
-    assign = F.when(named, _spans(F.col("t"), ASSIGN, 0)).otherwise(none)
-    value = lambda s: F.regexp_extract(s["value"], ASSIGN, 2)
-    assign = F.filter(
-        F.transform(assign, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), value(s).alias("value"))),
-        lambda s: F.char_length(s["value"]) >= ASSIGN_MIN,
+    found = F.concat(
+        F.when(named, _pieces(F.col("t"), ASSIGN, 0)).otherwise(none),
+        F.when(F.col("t").contains("AKIA"), _pieces(F.col("t"), ACCESS, 1)).otherwise(none),
+        F.when(F.col("t").rlike(HEX), _pieces(F.col("t"), HEX, 2)).otherwise(none),
+        F.when(stem, _pieces(F.col("t"), TOKEN, 3)).otherwise(none),
+    )
+    rows = cut(given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", found.alias("pieces")))
+    each = rows.where("size(pieces) > 0").select("row", "doc_id", "owner", F.explode("pieces").alias("p")).select("row", "doc_id", "owner", "p.*")
+    along = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.when(F.col("kind") == 0, F.regexp_extract("value", ASSIGN, 2)).otherwise(F.col("value"))
+    spans = (
+        each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(along))
+        .where("value IS NOT NULL")
+        .select("row", "doc_id", "owner", "kind", (F.col("end") - F.col("size")).alias("start"), "end", value.alias("value"))
+        .where((F.col("kind") != 0) | (F.char_length("value") >= ASSIGN_MIN))
     )
-    access = F.when(F.col("t").contains("AKIA"), _spans(F.col("t"), ACCESS, 1)).otherwise(none)
-    runs = F.when(F.col("t").rlike(HEX), _spans(F.col("t"), HEX, 2)).otherwise(none)
-    more = F.when(stem, _spans(F.col("t"), TOKEN, 3)).otherwise(none)
-    found = given.select("doc_id", "owner", F.concat(assign, access, runs).alias("base"), more.alias("more"))
-    clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.select("doc_id", "owner", "base", clear.alias("more"))
+    # a token overlaps a base span that starts no later and ends after its start, or one that starts inside it
+    order = Window.partitionBy("row").orderBy("start")
+    base = F.col("kind") < 3
+    before = F.max(F.when(base, F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(base, F.col("start"))).over(order.rangeBetween(0, Window.unboundedFollowing))
+    clear = base | (F.coalesce(before <= F.col("start"), F.lit(True)) & F.coalesce(after >= F.col("end"), F.lit(True)))
+    marked = spans.withColumn("clear", clear).where("clear").drop("clear")
+    return rows.select("row", "doc_id"), cut(marked)
 
 
-def ownership(found: DataFrame) -> DataFrame:
+def ownership(spans: DataFrame) -> DataFrame:
     """value hash, owners, repositories: over every candidate of the corpus."""
-    each = found.select("doc_id", "owner", F.explode(F.concat("base", "more")).alias("s")).select("doc_id", F.coalesce("owner", F.lit("")).alias("owner"), F.sha2(F.col("s.value"), 256).alias("value"))
+    each = spans.select("doc_id", "owner", F.sha2("value", 256).alias("value"))
     by_owner = each.groupBy("value", "owner").agg(F.count_distinct("doc_id").alias("repositories"))
     return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
 
 
 def secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, doc_id: str = "doc_id", text: str = "text", owner: str = "source", max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example of each row."""
-    found = cut(scan(docs, doc_id, text, owner).withColumn("row", F.monotonically_increasing_id()))
-    counts = ownership(found).withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
-    each = found.where("size(base) + size(more) > 0").select("row", F.explode(F.concat("base", "more")).alias("s"))
-    judged = (
-        each.withColumn("value", F.sha2(F.col("s.value"), 256))
-        .join(counts.select("value", "live"), "value")
+    rows, spans = scan(docs, doc_id, text, owner)
+    live = cut(ownership(spans).select("value", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live")))
+    span, base = F.struct("start", "kind", "end"), F.col("kind") < 3
+    of_row = (
+        spans.withColumn("value", F.sha2("value", 256))
+        .join(live, "value")
         .groupBy("row")
         .agg(
-            F.collect_list(F.when((F.col("s.kind") < 3) | F.col("live"), F.col("s"))).alias("all"),
+            *[F.count_if(F.col("kind") == k).alias(name) for k, name in enumerate(("n_assign", "n_access", "n_hex"))],
+            _listed(F.collect_list(F.when(base, span))).alias("base"),
+            _listed(F.collect_list(F.when(base | F.col("live"), span))).alias("spans"),
             F.count_if("live").alias("n_live"),
             F.count_if(~F.col("live")).alias("n_example"),
         )
     )
-    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    plain = found.select("row", "doc_id", of_kind(0).alias("n_assign"), of_kind(1).alias("n_access"), of_kind(2).alias("n_hex"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"))
-    zero = F.lit(0).cast("long")
-    return plain.join(judged, "row", "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
-        F.coalesce(_listed(F.col("all")), F.lit("")).alias("spans"),
-        F.coalesce("n_live", zero).alias("n_live"),
-        F.coalesce("n_example", zero).alias("n_example"),
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    text_of = lambda c: F.coalesce(c, F.lit(""))
+    return rows.join(of_row, "row", "left").select(
+        "doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(text_of("base"), 256).alias("base_sha256"),
+        text_of("spans").alias("spans"), zero("n_live"), zero("n_example"),
     )
 
 
@@ -153,11 +162,12 @@ found AS (
   SELECT row_number() OVER () AS r, doc_id, owner, a, b, c, list_concat(list_concat(a, b), c) AS base,
     list_filter(d, lambda m: len(list_filter(list_concat(list_concat(a, b), c), lambda s: s.start < m.end AND m.start < s.end)) = 0) AS more
   FROM raw),
-each AS (SELECT r, doc_id, coalesce(owner, '') AS owner, unnest(list_concat(base, more)) AS s FROM found),
-counts AS (SELECT s.value AS value, count(DISTINCT owner) AS owners FROM each GROUP BY ALL),
+each AS (SELECT r, doc_id, owner, unnest(list_concat(base, more)) AS s FROM found),
+held AS (SELECT s.value AS value, owner, count(DISTINCT doc_id) AS repositories FROM each GROUP BY ALL),
+counts AS (SELECT value, count(*) <= {MAX_OWNERS} AND sum(repositories) <= {MAX_REPOSITORIES} AS live FROM held GROUP BY value),
 judged AS (
-  SELECT r, count(*) FILTER (owners <= {MAX_OWNERS}) AS n_live, count(*) FILTER (owners > {MAX_OWNERS}) AS n_example,
-    string_agg(CASE WHEN s.kind < 3 OR owners <= {MAX_OWNERS} THEN ['assign', 'access', 'hex', 'token'][s.kind + 1] || ':' || s.start::BIGINT || ':' || s.end::BIGINT END, ',' ORDER BY s.start, s.kind) AS spans
+  SELECT r, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example,
+    string_agg(CASE WHEN s.kind < 3 OR live THEN ['assign', 'access', 'hex', 'token'][s.kind + 1] || ':' || s.start::BIGINT || ':' || s.end::BIGINT END, ',' ORDER BY s.start, s.kind) AS spans
   FROM each JOIN counts ON s.value = counts.value GROUP BY r),
 based AS (
   SELECT r, string_agg(['assign', 'access', 'hex'][s.kind + 1] || ':' || s.start::BIGINT || ':' || s.end::BIGINT, ',' ORDER BY s.start, s.kind) AS listed

@@ -2,16 +2,21 @@
 
 Each page gets host and path. A fixed list of (host, path prefix) rules comes first: a rule fits its host and all
 subdomains if the path starts with its path, and the longest rule wins. Pages without a rule are judged by templates:
-digit runs in a path become ``*``; a node of a host's tree whose children are nearly all different becomes a wildcard
-too; a branch whose labelled share doesn't differ significantly from that of its siblings together is merged with
-them; and a template with labelled pages is blocked if its smoothed share of bad ones reaches a limit.
+
+1. Digit runs in a path become ``*``, and equal paths of a host are one leaf, so copied pages don't change the tree.
+2. From the top, level by level: a node whose children are many and nearly all different becomes variable, and what is
+   below its children is pooled under one wildcard before the next level is judged.
+3. From the leaves up: branches that differ in one segment only are merged into a wildcard if their labelled share
+   doesn't differ significantly from that of all of them together; this is repeated until nothing changes.
+4. A template with labelled pages is blocked if its smoothed share of bad ones reaches a limit.
 
 Labels come from a labelled table by page id: bad is quality 0 or toxic 1. All counts are over all pages.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and is judged by the template of the empty
-path; pages without labels count for the tree's shape only; with no labelled page at all everything without a rule is
-allowed; repeated rows are judged each; several labels of a page count as one, bad if any is; extra columns are
-ignored.
+path; what is deeper than ``DEPTH`` segments is one segment; pages without labels count for the tree's shape only; with
+no labelled page at all everything without a rule is allowed; repeated rows are judged each; several labels of a page
+count as one, bad if any is; a share of exactly the limit blocks; very long urls count whole; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.runtime import table
+from tidewheel.runtime import cut, table
 
 #: The contract's rules: verdict and rule.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: A node with this many different children, and at least half as many as pages, is variable.
+#: A node with this many different children, and at least half as many as leaves below it, is variable.
 VARIABLE = 20
+#: Segments of a path; the last one holds all that is deeper.
+DEPTH = 10
+#: Sweeps of merging, at most: each one leaves fewer templates, so it only bounds the plan.
+SWEEPS = 20
 #: Standard errors within which a branch counts as similar to its siblings.
 SIMILAR = 2.0
 #: Pages' worth of weight of the overall bad share, and the smoothed share that blocks.
@@ -44,6 +53,8 @@ def parts(url: Column) -> tuple[Column, Column]:
 def fitting(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else null. ``rules`` is a short fixed list."""
     rule = verdict = None
+    if not rules:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
     for said, text in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         own, slash, start = text.partition("/")
         fits = ((host == own) | host.endswith("." + own)) & path.startswith(slash + start)
@@ -52,11 +63,57 @@ def fitting(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def parent(template: Column) -> Column:
-    """The template with its last fixed segment as a wildcard."""
-    segments = F.split(template, "/", -1)
-    fixed = F.transform(segments, lambda s, i: F.when((s != "") & ~s.contains("*"), i).otherwise(-1))
-    return F.array_join(F.transform(segments, lambda s, i: F.when(i == F.array_max(fixed), "*").otherwise(s)), "/")
+def segments(typed: Column, depth: int = DEPTH) -> Column:
+    """The first ``depth`` - 1 segments of a path and the rest as one."""
+    return F.split(typed, "/", depth)
+
+
+def generalised(leaves: DataFrame) -> DataFrame:
+    """host, typed, path: each leaf's template, its segments as an array."""
+    state = leaves.select("host", "typed", segments(F.col("typed")).alias("s"), F.expr("CAST(array() AS array<string>)").alias("path"))
+    deepest = leaves.agg(F.max(F.size(segments(F.col("typed"))))).first()[0] or 0
+    for level in range(deepest):
+        here = F.size("s") > level
+        child = F.get("s", F.lit(level))
+        each = state.where(here).groupBy("host", "path", child.alias("child")).agg(F.count(F.lit(1)).alias("n"))
+        nodes = each.groupBy("host", "path").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("leaves"))
+        variable = cut(nodes.where(f"children >= {VARIABLE} AND 2 * children >= leaves").select("host", "path", F.lit(True).alias("variable")))
+        grown = F.concat("path", F.array(F.when(F.col("variable"), "*").otherwise(child)))
+        state = cut(state.join(variable, ["host", "path"], "left").select("host", "typed", "s", F.when(here, grown).otherwise(F.col("path")).alias("path")))
+    return state.select("host", "typed", "path")
+
+
+def _wild(path: Column, level: int) -> Column:
+    """A path with a wildcard at one level."""
+    return F.transform(path, lambda s, i: F.when(i == level, "*").otherwise(s))
+
+
+def merged(templates: DataFrame, similar: float, deepest: int) -> DataFrame:
+    """host, path, grp: the template that each template (host, path, n, b) ends in."""
+    names = cut(templates.select("host", "path", F.col("path").alias("grp")))
+    now = cut(templates)
+    for _ in range(SWEEPS):
+        changed = False
+        for level in reversed(range(deepest)):
+            own = F.get("path", F.lit(level))
+            fixed = own.isNotNull() & (own != "") & ~F.contains(own, F.lit("*"))
+            up = _wild(F.col("path"), level)
+            branches = now.select("host", "path", "n", "b", F.when(fixed, up).alias("up"))
+            # a wildcard that is there already is one of the branches
+            branches = branches.withColumn("up", F.when(fixed, F.col("up")).when(own == "*", F.col("path")))
+            pool = branches.where("up IS NOT NULL").groupBy("host", "up").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.count(F.lit(1)).alias("branches")).where("branches > 1")
+            share, rate = F.try_divide("all_b", "all_n"), F.try_divide("b", "n")
+            near = (F.col("n") == 0) | (F.abs(rate - share) <= similar * F.sqrt(F.try_divide(share * (1 - share), F.col("n"))))
+            joined = branches.join(pool, ["host", "up"]).where(near | F.col("all_n").isNull() | (F.col("path") == F.col("up")))
+            moves = cut(joined.where("path != up").select("host", "path", "up"))
+            if moves.isEmpty():
+                continue
+            changed = True
+            names = cut(names.join(moves.withColumnRenamed("path", "grp"), ["host", "grp"], "left").select("host", "path", F.coalesce("up", "grp").alias("grp")))
+            now = cut(now.join(moves, ["host", "path"], "left").select("host", F.coalesce("up", "path").alias("path"), "n", "b").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
+        if not changed:
+            return names.join(now.select("host", F.col("path").alias("grp"), "n", "b"), ["host", "grp"])
+    raise RuntimeError(f"templates did not settle within {SWEEPS} sweeps")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, weight: float = WEIGHT, limit: float = LIMIT, similar: float = SIMILAR) -> DataFrame:
@@ -67,32 +124,17 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, weight: float
     given = given.withColumns({"rule": rule, "said": said, "typed": F.regexp_replace("path", "[0-9]+", "*")})
     bad = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
 
-    leaves = given.join(bad, "page_id", "left").groupBy("host", "typed").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    segments = leaves.select("host", "typed", "pages", F.posexplode(F.split("typed", "/", -1)).alias("pos", "segment")).withColumn(
-        "above", F.array_join(F.slice(F.split("typed", "/", -1), F.lit(1), F.col("pos")), "/")
-    )
-    nodes = segments.groupBy("host", "pos", "above").agg(F.count_distinct("segment").alias("children"), F.sum("pages").alias("pages"))
-    variable = nodes.select("host", "pos", "above", ((F.col("children") >= VARIABLE) & (2 * F.col("children") >= F.col("pages"))).alias("variable"))
-    templates = (
-        segments.join(variable, ["host", "pos", "above"])
-        .groupBy("host", "typed")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("variable"), "*").otherwise(F.col("segment")).alias("s")))).alias("all"))
-        .select("host", "typed", F.array_join(F.transform("all", lambda x: x["s"]), "/").alias("template"))
-    )
-    counted = leaves.join(templates, ["host", "typed"]).groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).withColumn("parent", parent(F.col("template")))
-    together = counted.groupBy("host", "parent").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
-    share = F.try_divide("all_b", "all_n")
-    own = F.try_divide("b", "n")
-    near = (F.col("n") == 0) | (F.abs(own - share) <= similar * F.sqrt(F.try_divide(share * (1 - share), F.col("n"))))
-    branches = counted.join(together, ["host", "parent"]).withColumn("merged", F.coalesce(near, F.lit(True)))
-    pools = branches.groupBy("host", "parent").agg(F.sum(F.when(F.col("merged"), F.col("n"))).alias("pool_n"), F.sum(F.when(F.col("merged"), F.col("b"))).alias("pool_b"))
+    leaves = cut(given.join(bad, "page_id", "left").groupBy("host", "typed").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")))
+    paths = cut(generalised(leaves))
+    counted = leaves.join(paths, ["host", "typed"]).groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    deepest = paths.agg(F.max(F.size("path"))).first()[0] or 0
+    ends = merged(counted, similar, deepest)
     # one number: the overall bad share of labelled pages
     total = leaves.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
     prior = float(total["b"]) / float(total["n"]) if total["n"] else 0.0
-    n = F.when(F.col("merged"), F.col("pool_n")).otherwise(F.col("n"))
-    b = F.when(F.col("merged"), F.col("pool_b")).otherwise(F.col("b"))
-    judged = branches.join(pools, ["host", "parent"]).select("host", "template", F.when(F.col("merged"), F.col("parent")).otherwise(F.col("template")).alias("group"), ((b + weight * prior) / (n + weight)).alias("purity"), n.alias("n"))
-    by_path = templates.join(judged, ["host", "template"]).select("host", "typed", F.col("group").alias("template"), "purity", "n")
+    purity = (F.col("b") + weight * prior) / (F.col("n") + weight)
+    judged = ends.select("host", "path", F.array_join("grp", "/").alias("template"), purity.alias("purity"), "n")
+    by_path = cut(paths.join(judged, ["host", "path"]).select("host", "typed", "template", "purity", "n"))
     method = F.when((F.col("purity") >= limit) & (F.col("n") > 0), "block").otherwise("allow")
     return given.join(by_path, ["host", "typed"]).select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
@@ -109,31 +151,44 @@ def _rules_sql(value: int) -> str:
     return out + " END"
 
 
+def _grow_sql(levels: int) -> str:
+    """The tree from the top: t0 has no segments yet, t<k> the first k."""
+    out = ["t0 AS (SELECT host, typed, [y for y in list_concat(string_split(typed, '/')[1:{0}], [array_to_string(string_split(typed, '/')[{1}:], '/')]) if y IS NOT NULL] AS s, []::VARCHAR[] AS path FROM leaves WHERE len(string_split(typed, '/')) > {0} UNION ALL SELECT host, typed, string_split(typed, '/'), [] FROM leaves WHERE len(string_split(typed, '/')) <= {0})".format(DEPTH - 1, DEPTH)]
+    for k in range(1, levels + 1):
+        out.append(f"v{k} AS (SELECT host, path FROM t{k - 1} WHERE len(s) >= {k} GROUP BY ALL HAVING count(DISTINCT s[{k}]) >= {VARIABLE} AND 2 * count(DISTINCT s[{k}]) >= count(*))")
+        out.append(f"t{k} AS (SELECT host, typed, s, CASE WHEN len(s) >= {k} THEN list_append(path, CASE WHEN (host, path) IN (SELECT (host, path) FROM v{k}) THEN '*' ELSE s[{k}] END) ELSE path END AS path FROM t{k - 1})")
+    return ",\n".join(out)
+
+
+def _merge_sql(steps: list[int]) -> tuple[str, int]:
+    """Merges at these levels, one after the other: m<k> has each template and where it has got."""
+    out = []
+    for k, level in enumerate(steps, 1):
+        out.append(f"""b{k} AS MATERIALIZED (SELECT host, grp, sum(n) AS n, sum(b) AS b,
+  CASE WHEN len(grp) >= {level} AND grp[{level}] <> '' AND NOT contains(grp[{level}], '*') THEN list_concat(list_append(grp[1:{level - 1}], '*'), grp[{level + 1}:]) WHEN len(grp) >= {level} AND grp[{level}] = '*' THEN grp END AS up
+  FROM m{k - 1} GROUP BY host, grp),
+p{k} AS MATERIALIZED (SELECT host, up, sum(n) AS all_n, sum(b) AS all_b FROM b{k} WHERE up IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+c{k} AS MATERIALIZED (SELECT b{k}.host, grp, b{k}.up FROM b{k} JOIN p{k} ON b{k}.host = p{k}.host AND b{k}.up = p{k}.up
+  WHERE grp <> b{k}.up AND (n = 0 OR abs(b / n - all_b / all_n) <= {SIMILAR} * sqrt((all_b / all_n) * (1 - all_b / all_n) / n))),
+m{k} AS MATERIALIZED (SELECT m.host, m.path, coalesce(c.up, m.grp) AS grp, n, b FROM m{k - 1} m LEFT JOIN c{k} c ON m.host = c.host AND m.grp = c.grp)""")
+    return ",\n".join(out), len(steps)
+
+
+#: Levels of the test tables' paths, and sweeps after which their templates have settled.
+_LEVELS, _SWEEPS = 4, 2
+_MERGES, _LAST = _merge_sql([level for _ in range(_SWEEPS) for level in range(_LEVELS, 0, -1)])
 SQL = f"""
 WITH rest AS (SELECT page_id::BIGINT AS page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 split AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 given AS (SELECT *, {_rules_sql(1)} AS rule, {_rules_sql(0)} AS said, regexp_replace(path, '[0-9]+', '*', 'g') AS typed FROM split),
 bad AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY ALL),
-leaves AS (SELECT host, typed, count(*) AS pages, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM given LEFT JOIN bad USING (page_id) GROUP BY ALL),
-segments AS (
-  SELECT host, typed, pages, i - 1 AS pos, string_split(typed, '/')[i] AS segment, array_to_string(string_split(typed, '/')[1:i-1], '/') AS above
-  FROM (SELECT *, unnest(range(1, len(string_split(typed, '/')) + 1)) AS i FROM leaves)),
-variable AS (SELECT host, pos, above, count(DISTINCT segment) >= {VARIABLE} AND 2 * count(DISTINCT segment) >= sum(pages) AS variable FROM segments GROUP BY ALL),
-templates AS (SELECT host, typed, string_agg(CASE WHEN variable THEN '*' ELSE segment END, '/' ORDER BY pos) AS template FROM segments JOIN variable USING (host, pos, above) GROUP BY ALL),
-counted AS (SELECT host, template, sum(n) AS n, sum(b) AS b FROM leaves JOIN templates USING (host, typed) GROUP BY ALL),
-branched AS (
-  SELECT *, array_to_string(list_transform(segs, lambda s, i: CASE WHEN i = last THEN '*' ELSE s END), '/') AS parent
-  FROM (SELECT *, list_max(list_transform(segs, lambda s, i: CASE WHEN s <> '' AND NOT contains(s, '*') THEN i ELSE -1 END)) AS last
-        FROM (SELECT *, string_split(template, '/') AS segs FROM counted))),
-branches AS (
-  SELECT host, template, parent, n, b, coalesce(n = 0 OR abs(b / n - all_b / all_n) <= {SIMILAR} * sqrt((all_b / all_n) * (1 - all_b / all_n) / n), true) AS merged
-  FROM branched JOIN (SELECT host, parent, sum(n) AS all_n, sum(b) AS all_b FROM branched GROUP BY ALL) USING (host, parent)),
-pools AS (SELECT host, parent, sum(n) FILTER (merged) AS pool_n, sum(b) FILTER (merged) AS pool_b FROM branches GROUP BY ALL),
+leaves AS (SELECT host, typed, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM given LEFT JOIN bad USING (page_id) GROUP BY ALL),
+{_grow_sql(_LEVELS)},
+m0 AS MATERIALIZED (SELECT t.host, t.path, t.path AS grp, sum(n) AS n, sum(b) AS b FROM leaves JOIN t{_LEVELS} t USING (host, typed) GROUP BY ALL),
+{_MERGES},
 prior AS (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) AS p FROM leaves),
-judged AS (
-  SELECT host, template, CASE WHEN merged THEN parent ELSE template END AS grp, CASE WHEN merged THEN pool_n ELSE n END AS seen,
-    ((CASE WHEN merged THEN pool_b ELSE b END) + {WEIGHT}::DOUBLE * p) / ((CASE WHEN merged THEN pool_n ELSE n END) + {WEIGHT}::DOUBLE) AS purity
-  FROM branches JOIN pools USING (host, parent), prior)
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= {LIMIT} AND seen > 0 THEN 'block' ELSE 'allow' END) AS verdict, grp AS template, round(purity, 6) AS purity
-FROM given JOIN templates USING (host, typed) JOIN judged USING (host, template)
+pooled AS (SELECT host, grp, sum(n) AS seen, sum(b) AS b FROM m{_LAST} GROUP BY ALL),
+judged AS (SELECT m.host, m.path, m.grp, seen, (pooled.b + {WEIGHT}::DOUBLE * p) / (seen + {WEIGHT}::DOUBLE) AS purity FROM m{_LAST} m JOIN pooled ON m.host = pooled.host AND m.grp = pooled.grp, prior)
+SELECT page_id, g.host, g.path, rule, coalesce(said, CASE WHEN purity >= {LIMIT} AND seen > 0 THEN 'block' ELSE 'allow' END) AS verdict, array_to_string(grp, '/') AS template, round(purity, 6) AS purity
+FROM given g JOIN t{_LEVELS} t ON g.host = t.host AND g.typed = t.typed JOIN judged j ON t.host = j.host AND t.path = j.path
 """
