@@ -7,31 +7,53 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions.windows import frame, rolling
-from tidewheel.operators.profile import ab_join, distance_profile, nearest, self_join
+from tidewheel.functions.windows import frame, halo, own, rolling
+from tidewheel.operators.profile import Flags, ab_join, distance_profile, nearest, self_join
 from tidewheel.runtime import cut
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings
 
 
-def mpdist(a: DataFrame, b: DataFrame, m: int, percentage: float = 0.05, k: int | None = None, metric: Metric = ZNORM, pairs: DataFrame | None = None, settings: Settings = DEFAULT) -> DataFrame:
+#: Bins that the values of a pair fall into before the k-th smallest is ranked.
+BINS = 4096
+
+
+def kth_smallest(values: DataFrame, keys: list[str], at: DataFrame, value: str = "d") -> DataFrame:
+    """keys and the value at the 0-based rank ``at`` (keys, at) among (keys, value); where it is missing, the largest there is.
+
+    Values are counted in equal bins first; only those of the bin that holds the rank are ordered.
+    """
+    there = cut(values.where(f"{value} IS NOT NULL").select(*keys, value))
+    span = there.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(F.lit(1)).alias("_n"))
+    wanted = cut(span.join(at, keys).select(*keys, "_low", "_high", F.least(F.col("at"), F.col("_n") - 1).alias("_at")))
+    bin_of = F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low")) * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
+    binned = there.join(wanted, keys).withColumn("_bin", bin_of)
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = binned.groupBy(*keys, "_bin", "_at").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    hit = counts.where("_before <= _at AND _at < _before + _c").select(*keys, F.col("_bin").alias("_hit"), (F.col("_at") - F.col("_before")).alias("_rest"))
+    inside = binned.join(hit, keys).where("_bin = _hit")
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1)
+    return ranked.where("_r = _rest").select(*keys, value)
+
+
+def mpdist(a: DataFrame, b: DataFrame, m: int, percentage: float = 0.05, k: int | None = None, metric: Metric = ZNORM, pairs: DataFrame | None = None, settings: Settings = DEFAULT, constant_a: Flags = None, constant_b: Flags = None) -> DataFrame:
     """series_id, other_id, mpdist: the k-th smallest of both joins' profile values.
 
     k is min(ceil(percentage x points of both), values - 1), from 0. Where the k-th is missing, the largest finite value
     before it counts. By default every series of ``a`` is compared with every one of ``b``.
     """
     back = None if pairs is None else pairs.select(F.col("other_id").alias("series_id"), F.col("series_id").alias("other_id"))
-    ab = nearest(ab_join(a, b, m, metric=metric, settings=settings, pairs=pairs)).select("series_id", "other_id", "d")
-    ba = nearest(ab_join(b, a, m, metric=metric, settings=settings, pairs=back)).select(F.col("other_id").alias("series_id"), F.col("series_id").alias("other_id"), "d")
-    both = ab.unionAll(ba)
-    w = Window.partitionBy("series_id", "other_id")
-    ranked = both.select("series_id", "other_id", "d", F.row_number().over(w.orderBy(F.col("d").asc_nulls_last())).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    ab = nearest(ab_join(a, b, m, metric=metric, settings=settings, constant_a=constant_a, constant_b=constant_b, pairs=pairs)).select("series_id", "other_id", "d")
+    ba = nearest(ab_join(b, a, m, metric=metric, settings=settings, constant_a=constant_b, constant_b=constant_a, pairs=back)).select(F.col("other_id").alias("series_id"), F.col("series_id").alias("other_id"), "d")
+    both = cut(ab.unionAll(ba))
+    sizes = both.groupBy("series_id", "other_id").agg(F.count(F.lit(1)).alias("n"))
     if k is None:
         points = lambda s, name: s.groupBy(F.col("series_id").alias(name)).agg((F.max("idx") + 1).alias(f"n_{name}"))
-        ranked = ranked.join(points(a, "series_id"), "series_id").join(points(b, "other_id"), "other_id")
+        sizes = sizes.join(points(a, "series_id"), "series_id").join(points(b, "other_id"), "other_id")
         at = F.least(F.ceil(F.lit(percentage) * (F.col("n_series_id") + F.col("n_other_id"))), F.col("n") - 1)
     else:
         at = F.least(F.lit(k), F.col("n") - 1)
-    return ranked.where(F.col("r") <= at + 1).groupBy("series_id", "other_id").agg(F.max("d").alias("mpdist"))
+    found = kth_smallest(both, ["series_id", "other_id"], sizes.select("series_id", "other_id", at.alias("at")))
+    return sizes.select("series_id", "other_id").join(found, ["series_id", "other_id"], "left").withColumnRenamed("d", "mpdist")
 
 
 def mpdist_matrix(series: DataFrame, m: int, percentage: float = 0.05, metric: Metric = ZNORM, settings: Settings = DEFAULT) -> DataFrame:
@@ -41,7 +63,7 @@ def mpdist_matrix(series: DataFrame, m: int, percentage: float = 0.05, metric: M
     return mpdist(series, series, m, percentage, metric=metric, pairs=pairs, settings=settings)
 
 
-def consensus(series: DataFrame, m: int, metric: Metric = ZNORM, settings: Settings = DEFAULT) -> DataFrame:
+def consensus(series: DataFrame, m: int, metric: Metric = ZNORM, settings: Settings = DEFAULT, constant: Flags = None) -> DataFrame:
     """series_id, i, radius, mean: the window that is nearest to all other series of the set, as a row.
 
     radius is the largest of its nearest-neighbour distances in the others; ties (up to 1e-5 of it) go to the smallest mean (its own
@@ -50,7 +72,7 @@ def consensus(series: DataFrame, m: int, metric: Metric = ZNORM, settings: Setti
     ids = cut(series.select("series_id").distinct())
     n = ids.count()
     pairs = ids.crossJoin(ids.select(F.col("series_id").alias("other_id"))).where("series_id <> other_id")
-    near = nearest(ab_join(series, series, m, metric=metric, settings=settings, pairs=pairs))
+    near = nearest(ab_join(series, series, m, metric=metric, settings=settings, constant_a=constant, constant_b=constant, pairs=pairs))
     each = cut(near.groupBy("series_id", "i").agg(F.max("d").alias("radius"), (F.sum("d") / n).alias("mean"), F.count("d").alias("there")).where(F.col("there") == n - 1))
     least = each.agg(F.min("radius").alias("r"))
     tied = each.join(F.broadcast(least), F.col("radius") <= F.col("r") + 1e-8 + 1e-5 * F.col("r"))  # one row
@@ -110,17 +132,17 @@ def unclipped(series: DataFrame, m: int) -> DataFrame:
     ends = series.groupBy("series_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     hit = series.join(ends, "series_id").select("series_id", "idx", ((F.col("value") == F.col("low")).cast("int") + (F.col("value") == F.col("high")).cast("int")).alias("hit"))
     w = frame(m)
-    counts = hit.select("series_id", F.col("idx").alias("i"), F.sum("hit").over(w).alias("c"), F.count("hit").over(w).alias("n")).where(F.col("n") == m)
+    counts = own(halo(hit, m).select("series_id", F.col("idx").alias("i"), "blk", "own", F.sum("hit").over(w).alias("c"), F.count("hit").over(w).alias("points")), m)
     span = counts.groupBy("series_id").agg(F.min("c").alias("least"), F.max("c").alias("most"))
     return counts.join(span, "series_id").select("series_id", "i", (1 - F.coalesce(F.try_divide(F.col("c") - F.col("least"), F.col("most")), F.lit(0.0))).alias("av"))
 
 
 def complexity(series: DataFrame, m: int) -> DataFrame:
     """series_id, i, av: each window's complexity estimate, scaled to 0..1 in its series."""
-    order = Window.partitionBy("series_id").orderBy("idx")
-    w = order.rowsBetween(0, m - 2)
-    step = series.withColumn("s", F.pow(F.lead("value").over(order) - F.col("value"), F.lit(2.0)))
-    ce = step.select("series_id", F.col("idx").alias("i"), F.sqrt(F.sum("s").over(w)).alias("ce"), F.count("s").over(w).alias("n")).where(F.col("n") == m - 1)
+    order = Window.partitionBy("series_id", "blk").orderBy("idx")
+    step = halo(series, m).withColumn("s", F.pow(F.lead("value").over(order) - F.col("value"), F.lit(2.0)))
+    each = step.select("series_id", F.col("idx").alias("i"), "blk", "own", F.sum("s").over(order.rowsBetween(0, m - 2)).alias("s"), F.count("s").over(order.rowsBetween(0, m - 2)).alias("n"), F.count(F.lit(1)).over(frame(m)).alias("points"))
+    ce = own(each, m).where(F.col("n") == m - 1).select("series_id", "i", F.sqrt("s").alias("ce"))
     span = ce.groupBy("series_id").agg(F.min("ce").alias("low"), F.max("ce").alias("high"))
     return ce.join(span, "series_id").select("series_id", "i", F.coalesce(F.try_divide(F.col("ce") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)).alias("av"))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.operators.approximate import anytime_profile
 from tidewheel.operators.profile import nearest, self_join
 from tidewheel.runtime import cut
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings, largest_window
+from tidewheel.sources.series import numbered
 
 
 def refining_order(n: int) -> list[int]:
@@ -68,9 +69,9 @@ def pan_matrix(pan: DataFrame, sizes: list[int], n: int, threshold: float = 0.2,
         cells = cells.withColumn("d", F.least(F.lit(1.0), F.col("d") / scale))
     if contrast:
         # a missing distance ranks last
-        w = Window.partitionBy("series_id")
-        rank = F.row_number().over(w.orderBy(F.col("d").asc_nulls_last(), "m", "i")) - 1
-        cells = cells.select("series_id", "m", "i", (1 / (1 + F.exp(-10 * (rank / (F.count(F.lit(1)).over(w) - 1) - threshold)))).alias("d"))
+        ranked = numbered(cells, ["series_id"], [F.col("d").asc_nulls_last(), F.col("m").asc(), F.col("i").asc()], "rank")
+        total = cells.groupBy("series_id").agg(F.count(F.lit(1)).alias("total"))
+        cells = ranked.join(total, "series_id").select("series_id", "m", "i", (1 / (1 + F.exp(-10 * (F.col("rank") / (F.col("total") - 1) - threshold)))).alias("d"))
     if binary:
         cells = cells.withColumn("d", F.when(F.col("d") <= threshold, 0.0).otherwise(1.0))
     if clip:

@@ -13,7 +13,7 @@ from tidewheel.functions.distance import distance
 from tidewheel.functions.windows import windows, z_norm
 from tidewheel.plans import kernel, tiles
 from tidewheel.runtime import ship
-from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings, check_window
+from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings, check_arguments, check_window
 
 Flags = DataFrame | Callable[[np.ndarray, int], np.ndarray] | None
 
@@ -44,8 +44,7 @@ def self_join(series: DataFrame, m: int, k: int = 1, metric: Metric = ZNORM, set
     (the numpy kernel), or ``sql`` (one theta join in Catalyst, for short series).
     """
     zone = settings.zone(m) if zone is None else zone
-    if m <= 2:
-        check_window(m, m)
+    check_arguments(m, k, metric)
     if strategy == "sql":
         return _sql_self_join(series, m, k, metric, zone)
     block = _blocks(settings.block, m)
@@ -55,17 +54,20 @@ def self_join(series: DataFrame, m: int, k: int = 1, metric: Metric = ZNORM, set
 
 def ab_join(a: DataFrame, b: DataFrame, m: int, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, constant_a: Flags = None, constant_b: Flags = None, pairs: DataFrame | None = None) -> DataFrame:
     """series_id, other_id, i, nn of each window of ``a`` against each series of ``b`` (or the ``pairs`` named)."""
-    if m <= 2:
-        check_window(m, m)
+    check_arguments(m, k, metric)
     block = _blocks(settings.block, m)
     left = tiles.block_rows(a, m, block, constant_flags(a, m, constant_a))
     right = tiles.block_rows(b, m, block, constant_flags(b, m, constant_b))
     return tiles.join(left, right, tiles.ab_plan(a, b, m, block, pairs), m, block, k, metric, None).select("series_id", "other_id", "i", "nn")
 
 
-def ready(series: DataFrame, m: int, metric: Metric) -> DataFrame:
-    """Windows with the array that distances use."""
+def ready(series: DataFrame, m: int, metric: Metric, constant: Flags = None) -> DataFrame:
+    """Windows with the array that distances use. ``constant``: flags instead of the test for constant windows."""
     w = windows(series, m)
+    flags = constant_flags(series, m, constant)
+    if flags is not None:
+        w = w.drop("is_const").join(flags.select("series_id", "i", F.col("is_const").alias("_flag")), ["series_id", "i"], "left")
+        w = w.withColumn("is_const", F.col("is_finite") & F.coalesce("_flag", F.lit(False))).drop("_flag")
     return w.withColumn("z", F.when(F.col("is_finite"), z_norm(F.col("a"), F.col("mu"), F.col("sd"), 0.0 if metric.normalized else 1e-7))) if metric.normalized else w
 
 
@@ -103,19 +105,20 @@ def from_indices(profile: DataFrame, series: DataFrame, m: int, metric: Metric =
     return left.join(right, ["series_id", "j"] if other is None else ["j"], "left").select("series_id", "i", "j", distance(metric, m).alias("d"))
 
 
-def distance_profile(series: DataFrame, query: list[float], metric: Metric = ZNORM, query_index: int | None = None) -> DataFrame:
+def distance_profile(series: DataFrame, query: list[float], metric: Metric = ZNORM, query_index: int | None = None, constant: Flags = None, query_constant: bool | None = None) -> DataFrame:
     """series_id, i, d: the distance of a query (driver-side, of window length) to every window of every series.
 
     A map over the windows: the query is a literal, so there is no join. ``query_index`` is the query's own place in
-    the series, where the distance is exactly 0. A query with a missing value has no distances.
+    the series, where the distance is exactly 0. A query with a missing value has no distances. ``constant`` and
+    ``query_constant`` stand for the tests for constant windows.
     """
     m = len(query)
     check_window(m, m)
     q = np.asarray(query, float)
-    w = ready(series, m, metric)
+    w = ready(series, m, metric, constant)
     if not np.isfinite(q).all():
         return w.select("series_id", "i", F.lit(None).cast("double").alias("d"))
-    const = bool(q.max() == q.min())
+    const = bool(q.max() == q.min()) if query_constant is None else query_constant
     z = (q - q.mean()) / (q.std() if q.std() > 0 else 1.0)
     literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
     y = F.struct(literal(q).alias("a"), literal(z).alias("z"), F.lit(const).alias("is_const"), F.lit(True).alias("is_finite"))
@@ -126,6 +129,7 @@ def distance_profile(series: DataFrame, query: list[float], metric: Metric = ZNO
 
 def distance_matrix(a: DataFrame, b: DataFrame, m: int, metric: Metric = ZNORM) -> DataFrame:
     """series_id, i, other_id, j, d: all distances of the windows of ``a`` to those of ``b``. Quadratic by definition."""
+    check_window(m, m)
     x, y = ready(a, m, metric), ready(b, m, metric)
     both = x.select("series_id", "i", F.struct(*x.columns).alias("x")).crossJoin(y.select(F.col("series_id").alias("other_id"), F.col("i").alias("j"), F.struct(*y.columns).alias("y")))
     return both.select("series_id", "i", "other_id", "j", distance(metric, m).alias("d"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.operators.profile import distance_profile, nearest
+from tidewheel.operators.profile import Flags, constant_flags, distance_profile, nearest
 from tidewheel.runtime import cut
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings
 
@@ -42,16 +42,17 @@ def best_matches(i: np.ndarray, d: np.ndarray, zone: int, bound: float, limit: i
     return taken
 
 
-def multi_profile(dims: DataFrame, query: Sequence[Sequence[float]], metric: Metric, query_index: int | None = None) -> DataFrame:
+def multi_profile(dims: DataFrame, query: Sequence[Sequence[float]], metric: Metric, query_index: int | None = None, constant: Flags = None) -> DataFrame:
     """The mean over dimensions of each dimension's distance profile; NULL where one has none."""
     total = None
     for n, q in enumerate(query):
-        one = distance_profile(dims.where(F.col("dim") == n).drop("dim"), list(q), metric, query_index)
+        flags = constant.where(F.col("dim") == n).drop("dim") if isinstance(constant, DataFrame) else constant
+        one = distance_profile(dims.where(F.col("dim") == n).drop("dim"), list(q), metric, query_index, flags)
         total = one if total is None else total.unionAll(one)
     return total.groupBy("series_id", "i").agg(F.when(F.count("d") == len(query), F.avg("d")).alias("d"))
 
 
-def match(series: DataFrame, query: Sequence[float] | Sequence[Sequence[float]], max_distance: float | Callable[[np.ndarray], float] | None = None, max_matches: int | None = None, metric: Metric = ZNORM, query_index: int | None = None, atol: float = 1e-8, settings: Settings = DEFAULT) -> DataFrame:
+def match(series: DataFrame, query: Sequence[float] | Sequence[Sequence[float]], max_distance: float | Callable[[np.ndarray], float] | None = None, max_matches: int | None = None, metric: Metric = ZNORM, query_index: int | None = None, atol: float = 1e-8, settings: Settings = DEFAULT, constant: Flags = None, query_constant: bool | None = None) -> DataFrame:
     """series_id, rank, i, d: windows near a query, none in the zone of a nearer one.
 
     ``query``: one list, or a list per dimension (then ``series`` has a column dim). ``max_distance``: a number, or a
@@ -63,7 +64,7 @@ def match(series: DataFrame, query: Sequence[float] | Sequence[Sequence[float]],
     zone = settings.zone(m)
     if not np.isfinite(np.asarray(query, float)).all():
         raise ValueError("a query to match must be finite")
-    d = multi_profile(series, query, metric, query_index) if many else distance_profile(series, list(query), metric, query_index)
+    d = multi_profile(series, query, metric, query_index, constant) if many else distance_profile(series, list(query), metric, query_index, constant, query_constant)
     if callable(max_distance):
         rows = d.where("d IS NOT NULL").withColumn("bound", F.lit(None).cast("double"))
     elif max_distance is not None:
@@ -90,11 +91,11 @@ def window_at(series: DataFrame, i: int, m: int) -> list[float]:
     return [float("nan") if r["value"] is None else r["value"] for r in rows]
 
 
-def motifs(series: DataFrame, profile: DataFrame, m: int, min_neighbors: int = 1, max_distance: float | Callable | None = None, cutoff: float | None = None, max_matches: int | None = 10, max_motifs: int = 1, metric: Metric = ZNORM, atol: float = 1e-8, exclude_all_matches: bool = False, settings: Settings = DEFAULT) -> DataFrame:
+def motifs(series: DataFrame, profile: DataFrame, m: int, min_neighbors: int = 1, max_distance: float | Callable | None = None, cutoff: float | None = None, max_matches: int | None = 10, max_motifs: int = 1, metric: Metric = ZNORM, atol: float = 1e-8, exclude_all_matches: bool = False, settings: Settings = DEFAULT, constant: Flags = None) -> DataFrame:
     """motif, rank, i, d of one series: windows that recur, by the least profile value first.
 
-    Each round is a distributed match of the best remaining window; only the chosen positions (at most ``max_motifs`` x
-    ``max_matches``) come to the driver. ``exclude_all_matches`` blanks matches beyond ``max_matches`` too.
+    Each round is a distributed match of the best remaining window, whose matches stay a table; only the best window
+    itself comes to the driver. ``exclude_all_matches`` blanks matches beyond ``max_matches`` too.
     """
     spark = series.sparkSession
     zone = settings.zone(m)
@@ -102,20 +103,23 @@ def motifs(series: DataFrame, profile: DataFrame, m: int, min_neighbors: int = 1
     if cutoff is None:
         s = p.agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.min("d").alias("least")).first()
         cutoff = max(s["mean"] - 2 * s["std"], s["least"]) if s["mean"] is not None else -1.0
-    found: list[tuple[int, int, int, float]] = []
+    found: list[DataFrame] = []
     motif = 0
     while motif < max_motifs:
         best = p.agg(F.min(F.struct("d", "i")).alias("m")).first()["m"]
         if best is None or best["d"] > cutoff or (isinstance(max_distance, (int, float)) and best["d"] > max_distance):
             break
         i = best["i"]
-        every = match(series, window_at(series, i, m), max_distance, None if exclude_all_matches else max_matches, metric, i, atol, settings)
-        rows = [(r["rank"], r["i"], r["d"]) for r in every.orderBy("rank").collect()]
-        if len(rows) > min_neighbors:
-            found += [(motif, *r) for r in rows[:max_matches]]
+        flag = None if constant is None else bool((constant_flags(series, m, constant).where(F.col("i") == i).first() or {"is_const": False})["is_const"])
+        every = cut(match(series, window_at(series, i, m), max_distance, None if exclude_all_matches else max_matches, metric, i, atol, settings, constant, flag))
+        kept = every if max_matches is None else every.where(F.col("rank") <= max_matches)
+        if every.count() > min_neighbors:
+            found.append(kept.select(F.lit(motif).alias("motif"), "rank", "i", "d"))
             motif += 1
-        gone = F.lit(False)
-        for _, j, _ in rows or [(1, i, 0.0)]:
-            gone = gone | F.col("i").between(j - zone, j + zone)
-        p = cut(p.where(~gone))
-    return spark.createDataFrame(found, "motif int, rank int, i long, d double")
+        # matches stay a table: whatever their number, their zones are taken out by a join
+        zones = every.select(F.explode(F.sequence(F.col("i") - zone, F.col("i") + zone)).alias("i")).union(spark.range(i, i + 1).toDF("i")).distinct()
+        p = cut(p.join(zones, "i", "left_anti"))
+    out = spark.createDataFrame([], "motif int, rank int, i long, d double")
+    for part in found:
+        out = out.unionAll(part)
+    return out

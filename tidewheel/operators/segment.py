@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.functions.windows import running_sum
 from tidewheel.runtime import cut
 
 
@@ -41,15 +42,15 @@ def corrected_arcs(links: np.ndarray, length: int, factor: int = 5, expected: np
 def arc_curve(links: DataFrame, length: int, factor: int = 5, expected: DataFrame | None = None) -> DataFrame:
     """series_id, i, arcs, cac from (series_id, i, j); a missing or negative j links a window to itself.
 
-    Steps are aggregated before the one ordered pass per series. ``expected``: (series_id, i, iac) instead of the exact
+    Steps are summed block by block, with an offset of the blocks before. ``expected``: (series_id, i, iac) instead of the exact
     count expected under random links.
     """
     own = links.select("series_id", "i", F.when(F.col("j").isNull() | (F.col("j") < 0), F.col("i")).otherwise(F.col("j")).alias("j"))
     ends = own.select("series_id", F.explode(F.array(F.struct(F.least("i", "j").alias("i"), F.lit(1).alias("s")), F.struct(F.greatest("i", "j").alias("i"), F.lit(-1).alias("s")))).alias("e"))
     steps = ends.groupBy("series_id", F.col("e.i").alias("i")).agg(F.sum("e.s").alias("step"))
     n = own.groupBy("series_id").agg(F.count(F.lit(1)).alias("w"))
-    w = Window.partitionBy("series_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    curve = own.select("series_id", "i").join(steps, ["series_id", "i"], "left").select("series_id", "i", F.sum(F.coalesce("step", F.lit(0))).over(w).alias("arcs")).join(n, "series_id")
+    stepped = own.select("series_id", "i").join(steps, ["series_id", "i"], "left").select("series_id", "i", F.coalesce("step", F.lit(0)).alias("step"))
+    curve = running_sum(stepped, "step", "arcs").drop("step").join(n, "series_id")
     if expected is not None:
         curve = curve.join(expected, ["series_id", "i"], "left")
     else:

@@ -7,18 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.functions.windows import numbered_runs
+from tidewheel.operators.profile import Flags, constant_flags
 from tidewheel.plans import kernel, tiles
 from tidewheel.runtime import cut, ship
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings
 
 
-def mpdist_vector(query: np.ndarray, values: np.ndarray, s: int, metric: Metric = ZNORM, percentage: float = 0.05, k: int | None = None) -> np.ndarray:
+def mpdist_vector(query: np.ndarray, values: np.ndarray, s: int, metric: Metric = ZNORM, percentage: float = 0.05, k: int | None = None, query_constant: np.ndarray | None = None, constant: np.ndarray | None = None) -> np.ndarray:
     """MPdist of a query to each window of its length, over windows of ``s`` points; inf where there is none."""
     size = len(query)
-    q, t = kernel.prepare(query, s, metric), kernel.prepare(values, s, metric)
+    q, t = kernel.prepare(query, s, metric, 0, query_constant), kernel.prepare(values, s, metric, 0, constant)
     d = kernel.full(q, t)
     j = size - s + 1
     span = np.lib.stride_tricks.sliding_window_view(d, j, axis=1)
@@ -34,7 +36,7 @@ def mpdist_vector(query: np.ndarray, values: np.ndarray, s: int, metric: Metric
     return out
 
 
-def mpdist_profiles(series: DataFrame, m: int, s: int | None = None, percentage: float = 1.0, mpdist_percentage: float = 0.05, k: int | None = None, metric: Metric = ZNORM, settings: Settings = DEFAULT) -> DataFrame:
+def mpdist_profiles(series: DataFrame, m: int, s: int | None = None, percentage: float = 1.0, mpdist_percentage: float = 0.05, k: int | None = None, metric: Metric = ZNORM, settings: Settings = DEFAULT, constant: Flags = None) -> DataFrame:
     """series_id, chunk, i, d: MPdist of every whole chunk of ``m`` points to every window of ``m`` points.
 
     A row of work is a chunk and a block of windows; both are a few thousand points, whatever the series' length.
@@ -42,20 +44,24 @@ def mpdist_profiles(series: DataFrame, m: int, s: int | None = None, percentage:
     ship(series.sparkSession)
     s = min(math.ceil(percentage * m), m) if s is None else s
     block = max(settings.block // 8, m)
-    blocks = tiles.block_rows(series, m, block).drop("const")
+    flags = constant_flags(series, s, constant)  # of the sub-windows
+    blocks = tiles.block_rows(series, m, block, flags)
     n = series.groupBy("series_id").agg((F.max("idx") + 1).alias("n"))
-    numbered = series.select("series_id", F.floor(F.col("idx") / m).cast("long").alias("chunk"), F.struct("idx", "value").alias("p"))
-    chunks = numbered.groupBy("series_id", "chunk").agg(F.sort_array(F.collect_list("p")).alias("p")).where(F.size("p") == m).select("series_id", "chunk", F.transform("p", lambda x: x["value"]).alias("query"))
+    flagged = series.withColumn("is_const", F.lit(None).cast("boolean")) if flags is None else series.join(flags.select("series_id", F.col("i").alias("idx"), "is_const"), ["series_id", "idx"], "left")
+    numbered = flagged.select("series_id", F.floor(F.col("idx") / m).cast("long").alias("chunk"), F.struct("idx", "value", "is_const").alias("p"))
+    chunks = numbered.groupBy("series_id", "chunk").agg(F.sort_array(F.collect_list("p")).alias("p")).where(F.size("p") == m).select("series_id", "chunk", F.transform("p", lambda x: x["value"]).alias("query"), F.transform("p", lambda x: x["is_const"]).alias("query_const"))
     # each chunk goes to each block of its series by their numbers
     dealt = chunks.join(n, "series_id").withColumn("blk", F.explode(F.expr(f"sequence(0L, CAST(ceil((n - {m} + 1) / {block}) AS BIGINT) - 1)")))
-    work = dealt.join(blocks, ["series_id", "blk"]).select("series_id", "chunk", "blk", "query", "values")
+    work = dealt.join(blocks, ["series_id", "blk"]).select("series_id", "chunk", "blk", "query", "values", "query_const", "const")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lambda c, r: c[r].values.to_numpy(zero_copy_only=False).astype(float)
         for batch in batches:
             for r in range(batch.num_rows):
                 sid, chunk, blk = (batch.column(c)[r].as_py() for c in range(3))
-                d = mpdist_vector(of(batch.column(3), r), of(batch.column(4), r), s, metric, mpdist_percentage, k)
+                query, values = of(batch.column(3), r), of(batch.column(4), r)
+                own = [tiles._flags(batch.column(c), r, len(x) - s + 1) for c, x in ((5, query), (6, values))]
+                d = mpdist_vector(query, values, s, metric, mpdist_percentage, k, *own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([sid] * len(d)), pa.array(np.full(len(d), chunk)), pa.array(blk * block + np.arange(len(d))), pa.array(d, mask=np.isinf(d))], names=["series_id", "chunk", "i", "d"]
                 )
@@ -63,7 +69,7 @@ def mpdist_profiles(series: DataFrame, m: int, s: int | None = None, percentage:
     return work.repartition(4 * series.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "series_id string, chunk long, i long, d double")
 
 
-def snippets(series: DataFrame, m: int, k: int, s: int | None = None, percentage: float = 1.0, mpdist_percentage: float = 0.05, mpdist_k: int | None = None, metric: Metric = ZNORM, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def snippets(series: DataFrame, m: int, k: int, s: int | None = None, percentage: float = 1.0, mpdist_percentage: float = 0.05, mpdist_k: int | None = None, metric: Metric = ZNORM, settings: Settings = DEFAULT, constant: Flags = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(snippets, profiles, regimes) of each series.
 
     snippets: series_id, snippet, i, area, fraction; profiles: series_id, snippet, i, d; regimes: series_id, snippet,
@@ -71,7 +77,7 @@ def snippets(series: DataFrame, m: int, k: int, s: int | None = None, percentage
     equal areas go to the first chunk, and a position belongs to the first snippet that is nearest.
     """
     inf = float(np.finfo(float).max) ** 0.5
-    all_d = cut(mpdist_profiles(series, m, s, percentage, mpdist_percentage, mpdist_k, metric, settings).withColumn("d", F.coalesce("d", F.lit(inf))))
+    all_d = cut(mpdist_profiles(series, m, s, percentage, mpdist_percentage, mpdist_k, metric, settings, constant).withColumn("d", F.coalesce("d", F.lit(inf))))
     current = cut(all_d.groupBy("series_id", "i").agg(F.lit(inf).alias("least")))
     picked = None
     for n in range(k):
@@ -88,7 +94,6 @@ def snippets(series: DataFrame, m: int, k: int, s: int | None = None, percentage
         .join(total, "series_id")
         .select("series_id", "snippet", (F.col("chunk") * m).alias("i"), "area", (F.coalesce("own", F.lit(0)) / F.col("all")).alias("fraction"))
     )
-    w = Window.partitionBy("series_id").orderBy("i")
-    islands = owner.withColumn("new", F.coalesce(F.lag("snippet").over(w) != F.col("snippet"), F.lit(True))).withColumn("run", F.count_if("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = numbered_runs(cut(owner), F.col("x.snippet") == F.col("y.snippet"))
     spans = islands.groupBy("series_id", "snippet", "run").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop")).drop("run")
     return described, profiles, spans

@@ -50,6 +50,17 @@ def check_window(m: int, n: int) -> None:
         raise ValueError(f"a window of {m} points is longer than the series of {n}")
 
 
+def check_arguments(m: int, k: int = 1, metric: Metric = ZNORM, percentage: float = 1.0) -> None:
+    """Windows of 3 points or more, at least one neighbour, p of 1 or more, a share in (0, 1]."""
+    check_window(m, m)
+    if k < 1:
+        raise ValueError("at least one neighbour has to be asked for")
+    if metric.p is not None and metric.p < 1:
+        raise ValueError("p has to be 1 or more")
+    if not 0 < percentage <= 1:
+        raise ValueError("a share lies above 0 and is 1 at most")
+
+
 def largest_window(n: int, divisor: float = 4.0) -> int:
     """The largest window with which the middle of a series of ``n`` points has a neighbour outside its zone."""
     return int(n - math.floor((n + divisor - 1) // (divisor + 1)) - 1)

@@ -10,32 +10,58 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewheel.runtime import cut
 
-def to_series(df: DataFrame, order: Sequence[str] | str, value: str, keys: Sequence[str] = (), name: str = "series") -> DataFrame:
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """Rows with their number from 0 within ``keys`` in the order of ``order``, in a column ``name``.
+
+    Rows are dealt by ranges of (keys, order) and counted range by range; a row's number is its place in its range
+    plus the counts of the ranges before it. So one long series is as many tasks as there are ranges.
+    """
+    spark = df.sparkSession
+    ordered = [F.col(o).asc() if isinstance(o, str) else o for o in order]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written, since the ranges are sampled: what counts them and what numbers them has to see the same ones
+    ranged = cut(df.repartitionByRange(n, *[F.col(k) for k in keys], *ordered).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range", *keys).orderBy(*ordered)
+    placed = ranged.withColumn(name, (F.row_number().over(inside) - 1).cast("long"))
+    return placed.join(offsets, ["_range", *keys]).withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
+def to_series(df: DataFrame, order: Sequence[str] | str, value: str, keys: Sequence[str] = (), name: str = "series", short: bool = False) -> DataFrame:
     """Rows of a table as series: one per combination of ``keys``, in the order of ``order``.
 
-    Ids are the keys joined by ``|``. Ties in ``order`` are broken by the value, so the result is deterministic. The
-    ordering is one window per series; a single series is one sort, whose length is bounded by one task's disk.
+    Ids are the keys joined by ``|``. Ties in ``order`` are broken by the value, so the result is deterministic. Rows are
+    numbered by ranges (``numbered``); with ``short`` by one window a series, for series that fit a task.
     """
     order = [order] if isinstance(order, str) else list(order)
     sid = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else F.lit(name)
     rows = df.select(sid.alias("series_id"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(value).cast("double").alias("value"))
-    w = Window.partitionBy("series_id").orderBy(*[f"_o{i}" for i in range(len(order))], "value")
-    return rows.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), "value")
+    by = [*[f"_o{i}" for i in range(len(order))], "value"]
+    if short:
+        w = Window.partitionBy("series_id").orderBy(*by)
+        return rows.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("idx"), "value")
+    return numbered(rows, ["series_id"], by, "idx").select("series_id", "idx", "value")
 
 
-def totals(df: DataFrame, by: str | Column, value: str, keys: Sequence[str] = (), name: str = "series") -> DataFrame:
-    """A series of sums of ``value`` by ``by``: aggregated first, so only the totals are ordered."""
+def totals(df: DataFrame, by: str | Column, value: str, keys: Sequence[str] = (), name: str = "series", short: bool = True) -> DataFrame:
+    """A series of sums of ``value`` by ``by``: aggregated first, so only the totals are ordered.
+
+    ``short``: totals by day or hour are few, and one window a series numbers them; set it to False for finer steps.
+    """
     by = F.col(by) if isinstance(by, str) else by
     summed = df.groupBy(*keys, by.alias("_by")).agg(F.sum(value).alias("_total"))
-    return to_series(summed, "_by", "_total", keys, name)
+    return to_series(summed, "_by", "_total", keys, name, short)
 
 
 def wide_to_dims(df: DataFrame, order: str, columns: Sequence[str], series_id: str = "series") -> DataFrame:
     """Columns of a table as the dimensions (series_id, dim, idx, value) of one series."""
-    w = Window.orderBy(order)
-    numbered = df.select((F.row_number().over(w) - 1).cast("long").alias("idx"), *[F.col(c).cast("double").alias(str(i)) for i, c in enumerate(columns)])
-    long = numbered.unpivot(["idx"], [str(i) for i in range(len(columns))], "dim", "value")
+    wide = numbered(df.select(F.lit(series_id).alias("series_id"), F.col(order).alias("_o"), *[F.col(c).cast("double").alias(str(i)) for i, c in enumerate(columns)]), ["series_id"], ["_o"], "idx")
+    long = wide.select("idx", *[F.col(str(i)) for i in range(len(columns))]).unpivot(["idx"], [str(i) for i in range(len(columns))], "dim", "value")
     return long.select(F.lit(series_id).alias("series_id"), F.col("dim").cast("int").alias("dim"), "idx", "value")
 
 
