@@ -49,6 +49,8 @@ TIERS = ((20, 1), (80, 3), (200, 3), (400, 5), (800, 5))
 #: Equal lines need no length: the query and the pipeline link them from one character on.
 EXACT_CHARS = 1
 BLOCK = 2048
+#: Lines of a cell that are compared without counting letters first.
+FEW = 8
 _U = np.uint64
 _BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 _ODD = _U(0xC2B2AE3D27D4EB4F)
@@ -214,6 +216,8 @@ def within(a: str, b: str, edits: int) -> bool:
     up, down = (full << (width - edits - 1)) & full, 0
     distance, top, base = edits, 1 << (width - 1), edits + 1 - width
     row = 1 << (width - 2)
+    # along the diagonal the distance never falls, and each step of the last row takes one off at most
+    most = edits + len(b) - len(a) + edits
     for j, c in enumerate(b):
         p = places.get(c, 0)
         same = (p >> base if base >= 0 else p << -base) & full
@@ -222,6 +226,8 @@ def within(a: str, b: str, edits: int) -> bool:
         minus = diagonal & up
         if j < len(a) - edits:
             distance += not diagonal & top
+            if distance > most:
+                return False
         else:
             distance += bool(plus & row) - bool(minus & row)
             row >>= 1
@@ -250,13 +256,15 @@ def allowed(length: int, tiers: Tiers) -> int:
 def link(lines: list[str], block: Sequence[int], tiers: Tiers) -> list[tuple[int, int]]:
     """A spanning forest of the links between these lines; where there are two blocks, across them only."""
     n = len(lines)
+    if n == 2:
+        return [(0, 1)] if within(*lines, allowed(min(map(len, lines)), tiers)) else []
     size = np.array([len(x) for x in lines])
     order = np.argsort(size, kind="stable")
     size, of = size[order], np.asarray(block)[order]
     lines = [lines[i] for i in order.tolist()]
     most = np.array([allowed(x, tiers) for x in size.tolist()])
     end = np.searchsorted(size, size + most, "right")  # a line's partners among the longer ones
-    if n > 2:
+    if n > FEW:
         points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
         letters = np.bincount(np.repeat(np.arange(n) * 32, size) + (points & 31), minlength=32 * n).reshape(n, 32).astype(np.int32)
     two = of.min() != of.max()
@@ -265,7 +273,7 @@ def link(lines: list[str], block: Sequence[int], tiers: Tiers) -> list[tuple[int
         edits, others = int(most[i]), np.arange(i + 1, end[i])
         if two:
             others = others[of[others] != of[i]]
-        if n > 2 and len(others):
+        if n > FEW and len(others):
             # each edit changes two letter counts by one at most
             others = others[np.abs(letters[others] - letters[i]).sum(axis=1) <= 2 * edits]
         for j in others.tolist():
