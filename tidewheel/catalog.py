@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.functions.windows import rolling
+from tidewheel.functions.windows import rolling, rolling_present, sliding_dot
 from tidewheel.operators import approximate, chains, compare, multidim, pan, search, segment, snippets
 from tidewheel.operators import profile as P
 from tidewheel.runtime import shared_folder
@@ -156,8 +156,9 @@ def distances_from_indices(spark: SparkSession, sf: str) -> DataFrame:
     return P.from_indices(P.nearest(P.self_join(s, 12)), s, 12).withColumn("d", F.round("d", 6))
 
 
-@query("match", f"""WITH RECURSIVE w AS ({windows_sql(QUANTITY, M)}), q AS (SELECT * FROM w WHERE i = {AT}),
-prof AS (SELECT x.i, CASE WHEN x.i = {AT} THEN 0 ELSE {distance_sql(Z, M, 'x', 'q')} END AS d FROM w x, q),
+def _match_sql(metric: Metric, digits: int = 6) -> str:
+    return f"""WITH RECURSIVE w AS ({windows_sql(QUANTITY, M)}), q AS (SELECT * FROM w WHERE i = {AT}),
+prof AS (SELECT x.i, CASE WHEN x.i = {AT} THEN 0 ELSE {distance_sql(metric, M, 'x', 'q')} END AS d FROM w x, q),
 bound AS (SELECT greatest(avg(d) - 2 * stddev_pop(d), min(d)) + 1e-8 AS b FROM prof),
 picks(n, taken, d) AS (
   SELECT 1, [{AT}::BIGINT], 0.0::DOUBLE
@@ -165,15 +166,25 @@ picks(n, taken, d) AS (
   SELECT n + 1, list_append(taken, best.i), best.d FROM (
     SELECT p.n, any_value(p.taken) AS taken, min(struct_pack(d := prof.d, i := prof.i)) AS best FROM picks p, prof, bound
     WHERE p.n < 10 AND prof.d <= b AND len(list_filter(p.taken, lambda t: abs(t - prof.i) <= 4)) = 0 GROUP BY p.n))
-SELECT 'quantity' AS series_id, n::INT AS rank, taken[n] AS i, round(d, 6) AS d FROM picks""")
-def match(spark: SparkSession, sf: str) -> DataFrame:
-    s = S.daily_quantity(spark, sf)
-    return search.match(s, search.window_at(s, AT, M), max_matches=10, query_index=AT).withColumn("d", F.round("d", 6))
+SELECT 'quantity' AS series_id, n::INT AS rank, taken[n] AS i, round(d, {digits}) AS d FROM picks"""
+
+
+def _match(metric: Metric):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        s = S.daily_quantity(spark, sf)
+        return search.match(s, search.window_at(s, AT, M), max_matches=10, metric=metric, query_index=AT).withColumn("d", F.round("d", 6))
 
+    return run
 
-def _picks_sql(n: int, bound: str) -> str:
+
+L2 = Metric(2.0)
+for _name, _metric in (("match", Z), ("match_minkowski", L2)):
+    QUERIES[_name], ORACLES[_name] = _match(_metric), _match_sql(_metric)
+
+
+def _picks_sql(n: int, bound: str, metric: Metric = Z) -> str:
     """The greedy matches of candidate c<n>: its distance profile and the choices so far."""
-    return f"""prof{n} AS (SELECT x.i, CASE WHEN x.i = q.i THEN 0 ELSE {distance_sql(Z, M, 'x', 'q')} END AS d FROM c{n} JOIN w q ON q.i = c{n}.i, w x),
+    return f"""prof{n} AS (SELECT x.i, CASE WHEN x.i = q.i THEN 0 ELSE {distance_sql(metric, M, 'x', 'q')} END AS d FROM c{n} JOIN w q ON q.i = c{n}.i, w x),
 picks{n}(n, taken, d) AS (
   SELECT 1, [i], 0.0::DOUBLE FROM c{n}
   UNION ALL
@@ -183,13 +194,23 @@ picks{n}(n, taken, d) AS (
 gone{n} AS (SELECT taken FROM picks{n} ORDER BY n DESC LIMIT 1)"""
 
 
-@query("motifs", f"""WITH RECURSIVE {pairs_sql(QUANTITY, M, Z, 4)}, p AS (SELECT i, min(d) AS d FROM pairs GROUP BY i),
-c1 AS (SELECT min(struct_pack(d := d, i := i)).i AS i FROM p), {_picks_sql(1, "4.0 + 1e-8")},
-c2 AS (SELECT min(struct_pack(d := d, i := i)).i AS i FROM p, gone1 WHERE len(list_filter(taken, lambda g: abs(g - p.i) <= 4)) = 0), {_picks_sql(2, "4.0 + 1e-8")}
-SELECT 0 AS motif, n::INT AS rank, taken[n] AS i, round(d, 6) AS d FROM picks1 UNION ALL SELECT 1, n::INT, taken[n], round(d, 6) FROM picks2""")
-def motifs(spark: SparkSession, sf: str) -> DataFrame:
-    s = S.daily_quantity(spark, sf)
-    return search.motifs(s, P.self_join(s, M), M, max_motifs=2, cutoff=float("inf"), max_distance=4.0).withColumn("d", F.round("d", 6))
+def _motifs_sql(metric: Metric, most: float) -> str:
+    return f"""WITH RECURSIVE {pairs_sql(QUANTITY, M, metric, 4)}, p AS (SELECT i, min(d) AS d FROM pairs GROUP BY i),
+c1 AS (SELECT min(struct_pack(d := d, i := i)).i AS i FROM p), {_picks_sql(1, f"{most} + 1e-8", metric)},
+c2 AS (SELECT min(struct_pack(d := d, i := i)).i AS i FROM p, gone1 WHERE len(list_filter(taken, lambda g: abs(g - p.i) <= 4)) = 0), {_picks_sql(2, f"{most} + 1e-8", metric)}
+SELECT 0 AS motif, n::INT AS rank, taken[n] AS i, round(d, 6) AS d FROM picks1 UNION ALL SELECT 1, n::INT, taken[n], round(d, 6) FROM picks2"""
+
+
+def _motifs(metric: Metric, most: float):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        s = S.daily_quantity(spark, sf)
+        return search.motifs(s, P.self_join(s, M, metric=metric), M, max_motifs=2, cutoff=float("inf"), max_distance=most, metric=metric).withColumn("d", F.round("d", 6))
+
+    return run
+
+
+for _name, _metric, _most in (("motifs", Z, 4.0), ("motifs_minkowski", L2, 1e7)):
+    QUERIES[_name], ORACLES[_name] = _motifs(_metric, _most), _motifs_sql(_metric, _most)
 
 
 # Chains
@@ -259,11 +280,18 @@ def types_as_series(spark: SparkSession, sf: str) -> DataFrame:
     return S.hourly_events_by_type(spark, sf).select(F.col("dim").cast("string").alias("series_id"), "idx", "value")
 
 
-@query("ostinato", f"""WITH w AS ({windows_sql(TYPE_SERIES, TM)}), near AS (SELECT x.series_id, x.i, y.series_id AS o, min({distance_sql(Z, TM)}) AS d FROM w x JOIN w y ON x.series_id <> y.series_id GROUP BY ALL),
+def _ostinato_sql(metric: Metric) -> str:
+    return f"""WITH w AS ({windows_sql(TYPE_SERIES, TM)}), near AS (SELECT x.series_id, x.i, y.series_id AS o, min({distance_sql(metric, TM)}) AS d FROM w x JOIN w y ON x.series_id <> y.series_id GROUP BY ALL),
 r AS (SELECT series_id, i, max(d) AS radius, sum(d) / 5 AS mean FROM near GROUP BY ALL), tied AS (SELECT * FROM r WHERE radius <= (SELECT min(radius) * (1 + 1e-5) + 1e-8 FROM r))
-SELECT series_id, i::BIGINT AS i, round(radius, 6) AS radius, round(mean, 6) AS mean FROM tied ORDER BY tied.mean, series_id, tied.i LIMIT 1""")
-def ostinato(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.consensus(types_as_series(spark, sf), TM).withColumns({"radius": F.round("radius", 6), "mean": F.round("mean", 6)})
+SELECT series_id, i::BIGINT AS i, round(radius, 6) AS radius, round(mean, 6) AS mean FROM tied ORDER BY tied.mean, series_id, tied.i LIMIT 1"""
+
+
+def _ostinato(metric: Metric):
+    return lambda spark, sf: compare.consensus(types_as_series(spark, sf), TM, metric=metric).withColumns({"radius": F.round("radius", 6), "mean": F.round("mean", 6)})
+
+
+for _name, _metric in (("ostinato", Z), ("ostinato_minkowski", L2)):
+    QUERIES[_name], ORACLES[_name] = _ostinato(_metric), _ostinato_sql(_metric)
 
 
 def _mpdist_sql(a: str, b: str, m: int, metric: Metric, condition: str = "true", digits: int = 6) -> str:
@@ -372,9 +400,13 @@ QUERIES["multi_profile"], ORACLES["multi_profile"] = _multi(Z, 6), _best_multi(Z
 QUERIES["multi_profile_minkowski"], ORACLES["multi_profile_minkowski"] = _multi(Metric(2.0), 4), _best_multi(Metric(2.0), 4)
 
 
-@query("multi_distance_profile", f"WITH {_dims_pairs(Z, f'x.i = {AT}')} SELECT 'events' AS series_id, j::BIGINT AS i, kdim, round(CASE WHEN j = {AT} THEN 0 ELSE d END, 6) AS d FROM multi")
-def multi_distance_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return multidim.distance_profiles(S.hourly_events_by_type(spark, sf), TM, AT).withColumn("d", F.round("d", 6))
+def _multi_distances(metric: Metric):
+    return lambda spark, sf: multidim.distance_profiles(S.hourly_events_by_type(spark, sf), TM, AT, metric=metric).withColumn("d", F.round("d", 6))
+
+
+for _name, _metric in (("multi_distance_profile", Z), ("multi_distance_profile_minkowski", L2)):
+    QUERIES[_name] = _multi_distances(_metric)
+    ORACLES[_name] = f"WITH {_dims_pairs(_metric, f'x.i = {AT}')} SELECT 'events' AS series_id, j::BIGINT AS i, kdim, round(CASE WHEN j = {AT} THEN 0 ELSE d END, 6) AS d FROM multi"
 
 
 # The windows at AT and OTHER of each dimension, as eight-bit steps of the normal distribution
@@ -399,6 +431,25 @@ def subspace(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(dims)), "place int, dim int")
 
 
+# of raw values: 256 even steps of the range of all values, halves to the even step
+_LINEAR = f"""{_DIMS_W}, span AS (SELECT min(value) AS low, max(value) AS high FROM ({TYPES})),
+codes AS (SELECT x.dim, list_transform(x.a, lambda v: round_even((v - low) / (high - low) * 255, 0)) AS a, list_transform(y.a, lambda v: round_even((v - low) / (high - low) * 255, 0)) AS b
+  FROM w x JOIN w y ON x.dim = y.dim AND x.i = {AT} AND y.i = {OTHER}, span),
+ranked AS (SELECT dim, list_transform(list_zip(a, b), lambda t: t[1] - t[2]) AS diff, row_number() OVER (ORDER BY sqrt(list_sum(list_transform(list_zip(a, b), lambda t: pow(t[1] - t[2], 2)))), dim) AS r FROM codes)"""
+
+
+@query("description_lengths_minkowski", ORACLES["description_lengths"].replace(_CODES, _LINEAR))
+def description_lengths_minkowski(spark: SparkSession, sf: str) -> DataFrame:
+    d = multidim.description_lengths(S.hourly_events_by_type(spark, sf), TM, [AT] * 5, [OTHER] * 5, metric=L2)
+    return d.select("kdim", F.round("bits", 6).alias("bits"), F.array_join(F.array_sort("subspace").cast("array<string>"), ",").alias("subspace"))
+
+
+@query("subspace_minkowski", f"WITH {_LINEAR} SELECT r::INT - 1 AS place, dim::INT AS dim FROM ranked WHERE r <= 3")
+def subspace_minkowski(spark: SparkSession, sf: str) -> DataFrame:
+    dims = multidim.subspace(S.hourly_events_by_type(spark, sf), TM, AT, OTHER, 2, metric=L2)
+    return spark.createDataFrame(list(enumerate(dims)), "place int, dim int")
+
+
 @query("multi_motifs")
 def multi_motifs(spark: SparkSession, sf: str) -> DataFrame:
     s = S.hourly_events_by_type(spark, sf)
@@ -409,21 +460,37 @@ def multi_motifs(spark: SparkSession, sf: str) -> DataFrame:
 # Snippets, pan profiles, approximations
 
 
-# with the sub-window as long as the window, MPdist is the distance itself
-_SNIPPETS = f"""w AS ({windows_sql(HOURLY, 48)}), every AS (SELECT (x.i // 48) AS chunk, y.i, {distance_sql(Z, 48)} AS d FROM w x JOIN w y ON x.i % 48 = 0),
-a1 AS (SELECT chunk, sum(d) AS area FROM every GROUP BY chunk ORDER BY area, chunk LIMIT 1), cur AS (SELECT i, d FROM every JOIN a1 USING (chunk)),
+def _snippet_sql(metric: Metric) -> str:
+    """With the sub-window as long as the window, MPdist is the distance itself."""
+    return f"""w AS ({windows_sql(HOURLY, 48)}), every AS MATERIALIZED (SELECT (x.i // 48) AS chunk, y.i, {distance_sql(metric, 48)} AS d FROM w x JOIN w y ON x.i % 48 = 0), {_CHOICE}"""
+
+
+_CHOICE = """a1 AS (SELECT chunk, sum(d) AS area FROM every GROUP BY chunk ORDER BY area, chunk LIMIT 1), cur AS (SELECT i, d FROM every JOIN a1 USING (chunk)),
 a2 AS (SELECT chunk, sum(least(every.d, cur.d)) AS area FROM every JOIN cur USING (i) GROUP BY chunk ORDER BY 2, 1 LIMIT 1),
 own AS (SELECT i, min(struct_pack(d := d, s := s)).s AS s FROM (SELECT i, d, 0 AS s FROM cur UNION ALL SELECT i, d, 1 FROM every JOIN a2 USING (chunk)) GROUP BY i)"""
+# sub-windows of half the length: of 2 x 25 nearest distances the one at ceil(5 % of 96)
+_HALVES = f"""w AS ({windows_sql(HOURLY, 24)}), d AS MATERIALIZED (SELECT x.i // 48 AS chunk, x.i % 48 AS k, y.i AS j, {distance_sql(Z, 24)} AS d FROM w x JOIN w y ON x.i % 48 <= 24 AND x.i // 48 < (SELECT count(*) + 23 FROM w) // 48),
+rows AS (SELECT chunk, k, j AS i, min(d) OVER (PARTITION BY chunk, k ORDER BY j ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS d FROM d),
+least AS (SELECT chunk, j, min(d) AS d FROM d GROUP BY chunk, j),
+cols AS (SELECT a.chunk, a.j AS i, b.d FROM least a JOIN least b ON a.chunk = b.chunk AND b.j BETWEEN a.j AND a.j + 24),
+each AS (SELECT chunk, i, d FROM rows WHERE i + 24 <= (SELECT max(j) FROM d) UNION ALL SELECT chunk, i, d FROM cols WHERE i + 24 <= (SELECT max(j) FROM d)),
+every AS MATERIALIZED (SELECT chunk, i, list_sort(list(d))[6] AS d FROM each GROUP BY chunk, i), {_CHOICE}"""
+
+
+def _snippet_table(sql: str) -> str:
+    return f"""WITH {sql} SELECT 'hourly' AS series_id, s AS snippet, (chunk * 48)::BIGINT AS i, round(area, 5) AS area, round((SELECT count(*) FROM own WHERE own.s = a.s) / (SELECT count(*) FROM own), 6) AS fraction
+FROM (SELECT 0 AS s, * FROM a1 UNION ALL SELECT 1, * FROM a2) a"""
+
 
+def _snippets(s: int | None, metric: Metric):
+    return lambda spark, sf: snippets.snippets(S.hourly_events(spark, sf), 48, 2, s=s, metric=metric)[0].withColumns({"area": F.round("area", 5), "fraction": F.round("fraction", 6)})
 
-@query("snippets", f"""WITH {_SNIPPETS} SELECT 'hourly' AS series_id, s AS snippet, (chunk * 48)::BIGINT AS i, round(area, 6) AS area, round((SELECT count(*) FROM own WHERE own.s = a.s) / (SELECT count(*) FROM own), 6) AS fraction
-FROM (SELECT 0 AS s, * FROM a1 UNION ALL SELECT 1, * FROM a2) a""")
-def snippet_table(spark: SparkSession, sf: str) -> DataFrame:
-    found, _, _ = snippets.snippets(S.hourly_events(spark, sf), 48, 2)
-    return found.withColumns({"area": F.round("area", 6), "fraction": F.round("fraction", 6)})
 
+for _name, _size, _metric, _text in (("snippets", None, Z, _snippet_sql(Z)), ("snippets_minkowski", None, L2, _snippet_sql(L2)), ("snippets_of_halves", 24, Z, _HALVES)):
+    QUERIES[_name], ORACLES[_name] = _snippets(_size, _metric), _snippet_table(_text)
 
-@query("snippet_regimes", f"""WITH {_SNIPPETS}, islands AS (SELECT i, s, i - row_number() OVER (PARTITION BY s ORDER BY i) AS g FROM own)
+
+@query("snippet_regimes", f"""WITH {_snippet_sql(Z)}, islands AS (SELECT i, s, i - row_number() OVER (PARTITION BY s ORDER BY i) AS g FROM own)
 SELECT 'hourly' AS series_id, s AS snippet, min(i)::BIGINT AS start, (max(i) + 1)::BIGINT AS stop FROM islands GROUP BY s, g""")
 def snippet_regimes(spark: SparkSession, sf: str) -> DataFrame:
     return snippets.snippets(S.hourly_events(spark, sf), 48, 2)[2]
@@ -432,16 +499,16 @@ def snippet_regimes(spark: SparkSession, sf: str) -> DataFrame:
 PAN = (12, 20, 4)
 
 
-def _pan_sql() -> str:
+def _pan_sql(metric: Metric = Z) -> str:
     parts = []
     for turn, m in enumerate(pan.window_sizes(10_000, *PAN)):
-        parts.append(f"SELECT {m} AS m, {turn} AS turn, x.i, min({distance_sql(Z, m)}) AS d FROM ({windows_sql(HOURLY, m)}) x JOIN ({windows_sql(HOURLY, m)}) y ON abs(x.i - y.i) > {-(-m // 4)} GROUP BY x.i")
+        parts.append(f"SELECT {m} AS m, {turn} AS turn, x.i, min({distance_sql(metric, m)}) AS d FROM ({windows_sql(HOURLY, m)}) x JOIN ({windows_sql(HOURLY, m)}) y ON abs(x.i - y.i) > {-(-m // 4)} GROUP BY x.i")
     return "pan AS (" + " UNION ALL ".join(parts) + ")"
 
 
-@query("pan_profile", f"WITH {_pan_sql()} SELECT 'hourly' AS series_id, m::INT AS m, turn::INT AS turn, i::BIGINT AS i, round(d, 6) AS d FROM pan")
-def pan_table(spark: SparkSession, sf: str) -> DataFrame:
-    return pan.pan_profile(S.hourly_events(spark, sf), *PAN).withColumn("d", F.round("d", 6))
+for _name, _metric in (("pan_profile", Z), ("pan_profile_minkowski", L2)):
+    QUERIES[_name] = lambda spark, sf, metric=_metric: pan.pan_profile(S.hourly_events(spark, sf), *PAN, metric=metric).withColumn("d", F.round("d", 6))
+    ORACLES[_name] = f"WITH {_pan_sql(_metric)} SELECT 'hourly' AS series_id, m::INT AS m, turn::INT AS turn, i::BIGINT AS i, round(d, 6) AS d FROM pan"
 
 
 @query("pan_contrast", f"""WITH {_pan_sql()}, scaled AS (SELECT m, i, least(1, d / (2 * sqrt(m))) AS d FROM pan),
@@ -458,54 +525,181 @@ def _flat_rows(p: DataFrame) -> DataFrame:
     return P.nearest(p).select("series_id", "i", F.round("d", 6).alias("d"), F.coalesce("j", F.lit(-1)).cast("long").alias("j"))
 
 
-_EXACT = f"WITH {pairs_sql(HOURLY, 12, Z, 3)} SELECT series_id, i::BIGINT AS i, round(min(d), 6) AS d, min(struct_pack(d := round(d, 9), j := j)).j::BIGINT AS j FROM pairs GROUP BY ALL"
+_NEAREST = "SELECT series_id, i::BIGINT AS i, round(min(d), 6) AS d, min(struct_pack(d := round(d, 9), j := j)).j::BIGINT AS j"
+
+
+def _exact_sql(metric: Metric) -> str:
+    return f"WITH {pairs_sql(HOURLY, 12, metric, 3)} {_NEAREST} FROM pairs GROUP BY ALL"
+
+
+for _name, _metric in (("sampled_profile_all", Z), ("sampled_profile_all_minkowski", L2)):
+    QUERIES[_name] = lambda spark, sf, metric=_metric: _flat_rows(approximate.sampled_profile(S.hourly_events(spark, sf), 12, 0.1, updates=10, metric=metric))
+    ORACLES[_name] = _exact_sql(_metric)
 
 
-@query("sampled_profile_all", _EXACT)
-def sampled_profile_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat_rows(approximate.sampled_profile(S.hourly_events(spark, sf), 12, 0.1, updates=10))
+def _mixed_sql(x: str) -> str:
+    """The diagonal's hash in 128-bit arithmetic mod 2^64, and its part of ten."""
+    m = "18446744073709551616::UHUGEINT"
+    a = f"(({x})::UHUGEINT + 11400714819323198485::UHUGEINT) % {m}"
+    b = f"(xor({a}, ({a}) >> 30) * 13787848793156543929::UHUGEINT) % {m}"
+    c = f"(xor({b}, ({b}) >> 27) * 10723151780598845931::UHUGEINT) % {m}"
+    return f"xor({c}, ({c}) >> 31) % 10"
 
 
-@query("sampled_profile")
-def sampled_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat_rows(approximate.sampled_profile(S.hourly_events(spark, sf), 12, 0.1))
+def _sampled_sql(metric: Metric) -> str:
+    return f"""WITH {pairs_sql(HOURLY, 12, metric, 3)}, gaps AS (SELECT g FROM (SELECT unnest(range(1, (SELECT max(i) + 1 FROM w))) AS g) WHERE {_mixed_sql("g")} < 1),
+best AS (SELECT pairs.series_id, i, min(d) AS d, min(struct_pack(d := round(d, 9), j := j)).j AS j FROM pairs JOIN gaps ON abs(i - j) = g GROUP BY ALL)
+SELECT w.series_id, w.i::BIGINT AS i, round(d, 6) AS d, coalesce(j, -1)::BIGINT AS j FROM w LEFT JOIN best USING (series_id, i)"""
 
 
-_SEEDS = f"""{pairs_sql(HOURLY, 12, Z, 3)}, seeds AS (SELECT i, min(struct_pack(d := round(d, 9), j := j)).j AS j FROM pairs WHERE i % 3 = 0 GROUP BY i),
+for _name, _metric in (("sampled_profile", Z), ("sampled_profile_minkowski", L2)):
+    QUERIES[_name] = lambda spark, sf, metric=_metric: _flat_rows(approximate.sampled_profile(S.hourly_events(spark, sf), 12, 0.1, metric=metric))
+    ORACLES[_name] = _sampled_sql(_metric)
+
+
+def _extended_sql(metric: Metric) -> str:
+    return f"""WITH {pairs_sql(HOURLY, 12, metric, 3)}, seeds AS (SELECT i, min(struct_pack(d := round(d, 9), j := j)).j AS j FROM pairs WHERE i % 3 = 0 GROUP BY i),
 moved AS (SELECT i + g AS i, j + g AS j FROM seeds, (SELECT unnest([-2, -1, 1, 2]) AS g)),
-offered AS (SELECT pairs.i, pairs.j, d FROM pairs WHERE i % 3 = 0 OR j % 3 = 0 UNION ALL SELECT pairs.i, pairs.j, d FROM pairs JOIN moved ON (pairs.i = moved.i AND pairs.j = moved.j) OR (pairs.i = moved.j AND pairs.j = moved.i))"""
+offered AS (SELECT pairs.i, pairs.j, d FROM pairs WHERE i % 3 = 0 OR j % 3 = 0 UNION ALL SELECT pairs.i, pairs.j, d FROM pairs JOIN moved ON (pairs.i = moved.i AND pairs.j = moved.j) OR (pairs.i = moved.j AND pairs.j = moved.i))
+SELECT 'hourly' AS series_id, i::BIGINT AS i, round(min(d), 6) AS d, min(struct_pack(d := round(d, 9), j := j)).j::BIGINT AS j FROM offered GROUP BY i"""
+
 
+for _name, _metric in (("extended_profile", Z), ("extended_profile_minkowski", L2)):
+    QUERIES[_name] = lambda spark, sf, metric=_metric: _flat_rows(approximate.extended_profile(S.hourly_events(spark, sf), 12, metric=metric))
+    ORACLES[_name] = _extended_sql(_metric)
 
-@query("extended_profile", f"WITH {_SEEDS} SELECT 'hourly' AS series_id, i::BIGINT AS i, round(min(d), 6) AS d, min(struct_pack(d := round(d, 9), j := j)).j::BIGINT AS j FROM offered GROUP BY i")
-def extended_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat_rows(approximate.extended_profile(S.hourly_events(spark, sf), 12))
 
+@query("extended_profile_ab", f"""WITH {_ab_sql(QUANTITY, PRICE, M, Z)}, seeds AS (SELECT i, min(struct_pack(d := round(d, 9), j := j)).j AS j FROM ab WHERE i % 4 = 0 GROUP BY i),
+moved AS (SELECT i + g AS i, j + g AS j FROM seeds, (SELECT unnest([-3, -2, -1, 1, 2, 3]) AS g)),
+offered AS (SELECT series_id, i, j, d FROM ab WHERE i % 4 = 0 UNION ALL SELECT series_id, ab.i, ab.j, d FROM ab JOIN moved ON ab.i = moved.i AND ab.j = moved.j),
+best AS (SELECT i, min(d) AS d, min(struct_pack(d := round(d, 9), j := j)).j AS j FROM offered GROUP BY i)
+SELECT 'quantity' AS series_id, x.i::BIGINT AS i, round(d, 6) AS d, coalesce(j, -1)::BIGINT AS j FROM x LEFT JOIN best USING (i)""")
+def extended_profile_ab(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat_rows(approximate.extended_profile(S.daily_quantity(spark, sf), M, other=S.daily_price(spark, sf)))
 
-@query("anytime_profile_all", _EXACT)
+
+@query("anytime_profile_all", _exact_sql(Z))
 def anytime_profile_all(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_rows(approximate.anytime_profile(S.hourly_events(spark, sf), 12, 0.25, updates=4))
 
 
+# Missing values, given constant flags, and what else the tables above don't hold
+
+HOLES = f"SELECT series_id, idx, CASE WHEN idx % 37 = 5 THEN NULL ELSE value END AS value FROM ({HOURLY})"
+
+
+def hourly_with_holes(spark: SparkSession, sf: str) -> DataFrame:
+    hole = F.when(F.col("idx") % 74 == 5, F.lit(None)).when(F.col("idx") % 37 == 5, float("nan"))
+    return S.hourly_events(spark, sf).withColumn("value", F.when(F.col("idx") % 37 == 5, hole).otherwise(F.col("value")))
+
+
+def _holes_sql(metric: Metric) -> str:
+    return f"""WITH every AS MATERIALIZED ({windows_sql(HOLES, 12)}), w AS MATERIALIZED (SELECT * FROM every WHERE len(list_filter(a, lambda v: v IS NULL)) = 0),
+pairs AS (SELECT x.series_id, x.i, y.i AS j, {distance_sql(metric, 12)} AS d FROM w x JOIN w y ON abs(x.i - y.i) > 3)
+SELECT every.series_id, every.i::BIGINT AS i, round(min(d), 6) AS d, coalesce(min(struct_pack(d := round(d, 9), j := j)).j, -1)::BIGINT AS j,
+  coalesce((min(struct_pack(d := round(d, 9), j := j)) FILTER (j < every.i)).j, -1)::BIGINT AS left_j, coalesce((min(struct_pack(d := round(d, 9), j := j)) FILTER (j > every.i)).j, -1)::BIGINT AS right_j
+FROM every LEFT JOIN pairs ON every.i = pairs.i GROUP BY 1, 2"""
+
+
+for _name, _metric in (("self_join_missing", Z), ("self_join_missing_minkowski", L2)):
+    QUERIES[_name], ORACLES[_name] = _self(hourly_with_holes, 12, _metric), _holes_sql(_metric)
+
+
+@query("rolling_missing", f"SELECT series_id, i::BIGINT AS i, round(mu, 6) AS mu, round(sd, 6) AS sd, lo AS low, hi AS high, n::BIGINT AS n FROM (SELECT series_id, idx AS i, avg(value) OVER w AS mu, stddev_pop(value) OVER w AS sd, min(value) OVER w AS lo, max(value) OVER w AS hi, count(value) OVER w AS n, count(*) OVER w AS c FROM ({HOLES}) WINDOW w AS (ORDER BY idx ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)) WHERE c = 12")
+def rolling_missing(spark: SparkSession, sf: str) -> DataFrame:
+    return rolling_present(hourly_with_holes(spark, sf), 12).withColumns({"mu": F.round("mu", 6), "sd": F.round("sd", 6), "n": F.col("n").cast("long")})
+
+
+@query("sliding_dot", f"SELECT series_id, i::BIGINT AS i, round(list_sum(list_transform(list_zip(a, [1.0, -2.0, 0.5, 3.0]), lambda t: t[1] * t[2])), 4) AS qt FROM ({windows_sql(QUANTITY, 4)})")
+def sliding_dots(spark: SparkSession, sf: str) -> DataFrame:
+    return sliding_dot(S.daily_quantity(spark, sf), [1.0, -2.0, 0.5, 3.0]).withColumn("qt", F.round("qt", 4))
+
+
+#: Every fifth window counts as constant, no other does.
+_FLAGGED = pairs_sql(HOURLY, 12, Z, 3).replace("lo = hi AS const", "i % 5 = 0 AS const")
+
+
+@query("self_join_flagged", f"WITH {_FLAGGED} {_NEAREST} FROM pairs GROUP BY ALL")
+def self_join_flagged(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.hourly_events(spark, sf)
+    return _flat_rows(P.self_join(s, 12, constant=s.select("series_id", F.col("idx").alias("i"), (F.col("idx") % 5 == 0).alias("is_const"))))
+
+
+@query("mass_flagged", f"WITH w AS (SELECT * REPLACE (i % 5 = 0 AS const) FROM ({windows_sql(QUANTITY, M)})) SELECT y.series_id, y.i::BIGINT AS i, round(CASE WHEN y.i = {AT} THEN 0 ELSE {distance_sql(Z, M)} END, 6) AS d FROM (SELECT * REPLACE (false AS const) FROM w) x JOIN w y ON x.i = {AT}")
+def mass_flagged(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.daily_quantity(spark, sf)
+    flags = s.select("series_id", F.col("idx").alias("i"), (F.col("idx") % 5 == 0).alias("is_const"))
+    return P.distance_profile(s, search.window_at(s, AT, M), query_index=AT, constant=flags, query_constant=False).withColumn("d", F.round("d", 6))
+
+
+@query("discords_top3", f"""WITH RECURSIVE {pairs_sql(QUANTITY, M, Z, 4)}, p AS (SELECT i, min(d) AS d FROM pairs GROUP BY ALL),
+picks(n, taken, d) AS (
+  SELECT 1, [min(struct_pack(d := -d, i := i)).i], max(d) FROM p
+  UNION ALL
+  SELECT n + 1, list_append(taken, best.i), -best.d FROM (
+    SELECT q.n, any_value(q.taken) AS taken, min(struct_pack(d := -p.d, i := p.i)) AS best FROM picks q, p WHERE q.n < 3 AND len(list_filter(q.taken, lambda t: abs(t - p.i) <= 4)) = 0 GROUP BY q.n))
+SELECT 'quantity' AS series_id, n::INT AS rank, taken[n]::BIGINT AS i, round(d, 6) AS d FROM picks""")
+def discords_top3(spark: SparkSession, sf: str) -> DataFrame:
+    return P.discords(P.self_join(S.daily_quantity(spark, sf), M), M, k=3).withColumn("d", F.round("d", 6))
+
+
+@query("distance_matrix", f"WITH x AS (SELECT * FROM ({windows_sql(TYPE_SERIES, TM)}) WHERE series_id = '0' AND i < 100), y AS (SELECT * FROM ({windows_sql(TYPE_SERIES, TM)}) WHERE series_id = '1' AND i < 100) SELECT x.series_id, x.i::BIGINT AS i, y.series_id AS other_id, y.i::BIGINT AS j, round({distance_sql(Z, TM)}, 6) AS d FROM x, y")
+def distance_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    s = types_as_series(spark, sf).where(F.col("idx") < 99 + TM)
+    return P.distance_matrix(s.where("series_id = '0'"), s.where("series_id = '1'"), TM).withColumn("d", F.round("d", 6))
+
+
 # Streams: every user's events as a series
 
 
 def _streamed(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """Run a stream over the events table to its end; the rows it wrote."""
     events = spark.read.parquet(f"{sf}/events.parquet")
-    points = spark.readStream.schema(events.schema).parquet(f"{sf}/event[s].parquet").select(F.col("user_id").cast("string").alias("series_id"), "ts", "value")
+    points = spark.readStream.schema(events.schema).parquet(f"{sf}/event[s].parquet").select(F.col("user_id").cast("string").alias("series_id"), "ts", "value", F.col("event_id").alias("seq"))
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     run = build(points).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
-@query("stream_profile", f"""WITH {pairs_sql(USERS, 8, Z, 2)} SELECT w.series_id, w.i::BIGINT AS i, round(min(d), 6) AS d, coalesce(min(struct_pack(d := round(d, 9), j := j)).j, -1)::BIGINT AS j
-FROM w LEFT JOIN pairs ON w.series_id = pairs.series_id AND w.i = pairs.i AND j < w.i WHERE w.i >= 3 GROUP BY 1, 2""")
-def stream_profile(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _streamed(spark, sf, "profile", lambda p: incremental.profile_stream(p, 8, 1000))
-    return rows.select("series_id", "i", F.round("d", 6).alias("d"), F.coalesce("j", F.lit(-1)).cast("long").alias("j"))
+def _stream_sql(metric: Metric) -> str:
+    return f"""WITH {pairs_sql(USERS, 8, metric, 2)} SELECT w.series_id, w.i::BIGINT AS i, round(min(d), 6) AS d, coalesce(min(struct_pack(d := round(d, 9), j := j)).j, -1)::BIGINT AS j
+FROM w LEFT JOIN pairs ON w.series_id = pairs.series_id AND w.i = pairs.i AND j < w.i WHERE w.i >= 3 GROUP BY 1, 2"""
+
+
+def _profile_stream(metric: Metric):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = _streamed(spark, sf, "profile", lambda p: incremental.profile_stream(p, 8, metric=metric))
+        return rows.select("series_id", "i", F.round("d", 6).alias("d"), F.coalesce("j", F.lit(-1)).cast("long").alias("j"))
+
+    return run
+
+
+for _name, _metric in (("stream_profile", Z), ("stream_profile_minkowski", L2)):
+    QUERIES[_name], ORACLES[_name] = _profile_stream(_metric), _stream_sql(_metric)
+
+
+@query("stream_whole_profile", f"""WITH {pairs_sql(USERS, 8, Z, 2)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id, i ORDER BY round(d, 9), j) AS rank FROM pairs),
+long AS (SELECT series_id FROM w GROUP BY series_id HAVING count(*) >= 4)
+SELECT series_id, w.i::BIGINT AS i, coalesce(rank, 1)::INT AS rank, round(d, 6) AS d, coalesce(j, -1)::BIGINT AS j FROM w JOIN long USING (series_id) LEFT JOIN (SELECT * FROM ranked WHERE rank <= 2) USING (series_id, i)""")
+def stream_whole_profile(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _streamed(spark, sf, "whole", lambda p: incremental.profile_stream(p, 8, k=2, whole=True))
+    return rows.select("series_id", "i", "rank", F.round("d", 6).alias("d"), F.coalesce("j", F.lit(-1)).cast("long").alias("j"))
+
+
+# after each point: the windows of the last 40 points, each with its nearest to the right among them
+_SEGMENTS = f"""WITH {pairs_sql(USERS, 5, Z, 2)}, ends AS (SELECT series_id, i + 4 AS e FROM w WHERE i + 4 >= 39),
+links AS (SELECT series_id, e, i - (e - 39) AS i, n.j - (e - 39) AS j
+  FROM (SELECT ends.series_id, e, w.i, min(struct_pack(d := round(d, 9), j := j)) AS n
+    FROM ends JOIN w ON w.series_id = ends.series_id AND w.i BETWEEN e - 39 AND e - 4 LEFT JOIN pairs ON pairs.series_id = w.series_id AND pairs.i = w.i AND j > w.i AND j <= e - 4 GROUP BY ALL)),
+steps AS (SELECT series_id, e, i, sum(s) AS s FROM (SELECT series_id, e, i, 1 AS s FROM links UNION ALL SELECT series_id, e, coalesce(j, i), -1 FROM links) GROUP BY ALL),
+arcs AS (SELECT series_id, e, i, sum(s) OVER (PARTITION BY series_id, e ORDER BY i) AS arcs FROM steps),
+h AS (SELECT n, coalesce((SELECT sum(1.0 / k) FROM (SELECT unnest(range(1, 40)) AS k) WHERE k <= n), 0) AS h FROM (SELECT unnest(range(0, 40)) AS n)),
+ideal AS (SELECT a.n AS i, CASE WHEN a.n = 35 THEN 1e-10 ELSE (35 - a.n) * ((SELECT h FROM h WHERE n = 35) - b.h) + (a.n + 1) / 36 END AS ideal FROM h a JOIN h b ON b.n = greatest(34 - a.n, 0) WHERE a.n < 36),
+cac AS (SELECT series_id, e, i, CASE WHEN i < 5 OR i >= 31 THEN 1.0 ELSE least(arcs / ideal, 1.0) END AS cac FROM arcs JOIN ideal USING (i))
+SELECT series_id, (best.i + e - 39)::BIGINT AS i, round(best.cac, 6) AS cac FROM (SELECT series_id, e, min(struct_pack(cac := cac, i := i)) AS best FROM cac GROUP BY ALL)"""
 
 
-@query("stream_segments")
+@query("stream_segments", _SEGMENTS)
 def stream_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(spark, sf, "segments", lambda p: incremental.segment_stream(p, 5, 5, 40, factor=1)).select("series_id", "i", F.round("cac", 6).alias("cac"))

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.operators.profile import ready
+from tidewheel.operators.profile import Flags, constant_flags, ready
 from tidewheel.functions.distance import distance
 from tidewheel.plans import kernel, tiles
 from tidewheel.runtime import cut, ship
-from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings
+from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings, check_arguments
 
 
 def chosen(diagonals: np.ndarray, percentage: float, updates: int, seed: int) -> np.ndarray:
@@ -68,16 +68,17 @@ def _sample(m: int, block: int, k: int, metric: Metric, zone: int | None, percen
     return run
 
 
-def sampled_profile(series: DataFrame, m: int, percentage: float = 0.01, updates: int = 1, other: DataFrame | None = None, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0) -> DataFrame:
+def sampled_profile(series: DataFrame, m: int, percentage: float = 0.01, updates: int = 1, other: DataFrame | None = None, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0, constant: Flags = None, other_constant: Flags = None) -> DataFrame:
     """The profile over a random sample of diagonals: ``updates`` of ceil(1 / percentage) parts.
 
     More updates with the same seed only add diagonals; all of them give the exact profile. Work is in proportion to the
     sample, tile by tile.
     """
+    check_arguments(m, k, metric, percentage)
     zone = settings.zone(m) if other is None else None
     block = max(settings.block, m)
-    left = tiles.block_rows(series, m, block)
-    right = left if other is None else tiles.block_rows(other, m, block)
+    left = tiles.block_rows(series, m, block, constant_flags(series, m, constant))
+    right = left if other is None else tiles.block_rows(other, m, block, constant_flags(other, m, other_constant))
     plan = tiles.self_plan(series, m, block) if other is None else tiles.ab_plan(series, other, m, block, None)
     spark = series.sparkSession
     ship(spark)
@@ -92,46 +93,54 @@ def sampled_profile(series: DataFrame, m: int, percentage: float = 0.01, updates
     return out.drop("other_id") if other is None else out.select("series_id", "other_id", "i", "nn")
 
 
-def _sampled_rows(m: int, block: int, metric: Metric, zone: int, s: int, k: int):
-    """Whole profiles of every s-th window: offered to it, and to all windows it meets."""
+def _sampled_rows(m: int, block: int, metric: Metric, zone: int | None, s: int, k: int):
+    """Whole profiles of every s-th window: offered to it and, in a self-join, to all windows it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 sid, oid, ia, ib = (batch.column(c)[r].as_py() for c in range(4))
-                a = kernel.prepare(tiles._array(batch.column(4), r), m, metric, ia * block)
-                b = a if ia == ib else kernel.prepare(tiles._array(batch.column(6), r), m, metric, ib * block)
-                for x, y in ((a, b), (b, a)) if ia != ib else ((a, b),):
+                va, vb = tiles._array(batch.column(4), r), tiles._array(batch.column(6), r)
+                a = kernel.prepare(va, m, metric, ia * block, tiles._flags(batch.column(5), r, len(va) - m + 1))
+                same = zone is not None and ia == ib
+                b = a if same else kernel.prepare(vb, m, metric, ib * block, tiles._flags(batch.column(7), r, len(vb) - m + 1))
+                for x, y in ((a, b),) if same or zone is None else ((a, b), (b, a)):
                     at = np.flatnonzero((x.lo + np.arange(len(x))) % s == 0)
                     own, others = kernel.Found.of(len(x), k), kernel.Found.of(len(y), k)
                     for i in at.tolist():
                         j = np.arange(len(y))
                         d = kernel.exact(x, y, np.full(len(y), i), j)
-                        d[np.abs(j + y.lo - (i + x.lo)) <= zone] = np.inf
+                        if zone is not None:
+                            d[np.abs(j + y.lo - (i + x.lo)) <= zone] = np.inf
                         best = np.argsort(np.round(d, kernel.DIGITS), kind="stable")[:k]
                         own.near.offer(slice(i, i + 1), d[best][None, :], np.where(np.isfinite(d[best]), best + y.lo, -1)[None, :])
-                        others.near.offer(slice(0, len(y)), d[:, None], np.where(np.isfinite(d), i + x.lo, -1)[:, None])
+                        if zone is not None:
+                            others.near.offer(slice(0, len(y)), d[:, None], np.where(np.isfinite(d), i + x.lo, -1)[:, None])
                     yield tiles._emit(sid, oid, x.lo, own)
-                    yield tiles._emit(sid, oid, y.lo, others)
+                    if zone is not None:
+                        yield tiles._emit(sid, oid, y.lo, others)
 
     return run
 
 
-def extended_profile(series: DataFrame, m: int, s: int | None = None, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT) -> DataFrame:
+def extended_profile(series: DataFrame, m: int, s: int | None = None, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, other: DataFrame | None = None, constant: Flags = None, other_constant: Flags = None) -> DataFrame:
     """series_id, i, nn: every s-th window's exact k nearest, the nearest carried s - 1 steps along its diagonal both ways.
 
-    The carried pairs are (i + g, j + g): an explode and two equi-joins with the windows.
+    With ``other`` (one series each) the neighbours are its windows and there is no zone. The carried pairs are
+    (i + g, j + g): an explode and two equi-joins with the windows.
     """
-    zone = settings.zone(m)
-    s = max(1, zone if s is None else s)
+    check_arguments(m, k, metric)
+    zone = settings.zone(m) if other is None else None
+    s = max(1, settings.zone(m) if s is None else s)
     block = max(settings.block // 4, m)
-    left = tiles.block_rows(series, m, block)
-    plan = tiles.self_plan(series, m, block)
+    left = tiles.block_rows(series, m, block, constant_flags(series, m, constant))
+    right = left if other is None else tiles.block_rows(other, m, block, constant_flags(other, m, other_constant))
+    plan = tiles.self_plan(series, m, block) if other is None else tiles.ab_plan(series, other, m, block, None)
     spark = series.sparkSession
     ship(spark)
     rows = (
         plan.tiles.join(left.select("series_id", F.col("blk").alias("a"), F.col("values").alias("va"), F.col("const").alias("ca")), ["series_id", "a"])
-        .join(left.select(F.col("series_id").alias("other_id"), F.col("blk").alias("b"), F.col("values").alias("vb"), F.col("const").alias("cb")), ["other_id", "b"])
+        .join(right.select(F.col("series_id").alias("other_id"), F.col("blk").alias("b"), F.col("values").alias("vb"), F.col("const").alias("cb")), ["other_id", "b"])
         .select("series_id", "other_id", "a", "b", "va", "ca", "vb", "cb")
     )
     tasks = max(1, min(plan.count, 2 * spark.sparkContext.defaultParallelism + plan.count // 16))
@@ -141,10 +150,13 @@ def extended_profile(series: DataFrame, m: int, s: int | None = None, k: int = 1
         return found
     seeds = found.where((F.col("i") % s == 0) & (F.size("nn") > 0)).select("series_id", "i", F.get("nn", F.lit(0))["j"].alias("j"))
     moved = seeds.select("series_id", "i", "j", F.explode(F.array(*map(F.lit, steps))).alias("g")).select("series_id", (F.col("i") + F.col("g")).alias("i"), (F.col("j") + F.col("g")).alias("j"))
-    w = ready(series, m, metric)
+    w = ready(series, m, metric, constant)
+    v = w if other is None else ready(other, m, metric, other_constant)
     x = w.select("series_id", "i", F.struct(*w.columns).alias("x"))
-    y = w.select("series_id", F.col("i").alias("j"), F.struct(*w.columns).alias("y"))
-    carried = moved.join(x, ["series_id", "i"]).join(y, ["series_id", "j"]).select("series_id", "i", "j", distance(metric, m).alias("d")).where("d IS NOT NULL")
+    y = v.select(*(["series_id"] if other is None else []), F.col("i").alias("j"), F.struct(*v.columns).alias("y"))
+    carried = moved.join(x, ["series_id", "i"]).join(y, ["series_id", "j"] if other is None else ["j"]).select("series_id", "i", "j", distance(metric, m).alias("d")).where("d IS NOT NULL")
+    if other is not None:
+        return _nearest_of(found, carried.select("series_id", "i", "d", "j"), k)
     both = carried.select("series_id", "i", "d", "j").unionAll(carried.select("series_id", F.col("j").alias("i"), "d", F.col("i").alias("j")))
     return _nearest_of(found, both, k)
 
@@ -160,8 +172,8 @@ def _nearest_of(profile: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return profile.select("series_id", "i").join(nn, ["series_id", "i"], "left").select("series_id", "i", F.coalesce("nn", none).alias("nn"))
 
 
-def anytime_profile(series: DataFrame, m: int, percentage: float = 0.01, updates: int = 1, s: int | None = None, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0) -> DataFrame:
+def anytime_profile(series: DataFrame, m: int, percentage: float = 0.01, updates: int = 1, s: int | None = None, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0, other: DataFrame | None = None, constant: Flags = None, other_constant: Flags = None) -> DataFrame:
     """series_id, i, nn: the extended profile of every s-th window, refined by sampled diagonals."""
-    sample = sampled_profile(series, m, percentage, updates, k=k, metric=metric, settings=settings, seed=seed)
+    sample = sampled_profile(series, m, percentage, updates, other, k, metric, settings, seed, constant, other_constant)
     pairs = sample.select("series_id", "i", F.explode("nn").alias("n")).select("series_id", "i", "n.d", "n.j")
-    return _nearest_of(extended_profile(series, m, s, k, metric, settings), pairs, k)
+    return _nearest_of(extended_profile(series, m, s, k, metric, settings, other, constant, other_constant), pairs, k)

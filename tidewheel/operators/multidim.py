@@ -267,15 +267,16 @@ def multi_motifs(series: DataFrame, profile: DataFrame, m: int, min_neighbors: i
         for n, x in enumerate(dims):
             number = F.when(F.col("dim") == x, n).otherwise(number)
         part = series.where(F.col("dim").isin(dims)).withColumn("dim", number.cast("int"))
-        rows = match(part, query.tolist(), max_distance, max_matches, metric, top["i"], atol, settings).orderBy("rank").collect()
-        if len(rows) > min_neighbors:
-            found += [(motif, r["rank"], r["i"], r["d"], size, dims, lengths[size]["bits"]) for r in rows]
+        rows = cut(match(part, query.tolist(), max_distance, max_matches, metric, top["i"], atol, settings))
+        if rows.count() > min_neighbors:
+            found.append(rows.select(F.lit(motif).alias("motif"), "rank", "i", "d", F.lit(size).alias("kdim"), F.array(*map(F.lit, dims)).alias("subspace"), F.lit(lengths[size]["bits"]).alias("bits")))
             motif += 1
-        gone = F.lit(False)
-        for r in rows:
-            gone = gone | F.col("i").between(r["i"] - zone, r["i"] + zone)
-        p = cut(p.where(~gone))
-    return spark.createDataFrame(found, "motif int, rank int, i long, d double, kdim int, subspace array<int>, bits double")
+        zones = rows.select(F.explode(F.sequence(F.col("i") - zone, F.col("i") + zone)).alias("i")).distinct()
+        p = cut(p.join(zones, "i", "left_anti"))
+    out = spark.createDataFrame([], "motif int, rank int, i long, d double, kdim int, subspace array<int>, bits double")
+    for part in found:
+        out = out.unionAll(part)
+    return out
 
 
 __all__ = ["best_matches", "description_lengths", "distance_profiles", "mean_of_best", "multi_motifs", "multi_profile", "subspace"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewheel.operators.approximate import anytime_profile
 from tidewheel.operators.profile import nearest, self_join
 from tidewheel.runtime import cut
-from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings, largest_window
+from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings, check_arguments, largest_window
 from tidewheel.sources.series import numbered
 
 
@@ -38,16 +39,17 @@ def window_sizes(n: int, low: int = 3, high: int | None = None, step: int = 1) -
     return [sizes[i] for i in refining_order(len(sizes))]
 
 
-def pan_profile(series: DataFrame, low: int = 3, high: int | None = None, step: int = 1, updates: int | None = None, percentage: float = 1.0, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0) -> DataFrame:
+def pan_profile(series: DataFrame, low: int = 3, high: int | None = None, step: int = 1, updates: int | None = None, percentage: float = 1.0, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0, constant: Callable | None = None) -> DataFrame:
     """series_id, m, turn, i, d: the profile of each window size processed so far (``updates`` of them, all by default).
 
     One series. With ``percentage`` below 1 each profile is extended from every s-th window and refined by that share
-    of the diagonals.
+    of the diagonals. ``constant``: a function of (values, m) instead of the test for constant windows.
     """
+    check_arguments(max(3, low), 1, metric, percentage)
     n = series.agg((F.max("idx") + 1).alias("n")).first()["n"]
     out = None
     for turn, m in enumerate(window_sizes(n, low, high, step)[:updates]):
-        p = self_join(series, m, metric=metric, settings=settings) if percentage >= 1 else anytime_profile(series, m, percentage, metric=metric, settings=settings, seed=seed)
+        p = self_join(series, m, metric=metric, settings=settings, constant=constant) if percentage >= 1 else anytime_profile(series, m, percentage, metric=metric, settings=settings, seed=seed, constant=constant)
         one = nearest(p).select("series_id", F.lit(m).alias("m"), F.lit(turn).alias("turn"), "i", "d")
         out = one if out is None else out.unionAll(one)
     return out

@@ -1,7 +1,7 @@
 """Incremental profiles and segmentation, in memory and on Structured Streaming.
 
-State is one bounded buffer per series. Points of a micro-batch are taken in time order; a point not later than the
-last one taken is late and dropped. Positions are absolute: they count all points of a series, also those that have
+State is one buffer per series. Points of a micro-batch are taken in the order of time and, where the points have a column
+``seq``, of that; a point earlier than the last one taken is late and dropped, points of one time all count. Positions are absolute: they count all points of a series, also those that have
 left the buffer.
 """
 
@@ -33,14 +33,17 @@ def _new_distances(values: np.ndarray, m: int, metric: Metric, zone: int, consta
 class IncrementalProfile:
     """The profile of a series that grows point by point; with ``egress`` the buffer keeps its length."""
 
-    def __init__(self, values, m: int, egress: bool = True, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, constant=None):
+    def __init__(self, values, m: int, egress: bool = True, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, constant=None, mp=None):
         self.values = np.asarray(values, float)
         self.m, self.egress, self.metric, self.constant = m, egress, metric, constant
         self.zone = settings.zone(m)
         self.gone = 0  # points that have left the buffer
-        found = kernel.self_profile(self.values, m, metric, self.zone, k, constant)
-        self.d, self.j = found.near.d, found.near.j
-        self.left_d, self.left_j = found.left.d[:, 0], found.left.j[:, 0]
+        if mp is None:
+            found = kernel.self_profile(self.values, m, metric, self.zone, k, constant)
+            mp = found.near.d, found.near.j, found.left.d[:, 0], found.left.j[:, 0]
+        # the profile so far: distances and positions (windows, k), and of the left neighbours
+        self.d, self.j, self.left_d, self.left_j = (np.array(x) for x in mp)
+        self.d, self.j = self.d.reshape(len(self.d), -1), self.j.reshape(len(self.j), -1)
 
     def update(self, value: float) -> tuple[float, int]:
         """Take one point; the new window's nearest earlier neighbour (distance, position)."""
@@ -70,13 +73,15 @@ class IncrementalProfile:
 class Segmenter:
     """The corrected arc curve over a sliding buffer, from right neighbours only."""
 
-    def __init__(self, values, m: int, length: int, factor: int = 5, metric: Metric = ZNORM, settings: Settings = DEFAULT, expected: np.ndarray | None = None, constant=None):
+    def __init__(self, values, m: int, length: int, factor: int = 5, metric: Metric = ZNORM, settings: Settings = DEFAULT, expected: np.ndarray | None = None, constant=None, mp=None):
         self.values = np.asarray(values, float)
         self.m, self.length, self.factor, self.metric, self.constant = m, length, factor, metric, constant
         self.zone = settings.zone(m)
         self.gone = 0
-        found = kernel.self_profile(self.values, m, metric, self.zone, 1, constant)
-        self.d, self.j = found.right.d[:, 0], found.right.j[:, 0]
+        if mp is None:
+            found = kernel.self_profile(self.values, m, metric, self.zone, 1, constant)
+            mp = found.right.d[:, 0], found.right.j[:, 0]
+        self.d, self.j = (np.array(x) for x in mp)  # of the right neighbours
         self.expected = expected
         self.curve = self._curve()
 
@@ -97,32 +102,39 @@ class Segmenter:
         return self.curve
 
 
-def _stream(points: DataFrame, output: str, step) -> DataFrame:
-    """``step``: (state or None, values in order) to (state, rows)."""
+def _stream(points: DataFrame, output: str, step, whole=None) -> DataFrame:
+    """``step``: (state or None, value) to (state, rows); ``whole``: the rows of a state, once a micro-batch, instead of these."""
     ship(points.sparkSession)
     names = [c.split()[0] for c in output.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, last = pickle.loads(state.get[0]) if state.exists else (None, None)
-        pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        pdf = pd.concat(list(batches))
+        pdf = pdf.sort_values(["ts", "seq"] if "seq" in pdf.columns else "ts", kind="stable")
         rows = []
         for ts, value in zip(pdf.ts.tolist(), pdf.value.tolist(), strict=True):
-            if last is not None and ts <= last:
+            if last is not None and ts < last:
                 continue
             last = ts
             held, found = step(held, float("nan") if value is None else float(value))
             rows += [(key[0], ts, *r) for r in found]
+        if whole is not None and held is not None and not isinstance(held, list):
+            rows = [(key[0], last, *r) for r in whole(held)]
         state.update((pickle.dumps((held, last)),))
         yield pd.DataFrame(rows, columns=["series_id", "ts", *names])
 
     return points.groupBy("series_id").applyInPandasWithState(run, f"series_id string, ts timestamp, {output}", "blob binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def profile_stream(points: DataFrame, m: int, buffer: int, metric: Metric = ZNORM, settings: Settings = DEFAULT) -> DataFrame:
+def profile_stream(points: DataFrame, m: int, buffer: int | None = None, metric: Metric = ZNORM, settings: Settings = DEFAULT, k: int = 1, whole: bool = False) -> DataFrame:
     """A stream of (series_id, ts, value) to (series_id, ts, i, d, j): each new window's nearest earlier window.
 
-    A series grows to ``buffer`` points, then the oldest point leaves with each new one. Missing neighbours are NULL.
+    A series grows to ``buffer`` points, then the oldest point leaves with each new one; without ``buffer`` it only
+    grows, and so does its state. With ``whole`` each micro-batch gives the whole profile of the series in it as it is
+    then: (series_id, ts, i, rank, d, j, left_d, left_j), the k nearest of each window on either side, earlier windows
+    revised. Missing neighbours are NULL.
     """
+    there = lambda d, j: (None, None) if j < 0 else (float(d), int(j))
 
     def step(held, value: float):
         if held is None:
@@ -131,13 +143,21 @@ def profile_stream(points: DataFrame, m: int, buffer: int, metric: Metric = ZNOR
             held.append(value)
             if len(held) < m + settings.zone(m) + 1:
                 return held, []
-            own = IncrementalProfile(held, m, egress=False, metric=metric, settings=settings)
-            d, j = own.left_d[-1], int(own.left_j[-1])
-            return own, [(own.gone + len(own.d) - 1, None if j < 0 else float(d), None if j < 0 else j)]
-        held.egress = len(held.values) >= buffer
+            own = IncrementalProfile(held, m, egress=False, k=k, metric=metric, settings=settings)
+            return own, [(own.gone + len(own.d) - 1, *there(own.left_d[-1], int(own.left_j[-1])))]
+        held.egress = buffer is not None and len(held.values) >= buffer
         d, j = held.update(value)
-        return held, [(held.gone + len(held.d) - 1, None if j < 0 else d, None if j < 0 else j)]
+        return held, [(held.gone + len(held.d) - 1, *there(d, j))]
 
+    def rows(held: IncrementalProfile):
+        for n in range(len(held.d)):
+            left = there(held.left_d[n], int(held.left_j[n]))
+            for rank in range(held.d.shape[1]):
+                if rank == 0 or held.j[n, rank] >= 0:
+                    yield held.gone + n, rank + 1, *there(held.d[n, rank], int(held.j[n, rank])), *left
+
+    if whole:
+        return _stream(points, "i long, rank int, d double, j long, left_d double, left_j long", step, rows)
     return _stream(points, "i long, d double, j long", step)
 
 
