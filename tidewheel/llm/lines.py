@@ -12,8 +12,8 @@ occurrences are taken out of their texts. Equality alone needs ``exact_chars`` c
    the ``e`` + 1 segments would need an edit of its own). So a line stores its segments, and probes the substrings at up
    to ``i`` places to either side of segment ``i``; a line little longer than a tier's least length probes the tier
    below too.
-2. Keys with a stored line and another line are found first (partial aggregates, no lists), so that a key that very many
-   lines share is dealt into blocks: its lines meet in cells of two blocks, never in one task. The lines of a cell are
+2. Keys with a stored line and another line are found first (partial aggregates, no lists), and of keys with the same
+   lines one is kept, so that a key that very many lines share is dealt into blocks: its lines meet in cells of two blocks, never in one task. The lines of a cell are
    compared with those of a like length by letter counts, then by banded bit-parallel edit distance, and only if the
    cell hasn't connected them yet. Spanning edges leave a cell, never pairs.
 3. Only the texts of candidate lines travel to the cells, and only documents that lose a line meet their list of drops:
@@ -331,9 +331,11 @@ def near_lines(given: DataFrame, lines: DataFrame, tiers: Tiers) -> DataFrame:
     span = keys.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("stored").alias("stored"))
     shared = cut(span.where("stored AND low < high").select("bucket"))
     met = cut(keys.select("bucket", "h1").join(shared, "bucket").distinct())
-    large = met.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
-    members = met.join(large, "bucket", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("h1"), F.col("_blocks")).cast("int"))
-    candidates = cut(met.select("h1").distinct())
+    # near lines share most of their segments: of keys with the same lines one is enough
+    sets = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1")).alias("y")).where("n > 1")
+    kept = cut(sets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks")))
+    members = cut(met.join(kept, "bucket").withColumn("own", F.pmod(F.xxhash64("h1"), F.col("_blocks")).cast("int")))
+    candidates = cut(members.select("h1").distinct())
     bits = spark.sparkContext.broadcast(bitmap(candidates, candidates.count()))  # of bounded size
     texts = given.select("text").mapInArrow(_wanted(bits, tiers[0][0]), "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"])
     dealt = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("bucket", F.least("own", "_other").alias("cell_i"), F.greatest("own", "_other").alias("cell_j"), "own", "h1")
