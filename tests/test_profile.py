@@ -116,3 +116,28 @@ def test_empty_series_has_no_rows(spark):
     s = S.from_values(spark, {})
     assert P.self_join(s, 4).count() == 0
     assert P.self_join(S.from_values(spark, [1.0, 2.0]), 4).count() == 0
+
+
+@pytest.mark.parametrize("p", [None, 2.0])
+def test_wide_block_rows(spark, p, monkeypatch):
+    """Rows of several parts give the profile that rows of one part give."""
+    from tidewheel.plans import tiles
+
+    rng = np.random.default_rng(3)
+    s = S.from_values(spark, {"a": rng.uniform(size=150).tolist(), "b": rng.uniform(size=40).tolist()})
+    other = S.from_values(spark, {"c": rng.uniform(size=90).tolist()})
+    settings, metric = Settings(block=16), Metric(p)
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    plain = rows(P.self_join(s, 8, k=2, metric=metric, settings=settings)), rows(P.ab_join(s, other, 8, metric=metric, settings=settings))
+    monkeypatch.setattr(tiles, "width", lambda n, cores: 3)
+    assert plain == (rows(P.self_join(s, 8, k=2, metric=metric, settings=settings)), rows(P.ab_join(s, other, 8, metric=metric, settings=settings)))
+
+
+def test_arguments_are_checked(spark):
+    s = S.from_values(spark, [1.0, 2, 3, 4, 5, 6])
+    for call in (lambda: P.self_join(s, 2), lambda: P.self_join(s, 3, k=0), lambda: P.self_join(s, 3, metric=Metric(0.5)), lambda: P.ab_join(s, s, 3, k=0)):
+        with pytest.raises(ValueError):
+            call()

@@ -457,6 +457,25 @@ def multi_motifs(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({"d": F.round("d", 6), "bits": F.round("bits", 6), "subspace": F.array_join(F.col("subspace").cast("array<string>"), ",")})
 
 
+@query("multi_motifs_two_dims", f"""WITH RECURSIVE {_dims_pairs(Z, 'abs(x.i - y.i) > 3')}, p AS (SELECT i, min(struct_pack(q := round(d, 9), j := j, d := d)) AS n FROM multi WHERE kdim = 1 GROUP BY i),
+top AS (SELECT min(struct_pack(d := n.d, i := i, j := n.j)) AS t FROM p), pair AS (SELECT t.i AS i, t.j AS j FROM top),
+codes AS (SELECT x.dim, list_transform(x.z, lambda v: len(list_filter({_EDGES}, lambda e: e < v))) AS a, list_transform(y.z, lambda v: len(list_filter({_EDGES}, lambda e: e < v))) AS b
+  FROM pair JOIN w x ON x.i = pair.i JOIN w y ON y.i = pair.j AND y.dim = x.dim),
+ranked AS (SELECT dim, list_transform(list_zip(a, b), lambda t: t[1] - t[2]) AS diff, row_number() OVER (ORDER BY sqrt(list_sum(list_transform(list_zip(a, b), lambda t: pow(t[1] - t[2], 2)))), dim) AS r FROM codes),
+size AS (SELECT 8.0 * (2 * 5 * {TM} - 2 * {TM}) + 2 * {TM} * log2(count(DISTINCT v)) + count(DISTINCT v) * 8 AS bits FROM (SELECT unnest(diff) AS v FROM ranked WHERE r <= 2)),
+prof AS MATERIALIZED (SELECT y.i, CASE WHEN y.i = pair.i THEN 0 ELSE avg({distance_sql(Z, TM)}) END AS d FROM pair JOIN w x ON x.i = pair.i JOIN ranked ON ranked.dim = x.dim AND r <= 2 JOIN w y ON y.dim = x.dim GROUP BY y.i, pair.i),
+picks(n, taken, d) AS (
+  SELECT 1, [i], 0.0::DOUBLE FROM pair
+  UNION ALL
+  SELECT n + 1, list_append(taken, best.i), best.d FROM (
+    SELECT q.n, any_value(q.taken) AS taken, min(struct_pack(d := prof.d, i := prof.i)) AS best FROM picks q, prof WHERE q.n < 5 AND prof.d <= 3.5 + 1e-8 AND len(list_filter(q.taken, lambda t: abs(t - prof.i) <= 3)) = 0 GROUP BY q.n))
+SELECT 0 AS motif, n::INT AS rank, taken[n]::BIGINT AS i, round(d, 6) AS d, 1 AS kdim, (SELECT string_agg(dim::VARCHAR, ',' ORDER BY r) FROM ranked WHERE r <= 2) AS subspace, (SELECT round(bits, 6) FROM size) AS bits FROM picks""")
+def multi_motifs_two_dims(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.hourly_events_by_type(spark, sf)
+    found = multidim.multi_motifs(s, multidim.multi_profile(s, TM), TM, max_distance=3.5, cutoffs=float("inf"), max_matches=5, k=1)
+    return found.withColumns({"d": F.round("d", 6), "bits": F.round("bits", 6), "subspace": F.array_join(F.col("subspace").cast("array<string>"), ",")})
+
+
 # Snippets, pan profiles, approximations
 
 

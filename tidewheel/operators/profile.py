@@ -33,8 +33,17 @@ def constant_flags(series: DataFrame, m: int, given: Flags) -> DataFrame | None:
     return series.groupBy("series_id").applyInPandas(run, "series_id string, i long, is_const boolean")
 
 
+#: Bytes of the matrix of unit windows that a kernel call makes of a block.
+BLOCK_BYTES = 64 << 20
+
+
 def _blocks(block: int, m: int) -> int:
-    return max(block, m)
+    """Windows of a block: fewer of long ones, so that a kernel call's memory is bounded."""
+    return max(64, min(block, BLOCK_BYTES // (8 * m)))
+
+
+def _width(series: DataFrame, plan: tiles.Plan) -> int:
+    return tiles.width(plan.count, series.sparkSession.sparkContext.defaultParallelism)
 
 
 def self_join(series: DataFrame, m: int, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, constant: Flags = None, strategy: str = "tiles", zone: int | None = None) -> DataFrame:
@@ -48,17 +57,21 @@ def self_join(series: DataFrame, m: int, k: int = 1, metric: Metric = ZNORM, set
     if strategy == "sql":
         return _sql_self_join(series, m, k, metric, zone)
     block = _blocks(settings.block, m)
-    rows = tiles.block_rows(series, m, block, constant_flags(series, m, constant))
-    return tiles.join(rows, rows, tiles.self_plan(series, m, block), m, block, k, metric, zone).drop("other_id")
+    plan = tiles.self_plan(series, m, block)
+    wide = _width(series, plan)
+    rows = tiles.block_rows(series, m, wide * block, constant_flags(series, m, constant))
+    return tiles.join(rows, rows, plan if wide == 1 else tiles.self_plan(series, m, wide * block), m, block, k, metric, zone, wide).drop("other_id")
 
 
 def ab_join(a: DataFrame, b: DataFrame, m: int, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, constant_a: Flags = None, constant_b: Flags = None, pairs: DataFrame | None = None) -> DataFrame:
     """series_id, other_id, i, nn of each window of ``a`` against each series of ``b`` (or the ``pairs`` named)."""
     check_arguments(m, k, metric)
     block = _blocks(settings.block, m)
-    left = tiles.block_rows(a, m, block, constant_flags(a, m, constant_a))
-    right = tiles.block_rows(b, m, block, constant_flags(b, m, constant_b))
-    return tiles.join(left, right, tiles.ab_plan(a, b, m, block, pairs), m, block, k, metric, None).select("series_id", "other_id", "i", "nn")
+    plan = tiles.ab_plan(a, b, m, block, pairs)
+    wide = _width(a, plan)
+    left = tiles.block_rows(a, m, wide * block, constant_flags(a, m, constant_a))
+    right = tiles.block_rows(b, m, wide * block, constant_flags(b, m, constant_b))
+    return tiles.join(left, right, plan if wide == 1 else tiles.ab_plan(a, b, m, wide * block, pairs), m, block, k, metric, None, wide).select("series_id", "other_id", "i", "nn")
 
 
 def ready(series: DataFrame, m: int, metric: Metric, constant: Flags = None) -> DataFrame:

@@ -1,7 +1,10 @@
-"""The tiled join: series as blocks of windows, pairs of blocks as rows, one numpy kernel call a row.
+"""The tiled join: series as blocks of windows, pairs of blocks as rows, numpy kernel calls on pairs of their parts.
 
-A block row holds the points of ``block`` windows, so a task needs two blocks, whatever the series' length. Tiles are
-dealt round-robin: each is the same amount of work. A task merges what its tiles say about a block before it emits.
+A block row holds the points of ``wide`` parts of ``block`` windows each, so a task needs two rows' points, whatever the
+series' length. A row of work is a pair of block rows and stands for ``wide`` x ``wide`` kernel calls: long series get
+wider rows, so that their points are copied once for each of ``wide`` parts of the other side instead of once a call.
+Tiles are dealt round-robin: each is the same amount of work. A task merges what its tiles say about a part before it
+emits.
 """
 
 from __future__ import annotations
@@ -19,8 +22,15 @@ from tidewheel.runtime import ship
 from tidewheel.settings import Metric
 
 PROFILE = "series_id string, other_id string, i long, nn array<struct<d:double,j:long>>, left_d double, left_j long, right_d double, right_j long"
-#: Blocks whose results a task holds before it emits them.
+#: Parts whose results a task holds before it emits them.
 HELD = 64
+#: Parts of a block row at most, and rows of work that each core should have before rows get wider.
+WIDE, ROWS = 8, 8
+
+
+def width(tiles: int, cores: int) -> int:
+    """Parts of a block row for a join of this many pairs of parts."""
+    return max(1, min(WIDE, int((tiles / (ROWS * cores)) ** 0.5)))
 
 
 def block_rows(series: DataFrame, m: int, block: int, flags: DataFrame | None = None) -> DataFrame:
@@ -94,7 +104,16 @@ def _emit(sid: str, oid: str, lo: int, found: kernel.Found) -> pa.RecordBatch:
     )
 
 
-def _run(m: int, block: int, k: int, metric: Metric, zone: int | None):
+def _parts(values: np.ndarray, flags: np.ndarray | None, m: int, metric: Metric, block: int, lo: int) -> list[kernel.Windows]:
+    """The windows of a block row, part by part."""
+    out = []
+    for at in range(0, len(values) - m + 1, block):
+        own = None if flags is None else flags[at : at + block]
+        out.append(kernel.prepare(values[at : at + block + m - 1], m, metric, lo + at, own))
+    return out
+
+
+def _run(m: int, block: int, wide: int, k: int, metric: Metric, zone: int | None):
     """Rows (series_id, other_id, a, b, va, ca, vb, cb) to partial profiles. ``zone`` None: a join of two series."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,15 +131,17 @@ def _run(m: int, block: int, k: int, metric: Metric, zone: int | None):
             for r in range(batch.num_rows):
                 sid, oid, a, b = (batch.column(c)[r].as_py() for c in range(4))
                 va, vb = _array(batch.column(4), r), _array(batch.column(6), r)
-                x = kernel.prepare(va, m, metric, a * block, _flags(batch.column(5), r, len(va) - m + 1))
+                xs = _parts(va, _flags(batch.column(5), r, len(va) - m + 1), m, metric, block, a * wide * block)
                 same = zone is not None and a == b
-                y = x if same else kernel.prepare(vb, m, metric, b * block, _flags(batch.column(7), r, len(vb) - m + 1))
-                if zone is None:
-                    merge((sid, oid, a), x.lo, kernel.ab_tile(x, y, k))
-                else:
-                    of_a, of_b = kernel.self_tile(x, y, zone, k)
-                    merge((sid, oid, a), x.lo, of_a)
-                    merge((sid, oid, b), y.lo, of_b)
+                ys = xs if same else _parts(vb, _flags(batch.column(7), r, len(vb) - m + 1), m, metric, block, b * wide * block)
+                for p, x in enumerate(xs):
+                    for y in ys[p:] if same else ys:
+                        if zone is None:
+                            merge((sid, oid, x.lo), x.lo, kernel.ab_tile(x, y, k))
+                        else:
+                            of_a, of_b = kernel.self_tile(x, y, zone, k)
+                            merge((sid, oid, x.lo), x.lo, of_a)
+                            merge((sid, oid, y.lo), y.lo, of_b)
                 if len(held) > HELD:
                     for (s, o, _), (lo, found) in held.items():
                         yield _emit(s, o, lo, found)
@@ -142,7 +163,7 @@ def merge_profiles(parts: DataFrame, k: int) -> DataFrame:
     return merged.select("series_id", "other_id", "i", nn.alias("nn"), F.col("l.d").alias("left_d"), F.col("l.j").alias("left_j"), F.col("r.d").alias("right_d"), F.col("r.j").alias("right_j"))
 
 
-def join(a: DataFrame, b: DataFrame, plan: Plan, m: int, block: int, k: int, metric: Metric, zone: int | None) -> DataFrame:
+def join(a: DataFrame, b: DataFrame, plan: Plan, m: int, block: int, k: int, metric: Metric, zone: int | None, wide: int = 1) -> DataFrame:
     """The profile of every tile's left blocks (self-joins: of both), merged."""
     spark = a.sparkSession
     ship(spark)
@@ -150,5 +171,6 @@ def join(a: DataFrame, b: DataFrame, plan: Plan, m: int, block: int, k: int, met
     right = b.select(F.col("series_id").alias("other_id"), F.col("blk").alias("b"), F.col("values").alias("vb"), F.col("const").alias("cb"))
     rows = plan.tiles.join(left, ["series_id", "a"]).join(right, ["other_id", "b"]).select("series_id", "other_id", "a", "b", "va", "ca", "vb", "cb")
     tasks = max(1, min(plan.count, max(2 * spark.sparkContext.defaultParallelism, plan.count // 16)))
-    parts = rows.repartition(tasks).mapInArrow(_run(m, block, k, metric, zone), PROFILE)
-    return merge_profiles(parts, k) if plan.deep > 1 else parts
+    parts = rows.repartition(tasks).mapInArrow(_run(m, block, wide, k, metric, zone), PROFILE)
+    # a block row's parts speak of each other too
+    return merge_profiles(parts, k) if plan.deep > 1 or wide > 1 else parts
