@@ -1,8 +1,7 @@
 """Connected components of an edge table, by alternating star contractions.
 
 Only ``min`` aggregates and equi-joins on node ids: no neighbour list is ever collected. A node with very many edges is
-a skewed join key; both sides of each join are tables by then (the least neighbours are written first), so adaptive
-execution can split it. A round's tables go to the shared folder and are removed after the next round.
+a skewed join key; its least neighbour is written to a table first, so that adaptive execution can split the join on it. A round's tables go to the shared folder and are removed after the next round.
 """
 
 from __future__ import annotations
@@ -34,17 +33,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         old.append(last_cut())
-        large = cut(
+        large = (
             both.join(least, "u")
             .where("v > u")
             .select(F.col("v").alias("a"), F.col("m").alias("b"))
             .where("a != b")
             .distinct()
         )
-        old.append(last_cut())
         # nodes below one other only hang there already
-        own = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-        old.append(last_cut())
+        own = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         crossed = large.join(own.where("n > 1").select("a", "m"), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = cut(own.select("a", F.col("m").alias("b")).unionAll(crossed).distinct())
         # done when every node hangs below one root that hangs below nothing

@@ -186,6 +186,11 @@ def _scan(tiers: Tiers, exact_chars: int):
     return tidy(run)
 
 
+def _letters(text: str) -> np.ndarray:
+    """Counts of code points mod 64."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most ``edits``: a band of 2 x edits + 1 diagonals as bits of one number.
 
@@ -208,6 +213,9 @@ def within(a: str, b: str, edits: int) -> bool:
         return len(b) <= edits
     if len(a) <= edits:
         return _small(a, b) <= edits
+    # each edit changes two letter counts by one at most
+    if np.abs(_letters(a) - _letters(b)).sum() > 2 * edits:
+        return False
     width = 2 * edits + 2
     full = (1 << width) - 1
     places: dict[str, int] = {}
@@ -335,8 +343,7 @@ def near_lines(given: DataFrame, lines: DataFrame, tiers: Tiers) -> DataFrame:
     sets = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1")).alias("y")).where("n > 1")
     kept = cut(sets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks")))
     members = cut(met.join(kept, "bucket").withColumn("own", F.pmod(F.xxhash64("h1"), F.col("_blocks")).cast("int")))
-    candidates = cut(members.select("h1").distinct())
-    bits = spark.sparkContext.broadcast(bitmap(candidates, candidates.count()))  # of bounded size
+    bits = spark.sparkContext.broadcast(bitmap(members.select("h1"), members.count()))  # of bounded size
     texts = given.select("text").mapInArrow(_wanted(bits, tiers[0][0]), "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"])
     dealt = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("bucket", F.least("own", "_other").alias("cell_i"), F.greatest("own", "_other").alias("cell_j"), "own", "h1")
     cells = dealt.join(texts, "h1").select("bucket", "cell_i", "cell_j", "own", "h1", "h2", "line")
