@@ -28,7 +28,7 @@ chunks of their own; a document that loses every line that isn't blank goes in `
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,8 @@ EXACT_CHARS = 1
 BLOCK = 2048
 #: Lines of a cell that are compared without counting letters first.
 FEW = 8
+#: Bytes of a chunk of the scans.
+SCANNED = 1 << 19
 _U = np.uint64
 _BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 _ODD = _U(0xC2B2AE3D27D4EB4F)
@@ -71,6 +73,12 @@ def probes(edits: int) -> Iterator[tuple[int, int, int]]:
                 yield side, i, shift
 
 
+def identities(raw: bytes, bounds: Iterable[tuple[int, int]]) -> np.ndarray:
+    """(ranges, 2): the halves of the hash of each range of bytes."""
+    digest = hashlib.blake2b
+    return np.frombuffer(b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in bounds]), np.int64).reshape(-1, 2)
+
+
 class Lines:
     """Lines of a chunk of rows as ranges of code points and of bytes."""
 
@@ -116,9 +124,7 @@ class Lines:
 
     def identities(self) -> np.ndarray:
         """(lines, 2): the halves of each line's identity."""
-        raw, digest = self.raw, hashlib.blake2b
-        found = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(self.bytes_at.tolist(), self.bytes_to.tolist(), strict=True)])
-        return np.frombuffer(found, np.int64).reshape(-1, 2)
+        return identities(self.raw, zip(self.bytes_at.tolist(), self.bytes_to.tolist(), strict=True))
 
     def prefix(self) -> np.ndarray:
         textvec._powers.upto(len(self.points) + 1)
@@ -162,7 +168,7 @@ _LINES = StructType([StructField("doc_id", LongType()), StructField("row", LongT
 def _scan(tiers: Tiers, exact_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in textvec.chunks(batch.column(2)):
+            for first, end, data, offsets in textvec.chunks(batch.column(2), SCANNED):
                 own = Lines(data, offsets, tiers[0][0], exact_chars)
                 if not len(own.row):
                     continue
@@ -313,14 +319,18 @@ def _wanted(shared, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Bitmap = shared.value
         for batch in batches:
-            for _, _, data, offsets in textvec.chunks(batch.column(0)):
-                lines = Lines(data, offsets, min_chars)
-                if not len(lines.row):
+            for _, _, data, offsets in textvec.chunks(batch.column(0), SCANNED):
+                # a line of enough characters has as many bytes at least; shorter ones are no candidates
+                raw, stops = data.tobytes(), np.union1d(np.flatnonzero(data == 10), offsets[1:])
+                starts = np.concatenate([[0], stops[:-1] + (data[np.minimum(stops[:-1], len(data) - 1)] == 10)]) if len(data) else stops[:0]
+                long = np.flatnonzero(stops[: len(starts)] - starts >= min_chars)
+                if not len(long):
                     continue
-                h = lines.identities()
+                bounds = list(zip(starts[long].tolist(), stops[long].tolist(), strict=True))
+                h = identities(raw, bounds)
                 hit = np.flatnonzero(own.may(np.ascontiguousarray(h[:, 0])))
                 hit = hit[np.unique(h[hit, 0], return_index=True)[1]]
-                texts = [lines.raw[a:b].decode("utf-8", "replace") for a, b in zip(lines.bytes_at[hit].tolist(), lines.bytes_to[hit].tolist(), strict=True)]
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in map(bounds.__getitem__, hit.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(h[hit, 0]), pa.array(h[hit, 1]), pa.array(texts, pa.string())], names=["h1", "h2", "line"])
 
     return tidy(run)
