@@ -189,6 +189,56 @@ def test_edit_distance_bound():
         assert lines.within(a, b, e) == (lines._small(a, b) <= e)
 
 
+@pytest.mark.parametrize("edits", [1, 3, 5, 9, 20])
+def test_many_pairs_at_once(edits, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(edits)
+    pairs = [("", ""), ("", "é" * edits), ("a" * 200, "a" * 200)]
+    while len(pairs) < 600:
+        a = [rng.choice("abé😀") for _ in range(rng.choice((0, 1, 5, 30, 64, 70, 140)))]
+        b = list(a)
+        for _ in range(rng.randrange(2 * edits + 8)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(([], ["a"], ["z"]))
+        pairs.append(tuple(sorted(("".join(a), "".join(b)), key=len)))
+    texts = [x for p in pairs for x in p]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    size = np.array([len(x) for x in texts])
+    start = np.cumsum(size) - size
+    want = [lines._small(a, b) <= edits for a, b in pairs]
+    for columns in (64, 7):
+        monkeypatch.setattr(lines, "COLUMNS", columns)
+        got = lines.near(points, start[::2], size[::2], start[1::2], size[1::2], np.full(len(pairs), edits))
+        assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
+@pytest.mark.parametrize("lot", [4096, 3])
+def test_cells_are_linked_together(lot, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lines, "PAIRS", lot)
+    monkeypatch.setattr(lines, "LOT", 64)
+    rng, tiers = random.Random(lot), ((8, 1), (12, 3))
+    texts, cell, block = [], [], []
+    for c in range(40):
+        base = ["".join(rng.choice("abc") for _ in range(rng.randrange(8, 16))) for _ in range(3)]
+        for _ in range(rng.randrange(2, 14)):
+            x = list(rng.choice(base))
+            for _ in range(rng.randrange(4)):
+                x[rng.randrange(len(x))] = rng.choice("abc")
+            texts.append("".join(x))
+            cell.append(c)
+            block.append(rng.randrange(2) if c % 2 else 5)
+    n = len(texts)
+    close = [(i, j) for i in range(n) for j in range(i) if cell[i] == cell[j] and (block[i] != block[j] or len({block[k] for k in range(n) if cell[k] == cell[i]}) == 1) and lines._small(texts[i], texts[j]) <= lines.allowed(min(len(texts[i]), len(texts[j])), tiers)]
+    got = lines.link(texts, np.array(cell), np.array(block), tiers)
+    want = union(close, range(n))
+    assert union(got, range(n)) == want
+    assert len(got) == n - len(set(want.values()))
+    assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in close}
+
+
 # Embeddings
 
 

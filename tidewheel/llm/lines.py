@@ -14,8 +14,8 @@ occurrences are taken out of their texts. Equality alone needs ``exact_chars`` c
    below too.
 2. Keys with a stored line and another line are found first (partial aggregates, no lists), and of keys with the same
    lines one is kept, so that a key that very many lines share is dealt into blocks: its lines meet in cells of two blocks, never in one task. The lines of a cell are
-   compared with those of a like length by letter counts, then by banded bit-parallel edit distance, and only if the
-   cell hasn't connected them yet. Spanning edges leave a cell, never pairs.
+   compared with those of a like length by letter counts, then by banded bit-parallel edit distance (many pairs at a
+   time, of small cells together), and only if the cell hasn't connected them yet. Spanning edges leave a cell, never pairs.
 3. Only the texts of candidate lines travel to the cells, and only documents that lose a line meet their list of drops:
    bitmaps (``bitmap.BITMAP`` bits at most) over hashes go to the scans, and the joins after them are exact.
 
@@ -40,7 +40,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from tidewheel.llm import textvec
 from tidewheel.llm.bitmap import Bitmap, bitmap, through
 from tidewheel.llm.components import components
-from tidewheel.llm.minhash import Forest, runs
+from tidewheel.llm.minhash import runs
 from tidewheel.llm.worker import ready, tidy
 from tidewheel.runtime import cut, table
 
@@ -49,13 +49,16 @@ TIERS = ((20, 1), (80, 3), (200, 3), (400, 5), (800, 5))
 #: Equal lines need no length: the query and the pipeline link them from one character on.
 EXACT_CHARS = 1
 BLOCK = 2048
-#: Lines of a cell that are compared without counting letters first.
-FEW = 8
+#: Pairs that are compared together, code points of them at a time, and how few are compared one by one.
+PAIRS, COLUMNS, FEW = 4096, 64, 12
+#: Code points of lines that are counted together, and edits at most whose band fits 32 bits.
+LOT, MOST_EDITS = 1 << 20, 14
 #: Bytes of a chunk of the scans.
 SCANNED = 1 << 19
 _U = np.uint64
 _BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 _ODD = _U(0xC2B2AE3D27D4EB4F)
+_NONE = np.uint32(0xFFFFFFFF)
 
 Tiers = Sequence[tuple[int, int]]
 
@@ -267,48 +270,162 @@ def allowed(length: int, tiers: Tiers) -> int:
     return next((edits for least, edits in reversed(tiers) if length >= least), 0)
 
 
-def link(lines: list[str], block: Sequence[int], tiers: Tiers) -> list[tuple[int, int]]:
-    """A spanning forest of the links between these lines; where there are two blocks, across them only."""
-    n = len(lines)
-    if n == 2:
-        return [(0, 1)] if within(*lines, allowed(min(map(len, lines)), tiers)) else []
-    size = np.array([len(x) for x in lines])
-    order = np.argsort(size, kind="stable")
-    size, of = size[order], np.asarray(block)[order]
-    lines = [lines[i] for i in order.tolist()]
+def _common(points: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """Equal code points of each pair from places ``a`` and ``b`` on, forwards or backwards, ``most`` at most."""
+    out = np.zeros(len(a), np.int64)
+    left, at = np.flatnonzero(most > 0), np.arange(COLUMNS)
+    while len(left):
+        same = points.take(a[left, None] + step * at, mode="clip") == points.take(b[left, None] + step * at, mode="clip")
+        same &= at < most[left, None]
+        run = np.where(same.all(axis=1), COLUMNS, same.argmin(axis=1))
+        out[left] += run
+        left, at = left[run == COLUMNS], at + COLUMNS
+    return out
+
+
+def _bands(points: np.ndarray, a: np.ndarray, len_a: np.ndarray, b: np.ndarray, len_b: np.ndarray, edits: int) -> np.ndarray:
+    """What ``within`` says, column by column for all pairs at once; an ``a`` is longer than ``edits`` and no longer than its ``b``."""
+    width = 2 * edits + 2
+    full, one, top = np.uint32((1 << width) - 1), np.uint32(1), np.uint32(width - 1)
+    live = np.argsort(-len_b, kind="stable")
+    a, len_a, b, len_b = a[live], len_a[live], b[live], len_b[live]
+    up, down = np.full(len(a), (int(full) << (width - edits - 1)) & int(full), np.uint32), np.zeros(len(a), np.uint32)
+    distance, most = np.full(len(a), edits), 2 * edits + len_b - len_a
+    out = np.zeros(len(a), bool)
+    j = 0
+    while len(live):
+        columns = min(COLUMNS, int(len_b[0]) - j)
+        rows = np.arange(j - edits - 1, j + columns + edits)[:, None]
+        x = points.take(a + rows, mode="clip")
+        x[(rows < 0) | (rows >= len_a)] = _NONE
+        y = points.take(b + np.arange(j, j + columns)[:, None], mode="clip")
+        same = np.zeros(y.shape, np.uint32)
+        for r in range(width):
+            same |= (x[r : r + columns] == y).astype(np.uint32) << np.uint32(r)
+        steep = int(len_a.min()) - edits  # before it every pair follows its diagonal
+        for s, n in zip(same, np.searchsorted(-len_b, -np.arange(j, j + columns)).tolist(), strict=True):
+            s, u, d = s[:n], up[:n], down[:n]
+            diagonal = (((s & u) + u) ^ u) | s | d
+            plus, minus = (d | ~(diagonal | u)) & full, diagonal & u
+            fall = (~diagonal >> top) & one
+            if j < steep:
+                distance[:n] += fall
+            else:
+                row = len_a[:n] + edits - j
+                at = np.maximum(np.minimum(row, 2 * edits), 0).astype(np.uint32)
+                distance[:n] += np.where(row > 2 * edits, fall, (plus >> at & one).astype(np.int64) - (minus >> at & one))
+            half = (diagonal & full) >> one
+            up[:n], down[:n] = (minus | ~(half | plus)) & full, half & plus
+            j += 1
+        done = len_b <= j
+        out[live[done]] = distance[done] <= edits
+        stay = ~done & (distance <= most)
+        live, a, len_a, b, len_b, up, down, distance, most = (v[stay] for v in (live, a, len_a, b, len_b, up, down, distance, most))
+    return out
+
+
+def near(points: np.ndarray, a: np.ndarray, len_a: np.ndarray, b: np.ndarray, len_b: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Which pairs of ranges of ``points`` are within their bounds; an ``a`` is no longer than its ``b``."""
+    skip = _common(points, a, b, len_a, 1)
+    a, len_a, b, len_b = a + skip, len_a - skip, b + skip, len_b - skip
+    skip = _common(points, a + len_a - 1, b + len_b - 1, len_a, -1)
+    len_a, len_b = len_a - skip, len_b - skip
+    out = len_b - len_a <= edits
+    for k in np.unique(edits[out]).tolist():
+        own = np.flatnonzero(out & (edits == k) & (len_a > 0))
+        many = own[len_a[own] > k] if k <= MOST_EDITS else own[:0]
+        if len(many) >= FEW:
+            out[many] = _bands(points, a[many], len_a[many], b[many], len_b[many], k)
+            own = np.setdiff1d(own, many)
+        for i in own.tolist():
+            x, y = (points[v[i] : v[i] + n[i]].tobytes().decode("utf-32-le", "surrogatepass") for v, n in ((a, len_a), (b, len_b)))
+            out[i] = within(x, y, k)
+    return out
+
+
+def link(lines: list[str], cell: np.ndarray, block: np.ndarray, tiers: Tiers) -> list[tuple[int, int]]:
+    """A spanning forest of the links inside each cell (numbers, ascending); in a cell of two blocks, across them only.
+
+    All cells go together: round ``d`` pairs each line with the ``d``-th longer one of its cell, unless the rounds before have
+    connected them, and what letter counts leave is compared in lots of ``PAIRS``.
+    """
+    n, size, cell, of = len(lines), np.array([len(x) for x in lines]), np.asarray(cell), np.asarray(block)
+    heads = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1))
+    two = np.repeat(np.minimum.reduceat(of, heads) != np.maximum.reduceat(of, heads), np.diff(heads, append=n))
+    order = np.lexsort((size, cell))
+    size, cell, of, two = size[order], cell[order], of[order], two[order]
+    points = np.frombuffer("".join([lines[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    stop = np.cumsum(size)
+    start = stop - size
     most = np.array([allowed(x, tiers) for x in size.tolist()])
-    end = np.searchsorted(size, size + most, "right")  # a line's partners among the longer ones
-    if n > FEW:
-        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-        letters = np.bincount(np.repeat(np.arange(n) * 32, size) + (points & 31), minlength=32 * n).reshape(n, 32).astype(np.int32)
-    two = of.min() != of.max()
-    forest, edges = Forest(n), []
-    for i in np.flatnonzero(end > np.arange(n) + 1).tolist():
-        edits, others = int(most[i]), np.arange(i + 1, end[i])
-        if two:
-            others = others[of[others] != of[i]]
-        if n > FEW and len(others):
-            # each edit changes two letter counts by one at most
-            others = others[np.abs(letters[others] - letters[i]).sum(axis=1) <= 2 * edits]
-        for j in others.tolist():
-            if forest.find(i) != forest.find(j) and within(lines[i], lines[j], edits):
-                forest.join(i, j)
-                edges.append((int(order[i]), int(order[j])))
+    place = (cell - cell[0]) * (size.max() + most.max() + 1) + size
+    end = np.searchsorted(place, place + most, "right")  # a line's partners among the longer ones
+    letters = np.zeros((n, 64), np.int32)
+    lo = 0
+    while lo < n:  # a lot of lines, or one that is longer than that
+        hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + LOT, "right")))
+        counts = np.bincount(np.repeat(np.arange(hi - lo) * 64, size[lo:hi]) + (points[start[lo] : stop[hi - 1]] & 63), minlength=64 * (hi - lo))
+        letters[lo:hi] = counts.reshape(-1, 64)
+        lo = hi
+    component = np.arange(n)
+    edges: list[tuple[int, int]] = []
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        apart = component[i] != component[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return
+        good = near(points, start[i], size[i], start[j], size[j], most[i])
+        for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+            if component[x] != component[y]:
+                component[component == component[y]] = component[x]
+                edges.append((int(order[x]), int(order[y])))
+
+    open_, waiting, lot = np.flatnonzero(end > np.arange(n) + 1), 0, []
+    d = 1
+    while len(open_):
+        i, j = open_, open_ + d
+        good = (component[i] != component[j]) & (~two[i] | (of[i] != of[j]))
+        i, j = i[good], j[good]
+        # each edit changes two letter counts by one at most
+        good = np.abs(letters[i] - letters[j]).sum(axis=1) <= 2 * most[i]
+        lot.append((i[good], j[good]))
+        waiting += int(good.sum())
+        if waiting >= PAIRS:
+            compare(*map(np.concatenate, zip(*lot, strict=True)))
+            waiting, lot = 0, []
+        d += 1
+        open_ = open_[open_ + d < end[open_]]
+    if waiting:
+        compare(*map(np.concatenate, zip(*lot, strict=True)))
     return edges
 
 
 def _verify(tiers: Tiers):
-    """Rows (bucket, cell_i, cell_j, own, h1, h2, line), cell by cell, to edges."""
+    """Rows (bucket, cell_i, cell_j, own, h1, h2, line), cell by cell, to edges; small cells are compared together."""
+
+    def edges(cells: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(cells)
+        found = link(rows.column(6).to_pylist(), np.repeat(np.arange(len(cells)), [c.num_rows for c in cells]), rows.column(3).to_numpy(), tiers)
+        if found:
+            h1, h2 = rows.column(4).to_numpy(), rows.column(5).to_numpy()
+            i, j = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[i], h2[i], h1[j], h2[j])], names=["a", "a2", "b", "b2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: list[pa.RecordBatch] = []
+        lines = size = 0
         for cell in runs(batches, 3):
             if cell.num_rows < 2:
                 continue
-            found = link(cell.column(6).to_pylist(), cell.column(3).to_pylist(), tiers)
-            if found:
-                h1, h2 = cell.column(4).to_numpy(), cell.column(5).to_numpy()
-                i, j = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[i], h2[i], h1[j], h2[j])], names=["a", "a2", "b", "b2"])
+            cells.append(cell)
+            lines += cell.num_rows
+            size += pc.sum(pc.binary_length(cell.column(6))).as_py()
+            if lines >= 4 * BLOCK or size >= 2 * LOT:
+                yield from edges(cells)
+                cells, lines, size = [], 0, 0
+        if cells:
+            yield from edges(cells)
 
     return tidy(run)
 
