@@ -45,7 +45,7 @@ from tidewheel.llm.worker import ready, tidy
 from tidewheel.runtime import cut, table
 
 #: Least length and edits of each tier; tiers of equal edits only differ in the size of their segments.
-TIERS = ((20, 1), (80, 3), (200, 3), (400, 5), (800, 5))
+TIERS = ((20, 1), (40, 2), (80, 3), (200, 5), (400, 5), (800, 5))
 #: Equal lines need no length: the query and the pipeline link them from one character on.
 EXACT_CHARS = 1
 BLOCK = 2048
