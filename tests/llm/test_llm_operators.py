@@ -357,6 +357,27 @@ def test_repeated_rows_under_many_blocks(spark):
     want = sorted([(1, "8"), (1, "8"), (1, "9"), (1, ""), (None, "8"), (None, ""), (2, "8,9")], key=str)
     for limit in (5, decontam.BLOCK_TOKENS):
         assert sorted([(r["doc_id"], r["items"]) for r in decontam.contamination(df, bench, limit=limit).collect()], key=str) == want
+        assert sorted(r["text"] for r in decontam.drop_contaminated(df, bench, limit=limit).collect()) == ["clean", "clean"]
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    items = [(i, f"item {w} comes with words of its own that nobody else in here would {w}") for i, w in enumerate("abcd")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([*items, (9, "clean"), (10, None), (11, "")], "doc_id long, text string")
+    sent, live, most = spark.sparkContext.broadcast, set(), []
+
+    def broadcast(value):
+        shared = sent(value)
+        destroy = shared.destroy
+        live.add(shared)
+        most.append(len(live))
+        shared.destroy = lambda: (live.discard(shared), destroy())
+        return shared
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    got = {r["doc_id"]: r["items"] for r in decontam.contamination(df, bench, limit=1).collect()}
+    assert got == {0: "0", 1: "1", 2: "2", 3: "3", 9: "", 10: "", 11: ""}
+    assert len(most) == 4 and max(most) == 1
 
 
 def test_one_exchanged_name_near_an_end(spark):

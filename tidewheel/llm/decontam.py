@@ -9,9 +9,10 @@ matches windows of both sorts count together. In all matches at least five token
 the document and different ones against different ones. Spans with fewer words, mostly slots, are compared by their raw
 values.
 
-The benchmark side is held in blocks of at most ``BLOCK_TOKENS`` tokens (a larger benchmark is taken block by block, each
-against all documents), so what goes to the executors is bounded. Everything about a document is decided where its
-text is: documents aren't shuffled.
+The benchmark side is held in blocks of at most ``BLOCK_TOKENS`` tokens and an item (a larger benchmark is taken block by
+block, each against all documents). A pass ends as a table in the shared folder before the next block goes out, so one
+block is live on the executors at a time. Everything about a document is decided where its text is: documents aren't
+shuffled.
 
 Letters' case is folded for ASCII and Latin-1. Edge cases: null and empty texts are clean; items without tokens match
 nothing; repeated items are reported each; repeated rows are judged each; extra columns are ignored or, in
@@ -20,16 +21,17 @@ nothing; repeated items are reported each; repeated rows are judged each; extra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import textvec
 from tidewheel.llm.worker import ready, tidy
-from tidewheel.runtime import table
+from tidewheel.runtime import cut, last_cut, remove, table
 
 WINDOW = 8
 NEEDED = 6
@@ -262,6 +264,24 @@ def blocks(benchmark: DataFrame, window: int, limit: int = BLOCK_TOKENS) -> Iter
         yield Index(held, window)
 
 
+def passes(df: DataFrame, benchmark: DataFrame, window: int, limit: int, step: Callable[[DataFrame, Broadcast, bool], DataFrame]) -> DataFrame:
+    """``df`` after ``step`` (rows, block, whether it is the last) for each block of the benchmark, one block at a time."""
+    spark = df.sparkSession
+    rest = blocks(benchmark, window, limit)
+    index, before = next(rest, None), None
+    while index is not None:
+        shared = spark.sparkContext.broadcast(index)
+        index = next(rest, None)
+        df = step(df, shared, index is None)
+        if index is not None:
+            df = cut(df)
+            shared.destroy()
+            if before:
+                remove(spark, before)
+            before = last_cut()
+    return df
+
+
 def _judge(shared, needed: int, keep: bool):
     """Rows (doc_id, items, exact, text) with the items of one more block; ``keep``: with their text."""
 
@@ -285,10 +305,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     ready(spark)
     judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("CAST(array() AS array<long>)").alias("items"), F.lit(False).alias("exact"), "text")
     # one block after another over the same rows, so repeated rows stay apart
-    parts = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, window, limit)]
-    for k, part in enumerate(parts, 1):
-        keep = k < len(parts)
-        judged = judged.mapInArrow(_judge(part, needed, keep), "doc_id long, items array<long>, exact boolean" + ", text string" * keep)
+    judged = passes(judged, benchmark, window, limit, lambda rows, shared, last: rows.mapInArrow(
+        _judge(shared, needed, not last), "doc_id long, items array<long>, exact boolean" + ", text string" * (not last)))
     n = F.size("items").cast("long")
     return judged.select(
         "doc_id",
@@ -299,11 +317,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, needed: int = NEEDED) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, needed: int = NEEDED, limit: int = BLOCK_TOKENS) -> DataFrame:
     """Documents that hold no benchmark item; columns as given."""
     columns = docs.columns
-    spark = docs.sparkSession
-    ready(spark)
+    ready(docs.sparkSession)
     place = columns.index("text")
 
     def keep(shared):
@@ -316,9 +333,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
         return run
 
-    for x in blocks(benchmark, window):
-        docs = docs.mapInArrow(keep(spark.sparkContext.broadcast(x)), docs.schema)
-    return docs
+    return passes(docs, benchmark, window, limit, lambda rows, shared, last: rows.mapInArrow(keep(shared), rows.schema))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
