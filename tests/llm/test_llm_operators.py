@@ -268,6 +268,24 @@ def test_caps_recall_and_counts(spark, monkeypatch):
 # Tokens
 
 
+def test_merge_replay_where_merges_bring_up_lower_ranks():
+    rng = random.Random(5)
+    tokens = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 6))) for _ in range(600)})
+    rng.shuffle(tokens)
+    ranks = {bytes([i]): i for i in range(256)} | {t: 256 + i for i, t in enumerate(tokens)}
+
+    def alone(word):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[x] for x in parts]
+
+    words = [bytes(rng.choice(b"abc") for _ in range(rng.choice((0, 1, 2, 9, 40)))) for _ in range(300)]
+    assert bpe.merge_replay(words, bpe.Ranks(ranks)) == [alone(w) for w in words]
+    assert bpe.merge_replay([], bpe.Ranks(ranks)) == [] and bpe.merge_replay([b"", b""], bpe.Ranks(ranks)) == [[], []]
+
+
 def test_merge_replay_is_the_library(spark, sf_dir):
     import public_tokenizers as t
     import tiktoken

@@ -22,6 +22,7 @@ import heapq
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -34,8 +35,8 @@ from tidewheel.runtime import table
 
 #: Bytes of a generation of pretokens with their ids, of two that a task keeps.
 CACHE = 48 << 20
-#: Pretokens whose merges are replayed together.
-TOGETHER = 20_000
+#: Pretokens whose merges are replayed together: few enough for their places to stay in a core's cache.
+TOGETHER = 4_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,81 +58,90 @@ class Ranks:
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
+        self.of_bytes = np.array(self.byte, np.int64)
+        self.byte_pairs = np.array([[self.pairs.get(a << 32 | b, -1) for b in self.byte] for a in self.byte], np.int64)
 
 
 def merge_replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
     """Ids of each word."""
-    token: list[int] = []
-    owner: list[int] = []
-    bounds = [0]
-    byte = ranks.byte
-    for w, word in enumerate(words):
-        token += [byte[c] for c in word]
-        owner += [w] * len(word)
-        bounds.append(len(token))
-    n = len(token)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    for w in range(len(words)):
-        if bounds[w] < bounds[w + 1]:
-            after[bounds[w + 1] - 1] = -1
-            before[bounds[w]] = -1
-    index: dict[int, list[int]] = {}
-    get = ranks.pairs.get
-    for i in range(n - 1):
-        if after[i] > 0 and (r := get(token[i] << 32 | token[i + 1])) is not None:
-            if r in index:
-                index[r].append(i)
-            else:
-                index[r] = [i]
-    heap = list(index)
-    heapq.heapify(heap)
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    n = len(raw)
+    if not n:
+        return [[] for _ in words]
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    ends, starts = np.zeros(n, bool), np.zeros(n, bool)
+    full = np.flatnonzero(np.diff(bounds))
+    starts[bounds[:-1][full]] = True
+    ends[bounds[1:][full] - 1] = True
+    token = ranks.of_bytes[raw].tolist()
+    after = np.where(ends, -1, np.arange(1, n + 1)).tolist()
+    before = np.where(starts, -1, np.arange(-1, n - 1)).tolist()
+    # the rank that merging each place with its right neighbour gives, and the places of each rank
+    pair = np.full(n, -1, np.int64)
+    pair[:-1] = ranks.byte_pairs[raw[:-1], raw[1:]]
+    pair[ends] = -1
+    places_of = np.flatnonzero(pair >= 0)
+    order = places_of[np.argsort(pair[places_of], kind="stable")]
+    found, first = np.unique(pair[order], return_index=True)
+    order, cuts = order.tolist(), [*first.tolist(), len(order)]
+    heap: list[int] = found.tolist()  # sorted, so a heap
+    index: dict[int, list[int]] = {r: order[cuts[k] : cuts[k + 1]] for k, r in enumerate(heap)}
+    want = pair.tolist()
+    get, push, pop = ranks.pairs.get, heapq.heappush, heapq.heappop
     while heap:
-        rank = heapq.heappop(heap)
+        rank = pop(heap)
         places = index.pop(rank, None)
         if places is None:
             continue
         places.sort()
+        high = rank << 32
         waiting: set[int] = set()  # words in which a lower rank has come up: that one goes first
         later: list[int] = []
         for i in places:
-            if waiting and owner[i] in waiting:
+            if waiting and int(np.searchsorted(bounds, i, "right")) in waiting:
                 later.append(i)
                 continue
-            # a stale entry: its pair was changed by an earlier merge
-            if token[i] < 0 or (j := after[i]) < 0 or get(token[i] << 32 | token[j]) != rank:
+            if want[i] != rank:  # a stale entry: its pair was changed by an earlier merge
                 continue
-            token[i], token[j] = rank, -1
+            j = after[i]
             k = after[i] = after[j]
+            token[i] = rank
+            token[j] = want[j] = -1
             if k >= 0:
                 before[k] = i
-                r = get(rank << 32 | token[k])
-                if r is not None:
+                r = want[i] = get(high | token[k], -1)
+                if r >= 0:
                     if r in index:
                         index[r].append(i)
                     else:
                         index[r] = [i]
-                        heapq.heappush(heap, r)
+                        push(heap, r)
                     if r < rank:
-                        waiting.add(owner[i])
+                        waiting.add(int(np.searchsorted(bounds, i, "right")))
+            else:
+                want[i] = -1
             h = before[i]
             if h >= 0:
-                r = get(token[h] << 32 | rank)
-                if r is not None:
+                r = want[h] = get(token[h] << 32 | rank, -1)
+                if r >= 0:
                     if r in index:
                         index[r].append(h)
                     else:
                         index[r] = [h]
-                        heapq.heappush(heap, r)
+                        push(heap, r)
                     if r < rank:
-                        waiting.add(owner[i])
+                        waiting.add(int(np.searchsorted(bounds, i, "right")))
         if later:
             if rank in index:
                 index[rank].extend(later)
             else:
                 index[rank] = later
-                heapq.heappush(heap, rank)
-    return [[t for t in token[bounds[w] : bounds[w + 1]] if t >= 0] for w in range(len(words))]
+                push(heap, rank)
+    left = np.array(token)
+    kept = left >= 0
+    count = np.concatenate([[0], np.cumsum(kept)])[bounds].tolist()
+    ids = left[kept].tolist()
+    return [ids[a:b] for a, b in zip(count[:-1], count[1:], strict=True)]
 
 
 class Encoder:
