@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -139,6 +140,31 @@ def test_short_lines_are_linked_if_equal(spark, tmp_path, sf_dir):
     assert rows == {i: (1, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in (want | {3: "  "}).items()}
 
 
+def test_tables_of_line_dedup_leave_no_shuffle_files(spark, monkeypatch):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    cut, left = lines.cut, []
+
+    def shuffles():
+        found = files.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    def watched(df):
+        before = shuffles()
+        out = cut(df)
+        own, end = shuffles() - before, time.time() + 10  # executors delete them in their own time
+        while own and time.time() < end:
+            time.sleep(0.1)
+            own &= shuffles()
+        left.append(len(own))
+        return out
+
+    monkeypatch.setattr(lines, "cut", watched)
+    docs = [(i, f"a line of some length, number {i // 2}\nanother line that is the same for all") for i in range(20)]
+    assert lines.repeated(spark.createDataFrame(docs, "doc_id long, text string")).count() == 19
+    assert len(left) == 10 and not any(left)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_probes_meet_every_near_line():
     """A line within the edits of another has one of its stored segments among its own probes."""
     rng = random.Random(9)
