@@ -196,7 +196,7 @@ def align(rows: DataFrame) -> DataFrame:
     link = lambda a, b: F.shiftleft(F.get("a_ids", a).cast("long"), 32).bitwiseOR(F.get("b_ids", b).cast("long"))
     # the A token of an end comes before the B token of the same end; that one makes no link of its own
     linked = lambda x, i: F.coalesce(
-        F.when(x.bitwiseAND(F.lit(SIDE)) == 0, link(_position(x), i - _position(x))).when(x.bitwiseXOR(at(i - 1)) >= (1 << 32), link(i - _position(x), _position(x))), none
+        F.when(x.bitwiseAND(F.lit(SIDE)) == 0, link(_position(x), i - _position(x))).when(x.bitwiseXOR(at(i - 1)) < (1 << 32), none).otherwise(link(i - _position(x), _position(x))), none
     )
     made = merged.withColumn("_links", F.transform("_at", linked))
     made = made.withColumn("_cuts", F.array_remove(F.transform("_links", lambda x, i: F.when(x == -1, i).otherwise(F.lit(-1))), -1))
