@@ -33,13 +33,9 @@ def constant_flags(series: DataFrame, m: int, given: Flags) -> DataFrame | None:
     return series.groupBy("series_id").applyInPandas(run, "series_id string, i long, is_const boolean")
 
 
-#: Bytes of the matrix of unit windows that a kernel call makes of a block.
-BLOCK_BYTES = 64 << 20
-
-
 def _blocks(block: int, m: int) -> int:
-    """Windows of a block: fewer of long ones, so that a kernel call's memory is bounded."""
-    return max(64, min(block, BLOCK_BYTES // (8 * m)))
+    """Windows of a block: no fewer than a window's points, which each block repeats."""
+    return max(block, m)
 
 
 def _width(series: DataFrame, plan: tiles.Plan) -> int:

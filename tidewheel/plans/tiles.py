@@ -89,7 +89,7 @@ def _flags(column: pa.Array, row: int, n: int) -> np.ndarray | None:
     values = column[row].values
     if values.null_count == len(values):
         return None
-    return np.array([bool(x) for x in values.to_pylist()[:n]])
+    return values.fill_null(False).to_numpy(zero_copy_only=False)[:n].astype(bool)
 
 
 def _emit(sid: str, oid: str, lo: int, found: kernel.Found) -> pa.RecordBatch:
@@ -98,8 +98,9 @@ def _emit(sid: str, oid: str, lo: int, found: kernel.Found) -> pa.RecordBatch:
     ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
     nn = pa.StructArray.from_arrays([pa.array(found.near.d[there]), pa.array(found.near.j[there])], names=["d", "j"])
     one = lambda b: (pa.array(b.d[:, 0], mask=b.j[:, 0] < 0), pa.array(b.j[:, 0], mask=b.j[:, 0] < 0))
+    name = lambda x: pa.repeat(pa.scalar(x, pa.string()), n)
     return pa.RecordBatch.from_arrays(
-        [pa.array([sid] * n), pa.array([oid] * n), pa.array(lo + np.arange(n)), pa.ListArray.from_arrays(pa.array(ends), nn), *one(found.left), *one(found.right)],
+        [name(sid), name(oid), pa.array(lo + np.arange(n)), pa.ListArray.from_arrays(pa.array(ends), nn), *one(found.left), *one(found.right)],
         names=["series_id", "other_id", "i", "nn", "left_d", "left_j", "right_d", "right_j"],
     )
 
