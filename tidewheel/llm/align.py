@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from tidewheel.llm.worker import ready, tidy
+from tidewheel.llm.worker import Cache, ready, tidy
 from tidewheel.runtime import cut, table
 
+#: Bytes of a generation of chunks with their ids, of two that a task keeps.
+CACHE = 32 << 20
+#: New chunks that are encoded as one text.
+TOGETHER = 2000
+#: What stands for a space in pieces.
+SPACE = "\u2581"
 #: Pairs of ids that are broadcast at most (about 50 bytes each).
 BROADCAST = 1 << 20
 #: A place is end << 32 | side << 31 | position.
@@ -72,18 +80,22 @@ class SideA:
             self.bytes[i] = token.encode() if token in special else bytes(alphabet[c] for c in token)
         self.fast = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={self.bytes[i]: i for t, i in vocab.items() if t not in special}, special_tokens={}) if _plain(spec, special) else None
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.fast is None:
-            return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text; None where they don't give the text back."""
         out = []
         for t in texts:
+            ids = self._ids(t)
+            out.append(np.array(ids, np.int32) if b"".join(map(self.bytes.__getitem__, ids)) == t.encode() else None)
+        return out
+
+    def _ids(self, text: str) -> list[int]:
+        if self.fast is not None:
             try:
-                out.append(self.fast.encode_ordinary(t))
-            except BaseException as e:  # very long runs overflow its pattern engine, which comes as a panic
+                return self.fast.encode_ordinary(text)
+            except BaseException as e:  # very long runs may overflow its pattern engine, which comes as a panic
                 if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
                     raise
-                out.append(self.library.encode(t, add_special_tokens=False).ids)
-        return out
+        return self.library.encode(text, add_special_tokens=False).ids
 
 
 def _plain(spec: dict, special: set[str]) -> bool:
@@ -100,28 +112,80 @@ def _plain(spec: dict, special: set[str]) -> bool:
 
 
 class SideB:
-    """Pieces of a sentencepiece model."""
+    """Pieces of a sentencepiece model.
+
+    Where no piece goes on behind a space or a line feed that it doesn't begin with, merges never cross into one, so a text is
+    encoded chunk by chunk, each distinct chunk of a task once.
+    """
+
+    chunks = re.compile(r"\x20+[^\x20\n]*|\n+[^\x20\n]*")
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        self.bytes = [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        inside = any("\n" in p or SPACE in p.lstrip(SPACE) for i, p in enumerate(pieces) if not self.model.is_control(i))
+        self.apart = not inside and all(self._back(t) for t in ("a  b", "  a", "a ", "\n a\n\nb \n", "\t", "ﬁ Å ²"))
+        self.lengths = np.array([len(b) for b in self.bytes])
+        self.cache = Cache(CACHE)
+
+    def _back(self, text: str) -> bool:
+        """Whether the model changes nothing."""
+        return b"".join(self.bytes[i] for i in self.model.encode(text)) == f" {text}".encode()
+
+    def _learn(self, new: list[str]) -> None:
+        """New chunks are encoded as one text and cut at their ends; chunks of spaces alone would run into the next one."""
+        one = [c for c in new if c[-1] == " "]
+        together = [c for c in new if c[-1] != " "]
+        for at in range(0, len(together), TOGETHER):
+            part = [" .", *together[at : at + TOGETHER]]
+            ids = self._whole("".join(part))
+            if ids is None:  # some chunk doesn't come back
+                one += part[1:]
+                continue
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) for c in part])) + 1
+            raw = ids.tobytes()
+            for c, start, end in zip(part[1:], (4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist(), strict=True):
+                self.cache.put(c, raw[start:end], end - start)
+        for c in one:
+            # behind a line feed the model's own space stands alone
+            ids = self._whole(c if c[0] == " " else f" .{c}")
+            self.cache.put(c, None if ids is None else (ids if c[0] == " " else ids[len(self.model.encode(".")) :]).tobytes(), 20)
+
+    def _whole(self, text: str) -> np.ndarray | None:
+        ids = self.model.encode(text[1:])
+        return np.array(ids, np.int32) if b"".join(map(self.bytes.__getitem__, ids)) == text.encode() else None
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text with the space before it; None where they don't give the text back."""
+        if not self.apart:
+            return [self._whole(t) for t in texts]
+        split = [self.chunks.findall(t) for t in texts]
+        new = self.cache.missing(dict.fromkeys(chain.from_iterable(split)))
+        if new:
+            self._learn(new)
+        known = self.cache.known.__getitem__
+        out = []
+        for chunks in split:
+            try:
+                out.append(np.frombuffer(b"".join(map(known, chunks)), np.int32))
+            except TypeError:  # a chunk that doesn't come back
+                out.append(None)
+        return out
 
 
+NONE = np.zeros(0, np.int32)
 #: The last two files that this worker used: of a fixed size.
 _sides: dict[str, tuple] = {}
 
 
 def _load(kind: type, name: str) -> tuple:
-    """A side, the bytes of its ids and their lengths."""
+    """A side and the lengths of its ids."""
     if name not in _sides:
         while len(_sides) > 1:
             _sides.pop(next(iter(_sides)))
         side = kind(SparkFiles.get(name))
-        _sides[name] = side, side.bytes.__getitem__, np.array([len(b) for b in side.bytes], np.int64)
+        _sides[name] = side, np.array([len(b) for b in side.bytes], np.int64)
     return _sides[name]
 
 
@@ -153,18 +217,19 @@ def tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = [_load(SideA, name_a), _load(SideB, name_b)]
+        sides[1][0].cache = Cache(CACHE)  # ends with the task
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             full = [i for i, t in enumerate(texts) if t]
             whole = [" " + texts[i] for i in full]
-            ids = [sides[0][0].encode(whole), sides[1][0].encode([t[1:] for t in whole])]
-            same = [all(b"".join(map(of, own[n])) == raw for (_, of, _), own in zip(sides, ids, strict=True)) for n, raw in enumerate(t.encode() for t in whole)]
+            ids = [side.encode(whole) for side, _ in sides]
             columns = []
-            for k, (_, _, lengths) in enumerate(sides):
+            for k, (_, lengths) in enumerate(sides):
+                # both sides have to give the text back
+                kept = [NONE if x is None or y is None else (x, y)[k] for x, y in zip(*ids, strict=True)]
                 counts = np.zeros(len(texts), np.int64)
-                kept = [own if ok else [] for own, ok in zip(ids[k], same, strict=True)]
                 counts[full] = [len(x) for x in kept]
-                flat = np.fromiter((i for x in kept for i in x), np.int64, int(counts.sum()))
+                flat = np.concatenate([NONE, *kept])
                 stops = np.cumsum(counts)
                 size = np.concatenate([[0], np.cumsum(lengths[flat])])
                 ends = size[1:] - np.repeat(size[stops - counts], counts)
@@ -181,43 +246,45 @@ def _position(place: Column) -> Column:
 
 
 def align(rows: DataFrame) -> DataFrame:
-    """Rows of ``tokens`` with n_a, n_b, n_groups, groups (strings ``a1,a2|b1`` of the ids of each group) and links (long arrays,
+    """Rows of ``tokens`` with n_a, n_b, n_groups, groups (strings ``a1,a2|b1`` of the ids of each group) and links (sorted longs,
     a << 32 | b, one for each pair of tokens that share a byte)."""
     names = [c for c in rows.columns if c not in ("a_ends", "b_ends", "a_at", "b_at")]
     merged = rows.select(
         *names,
         F.size(F.array_intersect("a_ends", "b_ends")).alias("n_groups"),
         F.sort_array(F.concat("a_at", "b_at")).alias("_at"),
-        F.col("a_ids").cast("array<string>").alias("_a"),
-        F.col("b_ids").cast("array<string>").alias("_b"),
+        F.col("a_ids").cast("array<long>").alias("_high"),
     )
-    at = lambda i: F.get("_at", i)
-    none = F.lit(-1).cast("long")
-    link = lambda a, b: F.shiftleft(F.get("a_ids", a).cast("long"), 32).bitwiseOR(F.get("b_ids", b).cast("long"))
-    # the A token of an end comes before the B token of the same end; that one makes no link of its own
+    link = lambda a, b: F.shiftleft(F.get("_high", a), 32).bitwiseOR(F.get("b_ids", b))
+    # The A token of an end comes before the B token of the same end, which makes no link but closes a group: as the bitwise not
+    # of the positions of its last A and B token, so that sorting brings groups before links, the last group first.
     linked = lambda x, i: F.coalesce(
-        F.when(x.bitwiseAND(F.lit(SIDE)) == 0, link(_position(x), i - _position(x))).when(x.bitwiseXOR(at(i - 1)) < (1 << 32), none).otherwise(link(i - _position(x), _position(x))), none
+        F.when(x.bitwiseAND(F.lit(SIDE)) == 0, link(_position(x), i - _position(x)))
+        .when(x.bitwiseXOR(F.get("_at", i - 1)) < (1 << 32), F.bitwise_not(F.shiftleft(i - 1 - _position(x), 32).bitwiseOR(_position(x))))
+        .otherwise(link(i - _position(x), _position(x))),
+        F.lit(0).cast("long"),
     )
-    made = merged.withColumn("_links", F.transform("_at", linked))
-    made = made.withColumn("_cuts", F.array_remove(F.transform("_links", lambda x, i: F.when(x == -1, i).otherwise(F.lit(-1))), -1))
+    made = merged.withColumn("_all", F.sort_array(F.transform("_at", linked)))
+    ends = made.select(*names, "n_groups", F.reverse(F.slice("_all", F.lit(1), F.col("n_groups"))).alias("_cuts"), F.slice("_all", F.col("n_groups") + 1, F.greatest(F.size("_all") - F.col("n_groups"), F.lit(0))).alias("links"))
+    last_a, last_b = (lambda c: F.shiftright(F.bitwise_not(c), 32).cast("int")), (lambda c: F.bitwise_not(c).bitwiseAND(F.lit(POSITION)).cast("int"))
 
-    def side(ids: str, back: int, p: Column, before: Column) -> Column:
-        """The ids from behind a cut to the next."""
-        start, to = F.coalesce(_position(at(before - back)) + 1, F.lit(0)).cast("int"), _position(at(p - back)).cast("int")
-        return F.array_join(F.slice(ids, start + 1, to - start + 1), ",")
+    def side(ids: str, last: Callable[[Column], Column], cut: Column, before: Column) -> Column:
+        """The ids behind the group before, up to this group's last."""
+        start = F.coalesce(last(before) + 1, F.lit(0))
+        return F.array_join(F.slice(ids, start + 1, last(cut) - start + 1).cast("array<string>"), ",")
 
-    def group(p: Column, k: Column) -> Column:
-        """Between two cuts: mostly one token of either side."""
+    def group(cut: Column, k: Column) -> Column:
+        """Mostly one token of either side, one further than the group before."""
         before = F.get("_cuts", k - 1)
-        pair = F.concat(F.get("_a", _position(at(p - 1))), F.lit("|"), F.get("_b", _position(at(p))))
-        return F.when(p - before == 2, pair).otherwise(F.concat(side("_a", 1, p, before), F.lit("|"), side("_b", 0, p, before)))
+        pair = F.concat(F.get("a_ids", last_a(cut)).cast("string"), F.lit("|"), F.get("b_ids", last_b(cut)).cast("string"))
+        return F.when(before - cut == (1 << 32) + 1, pair).otherwise(F.concat(side("a_ids", last_a, cut, before), F.lit("|"), side("b_ids", last_b, cut, before)))
 
-    return made.select(*names, F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), "n_groups", F.transform("_cuts", group).alias("groups"), F.array_remove("_links", -1).alias("links"))
+    return ends.select(*names, F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), "n_groups", F.transform("_cuts", group).alias("groups"), "links")
 
 
 def distinct_pairs(rows: DataFrame, links: str = "links", name: str = "pairs") -> DataFrame:
-    """Rows with ``name``: array of (pair, n), the distinct links with how often the row has them. ``links`` goes."""
-    made = rows.withColumn("_sorted", F.sort_array(links)).drop(links)
+    """Rows with ``name``: array of (pair, n), the distinct links with how often the row has them. ``links``, sorted, goes."""
+    made = rows.withColumnRenamed(links, "_sorted")
     starts = F.array_remove(F.transform("_sorted", lambda x, i: F.when(x == F.get("_sorted", i - 1), F.lit(-1)).otherwise(i)), -1)
     made = made.withColumn("_starts", starts)
     # a pair lasts to the next one's start
