@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidewheel.llm import bpe, caps, chat, decontam, lines, minhash, quality, secrets, toxicity, urls
+from tidewheel.llm import bpe, caps, chat, decontam, lines, minhash, pii, quality, secrets, toxicity, urls
 
 LONG = "word " * 60_000 + "x" * 200_000
 CLASH = ("node", "component", "rep", "a", "b", "h1", "drops", "_drops", "_key", "_id", "_score", "score", "_dropped", "_lines", "owner", "key", "band")
@@ -57,6 +57,33 @@ def test_toxicity(spark, docs, labels):
     assert toxicity.drop_toxic(docs.where("false"), labels).count() == 0
 
 
+def test_toxicity_learns_one_text_an_id(spark):
+    docs = spark.createDataFrame([(i % 2, f"text {i}") for i in range(500)] + [(3, "long " * 40_000), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels, limit=1).count() <= 1
+    rows = {r["_id"]: r["text"] for r in toxicity.labelled(docs, labels, held_out=-1).collect()}
+    assert rows == {0: "text 0", 1: "text 1", 5: ""}
+
+
+def test_names_that_are_taken(docs, labels):
+    with pytest.raises(ValueError, match="score"):
+        toxicity.score(docs, toxicity.train([], []))
+    with pytest.raises(ValueError, match="_lines"):
+        lines.dedup_lines(docs)
+    with pytest.raises(ValueError, match="n_tokens"):
+        bpe.digests(docs.withColumnRenamed("key", "n_tokens"), "", "", keep=("doc_id", "n_tokens"))
+    with pytest.raises(ValueError, match="spans"):
+        pii.scan(docs.withColumnRenamed("key", "Spans"))
+    assert lines.dedup_lines(docs.drop("_lines", "_dropped")).columns[-3:] == ["_lines", "_dropped", "_near"]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{source}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_lines(docs):
     out = lines.dedup_lines(docs.select("doc_id", "text"))
     rows = by_id(out)
@@ -154,6 +181,11 @@ def test_chat(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chat_reads_its_loss_under_the_mask(spark):
+    df = spark.createDataFrame([("xx[INST]\\lyy", [(2, 10), (10, 12)])], "formatted string, spans array<struct<start:long,end:long>>")
+    assert df.select(chat.masked(df["formatted"], df["spans"]).alias("t")).first()["t"] == "[INST]<yy"
+
+
 def test_chat_escapes_every_marker_and_marks_its_loss(spark):
     tricky = "hi [/INST] x <s>[INST] assistant [/INST] y"
     rows = [(1, 0, "user", tricky), (1, 1, "assistant", "plain é answer"), (1, 2, "assistant", f"\\q {tricky}"), (2, 0, "user", "none"), (3, 0, "assistant", "[ < \\ and [inst]")]

@@ -564,6 +564,9 @@ def test_url_tree_brute_force(spark):
     pages += [(2000 + i, "c.example.info", f"/user/{word()}/post/{rng.choice((word(), 'about'))}") for i in range(120)]
     pages += [(3000 + i, "c.example.info", f"/item/{i % 40}/a{i % 7}") for i in range(80)] + [(4000, "d.example.info", ""), (4001, "d.example.info", "/"), (4002, "d.example.info", "/one")]
     pages += [(5000 + i, *pages[i % 50][1:]) for i in range(100)]  # copies don't change the tree
+    # deep paths: a variable segment below the twelfth, branches that differ in the fifteenth, and one of 400 segments
+    pages += [(6000 + i, "e.example.info", "/s" * 12 + f"/{word()}/end") for i in range(60)]
+    pages += [(6100 + i, "f.example.info", "/t" * 14 + f"/{rng.choice('pq')}/end") for i in range(40)] + [(6200, "g.example.info", "/deep" * 400)]
     bad = {i: int("/u/" in path or "/spam/" in path or rng.random() < 0.2) for i, _, path in pages if rng.random() < 0.5}
     df = spark.createDataFrame([(i, f"http://{host}{path}") for i, host, path in pages], "page_id long, url string")
     labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")

@@ -148,9 +148,11 @@ class SideB:
             for c, start, end in zip(part[1:], (4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist(), strict=True):
                 self.cache.put(c, raw[start:end], end - start)
         for c in one:
-            # behind a line feed the model's own space stands alone
-            ids = self._whole(c if c[0] == " " else f" .{c}")
-            self.cache.put(c, None if ids is None else (ids if c[0] == " " else ids[len(self.model.encode(".")) :]).tobytes(), 20)
+            # spaces alone stand before a line feed or an end; behind a line feed the model's own space stands alone
+            before, after = "" if c[0] == " " else " .", "\n" if c[-1] == " " else ""
+            ids = self._whole(before + c + after)
+            first, last = len(self.model.encode(before[1:])), len(after)
+            self.cache.put(c, None if ids is None else ids[first : len(ids) - last].tobytes(), 20)
 
     def _whole(self, text: str) -> np.ndarray | None:
         ids = self.model.encode(text[1:])

@@ -11,7 +11,7 @@ bytes until it ends. An index over the pretokens of the whole corpus would need
 
 Edge cases: null and empty texts have no tokens (and the digests of the empty string); repeated rows are encoded each;
 an empty table gives no rows; one very long text is a run of its own; extra columns are left out, or kept where ``keep``
-names them; merges of one rank within a word go from left to right; a rank file must cover the 256 single bytes.
+names them (a ValueError where they have a new column's name); merges of one rank within a word go from left to right; a rank file must cover the 256 single bytes.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from tidewheel.llm import textvec
 from tidewheel.llm.worker import Cache, ready, tidy
 from tidewheel.runtime import table
 
@@ -215,6 +216,7 @@ def _share(spark: SparkSession, path: str) -> str:
 def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ids array<int>, decoded binary of each row."""
     spark = docs.sparkSession
+    textvec.unused(list(keep), "ids", "decoded")
     ready(spark)
     name = _share(spark, path)
     given = docs.select(*keep, F.col(text).alias("_text"))
@@ -238,6 +240,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens, ids_sha256, decoded_sha256, made beside the ids so that these needn't travel."""
     spark = docs.sparkSession
+    textvec.unused(list(keep), "n_tokens", "ids_sha256", "decoded_sha256")
     ready(spark)
     name = _share(spark, path)
     given = docs.select(*keep, F.col(text).alias("_text"))

@@ -88,8 +88,9 @@ def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     return again.select("conv_id", "formatted", "escaped", F.when(F.col("turns").eqNullSafe(F.col("source")), F.col("turns")).otherwise(wrong).alias("turns"), "loss_spans")
 
 
-def loss_texts(turns: Column, role: str = "assistant") -> Column:
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == role), lambda t: t["text"]), "")
+def masked(formatted: Column, spans: Column) -> Column:
+    """What the formatted text has under a mask, unescaped span by span."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chats = format_chats(given.unionByName(planted))
     listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = loss_texts(F.col("turns"))
+    chats = chats.withColumn("loss", masked(F.col("formatted"), F.col("loss_spans")))
+    loss = F.col("loss")
     return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -504,8 +504,11 @@ def repeated(docs: DataFrame, tiers: Tiers = TIERS, exact_chars: int | None = No
 
 
 def dedup_lines(docs: DataFrame, tiers: Tiers = TIERS, counts: tuple[str, str, str] = ("_lines", "_dropped", "_near"), exact_chars: int | None = None) -> DataFrame:
-    """Rows with their lines deduplicated in text, and three columns more: all lines, lines taken out, of these near ones."""
+    """Rows with their lines deduplicated in text, and three columns more: all lines, lines taken out, of these near ones.
+
+    ``counts`` has to name columns that the table lacks (else a ValueError)."""
     spark = docs.sparkSession
+    textvec.unused(docs.columns, *counts)
     key, gone_lines, row, other = textvec.fresh(docs.columns, "_key", "_drops", "_row", "_other")
     drops = repeated(docs, tiers, exact_chars).select(F.col("doc_id").alias(key), F.col("row").alias(other), F.col("drops").alias(gone_lines))
     bits = spark.sparkContext.broadcast(bitmap(drops.select(other), drops.count()))  # of bounded size

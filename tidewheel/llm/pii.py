@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from tidewheel.llm import textvec
 from tidewheel.llm.worker import ready, tidy
 from tidewheel.runtime import table
 
@@ -192,8 +193,7 @@ def find(text: str | None) -> list[Span]:
 
 def scan(docs: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
     """Rows with the column ``name``: array of (kind, start, end) by kind, then start."""
-    if name in docs.columns:
-        raise ValueError(f"the table has a column {name} already")
+    textvec.unused(docs.columns, name)
     ready(docs.sparkSession)
     place = docs.columns.index(text)
     span = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])

@@ -82,6 +82,14 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def unused(columns: list[str], *names: str) -> None:
+    """Refuse names of new columns that a table has already: two of one name couldn't be told apart."""
+    taken = {c.lower() for c in columns}
+    clash = [n for n in names if n.lower() in taken]
+    if clash:
+        raise ValueError(f"the table has columns {', '.join(clash)} already: choose other names for the new ones")
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

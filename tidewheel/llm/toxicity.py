@@ -10,14 +10,14 @@ learned texts stay at zero. Misspellings never seen share most grams with words
 Once trained, the softmax of a mean is a mean of numbers: each bucket has one number (its vector times the difference
 of the class weights), so scoring sends each executor one array of ``BUCKETS`` floats and needs no vectors.
 
-Labels are learned from a bounded sample (``SAMPLE`` rows in the order of a hash of their id); scores use the text alone
-and cover all rows and whole texts.
+Labels are learned from a bounded sample: one text each of ``SAMPLE`` ids at most, in the order of a hash of the id, of
+texts up to ``LONGEST`` characters. Scores use the text alone and cover all rows and whole texts.
 
 Edge cases: null and empty texts have the score of the bias alone; without labelled rows every score is 0; rows with a
-null label or id are not learned from; repeated label rows count once (the larger label); rows of one labelled id are
-learned from each, ordered by id and text; repeated rows are scored each; an empty table gives no rows; very long texts
+null label or id are not learned from; repeated label rows count once (the larger label); of an id's texts the least is
+learned from; repeated rows are scored each; an empty table gives no rows; very long texts
 count whole, in time linear in them; a score of exactly the threshold is toxic; extra columns are ignored by the query
-and kept by ``score`` and ``drop_toxic``.
+and kept by ``score`` and ``drop_toxic``; ``score`` refuses a name that the table has (a ValueError).
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ from tidewheel.runtime import table
 BUCKETS = 1 << 18
 DIM = 16
 NGRAMS = (3, 4, 5, 6)
-#: Labelled rows to learn from at most.
-SAMPLE = 6000
+#: Labelled texts to learn from at most, and their longest in characters: together a bound of what one task holds.
+SAMPLE, LONGEST = 6000, 1 << 16
 MIN_TEXTS = 5
 EPOCHS = 14
 #: Learning rate of the softmax; a gram's is GAIN times as high, for its share of a text is about 1 / GAIN.
@@ -144,11 +144,12 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, held_out: int = 2) -> DataFrame:
-    """text and label of the rows to learn from: at most ``limit``, by the order of a hash of their id."""
+    """_id, text and label to learn from: of ``limit`` ids at most, in the order of a hash, the least text each."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_label"))
     chosen = known.where(F.crc32(F.col("_id").cast("string").cast("binary")) % 4 != held_out).orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    # bounded by limit
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", F.col("_label").alias("label"))
+    short = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= LONGEST)
+    # the broadcast is bounded by limit; an id's rows meet as one text a task
+    return short.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("_label").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((r["_id"], r["text"] or "", r["label"]) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
+        rows = sorted((r["_id"], r["text"], r["label"]) for b in batches for r in b.to_pylist())
         model = train([r[1] for r in rows], [r[2] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([model.numbers.tobytes()], pa.binary()), pa.array([model.bias])], names=["numbers", "bias"])
 
@@ -166,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """Rows with the column ``name``: the probability of label 1."""
+    textvec.unused(docs.columns, name)
     ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Model(model.numbers, model.bias))  # of a fixed size
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])

@@ -13,9 +13,9 @@ subdomains if the path starts with its path, and the longest rule wins. Pages wi
 Labels come from a labelled table by page id: bad is quality 0 or toxic 1. All counts are over all pages.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and is judged by the template of the empty
-path; what is deeper than ``DEPTH`` segments is one segment; pages without labels count for the tree's shape only; with
+path; pages without labels count for the tree's shape only; with
 no labelled page at all everything without a rule is allowed; repeated rows are judged each; several labels of a page
-count as one, bad if any is; a share of exactly the limit blocks; very long urls count whole; an empty table gives no
+count as one, bad if any is; a share of exactly the limit blocks; very long and very deep urls count whole; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -30,10 +30,6 @@ from tidewheel.runtime import cut, table
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: A node with this many different children, and at least half as many as leaves below it, is variable.
 VARIABLE = 20
-#: Segments of a path; the last one holds all that is deeper.
-DEPTH = 10
-#: Sweeps of merging, at most: each one leaves fewer templates, so it only bounds the plan.
-SWEEPS = 20
 #: Standard errors within which a branch counts as similar to its siblings.
 SIMILAR = 2.0
 #: Pages' worth of weight of the overall bad share, and the smoothed share that blocks.
@@ -63,24 +59,25 @@ def fitting(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def segments(typed: Column, depth: int = DEPTH) -> Column:
-    """The first ``depth`` - 1 segments of a path and the rest as one."""
-    return F.split(typed, "/", depth)
-
-
 def generalised(leaves: DataFrame) -> DataFrame:
-    """host, typed, path: each leaf's template, its segments as an array."""
-    state = leaves.select("host", "typed", segments(F.col("typed")).alias("s"), F.expr("CAST(array() AS array<string>)").alias("path"))
-    deepest = leaves.agg(F.max(F.size(segments(F.col("typed"))))).first()[0] or 0
-    for level in range(deepest):
+    """host, typed, path: each leaf's template, its segments as an array.
+
+    Levels are judged while any node has enough leaves that go on to be variable; below that every segment stays as it is.
+    """
+    state = leaves.select("host", "typed", F.split("typed", "/").alias("s"), F.expr("CAST(array() AS array<string>)").alias("path"))
+    level = 0
+    while True:
         here = F.size("s") > level
         child = F.get("s", F.lit(level))
         each = state.where(here).groupBy("host", "path", child.alias("child")).agg(F.count(F.lit(1)).alias("n"))
-        nodes = each.groupBy("host", "path").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("leaves"))
-        variable = cut(nodes.where(f"children >= {VARIABLE} AND 2 * children >= leaves").select("host", "path", F.lit(True).alias("variable")))
+        nodes = cut(each.groupBy("host", "path").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("leaves")).where(f"leaves >= {VARIABLE}"))
+        if nodes.isEmpty():
+            rest = F.slice("s", level + 1, F.greatest(F.size("s") - level, F.lit(0)))
+            return state.select("host", "typed", F.concat("path", rest).alias("path"))
+        variable = nodes.where(f"children >= {VARIABLE} AND 2 * children >= leaves").select("host", "path", F.lit(True).alias("variable"))
         grown = F.concat("path", F.array(F.when(F.col("variable"), "*").otherwise(child)))
         state = cut(state.join(variable, ["host", "path"], "left").select("host", "typed", "s", F.when(here, grown).otherwise(F.col("path")).alias("path")))
-    return state.select("host", "typed", "path")
+        level += 1
 
 
 def _wild(path: Column, level: int) -> Column:
@@ -88,19 +85,38 @@ def _wild(path: Column, level: int) -> Column:
     return F.transform(path, lambda s, i: F.when(i == level, "*").otherwise(s))
 
 
-def merged(templates: DataFrame, similar: float, deepest: int) -> DataFrame:
-    """host, path, grp: the template that each template (host, path, n, b) ends in."""
+def _fixed(segment: Column) -> Column:
+    return segment.isNotNull() & (segment != "") & ~F.contains(segment, F.lit("*"))
+
+
+def _next_level(now: DataFrame, below: int | None) -> int | None:
+    """The deepest level (above ``below``) at which templates differ in that segment only."""
+    levels = F.filter(F.sequence(F.lit(0), F.size("path") - 1), lambda i: _fixed(F.get("path", i)) | (F.get("path", i) == "*"))
+    each = now.where(F.size("path") > 0).select("host", "path", F.explode(levels).alias("level"))
+    if below is not None:
+        each = each.where(F.col("level") < below)
+    up = F.xxhash64("host", "level", F.transform("path", lambda s, i: F.when(i == F.col("level"), "*").otherwise(s)))
+    shared = each.groupBy("level", up).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return shared.agg(F.max("level")).first()[0]
+
+
+def merged(templates: DataFrame, similar: float) -> DataFrame:
+    """host, path, grp: the template that each template (host, path, n, b) ends in.
+
+    Sweeps go from the deepest level up, over levels at which something can merge, until one changes nothing. That ends: each
+    move makes a fixed segment a wildcard, and no move makes one fixed.
+    """
     names = cut(templates.select("host", "path", F.col("path").alias("grp")))
     now = cut(templates)
-    for _ in range(SWEEPS):
-        changed = False
-        for level in reversed(range(deepest)):
+    changed = True
+    while changed:
+        changed, level = False, None
+        while (level := _next_level(now, level)) is not None:
             own = F.get("path", F.lit(level))
-            fixed = own.isNotNull() & (own != "") & ~F.contains(own, F.lit("*"))
             up = _wild(F.col("path"), level)
-            branches = now.select("host", "path", "n", "b", F.when(fixed, up).alias("up"))
+            branches = now.select("host", "path", "n", "b", F.when(_fixed(own), up).alias("up"))
             # a wildcard that is there already is one of the branches
-            branches = branches.withColumn("up", F.when(fixed, F.col("up")).when(own == "*", F.col("path")))
+            branches = branches.withColumn("up", F.when(_fixed(own), F.col("up")).when(own == "*", F.col("path")))
             pool = branches.where("up IS NOT NULL").groupBy("host", "up").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.count(F.lit(1)).alias("branches")).where("branches > 1")
             share, rate = F.try_divide("all_b", "all_n"), F.try_divide("b", "n")
             near = (F.col("n") == 0) | (F.abs(rate - share) <= similar * F.sqrt(F.try_divide(share * (1 - share), F.col("n"))))
@@ -111,9 +127,7 @@ def merged(templates: DataFrame, similar: float, deepest: int) -> DataFrame:
             changed = True
             names = cut(names.join(moves.withColumnRenamed("path", "grp"), ["host", "grp"], "left").select("host", "path", F.coalesce("up", "grp").alias("grp")))
             now = cut(now.join(moves, ["host", "path"], "left").select("host", F.coalesce("up", "path").alias("path"), "n", "b").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
-        if not changed:
-            return names.join(now.select("host", F.col("path").alias("grp"), "n", "b"), ["host", "grp"])
-    raise RuntimeError(f"templates did not settle within {SWEEPS} sweeps")
+    return names.join(now.select("host", F.col("path").alias("grp"), "n", "b"), ["host", "grp"])
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, weight: float = WEIGHT, limit: float = LIMIT, similar: float = SIMILAR) -> DataFrame:
@@ -127,8 +141,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, weight: float
     leaves = cut(given.join(bad, "page_id", "left").groupBy("host", "typed").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")))
     paths = cut(generalised(leaves))
     counted = leaves.join(paths, ["host", "typed"]).groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    deepest = paths.agg(F.max(F.size("path"))).first()[0] or 0
-    ends = merged(counted, similar, deepest)
+    ends = merged(counted, similar)
     # one number: the overall bad share of labelled pages
     total = leaves.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
     prior = float(total["b"]) / float(total["n"]) if total["n"] else 0.0
@@ -153,7 +166,7 @@ def _rules_sql(value: int) -> str:
 
 def _grow_sql(levels: int) -> str:
     """The tree from the top: t0 has no segments yet, t<k> the first k."""
-    out = ["t0 AS (SELECT host, typed, [y for y in list_concat(string_split(typed, '/')[1:{0}], [array_to_string(string_split(typed, '/')[{1}:], '/')]) if y IS NOT NULL] AS s, []::VARCHAR[] AS path FROM leaves WHERE len(string_split(typed, '/')) > {0} UNION ALL SELECT host, typed, string_split(typed, '/'), [] FROM leaves WHERE len(string_split(typed, '/')) <= {0})".format(DEPTH - 1, DEPTH)]
+    out = ["t0 AS (SELECT host, typed, string_split(typed, '/') AS s, []::VARCHAR[] AS path FROM leaves)"]
     for k in range(1, levels + 1):
         out.append(f"v{k} AS (SELECT host, path FROM t{k - 1} WHERE len(s) >= {k} GROUP BY ALL HAVING count(DISTINCT s[{k}]) >= {VARIABLE} AND 2 * count(DISTINCT s[{k}]) >= count(*))")
         out.append(f"t{k} AS (SELECT host, typed, s, CASE WHEN len(s) >= {k} THEN list_append(path, CASE WHEN (host, path) IN (SELECT (host, path) FROM v{k}) THEN '*' ELSE s[{k}] END) ELSE path END AS path FROM t{k - 1})")
@@ -174,7 +187,8 @@ m{k} AS MATERIALIZED (SELECT m.host, m.path, coalesce(c.up, m.grp) AS grp, n, b
     return ",\n".join(out), len(steps)
 
 
-#: Levels of the test tables' paths, and sweeps after which their templates have settled.
+#: Levels of the test tables' paths, and sweeps after which their templates have settled: SQL without recursion needs both, so
+#: it holds for tables like these. Deeper paths and more sweeps are held against a recursive tree in tests.
 _LEVELS, _SWEEPS = 4, 2
 _MERGES, _LAST = _merge_sql([level for _ in range(_SWEEPS) for level in range(_LEVELS, 0, -1)])
 SQL = f"""
