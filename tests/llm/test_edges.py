@@ -182,7 +182,7 @@ def test_chat(spark):
 
 
 def test_chat_reads_its_loss_under_the_mask(spark):
-    df = spark.createDataFrame([("xx[INST]\\lyy", [(2, 10), (10, 12)])], "formatted string, spans array<struct<start:long,end:long>>")
+    df = spark.createDataFrame([("xx[INST]\\lyy", [(2, 10), (10, 12)])], "formatted string, spans array<struct<start:long,stop:long>>")
     assert df.select(chat.masked(df["formatted"], df["spans"]).alias("t")).first()["t"] == "[INST]<yy"
 
 

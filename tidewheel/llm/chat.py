@@ -90,7 +90,7 @@ def format_chats(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
 
 def masked(formatted: Column, spans: Column) -> Column:
     """What the formatted text has under a mask, unescaped span by span."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, (s["stop"] - s["start"]).cast("int")))), "")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
