@@ -675,10 +675,13 @@ def _streamed(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """Run a stream over the events table to its end; the rows it wrote."""
     events = spark.read.parquet(f"{sf}/events.parquet")
     points = spark.readStream.schema(events.schema).parquet(f"{sf}/event[s].parquet").select(F.col("user_id").cast("string").alias("series_id"), "ts", "value", F.col("event_id").alias("seq"))
+    return _run_stream(spark, name, build(points))
+
+
+def _run_stream(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    run = build(points).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
 
 
 def _stream_sql(metric: Metric) -> str:
@@ -698,6 +701,29 @@ for _name, _metric in (("stream_profile", Z), ("stream_profile_minkowski", L2)):
     QUERIES[_name], ORACLES[_name] = _profile_stream(_metric), _stream_sql(_metric)
 
 
+def _late(spark: SparkSession, sf: str, hours: int, files: int) -> str:
+    """The events as files in the order of arrival, each up to ``hours`` after its time; a point of a series of its own, far
+    ahead, comes last and lets the watermark pass all others."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").cast("string").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_id").alias("seq"))
+    late = events.withColumn("arrival", F.unix_seconds("ts") + F.crc32(F.col("seq").cast("string").cast("binary")) % (hours * 3600))
+    ends = late.agg(F.min("arrival").alias("low"), F.max("arrival").alias("high")).first()
+    folder = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    slot = F.least(F.floor((F.col("arrival") - ends["low"]) * files / (ends["high"] - ends["low"] + 1)), F.lit(files - 1))
+    for n in range(files):
+        late.where(slot == n).drop("arrival").write.mode("append").parquet(folder)
+    ahead = events.agg(F.max("ts").alias("ts")).select(F.lit("ahead").alias("series_id"), (F.col("ts") + F.expr(f"INTERVAL {10 * hours} HOURS")).alias("ts"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("seq"))
+    ahead.write.mode("append").parquet(folder)
+    return folder
+
+
+@query("stream_late_profile", _stream_sql(Z))
+def stream_late_profile(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _late(spark, sf, 48, 4)
+    points = spark.readStream.schema("series_id string, ts timestamp, value double, seq long").option("maxFilesPerTrigger", 8).parquet(folder)
+    rows = _run_stream(spark, "late", incremental.profile_stream(points, 8, delay="48 hours")).where("series_id != 'ahead'")
+    return rows.select("series_id", "i", F.round("d", 6).alias("d"), F.coalesce("j", F.lit(-1)).cast("long").alias("j"))
+
+
 @query("stream_whole_profile", f"""WITH {pairs_sql(USERS, 8, Z, 2)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id, i ORDER BY round(d, 9), j) AS rank FROM pairs),
 long AS (SELECT series_id FROM w GROUP BY series_id HAVING count(*) >= 4)
 SELECT series_id, w.i::BIGINT AS i, coalesce(rank, 1)::INT AS rank, round(d, 6) AS d, coalesce(j, -1)::BIGINT AS j FROM w JOIN long USING (series_id) LEFT JOIN (SELECT * FROM ranked WHERE rank <= 2) USING (series_id, i)""")
@@ -722,3 +748,12 @@ SELECT series_id, (best.i + e - 39)::BIGINT AS i, round(best.cac, 6) AS cac FROM
 @query("stream_segments", _SEGMENTS)
 def stream_segments(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(spark, sf, "segments", lambda p: incremental.segment_stream(p, 5, 5, 40, factor=1)).select("series_id", "i", F.round("cac", 6).alias("cac"))
+
+
+_CURVES = _SEGMENTS[: _SEGMENTS.rindex("SELECT series_id, (best.i")] + "SELECT series_id, (c.i + e - 39)::BIGINT AS i, coalesce(j + e - 39, -1)::BIGINT AS j, round(cac, 6) AS cac FROM cac c JOIN links USING (series_id, e, i)"
+
+
+@query("stream_curves", _CURVES)
+def stream_curves(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _streamed(spark, sf, "curves", lambda p: incremental.segment_stream(p, 5, 5, 40, factor=1, whole=True))
+    return rows.select("series_id", "i", F.coalesce("j", F.lit(-1)).cast("long").alias("j"), F.round("cac", 6).alias("cac"))

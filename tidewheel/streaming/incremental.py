@@ -1,25 +1,38 @@
 """Incremental profiles and segmentation, in memory and on Structured Streaming.
 
-State is one buffer per series. Points of a micro-batch are taken in the order of time and, where the points have a column
-``seq``, of that; a point earlier than the last one taken is late and dropped, points of one time all count. Positions are absolute: they count all points of a series, also those that have
-left the buffer.
+A stream's state is keyed: a series' points lie in blocks of a map state, and so do the windows' neighbours where whole
+profiles are asked for. A micro-batch compares its new windows with all earlier ones in one walk of the kernel, so that a
+point costs time linear in the series whatever the windows' length, and writes the blocks that it has changed: those of
+its own points, and those of windows that found a nearer neighbour.
+
+Without a ``delay`` points of a micro-batch are taken in the order of time and, where the points have a column ``seq``,
+of that; a point earlier than the last one taken is late and dropped, points of one time all count. With a ``delay`` the
+stream has a watermark: points wait in a map state until a timer says that the watermark has passed their time, and are
+then taken in order, so that any arrival within the delay gives the rows that an ordered one gives. Positions are
+absolute: they count all points of a series, also those that have left the buffer.
+
+State lives in RocksDB (``PROVIDER``), which the session gets unless it has a provider of its own.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewheel.operators.segment import corrected_arcs
 from tidewheel.plans import kernel
 from tidewheel.runtime import ship
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings
 
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Points, and windows, of a block of state.
+BLOCK = 1024
+
 
 def _new_distances(values: np.ndarray, m: int, metric: Metric, zone: int, constant=None) -> np.ndarray:
     """Distances of the last window to each window; inf in its zone."""
@@ -102,79 +115,233 @@ class Segmenter:
         return self.curve
 
 
-def _stream(points: DataFrame, output: str, step, whole=None) -> DataFrame:
-    """``step``: (state or None, value) to (state, rows); ``whole``: the rows of a state, once a micro-batch, instead of these."""
-    ship(points.sparkSession)
-    names = [c.split()[0] for c in output.split(", ")]
+def new_windows(values: np.ndarray, base: int, taken: int, m: int, metric: Metric, zone: int, buffer: int | None, k: int = 1, back: bool = False) -> tuple[int, kernel.Best, kernel.Best | None]:
+    """What the points behind the first ``taken`` bring: (first new window, its and its successors' k nearest earlier windows,
+    with ``back`` the k nearest new windows of each window).
+
+    ``values`` start at position ``base``. A window is compared with those whose points are all among the last ``buffer`` when
+    it comes.
+    """
+    first = max(base, taken - m + 1)
+    reach = len(values) + base if buffer is None else buffer
+    a, b = kernel.prepare(values[first - base :], m, metric, first), kernel.prepare(values, m, metric, base)
+    own = kernel.Best(len(a), k)
+    bounds = lambda r: (max(0, first + r + m - reach - base), max(0, first + r - zone - base))
+    if not back:
+        kernel._nearest(a, b, k, (own,), bounds)
+        return first, own, None
+    others = kernel.Best(len(b), k)
+    if k == 1:
+        kernel._nearest(a, b, 1, (own,), bounds, (others,))
+    else:
+        kernel._nearest(a, b, k, (own,), bounds)
+        kernel._nearest(b, a, k, (others,), lambda r: (max(0, base + r + zone + 1 - first), max(0, base + r + reach - m + 1 - first)))
+    return first, own, others
+
+
+class _Series(StatefulProcessor):
+    """Points of one series, in order, as blocks of state; subclasses say what new points bring."""
+
+    def __init__(self, names: list[str], delayed: bool):
+        self.names, self.delayed = names, delayed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # points taken, time of the last one, points that have arrived, first point that is held
+        self.meta = handle.getValueState("meta", "taken long, last long, arrived long, base long")
+        self.blocks = handle.getMapState("points", "block long", "data binary")
+        if self.delayed:
+            self.waiting = handle.getMapState("waiting", "us long, seq long, n long", "value double")
+
+    def close(self) -> None:
+        pass
+
+    def _read(self) -> tuple[int, int | None, int, int]:
+        return self.meta.get() if self.meta.exists() else (0, None, 0, 0)
+
+    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["series_id", "us", *self.names])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))
+        taken, last, arrived, base = self._read()
+        points = list(zip(pdf.us.tolist(), pdf.seq.tolist(), range(arrived, arrived + len(pdf)), pdf.value.astype(float).tolist(), strict=True))
+        if not self.delayed:
+            self.meta.update((taken, last, arrived + len(pdf), base))
+            yield self._frame(key, self._take(points))
+            return
+        for us, seq, n, value in points:
+            if last is None or us >= last:
+                self.waiting.updateValue((us, seq, n), (value,))
+        for ms in {us // 1000 + 1 for us, *_ in points if last is None or us >= last}:
+            self.handle.registerTimer(ms)
+        self.meta.update((taken, last, arrived + len(pdf), base))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """At the first of a micro-batch's timers all points up to the watermark are taken; the others find none."""
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        due = [(*at, value[0]) for at, value in self.waiting.iterator() if at[0] <= until]
+        for us, seq, n, _ in due:
+            self.waiting.removeKey((us, seq, n))
+        yield self._frame(key, self._take(due))
+
+    def _take(self, points: list[tuple]) -> list[tuple]:
+        """Rows that points (us, seq, n, value) bring, in order; late ones are dropped."""
+        taken, last, arrived, base = self._read()
+        points = sorted(p for p in points if last is None or p[0] >= last)
+        if not points:
+            return []
+        start = base // BLOCK * BLOCK
+        old = [np.frombuffer(self.blocks.getValue((n,))[0]) for n in range(start // BLOCK, -(-taken // BLOCK))]
+        values = np.concatenate([*old, [p[3] for p in points]])[base - start :]
+        rows, keep = self.step(values, base, taken, points)
+        now = taken + len(points)
+        for n in range(max(keep // BLOCK, taken // BLOCK), -(-now // BLOCK)):
+            self.blocks.updateValue((n,), (values[max(0, n * BLOCK - base) : (n + 1) * BLOCK - base].tobytes() if n * BLOCK >= base else np.concatenate([np.zeros(base - n * BLOCK), values[: (n + 1) * BLOCK - base]]).tobytes(),))
+        for n in range(base // BLOCK, keep // BLOCK):
+            if self.blocks.containsKey((n,)):
+                self.blocks.removeKey((n,))
+        self.meta.update((now, points[-1][0], arrived, keep))
+        return rows
+
+    def step(self, values: np.ndarray, base: int, taken: int, points: list[tuple]) -> tuple[list[tuple], int]:
+        """(rows, first point to hold from now on). ``values`` start at position ``base``."""
+        raise NotImplementedError
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, last = pickle.loads(state.get[0]) if state.exists else (None, None)
-        pdf = pd.concat(list(batches))
-        pdf = pdf.sort_values(["ts", "seq"] if "seq" in pdf.columns else "ts", kind="stable")
+
+def _there(d: float, j: int) -> tuple[float | None, int | None]:
+    return (None, None) if j < 0 else (float(d), int(j))
+
+
+class _Profile(_Series):
+    def __init__(self, m: int, buffer: int | None, metric: Metric, zone: int, k: int, whole: bool, delayed: bool):
+        super().__init__(["i", "rank", "d", "j", "left_d", "left_j"] if whole else ["i", "d", "j"], delayed)
+        self.m, self.buffer, self.metric, self.zone, self.k, self.whole = m, buffer, metric, zone, k, whole
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        if self.whole:
+            self.near = handle.getMapState("neighbours", "block long", "data binary")
+
+    def step(self, values, base, taken, points):
+        now, m = taken + len(points), self.m
+        keep = base if self.buffer is None else max(base, now - self.buffer)
+        if now - base < m:
+            return [], keep
+        first, own, back = new_windows(values, base, taken, m, self.metric, self.zone, self.buffer, self.k, self.whole)
+        if not self.whole:
+            # a window up to the zone has no earlier one, and no row
+            return [(points[i + m - 1 - taken][0], i, *_there(own.d[i - first, 0], own.j[i - first, 0])) for i in range(first, now - m + 1) if i > self.zone], keep
+        return self._revise(base, first, own, back, now - m + 1, keep, points[-1][0]) if now >= m + self.zone + 1 else [], keep
+
+    def _revise(self, base: int, first: int, own: kernel.Best, back: kernel.Best, end: int, keep: int, us: int) -> list[tuple]:
+        """Merge what is new into the stored neighbours (d, j and left d, j of each window), write what changed, and tell all."""
+        k, out = self.k, []
+        for n in range(base // BLOCK, -(-end // BLOCK)):
+            lo, hi = max(base, n * BLOCK), min(end, (n + 1) * BLOCK)
+            stored = np.frombuffer(self.near.getValue((n,))[0]).reshape(-1, 2 * k + 2) if self.near.containsKey((n,)) else np.zeros((0, 2 * k + 2))
+            table = np.full((hi - n * BLOCK, 2 * k + 2), np.inf)
+            table[:, k : 2 * k] = table[:, -1:] = -1
+            table[: len(stored)] = stored[: len(table)]
+            at = slice(lo - n * BLOCK, hi - n * BLOCK)
+            best = kernel.Best(hi - lo, k)
+            best.d, best.j = table[at, :k].copy(), table[at, k : 2 * k].astype(np.int64)
+            best.offer(slice(0, hi - lo), back.d[lo - base : hi - base], back.j[lo - base : hi - base])
+            fresh = max(lo, first)
+            if fresh < hi:
+                d, j = own.d[fresh - first : hi - first], own.j[fresh - first : hi - first]
+                best.offer(slice(fresh - lo, hi - lo), d, j)
+                table[fresh - n * BLOCK : hi - n * BLOCK, -2], table[fresh - n * BLOCK : hi - n * BLOCK, -1] = d[:, 0], j[:, 0]
+            table[at, :k], table[at, k : 2 * k] = best.d, best.j
+            if len(table) != len(stored) or not np.array_equal(table, stored):
+                self.near.updateValue((n,), (table.tobytes(),))
+            for i in range(max(lo, keep), hi):
+                row = table[i - n * BLOCK]
+                left = _there(row[-2], row[-1])
+                out += [(us, i, rank + 1, *_there(row[rank], row[k + rank]), *left) for rank in range(k) if rank == 0 or row[k + rank] >= 0]
+        for n in range(base // BLOCK, keep // BLOCK):
+            if self.near.containsKey((n,)):
+                self.near.removeKey((n,))
+        return out
+
+
+class _Segments(_Series):
+    """Right neighbours within a sliding buffer, as one value: its size is the buffer's."""
+
+    def __init__(self, m: int, length: int, buffer: int, factor: int, metric: Metric, zone: int, whole: bool, delayed: bool):
+        super().__init__(["i", "d", "j", "cac"] if whole else ["i", "cac"], delayed)
+        self.m, self.length, self.buffer, self.factor, self.metric, self.zone, self.whole = m, length, buffer, factor, metric, zone, whole
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.right = handle.getValueState("right", "d binary, j binary")
+
+    def step(self, values, base, taken, points):
+        m, now, buffer = self.m, taken + len(points), self.buffer
+        windows = max(0, now - base - m + 1)
+        d, j = np.full(windows, np.inf), np.full(windows, -1, np.int64)
+        if self.right.exists():
+            held = self.right.get()
+            old_d, old_j = np.frombuffer(held[0]), np.frombuffer(held[1], np.int64)
+            d[: len(old_d)], j[: len(old_j)] = old_d, old_j
         rows = []
-        for ts, value in zip(pdf.ts.tolist(), pdf.value.tolist(), strict=True):
-            if last is not None and ts < last:
-                continue
-            last = ts
-            held, found = step(held, float("nan") if value is None else float(value))
-            rows += [(key[0], ts, *r) for r in found]
-        if whole is not None and held is not None and not isinstance(held, list):
-            rows = [(key[0], last, *r) for r in whole(held)]
-        state.update((pickle.dumps((held, last)),))
-        yield pd.DataFrame(rows, columns=["series_id", "ts", *names])
+        keep = max(base, now - buffer)
+        if windows:
+            x = kernel.prepare(values, m, self.metric, base)
+            for e in range(taken, now):  # each point may move the curve
+                i = e - m + 1
+                if i < base:
+                    continue
+                lo = max(base, e + 1 - buffer)
+                others = np.arange(lo - base, max(lo, i - self.zone) - base)
+                new = kernel.exact(x, x, np.full(len(others), i - base), others)
+                closer = others[new < d[others]]
+                d[closer], j[closer] = new[closer - others[0]] if len(closer) else 0, i
+                if e + 1 < buffer:
+                    continue
+                span = slice(lo - base, i - base + 1)
+                curve = corrected_arcs(np.where(j[span] < 0, -1, j[span] - lo), self.length, self.factor, None, one_sided=True)
+                us = points[e - taken][0]
+                if self.whole:
+                    rows += [(us, lo + n, *_there(d[span][n], j[span][n]), float(c)) for n, c in enumerate(curve)]
+                else:
+                    at = int(curve.argmin())
+                    rows.append((us, at + lo, float(curve[at])))
+        self.right.update((d[keep - base :].tobytes(), j[keep - base :].tobytes()))
+        return rows, keep
+
 
-    return points.groupBy("series_id").applyInPandasWithState(run, f"series_id string, ts timestamp, {output}", "blob binary", "append", GroupStateTimeout.NoTimeout)
+def _stream(points: DataFrame, output: str, processor: _Series, delay: str | None) -> DataFrame:
+    spark = points.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    points = points.withColumn("ts", F.col("ts").cast("timestamp"))
+    if delay is not None:
+        points = points.withWatermark("ts", delay)
+    seq = F.col("seq").cast("long") if "seq" in points.columns else F.lit(0).cast("long")
+    rows = points.select("series_id", "ts", F.unix_micros("ts").alias("us"), seq.alias("seq"), F.col("value").cast("double").alias("value"))
+    out = rows.groupBy("series_id").transformWithStateInPandas(processor, f"series_id string, us long, {output}", "append", "none" if delay is None else "eventTime")
+    return out.select("series_id", F.timestamp_micros("us").alias("ts"), *processor.names)
 
 
-def profile_stream(points: DataFrame, m: int, buffer: int | None = None, metric: Metric = ZNORM, settings: Settings = DEFAULT, k: int = 1, whole: bool = False) -> DataFrame:
+def profile_stream(points: DataFrame, m: int, buffer: int | None = None, metric: Metric = ZNORM, settings: Settings = DEFAULT, k: int = 1, whole: bool = False, delay: str | None = None) -> DataFrame:
     """A stream of (series_id, ts, value) to (series_id, ts, i, d, j): each new window's nearest earlier window.
 
     A series grows to ``buffer`` points, then the oldest point leaves with each new one; without ``buffer`` it only
     grows, and so does its state. With ``whole`` each micro-batch gives the whole profile of the series in it as it is
     then: (series_id, ts, i, rank, d, j, left_d, left_j), the k nearest of each window on either side, earlier windows
-    revised. Missing neighbours are NULL.
+    revised. Missing neighbours are NULL. ``delay``: how late points may come (a watermark), such as ``1 hour``.
+    """
+    output = "i long, rank int, d double, j long, left_d double, left_j long" if whole else "i long, d double, j long"
+    return _stream(points, output, _Profile(m, buffer, metric, settings.zone(m), k, whole, delay is not None), delay)
+
+
+def segment_stream(points: DataFrame, m: int, length: int, buffer: int, factor: int = 5, metric: Metric = ZNORM, settings: Settings = DEFAULT, whole: bool = False, delay: str | None = None) -> DataFrame:
+    """A stream of (series_id, ts, value) to (series_id, ts, i, cac): after each point, where the curve is least and its value.
+
+    With ``whole``, after each point the profile and the curve of the buffer: (series_id, ts, i, d, j, cac), the nearest to the
+    right of each of its windows.
     """
-    there = lambda d, j: (None, None) if j < 0 else (float(d), int(j))
-
-    def step(held, value: float):
-        if held is None:
-            held = []
-        if isinstance(held, list):
-            held.append(value)
-            if len(held) < m + settings.zone(m) + 1:
-                return held, []
-            own = IncrementalProfile(held, m, egress=False, k=k, metric=metric, settings=settings)
-            return own, [(own.gone + len(own.d) - 1, *there(own.left_d[-1], int(own.left_j[-1])))]
-        held.egress = buffer is not None and len(held.values) >= buffer
-        d, j = held.update(value)
-        return held, [(held.gone + len(held.d) - 1, *there(d, j))]
-
-    def rows(held: IncrementalProfile):
-        for n in range(len(held.d)):
-            left = there(held.left_d[n], int(held.left_j[n]))
-            for rank in range(held.d.shape[1]):
-                if rank == 0 or held.j[n, rank] >= 0:
-                    yield held.gone + n, rank + 1, *there(held.d[n, rank], int(held.j[n, rank])), *left
-
-    if whole:
-        return _stream(points, "i long, rank int, d double, j long, left_d double, left_j long", step, rows)
-    return _stream(points, "i long, d double, j long", step)
-
-
-def segment_stream(points: DataFrame, m: int, length: int, buffer: int, factor: int = 5, metric: Metric = ZNORM, settings: Settings = DEFAULT) -> DataFrame:
-    """A stream of (series_id, ts, value) to (series_id, ts, i, cac): after each point, where the curve is least and its value."""
-
-    def step(held, value: float):
-        if held is None:
-            held = []
-        if isinstance(held, list):
-            held.append(value)
-            if len(held) < buffer:
-                return held, []
-            held = Segmenter(held, m, length, factor, metric, settings)
-        else:
-            held.update(value)
-        at = int(held.curve.argmin())
-        return held, [(at + held.gone, float(held.curve[at]))]
-
-    return _stream(points, "i long, cac double", step)
+    output = "i long, d double, j long, cac double" if whole else "i long, cac double"
+    return _stream(points, output, _Segments(m, length, buffer, factor, metric, settings.zone(m), whole, delay is not None), delay)
