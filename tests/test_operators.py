@@ -76,7 +76,7 @@ def test_multi_profile_golden(spark):
     rows = multidim.multi_profile(s, 3).orderBy("kdim", "i").collect()
     assert np.allclose([r["d"] for r in rows], [0, 1.43947142, 0, 2.69407392, 0.11633857, 0.777905, 2.36179922, 1.50004632, 2.92246722, 0.777905], atol=1e-6)
     assert [r["j"] for r in rows] == [2, 4, 0, 1, 0, 4, 4, 0, 1, 0]
-    assert multidim.subspace(s, 3, 4, 0, 1) == [0, 1]
+    assert [r["dim"] for r in multidim.subspace(s, 3, 4, 0, 1).orderBy("place").collect()] == [0, 1]
     bits = multidim.description_lengths(s, 3, [0, 0], [2, 4]).orderBy("kdim").collect()
     assert np.allclose([b["bits"] for b in bits], [80, 111.509775])
 

@@ -427,8 +427,7 @@ def description_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("subspace", f"WITH {_CODES} SELECT r::INT - 1 AS place, dim::INT AS dim FROM ranked WHERE r <= 3")
 def subspace(spark: SparkSession, sf: str) -> DataFrame:
-    dims = multidim.subspace(S.hourly_events_by_type(spark, sf), TM, AT, OTHER, 2)
-    return spark.createDataFrame(list(enumerate(dims)), "place int, dim int")
+    return multidim.subspace(S.hourly_events_by_type(spark, sf), TM, AT, OTHER, 2)
 
 
 # of raw values: 256 even steps of the range of all values, halves to the even step
@@ -446,8 +445,7 @@ def description_lengths_minkowski(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("subspace_minkowski", f"WITH {_LINEAR} SELECT r::INT - 1 AS place, dim::INT AS dim FROM ranked WHERE r <= 3")
 def subspace_minkowski(spark: SparkSession, sf: str) -> DataFrame:
-    dims = multidim.subspace(S.hourly_events_by_type(spark, sf), TM, AT, OTHER, 2, metric=L2)
-    return spark.createDataFrame(list(enumerate(dims)), "place int, dim int")
+    return multidim.subspace(S.hourly_events_by_type(spark, sf), TM, AT, OTHER, 2, metric=L2)
 
 
 @query("multi_motifs")

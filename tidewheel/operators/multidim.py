@@ -7,11 +7,11 @@ first k. ``kdim`` counts from 0.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,61 +180,77 @@ def mean_of_best(each: DataFrame, keys: list[str], dims: int, include: Sequence[
     return ranked.select(*keys, "kdim", F.when(F.col("n") == F.col("kdim") + 1, F.col("d")).alias("d"))
 
 
-def _quantize(windows: np.ndarray, metric: Metric, bits: int, low: float, high: float, custom: Callable | None) -> np.ndarray:
+def _coded(windows: DataFrame, series: DataFrame, metric: Metric, bits: int, custom: Callable | None, m: int) -> DataFrame:
+    """Rows (pair, dim, side, at, value) with ``code``: the value's step among 2 ** ``bits``.
+
+    z-normalised windows get steps of equal probability under a normal distribution, raw ones even steps of the range of all
+    values. ``custom`` is a function of an array of windows (z-normalised, or raw); it sees one pair's at a time.
+    """
     if metric.normalized:
-        mean, std = windows.mean(axis=1, keepdims=True), windows.std(axis=1, keepdims=True)
-        flat = windows.max(axis=1, keepdims=True) == windows.min(axis=1, keepdims=True)
-        windows = np.where(flat, 0.0, (windows - mean) / np.where(flat, 1.0, std))
+        of = Window.partitionBy("pair", "dim", "side")
+        flat = F.max("value").over(of) == F.min("value").over(of)
+        windows = windows.withColumn("value", F.when(flat, 0.0).otherwise((F.col("value") - F.avg("value").over(of)) / F.stddev_pop("value").over(of)))
         if custom is None:
-            edges = np.array([NormalDist().inv_cdf(q / 2**bits) for q in range(1, 2**bits)])
-            return np.searchsorted(edges, windows, "left")
+            edges = F.array(*[F.lit(NormalDist().inv_cdf(q / 2**bits)) for q in range(1, 2**bits)])
+            return windows.withColumn("code", F.size(F.filter(edges, lambda e: e < F.col("value"))).cast("double"))
     elif custom is None:
-        return np.round((windows - low) / (high - low) * (2**bits - 1)).astype(np.int64) + 1
-    return np.asarray(custom(windows))
+        span = series.agg(F.min("value").alias("_low"), F.max("value").alias("_high"))  # one row
+        step = F.rint((F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (2**bits - 1)) + 1
+        return windows.crossJoin(F.broadcast(span)).withColumn("code", step).drop("_low", "_high")
+    ship(series.sparkSession)
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "dim", "at"])
+        return pdf.assign(code=np.asarray(custom(pdf.value.to_numpy(float).reshape(-1, m)), float).ravel())
 
-def _subspace(x: np.ndarray, y: np.ndarray, k: int, include, discords: bool, p: float) -> list[int]:
-    """The k + 1 dimensions in which two discretised windows are nearest (discords: farthest)."""
-    d = (np.abs(x.astype(float) - y) ** p).sum(axis=1) ** (1 / p)
-    order = np.argsort(d, kind="stable")
-    if discords:
-        order = order[::-1]
-    first = list(include or [])
-    return (first + [int(i) for i in order if i not in first])[: k + 1]
+    # a pair's windows: 2 x m values of each dimension
+    return windows.groupBy("pair").applyInPandas(run, "pair int, dim int, side int, at long, value double, code double")
 
 
-def _bits(x: np.ndarray, y: np.ndarray, dims: list[int], bits: int) -> float:
-    d, m = x.shape
-    s = len(dims)
-    values = len(np.unique(x[dims] - y[dims]))
-    return bits * (2 * d * m - s * m) + s * m * math.log2(values) + values * bits
+def motif_spaces(series: DataFrame, m: int, pairs: DataFrame, include: Sequence[int] | None = None, discords: bool = False, bits: int = 8, metric: Metric = ZNORM, discretize: Callable | None = None) -> DataFrame:
+    """pair, place, dim, bits of each motif (pair, kdim, i, j): its kdim + 1 dimensions in order, and what encoding it costs.
 
+    Dimensions are ordered by the distance of the discretised windows (``include`` first; ``discords`` the farthest first).
+    The windows of the pairs are a join on ranges of positions; all else is an aggregate by pair and dimension.
+    """
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("start")), F.struct(F.lit(1).alias("side"), F.col("j").alias("start"))))
+    points = pairs.select("pair", "kdim", ends.alias("e")).select("pair", "kdim", "e.side", F.posexplode(F.sequence(F.col("e.start"), F.col("e.start") + (m - 1))).alias("at", "idx"))
+    there = series.select("dim", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
+    windows = there.join(points.withColumn("idx", F.col("idx").cast("long")), "idx")
+    coded = _coded(windows.select("pair", F.col("dim").cast("int").alias("dim"), "side", F.col("at").cast("long").alias("at"), "value"), series, metric, bits, discretize, m)
+    side = lambda n: F.max(F.when(F.col("side") == n, F.col("code")))
+    steps = coded.groupBy("pair", "dim", "at").agg((side(0) - side(1)).alias("step"))
+    p = float(metric.p or 2.0)
+    far = steps.groupBy("pair", "dim").agg(F.pow(F.sum(F.pow(F.abs("step"), F.lit(p))), F.lit(1 / p)).alias("far"), F.collect_set("step").alias("steps"))
+    first = list(include or [])
+    given = F.array_position(F.array(*map(F.lit, first)), F.col("dim")) if first else F.lit(0)
+    rank = F.when(given > 0, given - len(first) - 1).otherwise(0)
+    order = [F.col("far").desc(), F.col("dim").desc()] if discords else [F.col("far"), F.col("dim")]
+    ranked = far.withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy(rank, *order)) - 1)  # as many rows as dimensions
+    total = F.count(F.lit(1)).over(Window.partitionBy("pair"))
+    chosen = ranked.withColumn("dims", total).join(pairs.select("pair", "kdim"), "pair").where("place <= kdim")
+    values = chosen.groupBy("pair").agg(F.size(F.array_distinct(F.flatten(F.collect_list("steps")))).alias("n"))
+    size = F.col("kdim") + 1
+    cost = bits * (2 * F.col("dims") * m - size * m) + size * m * F.log2(F.col("n").cast("double")) + F.col("n") * bits
+    return chosen.join(values, "pair").select("pair", F.col("place").cast("int").alias("place"), "dim", cost.cast("double").alias("bits"))
 
-def _range(series: DataFrame, metric: Metric) -> tuple[float, float]:
-    if metric.normalized:
-        return 0.0, 1.0
-    r = series.agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
-    return r["low"], r["high"]
+
+def _pairs(series: DataFrame, rows: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """(pair, kdim, i, j) of motifs that the caller names: a row a dimension at most."""
+    return series.sparkSession.createDataFrame([(n, int(k), int(i), int(j)) for n, (k, i, j) in enumerate(rows)], "pair int, kdim int, i long, j long")
 
 
-def subspace(series: DataFrame, m: int, i: int, j: int, k: int, include: Sequence[int] | None = None, discords: bool = False, bits: int = 8, metric: Metric = ZNORM, discretize: Callable | None = None) -> list[int]:
-    """The k + 1 dimensions of the motif (i, j)."""
-    w = window_dims(series, [i, j], m)
-    low, high = _range(series, metric)
-    x, y = (_quantize(w[n], metric, bits, low, high, discretize) for n in (i, j))
-    return _subspace(x, y, k, include, discords, metric.p or 2.0)
+def subspace(series: DataFrame, m: int, i: int, j: int, k: int, include: Sequence[int] | None = None, discords: bool = False, bits: int = 8, metric: Metric = ZNORM, discretize: Callable | None = None) -> DataFrame:
+    """place, dim: the k + 1 dimensions of the motif (i, j), in order."""
+    return motif_spaces(series, m, _pairs(series, [(k, i, j)]), include, discords, bits, metric, discretize).select("place", "dim")
 
 
 def description_lengths(series: DataFrame, m: int, i: Sequence[int], j: Sequence[int], include: Sequence[int] | None = None, discords: bool = False, bits: int = 8, metric: Metric = ZNORM, discretize: Callable | None = None) -> DataFrame:
     """kdim, bits, subspace: what encoding each k-dimensional motif costs; the least is its natural size."""
-    w = window_dims(series, sorted({*i, *j}), m)
-    low, high = _range(series, metric)
-    rows = []
-    for k, (a, b) in enumerate(zip(i, j, strict=True)):
-        x, y = (_quantize(w[n], metric, bits, low, high, discretize) for n in (a, b))
-        dims = _subspace(x, y, k, include, discords, metric.p or 2.0)
-        rows.append((k, float(_bits(x, y, dims, bits)), dims))
-    return series.sparkSession.createDataFrame(rows, "kdim int, bits double, subspace array<int>")
+    pairs = _pairs(series, [(k, a, b) for k, (a, b) in enumerate(zip(i, j, strict=True))])
+    each = motif_spaces(series, m, pairs, include, discords, bits, metric, discretize)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "dim"))), lambda x: x["dim"])
+    return each.groupBy(F.col("pair").alias("kdim"), "bits").agg(listed.alias("subspace"))
 
 
 def multi_motifs(series: DataFrame, profile: DataFrame, m: int, min_neighbors: int = 1, max_distance: float | Callable | None = None, cutoffs: float | Sequence[float] | None = None, max_matches: int | None = 10, max_motifs: int = 1, k: int | None = None, include: Sequence[int] | None = None, metric: Metric = ZNORM, atol: float = 1e-8, settings: Settings = DEFAULT) -> DataFrame:
@@ -261,7 +277,7 @@ def multi_motifs(series: DataFrame, profile: DataFrame, m: int, min_neighbors: i
         top = best[size]
         if top["d"] > bound[size] or top["j"] < 0 or (isinstance(max_distance, (int, float)) and top["d"] > max_distance):
             break
-        dims = subspace(series, m, top["i"], top["j"], size, include, metric=metric)
+        dims = next(r["subspace"] for r in lengths if r["kdim"] == size)
         query = window_dims(series, [top["i"]], m)[top["i"]][dims]
         number = F.lit(None)
         for n, x in enumerate(dims):
@@ -269,7 +285,7 @@ def multi_motifs(series: DataFrame, profile: DataFrame, m: int, min_neighbors: i
         part = series.where(F.col("dim").isin(dims)).withColumn("dim", number.cast("int"))
         rows = cut(match(part, query.tolist(), max_distance, max_matches, metric, top["i"], atol, settings))
         if rows.count() > min_neighbors:
-            found.append(rows.select(F.lit(motif).alias("motif"), "rank", "i", "d", F.lit(size).alias("kdim"), F.array(*map(F.lit, dims)).alias("subspace"), F.lit(lengths[size]["bits"]).alias("bits")))
+            found.append(rows.select(F.lit(motif).alias("motif"), "rank", "i", "d", F.lit(size).alias("kdim"), F.array(*map(F.lit, dims)).alias("subspace"), F.lit(next(r["bits"] for r in lengths if r["kdim"] == size)).alias("bits")))
             motif += 1
         zones = rows.select(F.explode(F.sequence(F.col("i") - zone, F.col("i") + zone)).alias("i")).distinct()
         p = cut(p.join(zones, "i", "left_anti"))

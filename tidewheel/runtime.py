@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -20,6 +21,9 @@ _written: list[str] = []
 #: Whether Spark deletes the shuffle files of a statement when it ends; else they stay until the driver's JVM happens to
 #: collect garbage. Read when a statement starts; Spark before 4.1 doesn't know it.
 SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Of each session that writes tables just now: its own value of SWEEP, and how many it writes.
+_sweeping: dict[str, tuple[str | None, int]] = {}
+_lock = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,26 +58,53 @@ def shared_folder(spark: SparkSession) -> str:
         if not named and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewheel"))
+        leave(spark, sc._jsc.sc().getCheckpointDir().get())
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """With ``SWEEP`` on, for all statements of this session that run meanwhile; as it was once the last of them has ended."""
+    key = spark._jsparkSession.sessionUUID()
+    with _lock:
+        before, running = _sweeping.get(key, (spark.conf.get(SWEEP, None), 0))
+        _sweeping[key] = before, running + 1
+        spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            before, running = _sweeping[key]
+            _sweeping[key] = before, running - 1
+            if running == 1:
+                del _sweeping[key]
+                if before is None:
+                    spark.conf.unset(SWEEP)
+                else:
+                    spark.conf.set(SWEEP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there: its lineage ends.
 
-    The shuffle files that the write needed go with it, so that those of one table at a time are on disk.
+    The shuffle files that the write needed go with it, so that those of one table at a time are on disk. The table goes with
+    the application at the latest.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    before = spark.conf.get(SWEEP, "false")
-    spark.conf.set(SWEEP, "true")
-    try:
+    with _swept(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(SWEEP, before)
     _written.append(path)
+    leave(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def leave(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete folders that no later read needs."""
     for path in paths:
