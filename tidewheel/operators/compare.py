@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.windows import frame, halo, own, rolling
@@ -13,26 +13,39 @@ from tidewheel.runtime import cut
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings
 
 
-#: Bins that the values of a pair fall into before the k-th smallest is ranked.
-BINS = 4096
+#: Bins of a round, and values of a key that are ranked at last.
+BINS, RANKED = 4096, 10_000
+
+
+def _magnitude(v: Column) -> Column:
+    """A number's sign and power of two, as a number of the same order."""
+    power = F.floor(F.log2(F.abs(v))).cast("long") + 1100
+    return F.when(v == 0, F.lit(0)).when(v > 0, power).otherwise(-power)
 
 
 def kth_smallest(values: DataFrame, keys: list[str], at: DataFrame, value: str = "d") -> DataFrame:
     """keys and the value at the 0-based rank ``at`` (keys, at) among (keys, value); where it is missing, the largest there is.
 
-    Values are counted in equal bins first; only those of the bin that holds the rank are ordered.
+    Rounds of counting narrow the range that holds the rank: by powers of two first, then in equal bins between the least and the
+    largest value that is left, so that no outlier keeps values together. A number has 52 bits below its power and a round
+    takes 12 of them: five rounds at most. Some thousand values of a key are ranked at last.
     """
     there = cut(values.where(f"{value} IS NOT NULL").select(*keys, value))
     span = there.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(F.lit(1)).alias("_n"))
-    wanted = cut(span.join(at, keys).select(*keys, "_low", "_high", F.least(F.col("at"), F.col("_n") - 1).alias("_at")))
-    bin_of = F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low")) * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
-    binned = there.join(wanted, keys).withColumn("_bin", bin_of)
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = binned.groupBy(*keys, "_bin", "_at").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    hit = counts.where("_before <= _at AND _at < _before + _c").select(*keys, F.col("_bin").alias("_hit"), (F.col("_at") - F.col("_before")).alias("_rest"))
-    inside = binned.join(hit, keys).where("_bin = _hit")
-    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1)
-    return ranked.where("_r = _rest").select(*keys, value)
+    state = cut(span.join(at, keys).select(*keys, "_low", "_high", F.least(F.col("at"), F.col("_n") - 1).cast("long").alias("_rest"), "_n"))
+    many, first = f"_n > {RANKED} AND _low < _high", True
+    while not state.where(many).isEmpty():
+        inside = there.join(state.where(many), keys).where(F.col(value).between(F.col("_low"), F.col("_high")))
+        width = (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        bin_of = _magnitude(F.col(value)) if first else F.least(F.floor(width * BINS), F.lit(BINS - 1)).cast("long")
+        counts = inside.groupBy(*keys, "_rest", bin_of.alias("_bin")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        hit = placed.where("_before <= _rest AND _rest < _before + _n").select(*keys, "_low", "_high", (F.col("_rest") - F.col("_before")).alias("_rest"), "_n")
+        state, first = cut(hit.unionByName(state.where(f"NOT ({many})"))), False
+    left = there.join(state.where("_low < _high"), keys).where(F.col(value).between(F.col("_low"), F.col("_high")))
+    ranked = left.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).where("_r = _rest")
+    return ranked.select(*keys, value).unionAll(state.where("_low = _high").select(*keys, F.col("_low").alias(value)))
 
 
 def mpdist(a: DataFrame, b: DataFrame, m: int, percentage: float = 0.05, k: int | None = None, metric: Metric = ZNORM, pairs: DataFrame | None = None, settings: Settings = DEFAULT, constant_a: Flags = None, constant_b: Flags = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,23 +118,30 @@ def from_indices(profile: DataFrame, series: DataFrame, m: int, metric: Metric =
 def distance_profile(series: DataFrame, query: list[float], metric: Metric = ZNORM, query_index: int | None = None, constant: Flags = None, query_constant: bool | None = None) -> DataFrame:
     """series_id, i, d: the distance of a query (driver-side, of window length) to every window of every series.
 
-    A map over the windows: the query is a literal, so there is no join. ``query_index`` is the query's own place in
-    the series, where the distance is exactly 0. A query with a missing value has no distances. ``constant`` and
-    ``query_constant`` stand for the tests for constant windows.
+    A map over blocks of points with a halo: the query travels with the task, and a block's products with it are one sliding
+    product (a Fourier transform for long queries), so there is no join and no window is ever an array of its own.
+    ``query_index`` is the query's own place in the series, where the distance is exactly 0. A query with a missing value has
+    no distances. ``constant`` and ``query_constant`` stand for the tests for constant windows.
     """
     m = len(query)
     check_window(m, m)
     q = np.asarray(query, float)
-    w = ready(series, m, metric, constant)
-    if not np.isfinite(q).all():
-        return w.select("series_id", "i", F.lit(None).cast("double").alias("d"))
-    const = bool(q.max() == q.min()) if query_constant is None else query_constant
-    z = (q - q.mean()) / (q.std() if q.std() > 0 else 1.0)
-    literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    y = F.struct(literal(q).alias("a"), literal(z).alias("z"), F.lit(const).alias("is_const"), F.lit(True).alias("is_finite"))
-    d = distance(metric, m)
-    out = w.select("series_id", "i", F.struct(*w.columns).alias("x"), y.alias("y")).select("series_id", "i", d.alias("d"))
-    return out if query_index is None else out.withColumn("d", F.when(F.col("i") == query_index, 0.0).otherwise(F.col("d")))
+    block = _blocks(DEFAULT.block, m)
+    rows = tiles.block_rows(series, m, block, constant_flags(series, m, constant))
+    known = np.isfinite(q).all()
+    ship(series.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kernel.prepare(q, m, metric, constant=None if query_constant is None else np.array([query_constant]))
+        for batch in batches:
+            for r in range(batch.num_rows):
+                values, lo = tiles._array(batch.column(2), r), batch.column(1)[r].as_py() * block
+                n = len(values) - m + 1
+                d = kernel.distances_to(own, kernel.prepare(values, m, metric, lo, tiles._flags(batch.column(3), r, n))) if known else np.full(n, np.inf)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(batch.column(0)[r].as_py(), pa.string()), n), pa.array(lo + np.arange(n)), pa.array(d, mask=np.isinf(d))], names=["series_id", "i", "d"])
+
+    out = rows.select(F.col("series_id").cast("string").alias("series_id"), "blk", "values", "const").mapInArrow(run, "series_id string, i long, d double")
+    return out if query_index is None else out.withColumn("d", F.when((F.col("i") == query_index) & F.col("d").isNotNull(), 0.0).otherwise(F.col("d")))
 
 
 def distance_matrix(a: DataFrame, b: DataFrame, m: int, metric: Metric = ZNORM) -> DataFrame:

@@ -205,8 +205,23 @@ class Best:
             self.offer(rows[some], d[first[some] + n][:, None], j[first[some] + n][:, None])
 
 
+#: Points of a window from which sliding products are taken by Fourier transforms.
+FOURIER = 256
+
+
 def _correlate(values: np.ndarray, window: np.ndarray) -> np.ndarray:
-    return np.correlate(values, window, "valid")
+    """Products of a window with each stretch of its length; by blocks of overlapping stretches for long windows."""
+    m = len(window)
+    if m < FOURIER:
+        return np.correlate(values, window, "valid")
+    size = 1 << max(4 * m, 1 << 12).bit_length()
+    step = size - m + 1
+    turned = np.conj(np.fft.rfft(window, size))
+    out = np.empty(len(values) - m + 1)
+    for at in range(0, len(out), step):
+        n = min(step, len(out) - at)
+        out[at : at + n] = np.fft.irfft(np.fft.rfft(values[at : at + size], size) * turned, size)[:n]
+    return out
 
 
 class Rows:
@@ -241,11 +256,13 @@ class Rows:
         if self.normalized:
             (half_a, both_a), (half_b, both_b) = a.steps, b.steps
             loud = lambda w: float(1 / w.scale[w.scale > 0].min(initial=np.inf))
-            fresh = 8 * m**0.5 * max(loud(a) * high_b, loud(b) * high_a)
+            # transforms carry the rounding of all points that they take together
+            reach = m if m < FOURIER else 16 * m
+            fresh = 8 * reach**0.5 * max(loud(a) * high_b, loud(b) * high_a)
             added = high_a * top(both_b) + high_b * top(both_a) + 2 * top(half_a) * top(both_b) + 2 * top(half_b) * top(both_a) + loud(a) * loud(b)
         else:
             fresh = added = 4 * (high_a + high_b) ** a.metric.p
-            fresh *= m if a.metric.p == 2 else m**0.5
+            fresh *= 4 * m if a.metric.p == 2 else m**0.5
         return 2 * EPS * (fresh + added * self.every / 4)
 
     def _power(self, x: np.ndarray) -> np.ndarray:
@@ -363,6 +380,24 @@ class Rows:
         return np.concatenate([self.b.unit(slice(lo + at.start, lo + at.stop)) @ x for at in self.a._chunks(hi - lo)])
 
 
+def distances_to(query: Windows, w: Windows) -> np.ndarray:
+    """Distances of the one window of ``query`` to each of ``w``; inf where a value is missing."""
+    out = np.full(len(w), np.inf)
+    for _, lo, sim, bound in Rows(query, w, lambda r: (0, len(w))):
+        at = np.flatnonzero(sim > -np.inf)
+        if query.metric.normalized:
+            square = 2 * query.m * np.maximum(0.0, 1 - sim[at])
+            bound = 2 * query.m * bound
+            out[at + lo] = np.sqrt(square)
+        else:
+            square = np.maximum(0.0, -sim[at])
+            out[at + lo] = square ** (1 / query.metric.p)
+        # what the rounding may have moved in the ninth digit is measured
+        loose = at[square * 1e-9 <= bound]
+        out[loose + lo] = exact(query, w, np.zeros(len(loose), np.int64), loose + lo)
+    return out
+
+
 class Candidates:
     """Pairs that may be a row's k nearest: measured when there are many, and at the end."""
 
