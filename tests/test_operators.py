@@ -233,3 +233,27 @@ def test_streams_equal_batch(spark, tmp_path):
             if s == name:
                 assert (j is None and left.j[i, 0] < 0) or (j == left.j[i, 0] and abs(d - left.d[i, 0]) < 1e-9)
     assert len(got) >= 60 - 8
+
+
+@pytest.mark.parametrize("metric", [ZNORM, Metric(2.0)])
+def test_consensus_drops_what_cannot_win(spark, metric):
+    rng = np.random.default_rng(21)
+    n, m, length = 10, 8, 160
+    shape = np.sin(np.arange(m)) * 3
+    values = {f"s{k}": rng.normal(size=length) for k in range(n)}
+    for k, v in enumerate(values.values()):
+        v[10 * k + 5 : 10 * k + 5 + m] = shape + 0.05 * rng.normal(size=m)
+    parts = [S.from_values(spark, v.tolist()).withColumn("series_id", F.lit(k)) for k, v in values.items()]
+    s = parts[0]
+    for p in parts[1:]:
+        s = s.unionByName(p)
+    joined = []
+    row = compare.consensus(s, m, metric, Settings(block=128), few=0, joined=joined).first()
+    best = None
+    for a, x in values.items():
+        near = np.stack([oracle.matrix(x, y, m, metric.p).min(axis=1) for b, y in values.items() if b != a])
+        for i, (radius, total) in enumerate(zip(near.max(axis=0), near.sum(axis=0), strict=True)):
+            best = min(best or (np.inf,), (radius, total / n, a, i))
+    assert (row["series_id"], row["i"]) == best[2:] and abs(row["radius"] - best[0]) < 1e-7 and abs(row["mean"] - best[1]) < 1e-7
+    blocks = -(-(length - m + 1) // 16)
+    assert sum(joined) <= n * (n - 1) * blocks**2 / 2

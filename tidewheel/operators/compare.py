@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.windows import frame, halo, own, rolling
-from tidewheel.operators.profile import Flags, ab_join, distance_profile, nearest, self_join
+from tidewheel.operators.profile import Flags, ab_join, constant_flags, distance_profile, nearest, self_join
+from tidewheel.plans import tiles
 from tidewheel.runtime import cut
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings
 
@@ -76,19 +77,76 @@ def mpdist_matrix(series: DataFrame, m: int, percentage: float = 0.05, metric: M
     return mpdist(series, series, m, percentage, metric=metric, pairs=pairs, settings=settings)
 
 
-def consensus(series: DataFrame, m: int, metric: Metric = ZNORM, settings: Settings = DEFAULT, constant: Flags = None) -> DataFrame:
+#: What a radius may exceed another by and still tie with it, and what rounding may add to that.
+TIE_PART, TIE_MORE, SLACK = 1e-5, 1e-8, 1e-6
+
+
+def _radius(series: DataFrame, own: str, i: int, m: int, metric: Metric, flags: DataFrame | None) -> float:
+    """The largest of one window's nearest distances in the other series: a map over them."""
+    at = series.where((F.col("series_id") == own) & F.col("idx").between(i, i + m - 1)).orderBy("idx").select("value")
+    query = [float("nan") if r["value"] is None else r["value"] for r in at.collect()]  # one window
+    flag = None
+    if flags is not None:
+        row = flags.where((F.col("series_id") == own) & (F.col("i") == i)).first()
+        flag = bool(row and row["is_const"])
+    each = distance_profile(series.where(F.col("series_id") != own), query, metric, constant=flags, query_constant=flag)
+    return each.groupBy("series_id").agg(F.min("d").alias("d")).agg(F.max("d").alias("r")).first()["r"]
+
+
+def consensus(series: DataFrame, m: int, metric: Metric = ZNORM, settings: Settings = DEFAULT, constant: Flags = None, few: int = 256, joined: list[int] | None = None) -> DataFrame:
     """series_id, i, radius, mean: the window that is nearest to all other series of the set, as a row.
 
     radius is the largest of its nearest-neighbour distances in the others; ties (up to 1e-5 of it) go to the smallest mean (its own
     series counting as 0), then to the first id and position.
+
+    Every series is joined with the next one, then with two more, four more and so on. After each round the window that looks best
+    so far is measured against all series; windows whose radius exceeds that one's already can't win and are dropped, and
+    blocks without windows left are joined with nothing more. A set of ``few`` tiles is joined in one round. ``joined`` gets the
+    number of tiles of each round.
     """
-    ids = cut(series.select("series_id").distinct())
-    n = ids.count()
-    pairs = ids.crossJoin(ids.select(F.col("series_id").alias("other_id"))).where("series_id <> other_id")
-    near = nearest(ab_join(series, series, m, metric=metric, settings=settings, constant_a=constant, constant_b=constant, pairs=pairs))
-    each = cut(near.groupBy("series_id", "i").agg(F.max("d").alias("radius"), (F.sum("d") / n).alias("mean"), F.count("d").alias("there")).where(F.col("there") == n - 1))
-    least = each.agg(F.min("radius").alias("r"))
-    tied = each.join(F.broadcast(least), F.col("radius") <= F.col("r") + 1e-8 + 1e-5 * F.col("r"))  # one row
+    numbered = cut(series.select("series_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("series_id")) - 1))  # as many rows as series
+    n = numbered.count()
+    flags = constant_flags(series, m, constant)
+    flags = flags if flags is None or isinstance(constant, DataFrame) else cut(flags)
+    block = max(settings.block, m)
+    total = tiles.lengths(series, m, block).agg(F.sum("blocks")).first()[0] or 0
+    at_once = total * total <= few
+    if not at_once:
+        block = max(settings.block // 8, m)
+    rows = tiles.block_rows(series, m, block, flags)
+    rows = rows if at_once else cut(rows)
+    live, least, done = None, None, 0
+    while done < n - 1:
+        more = range(1, n) if at_once else range(done + 1, min(n - 1, 2 * done + 1) + 1)
+        ahead = numbered.select("series_id", F.explode(F.array(*[F.pmod(F.col("n") + o, F.lit(n)) for o in more])).alias("n"))
+        pairs = ahead.join(numbered.select("n", F.col("series_id").alias("other_id")), "n").select("series_id", "other_id")
+        plan = tiles.ab_plan(series, series, m, block, pairs)
+        if live is not None:
+            blocks = live.select("series_id", F.floor(F.col("i") / block).alias("a")).distinct()
+            left = cut(plan.tiles.join(blocks, ["series_id", "a"], "left_semi"))
+            plan = tiles.Plan(left, left.count(), plan.deep)
+        if joined is not None:
+            joined.append(plan.count)
+        near = nearest(tiles.join(rows, rows, plan, m, block, 1, metric, None))
+        each = near.groupBy("series_id", "i").agg(F.max("d").alias("radius"), F.sum("d").alias("total"), F.count("d").alias("there")).where(F.col("there") == len(more))
+        if live is None:
+            live = each.select("series_id", "i", "radius", "total")
+        else:
+            new = each.select("series_id", "i", F.col("radius").alias("_radius"), F.col("total").alias("_total"))
+            live = live.join(new, ["series_id", "i"]).select("series_id", "i", F.greatest("radius", "_radius").alias("radius"), (F.col("total") + F.col("_total")).alias("total"))
+        live, done = cut(live), more[-1]
+        if done < n - 1:
+            best = live.agg(F.min(F.struct("radius", "total", "series_id", "i")).alias("b")).first()["b"]
+            if best is None:
+                break
+            radius = _radius(series, best["series_id"], best["i"], m, metric, flags)
+            least = radius if least is None else min(least, radius)
+            live = cut(live.where(F.col("radius") <= least * (1 + TIE_PART + SLACK) + TIE_MORE + SLACK))
+    if live is None:  # one series has nothing to agree with
+        return series.sparkSession.createDataFrame([(None, None, None, None)], "series_id string, i long, radius double, mean double")
+    each = live.select("series_id", "i", "radius", (F.col("total") / n).alias("mean"))
+    lowest = each.agg(F.min("radius").alias("r"))
+    tied = each.join(F.broadcast(lowest), F.col("radius") <= F.col("r") + TIE_MORE + TIE_PART * F.col("r"))  # one row
     return tied.agg(F.min(F.struct("mean", "series_id", "i", "radius")).alias("b")).select("b.series_id", "b.i", "b.radius", "b.mean")
 
 

@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.operators.search import best_matches
 from tidewheel.plans import kernel, tiles
 from tidewheel.runtime import cut, ship
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings
@@ -295,4 +294,4 @@ def multi_motifs(series: DataFrame, profile: DataFrame, m: int, min_neighbors: i
     return out
 
 
-__all__ = ["best_matches", "description_lengths", "distance_profiles", "mean_of_best", "multi_motifs", "multi_profile", "subspace"]
+__all__ = ["description_lengths", "distance_profiles", "mean_of_best", "multi_motifs", "multi_profile", "subspace"]

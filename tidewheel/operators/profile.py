@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.distance import distance
 from tidewheel.functions.windows import windows, z_norm
-from tidewheel.plans import kernel, tiles
+from tidewheel.plans import greedy, kernel, tiles
 from tidewheel.runtime import ship
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings, check_arguments, check_window
 
@@ -155,21 +155,10 @@ def distance_matrix(a: DataFrame, b: DataFrame, m: int, metric: Metric = ZNORM)
 def discords(profile: DataFrame, m: int, k: int = 1, settings: Settings = DEFAULT) -> DataFrame:
     """The k windows with the farthest nearest neighbours, none in the zone of another: series_id, rank, i, d."""
     zone = settings.zone(m)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", "i"], ascending=[False, True])
-        taken: list[tuple[int, float]] = []
-        for i, d in zip(pdf.i.tolist(), pdf.d.tolist(), strict=True):
-            if all(abs(i - t) > zone for t, _ in taken):
-                taken.append((i, d))
-            if len(taken) == k:
-                break
-        return pd.DataFrame({"series_id": pdf.series_id.iloc[0], "rank": np.arange(1, len(taken) + 1), "i": [t for t, _ in taken], "d": [d for _, d in taken]})
-
     # the k best lie among the best k * (2 * zone + 1) windows
-    w = Window.partitionBy("series_id").orderBy(F.col("d").desc(), "i")
-    top = nearest(profile).where("d IS NOT NULL").select("series_id", "i", "d", F.row_number().over(w).alias("n")).where(F.col("n") <= k * (2 * zone + 1)).drop("n")
-    return top.groupBy("series_id").applyInPandas(run, "series_id string, rank int, i long, d double")
+    far = nearest(profile).where("d IS NOT NULL").select("series_id", "i", "d", (-F.col("d")).alias("key"))
+    taken = greedy.least(greedy.apart(greedy.least(far, k * (2 * zone + 1)), zone), k)
+    return taken.select("series_id", F.row_number().over(Window.partitionBy("series_id").orderBy("key", "i")).cast("int").alias("rank"), "i", "d")
 
 
 def profile_in_memory(values: np.ndarray, m: int, metric: Metric = ZNORM, settings: Settings = DEFAULT, k: int = 1) -> kernel.Found:

@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.operators.profile import Flags, constant_flags, distance_profile, nearest
+from tidewheel.plans import greedy
 from tidewheel.runtime import cut
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings
 
@@ -21,27 +22,6 @@ def default_bound(d: np.ndarray) -> float:
     return float(max(d.mean() - 2 * d.std(), d.min())) if len(d) else math.inf
 
 
-def best_matches(i: np.ndarray, d: np.ndarray, zone: int, bound: float, limit: int | None, first: int | None = None) -> list[tuple[int, float]]:
-    """Greedy choice by ascending distance (then position), each choice blanking its zone; ``first`` comes first."""
-    order = np.lexsort((i, d))
-    if first is not None:
-        at = np.flatnonzero(i == first)
-        order = np.concatenate([at, order[order != at[0]]]) if len(at) else order
-    taken: list[tuple[int, float]] = []
-    blocked: set[int] = set()
-    for k in order.tolist():
-        if limit is not None and len(taken) >= limit:
-            break
-        p = int(i[k])
-        if not np.isfinite(d[k]) or (d[k] > bound and p != first):
-            continue
-        if p in blocked:
-            continue
-        taken.append((p, float(d[k])))
-        blocked.update(range(p - zone, p + zone + 1))
-    return taken
-
-
 def multi_profile(dims: DataFrame, query: Sequence[Sequence[float]], metric: Metric, query_index: int | None = None, constant: Flags = None) -> DataFrame:
     """The mean over dimensions of each dimension's distance profile; NULL where one has none."""
     total = None
@@ -57,7 +37,7 @@ def match(series: DataFrame, query: Sequence[float] | Sequence[Sequence[float]],
 
     ``query``: one list, or a list per dimension (then ``series`` has a column dim). ``max_distance``: a number, or a
     function of a series' distance profile; by default max(mean - 2 std, min). ``query_index`` is always the first.
-    With a number or the default, only rows below the bound reach the greedy step.
+    Only rows below the bound reach the greedy step, which goes by blocks of the series.
     """
     many = bool(query) and isinstance(query[0], (list, tuple, np.ndarray))
     m = len(query[0]) if many else len(query)
@@ -65,24 +45,21 @@ def match(series: DataFrame, query: Sequence[float] | Sequence[Sequence[float]],
     if not np.isfinite(np.asarray(query, float)).all():
         raise ValueError("a query to match must be finite")
     d = multi_profile(series, query, metric, query_index, constant) if many else distance_profile(series, list(query), metric, query_index, constant, query_constant)
+    d = cut(d.where("d IS NOT NULL"))
     if callable(max_distance):
-        rows = d.where("d IS NOT NULL").withColumn("bound", F.lit(None).cast("double"))
-    elif max_distance is not None:
-        rows = d.where("d IS NOT NULL").withColumn("bound", F.lit(float(max_distance)))
-    else:
-        d = cut(d)
-        bound = d.where("d IS NOT NULL").groupBy("series_id").agg(F.greatest(F.avg("d") - 2 * F.stddev_pop("d"), F.min("d")).alias("bound"))
-        rows = d.where("d IS NOT NULL").join(bound, "series_id")
-    if not callable(max_distance):
-        near = F.col("d") <= F.col("bound") + atol
-        rows = rows.where(near if query_index is None else near | (F.col("i") == query_index))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bound = float(max_distance(pdf.sort_values("i").d.to_numpy())) if callable(max_distance) else float(pdf.bound.iloc[0])
-        found = best_matches(pdf.i.to_numpy(), pdf.d.to_numpy(), zone, bound + atol, max_matches, query_index)
-        return pd.DataFrame({"series_id": pdf.series_id.iloc[0], "rank": np.arange(1, len(found) + 1), "i": [p for p, _ in found], "d": [x for _, x in found]})
+        # the caller's function sees a series' whole distance profile
+        def bound_of(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"series_id": [pdf.series_id.iloc[0]], "bound": [float(max_distance(pdf.sort_values("i").d.to_numpy()))]})
 
-    return rows.groupBy("series_id").applyInPandas(run, "series_id string, rank int, i long, d double")
+        bound = d.groupBy("series_id").applyInPandas(bound_of, "series_id string, bound double")
+    elif max_distance is None:
+        bound = d.groupBy("series_id").agg(F.greatest(F.avg("d") - 2 * F.stddev_pop("d"), F.min("d")).alias("bound"))
+    rows = d.withColumn("bound", F.lit(float(max_distance))) if isinstance(max_distance, (int, float)) else d.join(bound, "series_id")
+    own = F.lit(False) if query_index is None else F.col("i") == query_index
+    near = rows.where((F.col("d") <= F.col("bound") + atol) | own).withColumn("key", F.when(own, float("-inf")).otherwise(F.col("d")))
+    taken = greedy.apart(near, zone)
+    ranked = taken.withColumn("rank", F.row_number().over(Window.partitionBy("series_id").orderBy("key", "i")).cast("int"))
+    return ranked.where(F.lit(True) if max_matches is None else F.col("rank") <= max_matches).select("series_id", "rank", "i", "d")
 
 
 def window_at(series: DataFrame, i: int, m: int) -> list[float]:
@@ -99,6 +76,8 @@ def motifs(series: DataFrame, profile: DataFrame, m: int, min_neighbors: int = 1
     """
     spark = series.sparkSession
     zone = settings.zone(m)
+    flags = constant_flags(series, m, constant)
+    flags = flags if flags is None or isinstance(constant, DataFrame) else cut(flags)
     p = cut(nearest(profile).where("d IS NOT NULL").select("i", "d"))
     if cutoff is None:
         s = p.agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.min("d").alias("least")).first()
@@ -110,8 +89,8 @@ def motifs(series: DataFrame, profile: DataFrame, m: int, min_neighbors: int = 1
         if best is None or best["d"] > cutoff or (isinstance(max_distance, (int, float)) and best["d"] > max_distance):
             break
         i = best["i"]
-        flag = None if constant is None else bool((constant_flags(series, m, constant).where(F.col("i") == i).first() or {"is_const": False})["is_const"])
-        every = cut(match(series, window_at(series, i, m), max_distance, None if exclude_all_matches else max_matches, metric, i, atol, settings, constant, flag))
+        flag = None if flags is None else bool((flags.where(F.col("i") == i).first() or {"is_const": False})["is_const"])
+        every = cut(match(series, window_at(series, i, m), max_distance, None if exclude_all_matches else max_matches, metric, i, atol, settings, flags, flag))
         kept = every if max_matches is None else every.where(F.col("rank") <= max_matches)
         if every.count() > min_neighbors:
             found.append(kept.select(F.lit(motif).alias("motif"), "rank", "i", "d"))
