@@ -257,3 +257,26 @@ def test_consensus_drops_what_cannot_win(spark, metric):
     assert (row["series_id"], row["i"]) == best[2:] and abs(row["radius"] - best[0]) < 1e-7 and abs(row["mean"] - best[1]) < 1e-7
     blocks = -(-(length - m + 1) // 16)
     assert sum(joined) <= n * (n - 1) * blocks**2 / 2
+
+
+@pytest.mark.parametrize("metric,k", [(ZNORM, 1), (Metric(2.0), 1), (Metric(3.0), 1), (ZNORM, 2)])
+def test_updates_carry_a_sample_on(spark, metric, k):
+    x = np.random.default_rng(13).normal(size=150)
+    x[40:60] = 1.5
+    x[[5, 90]] = np.nan
+    s = S.from_values(spark, x.tolist())
+    small = Settings(block=32)
+    kept = approximate.sampled_profile(s, 6, 0.25, 1, k=k, metric=metric, settings=small).cache()
+    for done in range(1, 4):
+        kept = approximate.updated_profile(kept, s, 6, done, 1, 0.25, k=k, metric=metric, settings=small).cache()
+        whole = approximate.sampled_profile(s, 6, 0.25, done + 1, k=k, metric=metric, settings=small)
+        a, b = ({r["i"]: r for r in df.collect()} for df in (kept, whole))
+        for i in a:
+            assert [n["j"] for n in a[i]["nn"]] == [n["j"] for n in b[i]["nn"]] and a[i]["right_j"] == b[i]["right_j"]
+    low, j = oracle.nearest(oracle.self_matrix(x, 6, 2, metric.p))
+    got = P.nearest(kept).orderBy("i").collect()
+    for r in got:
+        assert (r["j"] is None) == (j[r["i"]] < 0) and (r["j"] is None or abs(r["d"] - low[r["i"]]) < 3e-5)
+    one = approximate.sampled_profile(s, 6, 0.5, 1, s, k, metric, small)
+    both = approximate.updated_profile(one, s, 6, 1, 1, 0.5, s, k, metric, small)
+    assert all(r["nn"][0]["d"] < 1e-4 for r in both.collect() if r["nn"])

@@ -17,50 +17,69 @@ from tidewheel.runtime import cut, ship
 from tidewheel.settings import DEFAULT, ZNORM, Metric, Settings, check_arguments
 
 
-def chosen(diagonals: np.ndarray, percentage: float, updates: int, seed: int) -> np.ndarray:
-    """Whether each diagonal belongs to the first ``updates`` of ceil(1 / percentage) random, even parts."""
+def chosen(diagonals: np.ndarray, percentage: float, updates: int, seed: int, start: int = 0) -> np.ndarray:
+    """Whether each diagonal belongs to the ``updates`` from ``start`` on of ceil(1 / percentage) random, even parts."""
     parts = max(1, math.ceil(1 / percentage))
     x = diagonals.astype(np.int64).view(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) % np.uint64(parts)).astype(np.int64) < updates
-
-
-def _along(a: kernel.Windows, b: kernel.Windows, gap: int, of_a: kernel.Found, of_b: kernel.Found | None) -> None:
-    """Distances of the pairs (i, i + gap) of global positions, offered to both sides."""
-    first = max(a.lo, b.lo - gap)
-    last = min(a.lo + len(a), b.lo + len(b) - gap)
-    if first >= last:
-        return
-    i = np.arange(first - a.lo, last - a.lo)
-    j = i + a.lo + gap - b.lo
-    d = kernel.exact(a, b, i, j)[:, None]
-    there = np.isfinite(d)
-    rows = slice(int(i[0]), int(i[-1]) + 1)
-    to = np.where(there, (j + b.lo)[:, None], -1)
-    of_a.near.offer(rows, d, to)
-    if of_b is not None:
-        back = np.where(there, (i + a.lo)[:, None], -1)
-        cols = slice(int(j[0]), int(j[-1]) + 1)
-        of_a.right.offer(rows, d, to)
-        of_b.near.offer(cols, d, back)
-        of_b.left.offer(cols, d, back)
-
-
-def _sample(m: int, block: int, k: int, metric: Metric, zone: int | None, percentage: float, updates: int, seed: int):
+    part = ((x ^ (x >> np.uint64(31))) % np.uint64(parts)).astype(np.int64)
+    return (part >= start) & (part < start + updates)
+
+
+class _Diagonals:
+    """The nearest of each window of a tile over some diagonals; a diagonal costs time linear in its length.
+
+    Like the rows of a tile, a diagonal only names candidates, which are measured: those that may be nearer than what a window
+    has so far (for one neighbour; all pairs for more).
+    """
+
+    def __init__(self, a: kernel.Windows, b: kernel.Windows, of_a: kernel.Found, of_b: kernel.Found | None):
+        self.a, self.b, self.rows = a, b, kernel.Rows(a, b, lambda r: (0, len(b)))
+        self.one = of_a.near.d.shape[1] == 1
+        self.best = np.full(len(a), -np.inf), np.full(len(b), -np.inf)  # less the bound
+        both = of_b is not None
+        self.pairs = [kernel.Candidates(a, b, (of_a.near, of_a.right) if both else (of_a.near,)), kernel.Candidates(a, b, (), (of_b.near, of_b.left) if both else ())]
+        self.sides = 2 if both else 1
+
+    def add(self, gap: int) -> None:
+        """The pairs (i, i + gap) of global positions."""
+        a, b = self.a, self.b
+        first, last = max(a.lo, b.lo - gap), min(a.lo + len(a), b.lo + len(b) - gap)
+        n = last - first
+        if n <= 0:
+            return
+        i, j = first - a.lo, first + gap - b.lo
+        sim, bound = self.rows.diagonal(i, j, n)
+        for side, start in zip(range(self.sides), (i, j), strict=False):
+            best = self.best[side][start : start + n]
+            hit = np.flatnonzero((sim + bound >= best) & (sim > -np.inf) if self.one else sim > -np.inf)
+            np.maximum(best, np.where(np.isfinite(bound), sim - bound, -np.inf), out=best)
+            self.pairs[side].add(hit + i, hit + j)
+            if self.pairs[side].size > kernel.Candidates.MANY:
+                self.pairs[side].measure()
+
+    def end(self) -> None:
+        for p in self.pairs[: self.sides]:
+            p.measure()
+
+
+def _sample(m: int, block: int, wide: int, k: int, metric: Metric, zone: int | None, percentage: float, updates: int, seed: int, start: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 sid, oid, ia, ib = (batch.column(c)[r].as_py() for c in range(4))
                 va, vb = tiles._array(batch.column(4), r), tiles._array(batch.column(6), r)
-                a = kernel.prepare(va, m, metric, ia * block, tiles._flags(batch.column(5), r, len(va) - m + 1))
-                b = kernel.prepare(vb, m, metric, ib * block, tiles._flags(batch.column(7), r, len(vb) - m + 1))
+                a = kernel.prepare(va, m, metric, ia * wide * block, tiles._flags(batch.column(5), r, len(va) - m + 1))
+                b = kernel.prepare(vb, m, metric, ib * wide * block, tiles._flags(batch.column(7), r, len(vb) - m + 1))
                 gaps = np.arange(b.lo - (a.lo + len(a) - 1), b.lo + len(b) - a.lo)
                 if zone is not None:
                     gaps = gaps[gaps > zone]
                 of_a, of_b = kernel.Found.of(len(a), k), None if zone is None else kernel.Found.of(len(b), k)
-                for gap in gaps[chosen(gaps, percentage, updates, seed)].tolist():
-                    _along(a, b, gap, of_a, of_b)
+                diagonals = _Diagonals(a, b, of_a, of_b)
+                for gap in gaps[chosen(gaps, percentage, updates, seed, start)].tolist():
+                    diagonals.add(gap)
+                diagonals.end()
                 yield tiles._emit(sid, oid, a.lo, of_a)
                 if of_b is not None:
                     yield tiles._emit(sid, oid, b.lo, of_b)
@@ -68,19 +87,22 @@ def _sample(m: int, block: int, k: int, metric: Metric, zone: int | None, percen
     return run
 
 
-def sampled_profile(series: DataFrame, m: int, percentage: float = 0.01, updates: int = 1, other: DataFrame | None = None, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0, constant: Flags = None, other_constant: Flags = None) -> DataFrame:
-    """The profile over a random sample of diagonals: ``updates`` of ceil(1 / percentage) parts.
+def sampled_profile(series: DataFrame, m: int, percentage: float = 0.01, updates: int = 1, other: DataFrame | None = None, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0, constant: Flags = None, other_constant: Flags = None, start: int = 0) -> DataFrame:
+    """The profile over a random sample of diagonals: ``updates`` of ceil(1 / percentage) parts, from part ``start`` on.
 
     More updates with the same seed only add diagonals; all of them give the exact profile. Work is in proportion to the
-    sample, tile by tile.
+    sample, whatever the windows' length; block rows hold several parts of long series, as those of a join do.
     """
     check_arguments(m, k, metric, percentage)
     zone = settings.zone(m) if other is None else None
     block = max(settings.block, m)
-    left = tiles.block_rows(series, m, block, constant_flags(series, m, constant))
-    right = left if other is None else tiles.block_rows(other, m, block, constant_flags(other, m, other_constant))
-    plan = tiles.self_plan(series, m, block) if other is None else tiles.ab_plan(series, other, m, block, None)
     spark = series.sparkSession
+    planned = lambda size: tiles.self_plan(series, m, size) if other is None else tiles.ab_plan(series, other, m, size, None)
+    plan = planned(block)
+    wide = tiles.width(plan.count, spark.sparkContext.defaultParallelism)
+    plan = plan if wide == 1 else planned(wide * block)
+    left = tiles.block_rows(series, m, wide * block, constant_flags(series, m, constant))
+    right = left if other is None else tiles.block_rows(other, m, wide * block, constant_flags(other, m, other_constant))
     ship(spark)
     rows = (
         plan.tiles.join(left.select("series_id", F.col("blk").alias("a"), F.col("values").alias("va"), F.col("const").alias("ca")), ["series_id", "a"])
@@ -88,11 +110,26 @@ def sampled_profile(series: DataFrame, m: int, percentage: float = 0.01, updates
         .select("series_id", "other_id", "a", "b", "va", "ca", "vb", "cb")
     )
     tasks = max(1, min(plan.count, 2 * spark.sparkContext.defaultParallelism + plan.count // 16))
-    parts = rows.repartition(tasks).mapInArrow(_sample(m, block, k, metric, zone, percentage, updates, seed), tiles.PROFILE)
+    parts = rows.repartition(tasks).mapInArrow(_sample(m, block, wide, k, metric, zone, percentage, updates, seed, start), tiles.PROFILE)
     out = tiles.merge_profiles(parts, k)
     return out.drop("other_id") if other is None else out.select("series_id", "other_id", "i", "nn")
 
 
+def updated_profile(profile: DataFrame, series: DataFrame, m: int, done: int, updates: int = 1, percentage: float = 0.01, other: DataFrame | None = None, k: int = 1, metric: Metric = ZNORM, settings: Settings = DEFAULT, seed: int = 0, constant: Flags = None, other_constant: Flags = None) -> DataFrame:
+    """A sampled profile of the first ``done`` parts, carried on by the next ``updates``: only their diagonals are read.
+
+    ``profile`` is what ``sampled_profile`` or this gave, stored by the caller; arguments have to be the same.
+    """
+    new = sampled_profile(series, m, percentage, updates, other, k, metric, settings, seed, constant, other_constant, done)
+    if other is not None:
+        return tiles.merge_profiles(profile.unionByName(new, allowMissingColumns=True).select("series_id", "other_id", "i", "nn", *(F.lit(None).cast(t).alias(c) for c, t in _SIDES)), k).select("series_id", "other_id", "i", "nn")
+    both = profile.unionByName(new).withColumn("other_id", F.col("series_id"))
+    return tiles.merge_profiles(both, k).drop("other_id")
+
+
+_SIDES = (("left_d", "double"), ("left_j", "long"), ("right_d", "double"), ("right_j", "long"))
+
+
 def _sampled_rows(m: int, block: int, metric: Metric, zone: int | None, s: int, k: int):
     """Whole profiles of every s-th window: offered to it and, in a self-join, to all windows it meets."""
 

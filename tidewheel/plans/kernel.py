@@ -370,6 +370,41 @@ class Rows:
                 sim[self.masked[lo:hi]] = -np.inf
             yield r, lo, sim, bound
 
+    def diagonal(self, i: int, j: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(similarities, bounds) of the pairs (i, j), (i + 1, j + 1) and so on; the bound of a poor window's pair is infinite."""
+        a, b, m = self.a, self.b, self.a.m
+        out = np.empty(n)
+        at_a, at_b = slice(i, i + n), slice(j, j + n)
+        if self.normalized:
+            (half_a, both_a), (half_b, both_b) = a.steps, b.steps
+            added = half_a[at_a] * both_b[at_b]
+            added += both_a[at_a] * half_b[at_b]
+        else:
+            # of each pair but the first, what comes less what goes
+            come = self._power(a.values[i + m - 1 : i + n + m - 1] - b.values[j + m - 1 : j + n + m - 1])
+            added = come.copy()
+            added[1:] -= self._power(a.values[i : i + n - 1] - b.values[j : j + n - 1])
+        for at in range(0, n, self.every):
+            x, y = a.values[i + at : i + at + m], b.values[j + at : j + at + m]
+            added[at] = (x - a.means[i + at]) @ y if self.normalized else self._power(x - y).sum()
+            np.cumsum(added[at : at + self.every], out=out[at : at + self.every])
+        bounds = self.direct[at_a].copy()
+        if self.normalized:
+            out *= a.scale[at_a]
+            out *= b.scale[at_b]
+            poor = self.poor_a[at_a].copy()
+            if self.poor is not None:
+                poor |= np.isin(np.arange(j, j + n), self.poor)
+            bounds[poor] = np.inf
+            flat_a, flat_b = a.const[at_a], b.const[at_b]
+            flat = flat_a | flat_b
+            out[flat] = np.where(flat_a & flat_b, 1.0, 0.5)[flat]
+            bounds[flat] = 0.0
+        else:
+            np.negative(out, out=out)
+        out[~(a.finite[at_a] & b.finite[at_b])] = -np.inf
+        return out, bounds
+
     def _block(self, rows: slice) -> np.ndarray:
         """Correlations of some rows with the poor columns."""
         x = self.a.unit(rows)
