@@ -6,13 +6,14 @@ import uuid
 from collections.abc import Callable
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions.windows import rolling, rolling_present, sliding_dot
 from tidewheel.operators import approximate, chains, compare, multidim, pan, search, segment, snippets
 from tidewheel.operators import profile as P
-from tidewheel.runtime import shared_folder
+from tidewheel.runtime import cut, shared_folder
 from tidewheel.settings import Metric
 from tidewheel.sources import series as S
 from tidewheel.streaming import incremental
@@ -286,8 +287,8 @@ r AS (SELECT series_id, i, max(d) AS radius, sum(d) / 5 AS mean FROM near GROUP
 SELECT series_id, i::BIGINT AS i, round(radius, 6) AS radius, round(mean, 6) AS mean FROM tied ORDER BY tied.mean, series_id, tied.i LIMIT 1"""
 
 
-def _ostinato(metric: Metric):
-    return lambda spark, sf: compare.consensus(types_as_series(spark, sf), TM, metric=metric).withColumns({"radius": F.round("radius", 6), "mean": F.round("mean", 6)})
+def _ostinato(metric: Metric, **how):
+    return lambda spark, sf: compare.consensus(types_as_series(spark, sf), TM, metric=metric, **how).withColumns({"radius": F.round("radius", 6), "mean": F.round("mean", 6)})
 
 
 for _name, _metric in (("ostinato", Z), ("ostinato_minkowski", L2)):
@@ -755,3 +756,46 @@ _CURVES = _SEGMENTS[: _SEGMENTS.rindex("SELECT series_id, (best.i")] + "SELECT s
 def stream_curves(spark: SparkSession, sf: str) -> DataFrame:
     rows = _streamed(spark, sf, "curves", lambda p: incremental.segment_stream(p, 5, 5, 40, factor=1, whole=True))
     return rows.select("series_id", "i", F.coalesce("j", F.lit(-1)).cast("long").alias("j"), F.round("cac", 6).alias("cac"))
+
+
+# Functions as arguments: constant windows, a bound of matches, steps of values, an expected curve
+
+
+@query("self_join_flag_function", ORACLES["self_join_flagged"])
+def self_join_flag_function(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat_rows(P.self_join(S.hourly_events(spark, sf), 12, constant=lambda values, m: np.arange(len(values) - m + 1) % 5 == 0))
+
+
+@query("match_bound_function", ORACLES["match"].replace("greatest(avg(d) - 2 * stddev_pop(d), min(d)) + 1e-8 AS b", "avg(d) - stddev_pop(d) + 1e-8 AS b"))
+def match_bound_function(spark: SparkSession, sf: str) -> DataFrame:
+    s = S.daily_quantity(spark, sf)
+    found = search.match(s, search.window_at(s, AT, M), max_distance=lambda d: d.mean() - d.std(), max_matches=10, query_index=AT)
+    return found.withColumn("d", F.round("d", 6))
+
+
+@query("description_lengths_own_steps", ORACLES["description_lengths"].replace(f"len(list_filter({_EDGES}, lambda e: e < v))", "floor(v * 4)"))
+def description_lengths_own_steps(spark: SparkSession, sf: str) -> DataFrame:
+    d = multidim.description_lengths(S.hourly_events_by_type(spark, sf), TM, [AT] * 5, [OTHER] * 5, discretize=lambda windows: np.floor(windows * 4))
+    return d.select("kdim", F.round("bits", 6).alias("bits"), F.array_join(F.array_sort("subspace").cast("array<string>"), ",").alias("subspace"))
+
+
+@query("fluss_own_curve", ORACLES["fluss_curve"].replace("arcs / (2.0 * (i + 1) * (w - 1 - i) / w)", "arcs / (1.0 + i)"))
+def fluss_own_curve(spark: SparkSession, sf: str) -> DataFrame:
+    links = P.nearest(P.self_join(S.daily_quantity(spark, sf), M))
+    expected = links.select("series_id", "i", (F.col("i") + 1.0).alias("iac"))
+    return segment.arc_curve(links, M, expected=expected).withColumn("cac", F.round("cac", 6))
+
+
+@query("sampled_profile_carried", ORACLES["sampled_profile"].replace('% 10 < 1)', '% 10 < 4)'))
+def sampled_profile_carried(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored sample, carried on twice."""
+    s = S.hourly_events(spark, sf)
+    kept = cut(approximate.sampled_profile(s, 12, 0.1))
+    kept = cut(approximate.updated_profile(kept, s, 12, 1, 1, 0.1))
+    return _flat_rows(approximate.updated_profile(kept, s, 12, 2, 2, 0.1))
+
+
+@query("consensus_rounds", ORACLES["ostinato"])
+def consensus_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The consensus motif by rounds that carry a bound, whatever the number of tiles."""
+    return _ostinato(Z, few=0)(spark, sf)
