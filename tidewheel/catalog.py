@@ -799,3 +799,43 @@ def sampled_profile_carried(spark: SparkSession, sf: str) -> DataFrame:
 def consensus_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """The consensus motif by rounds that carry a bound, whatever the number of tiles."""
     return _ostinato(Z, few=0)(spark, sf)
+
+
+# The motif of several dimensions whose number the description length picks
+
+
+def _motif_by_length_sql(metric: Metric) -> str:
+    step = "len(list_filter({e}, lambda e: e < v))".format(e=_EDGES) if metric.normalized else "round_even((v - low) / (high - low) * 255, 0)"
+    code = lambda side: f"list_transform({side}.{'z' if metric.normalized else 'a'}, lambda v: {step})"
+    return f"""WITH RECURSIVE {_dims_pairs(metric, 'abs(x.i - y.i) > 3')}, p AS (SELECT kdim, i, min(struct_pack(q := round(d, 9), j := j, d := d)) AS n FROM multi GROUP BY kdim, i),
+pair AS (SELECT kdim, t.i AS i, t.j AS j FROM (SELECT kdim, min(struct_pack(d := n.d, i := i, j := n.j)) AS t FROM p GROUP BY kdim)),
+span AS (SELECT min(value) AS low, max(value) AS high FROM ({TYPES})),
+codes AS (SELECT kdim, x.dim, {code("x")} AS a, {code("y")} AS b FROM pair JOIN w x ON x.i = pair.i JOIN w y ON y.i = pair.j AND y.dim = x.dim, span),
+ranked AS (SELECT kdim, dim, list_transform(list_zip(a, b), lambda t: t[1] - t[2]) AS diff,
+  row_number() OVER (PARTITION BY kdim ORDER BY sqrt(list_sum(list_transform(list_zip(a, b), lambda t: pow(t[1] - t[2], 2)))), dim) AS r FROM codes),
+size AS (SELECT kdim, 8.0 * (2 * 5 * {TM} - (kdim + 1) * {TM}) + (kdim + 1) * {TM} * log2(count(DISTINCT v)) + count(DISTINCT v) * 8 AS bits
+  FROM (SELECT kdim, unnest(diff) AS v FROM ranked WHERE r <= kdim + 1) GROUP BY kdim),
+pick AS (SELECT kdim, bits FROM size ORDER BY round(bits, 9), kdim LIMIT 1),
+own AS (SELECT pair.i, pair.j FROM pair JOIN pick USING (kdim)), chosen AS (SELECT dim, r FROM ranked JOIN pick USING (kdim) WHERE r <= kdim + 1),
+prof AS MATERIALIZED (SELECT y.i, CASE WHEN y.i = own.i THEN 0 ELSE avg({distance_sql(metric, TM)}) END AS d FROM own JOIN w x ON x.i = own.i JOIN chosen ON chosen.dim = x.dim JOIN w y ON y.dim = x.dim GROUP BY y.i, own.i),
+bound AS (SELECT greatest(avg(d) - 2 * stddev_pop(d), min(d)) + 1e-8 AS b FROM prof),
+picks(n, taken, d) AS (
+  SELECT 1, [i], 0.0::DOUBLE FROM own
+  UNION ALL
+  SELECT n + 1, list_append(taken, best.i), best.d FROM (
+    SELECT q.n, any_value(q.taken) AS taken, min(struct_pack(d := prof.d, i := prof.i)) AS best FROM picks q, prof, bound
+    WHERE q.n < 10 AND prof.d <= b AND len(list_filter(q.taken, lambda t: abs(t - prof.i) <= 3)) = 0 GROUP BY q.n))
+SELECT 0 AS motif, n::INT AS rank, taken[n]::BIGINT AS i, round(d, 6) AS d, (SELECT kdim FROM pick)::INT AS kdim, (SELECT string_agg(dim::VARCHAR, ',' ORDER BY r) FROM chosen) AS subspace, (SELECT round(bits, 6) FROM pick) AS bits FROM picks"""
+
+
+def _motif_by_length(metric: Metric):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        s = S.hourly_events_by_type(spark, sf)
+        found = multidim.multi_motifs(s, multidim.multi_profile(s, TM, metric=metric), TM, cutoffs=float("inf"), metric=metric)
+        return found.withColumns({"d": F.round("d", 6), "bits": F.round("bits", 6), "subspace": F.array_join(F.col("subspace").cast("array<string>"), ",")})
+
+    return run
+
+
+for _name, _metric in (("multi_motif_by_length", Z), ("multi_motif_by_length_minkowski", L2)):
+    QUERIES[_name], ORACLES[_name] = _motif_by_length(_metric), _motif_by_length_sql(_metric)
