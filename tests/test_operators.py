@@ -280,3 +280,19 @@ def test_updates_carry_a_sample_on(spark, metric, k):
     one = approximate.sampled_profile(s, 6, 0.5, 1, s, k, metric, small)
     both = approximate.updated_profile(one, s, 6, 1, 1, 0.5, s, k, metric, small)
     assert all(r["nn"][0]["d"] < 1e-4 for r in both.collect() if r["nn"])
+
+
+def test_numbering_by_ranges_and_by_windows(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    rows = [(("long" if n < 700 else f"s{n % 9}"), float(rng.integers(0, 200)), n) for n in range(900)]
+    df = spark.createDataFrame(rows, "key string, o double, tie long").repartition(5)
+    of = lambda: {(r["key"], r["tie"]): r["at"] for r in S_numbered(df, ["key"], ["o", "tie"], "at").collect()}
+    from tidewheel.sources import series as module
+
+    S_numbered = module.numbered
+    windows = of()
+    monkeypatch.setattr(module, "SHORT", 10)
+    assert of() == windows
+    for key in {k for k, _, _ in rows}:
+        own = sorted((o, t) for k, o, t in rows if k == key)
+        assert [windows[key, t] for _, t in own] == list(range(len(own)))

@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 from tidewheel.runtime import cut
 
 
+#: Rows of a series that one task numbers.
+SHORT = 1 << 16
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
     """Rows with their number from 0 within ``keys`` in the order of ``order``, in a column ``name``.
 
-    Rows are dealt by ranges of (keys, order) and counted range by range; a row's number is its place in its range
+    Where no key has more than ``SHORT`` rows, one window a key numbers them. Else rows are dealt by ranges of (keys, order) and counted range by range; a row's number is its place in its range
     plus the counts of the ranges before it. So one long series is as many tasks as there are ranges.
     """
     spark = df.sparkSession
     ordered = [F.col(o).asc() if isinstance(o, str) else o for o in order]
+    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= SHORT:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered)) - 1).cast("long"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written, since the ranges are sampled: what counts them and what numbers them has to see the same ones
     ranged = cut(df.repartitionByRange(n, *[F.col(k) for k in keys], *ordered).withColumn("_range", F.spark_partition_id()))
