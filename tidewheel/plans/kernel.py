@@ -27,6 +27,8 @@ TIE = 1e-13
 DIGITS = 9
 #: Rows after which a row is computed afresh.
 RESTART = 512
+#: Rows whose steps are taken as one product.
+TOGETHER = 16
 #: Largest bound of a correlation's rounding that candidates may have.
 LOOSE = 1e-8
 #: Points of windows that are held at a time where windows are taken whole: they stay in a core's cache.
@@ -314,6 +316,8 @@ class Rows:
             scale_a, scale_b = a.scale, b.scale
         else:
             xs, ys = a.values, b.values
+        basis = np.stack([both_b, half_b]) if self.normalized else None
+        added, start, left = None, 0, 0
         known = None  # the columns that ``before`` holds
         block = None  # poor columns of some rows
         for r in range(len(a)):
@@ -329,10 +333,13 @@ class Rows:
                 if c < hi:
                     t, into = spare[c:hi], now[c:hi]
                     if self.normalized:
-                        np.multiply(both_b[c:hi], half_a[r], out=t)
-                        np.add(before[c - 1 : hi - 1], t, out=into)
-                        np.multiply(half_b[c:hi], both_a[r], out=t)
-                        into += t
+                        if added is None or r >= start + TOGETHER:
+                            # what some rows add, as one product
+                            start, left = r, lo
+                            stop = min(len(a), r + TOGETHER)
+                            right = min(width, self.bounds(stop - 1)[1])
+                            added = np.stack([half_a[r:stop], both_a[r:stop]], axis=1) @ basis[:, left:right]
+                        np.add(before[c - 1 : hi - 1], added[r - start, c - left : hi - left], out=into)
                     else:
                         np.subtract(ys[c + m - 1 : hi + m - 1], xs[r + m - 1], out=t)
                         np.add(before[c - 1 : hi - 1], self._power(t), out=into)
@@ -471,20 +478,24 @@ class Candidates:
 class Columns:
     """The rows that may be each column's nearest, as rows come by."""
 
-    def __init__(self, a: Windows, b: Windows, back: tuple[Best, ...]):
+    def __init__(self, a: Windows, b: Windows, back: tuple[Best, ...], slack: float):
+        """``slack``: no row's bound is larger."""
         self.pairs = Candidates(a, b, (), back)
+        self.slack = slack
         self.best = np.full(len(b), -np.inf)  # less the bound
+        self.low = np.full(len(b), -np.inf)  # less the slack too
         self.bound: list[np.ndarray] = []
 
     def row(self, r: int, lo: int, sim: np.ndarray, bound: float) -> None:
-        hit = np.flatnonzero(sim + bound >= self.best[lo : lo + len(sim)] if bound else sim >= self.best[lo : lo + len(sim)])
+        hit = np.flatnonzero(sim >= self.low[lo : lo + len(sim)])
         if not len(hit):
             return
         value = sim[hit]
-        fine = value > -np.inf
+        fine = (value > -np.inf) & (value + bound >= self.best[hit + lo])
         hit, value = hit[fine], value[fine]
         at = hit + lo
         self.best[at] = np.maximum(self.best[at], value - bound)
+        self.low[at] = self.best[at] - self.slack
         self.bound.append(value + bound)
         self.pairs.add(np.full(len(at), r), at)
         if self.pairs.size > Candidates.MANY:
@@ -543,8 +554,8 @@ class Found:
 def _nearest(a: Windows, b: Windows, k: int, found: tuple[Best, ...], bounds: Callable[[int], tuple[int, int]], back: tuple[Best, ...] = ()) -> None:
     """The k nearest columns of each row, and (k = 1) the nearest row of each column for ``back``."""
     pairs = Candidates(a, b, found)
-    columns = Columns(a, b, back) if back else None
     rows = Rows(a, b, bounds)
+    columns = Columns(a, b, back, float(rows.direct[~rows.poor_a].max(initial=TIE))) if back else None
     for r, lo, sim, bound in rows:
         flat = rows.flat[lo : lo + len(sim)] if rows.flat is not None else None
         at = _row_candidates(sim, bound, k, flat, bool(a.const[r]) and a.metric.normalized)
