@@ -26,16 +26,18 @@ def expected_arcs_one_sided(w: int) -> np.ndarray:
 
 
 def corrected_arcs(links: np.ndarray, length: int, factor: int = 5, expected: np.ndarray | None = None, one_sided: bool = False) -> np.ndarray:
-    """The corrected arc curve of an index array, in memory (streams)."""
-    w = len(links)
+    """The corrected arc curve of an index array, or of each row of several, in memory (streams)."""
+    w = links.shape[-1]
     i = np.arange(w)
     j = np.where(links < 0, i, links)
-    steps = np.bincount(np.minimum(i, j), minlength=w) - np.bincount(np.maximum(i, j), minlength=w)
+    own = np.arange(links.size // max(w, 1)).reshape(*links.shape[:-1], 1) * w  # where each row's steps begin
+    count = lambda at: np.bincount((own + at).ravel(), minlength=links.size).reshape(links.shape)
+    steps = count(np.minimum(i, j)) - count(np.maximum(i, j))
     ideal = expected if expected is not None else expected_arcs_one_sided(w) if one_sided else expected_arcs(w)
-    cac = np.minimum(np.cumsum(steps) / np.where(np.asarray(ideal) == 0, 1e-10, ideal), 1.0)
+    cac = np.minimum(np.cumsum(steps, axis=-1) / np.where(np.asarray(ideal) == 0, 1e-10, ideal), 1.0)
     if factor > 0:
-        cac[: length * factor] = 1.0
-        cac[max(0, w - length * factor) :] = 1.0
+        cac[..., : length * factor] = 1.0
+        cac[..., max(0, w - length * factor) :] = 1.0
     return cac
 
 
