@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -121,6 +122,17 @@ def test_alignment_beyond_the_broadcast_and_of_nothing(spark, aligned):
     assert align.align(align.tokens(docs.where("false"), A, B)).count() == 0
 
 
+def test_digests_are_of_the_groups(spark, aligned):
+    """The digest is of the groups that the operator writes, made without a string a group; batches are taken in portions."""
+    folder, _, _ = aligned
+    rows = align.tokens(spark.read.parquet(f"{folder}/documents.parquet"), A, B)
+    want = [(r[0], r[1], r[2], hashlib.sha256(";".join(r[3]).encode()).hexdigest() if r[3] else "") for r in align.align(rows).select("doc_id", "n_a", "n_b", "groups").collect()]
+    assert key(tuple(r) for r in align.digests(align.cuts(rows)).select("doc_id", "n_a", "n_b", "groups_sha256").collect()) == key(want)
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 200_000, None, "b" * 100_000, "", "c" * 600_000, "d"]})
+    parts = list(align._portions(batch))
+    assert len(parts) == 3 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+
+
 def test_sides_are_the_libraries():
     a, b, _ = libraries()
     fast, pieces = align.SideA(A), align.SideB(B)

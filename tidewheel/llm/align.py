@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: groups and links of the tokens that two tokenizers make of the same bytes.
 
-Python only tokenises: a row gets, of either side, the ids, the ends (byte offsets), and places (end and position packed
-in one long). All else is Spark's array functions. ``array_intersect`` of the ends gives where groups end. The places
+Python tokenises, and takes digests and counts of a row's arrays once Spark has aligned them (``digests``): a row gets, of either side, the ids, the ends (byte offsets), and places (end and position packed
+in one long). The alignment is Spark's array functions. ``array_intersect`` of the ends gives where groups end. The places
 of both sides, sorted together, are a ``sequence`` in which token i of A stands at i plus the number of B tokens that end
 before it, so the partner of every token is an index away: ``transform`` makes each distinct end a link of the A and the B
 token that cover the bytes before it, and each common end the last tokens of a group. Every step is linear in the tokens but
@@ -27,16 +27,18 @@ import json
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 from tidewheel.llm.worker import Cache, ready, tidy
@@ -46,6 +48,8 @@ from tidewheel.runtime import cut, table
 CACHE = 32 << 20
 #: New chunks that are encoded as one text.
 TOGETHER = 2000
+#: Characters of text whose tokens are made at once (a longer text is taken whole): arrays of them are some 40 times as large.
+PORTION = 1 << 18
 #: What stands for a space in pieces.
 SPACE = "\u2581"
 #: Pairs of ids that are broadcast at most (about 50 bytes each).
@@ -69,8 +73,7 @@ class SideA:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         special = {t["content"] for t in spec.get("added_tokens", [])}
@@ -80,6 +83,13 @@ class SideA:
             self.bytes[i] = token.encode() if token in special else bytes(alphabet[c] for c in token)
         self.fast = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={self.bytes[i]: i for t, i in vocab.items() if t not in special}, special_tokens={}) if _plain(spec, special) else None
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Made when it is needed first: mostly never."""
+        library = Tokenizer.from_file(self.path)
+        library.encode_special_tokens = True
+        return library
+
     def encode(self, texts: list[str]) -> list[np.ndarray | None]:
         """Ids of each text; None where they don't give the text back."""
         out = []
@@ -208,6 +218,14 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``PORTION`` characters in its last column."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 1)), 0).to_numpy()
+    begins = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PORTION, prepend=-1))
+    for start, stop in zip(begins.tolist(), np.append(begins[1:], len(sizes)).tolist(), strict=True):
+        yield batch.slice(start, stop - start)
+
+
 def tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, and of either side ids, ends and places: arrays a_ids, a_ends, a_at, b_ids, b_ends, b_at."""
     spark = docs.sparkSession
@@ -220,7 +238,7 @@ def tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = [_load(SideA, name_a), _load(SideB, name_b)]
         sides[1][0].cache = Cache(CACHE)  # ends with the task
-        for batch in batches:
+        for batch in chain.from_iterable(map(_portions, batches)):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             full = [i for i, t in enumerate(texts) if t]
             whole = [" " + texts[i] for i in full]
@@ -247,9 +265,9 @@ def _position(place: Column) -> Column:
     return place.bitwiseAND(F.lit(POSITION))
 
 
-def align(rows: DataFrame) -> DataFrame:
-    """Rows of ``tokens`` with n_a, n_b, n_groups, groups (strings ``a1,a2|b1`` of the ids of each group) and links (sorted longs,
-    a << 32 | b, one for each pair of tokens that share a byte)."""
+def cuts(rows: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` with n_groups, cuts (the end of each group: the bitwise not of the positions of its last tokens, A << 32 |
+    B) and links (sorted longs, a << 32 | b, one for each pair of tokens that share a byte)."""
     names = [c for c in rows.columns if c not in ("a_ends", "b_ends", "a_at", "b_at")]
     merged = rows.select(
         *names,
@@ -267,7 +285,14 @@ def align(rows: DataFrame) -> DataFrame:
         F.lit(0).cast("long"),
     )
     made = merged.withColumn("_all", F.sort_array(F.transform("_at", linked)))
-    ends = made.select(*names, "n_groups", F.reverse(F.slice("_all", F.lit(1), F.col("n_groups"))).alias("_cuts"), F.slice("_all", F.col("n_groups") + 1, F.greatest(F.size("_all") - F.col("n_groups"), F.lit(0))).alias("links"))
+    return made.select(*names, "n_groups", F.reverse(F.slice("_all", F.lit(1), F.col("n_groups"))).alias("cuts"), F.slice("_all", F.col("n_groups") + 1, F.greatest(F.size("_all") - F.col("n_groups"), F.lit(0))).alias("links"))
+
+
+def align(rows: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` with n_a, n_b, n_groups, groups (strings ``a1,a2|b1`` of the ids of each group) and links (as in
+    ``cuts``)."""
+    ends = cuts(rows)
+    names = [c for c in ends.columns if c not in ("n_groups", "cuts", "links")]
     last_a, last_b = (lambda c: F.shiftright(F.bitwise_not(c), 32).cast("int")), (lambda c: F.bitwise_not(c).bitwiseAND(F.lit(POSITION)).cast("int"))
 
     def side(ids: str, last: Callable[[Column], Column], cut: Column, before: Column) -> Column:
@@ -277,21 +302,88 @@ def align(rows: DataFrame) -> DataFrame:
 
     def group(cut: Column, k: Column) -> Column:
         """Mostly one token of either side, one further than the group before."""
-        before = F.get("_cuts", k - 1)
+        before = F.get("cuts", k - 1)
         pair = F.concat(F.get("a_ids", last_a(cut)).cast("string"), F.lit("|"), F.get("b_ids", last_b(cut)).cast("string"))
         return F.when(before - cut == (1 << 32) + 1, pair).otherwise(F.concat(side("a_ids", last_a, cut, before), F.lit("|"), side("b_ids", last_b, cut, before)))
 
-    return ends.select(*names, F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), "n_groups", F.transform("_cuts", group).alias("groups"), "links")
+    return ends.select(*names, F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b"), "n_groups", F.transform("cuts", group).alias("groups"), "links")
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values, and where each row's begin and the last ones end."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy(), offsets - offsets[0]
+
+
+def _runs(links: pa.ListArray) -> pa.ListArray:
+    """Each row's sorted values as (pair, n): each once, and how often it is there."""
+    flat, offsets = _flat(links)
+    new = np.diff(flat, prepend=0) != 0
+    new[offsets[:-1][offsets[:-1] < len(flat)]] = True
+    starts = np.flatnonzero(new)
+    runs = pa.StructArray.from_arrays([pa.array(flat[starts]), pa.array(np.diff(starts, append=len(flat)), pa.int32())], ["pair", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, offsets), pa.int32()), runs)
+
+
+PAIRS = ArrayType(StructType([StructField("pair", LongType(), False), StructField("n", IntegerType(), False)]), False)
 
 
 def distinct_pairs(rows: DataFrame, links: str = "links", name: str = "pairs") -> DataFrame:
     """Rows with ``name``: array of (pair, n), the distinct links with how often the row has them. ``links``, sorted, goes."""
-    made = rows.withColumnRenamed(links, "_sorted")
-    starts = F.array_remove(F.transform("_sorted", lambda x, i: F.when(x == F.get("_sorted", i - 1), F.lit(-1)).otherwise(i)), -1)
-    made = made.withColumn("_starts", starts)
-    # a pair lasts to the next one's start
-    held = F.transform("_starts", lambda p, k: F.struct(F.get("_sorted", p).alias("pair"), (F.coalesce(F.get("_starts", k + 1), F.size("_sorted")) - p).alias("n")))
-    return made.withColumn(name, held).drop("_sorted", "_starts")
+    ready(rows.sparkSession)
+    kept = [c for c in rows.columns if c != links]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField(name, PAIRS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), _runs(batch.column(len(kept)))], names=schema.names)
+
+    return rows.select(*kept, links).mapInArrow(tidy(run), schema)
+
+
+#: Of each id (up to the largest seen) its decimals before a comma, a bar and a semicolon: of a vocabulary's size.
+_decimals: list[bytes] = []
+
+
+def _listings(a_ids: pa.ListArray, b_ids: pa.ListArray, cuts: pa.ListArray) -> Iterator[bytes]:
+    """Of each row ``a1,a2|b1;a3|b2,b3``: each token before its mark, those of A before those of B in a group."""
+    (a, a_at), (b, b_at), (last, of) = map(_flat, (a_ids, b_ids, cuts))
+    if not len(last):
+        yield from [b""] * len(a_ids)
+        return
+    counts = np.diff(of)
+    last_a = (~last >> 32) + np.repeat(a_at[:-1], counts)
+    last_b = (~last & POSITION) + np.repeat(b_at[:-1], counts)
+    code = np.empty(len(a) + len(b), np.int64)
+    # a token stands behind all of its own side before it, and behind the other side's groups before (B: and its own group's A)
+    for ids, ends, other, mark in ((a, last_a, np.append(0, last_b[:-1] + 1), 1), (b, last_b, last_a + 1, 2)):
+        closes = np.zeros(len(ids), np.int64)
+        closes[ends] = 1
+        code[np.arange(len(ids)) + other[np.cumsum(closes) - closes]] = 3 * ids.astype(np.int64) + mark * closes
+    for i in range(len(_decimals) // 3, int(code.max()) // 3 + 1):
+        _decimals.extend(b"%d%c" % (i, c) for c in b",|;")
+    text = list(map(_decimals.__getitem__, code.tolist()))
+    stops = (a_at + b_at).tolist()
+    for start, stop in zip(stops, stops[1:], strict=False):
+        yield b"".join(text[start:stop])[:-1]
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """Rows of ``cuts`` with n_a, n_b, n_links, groups_sha256 (of the groups as ``align`` writes them, joined by ``;``; without tokens
+    '') and pairs (as in ``distinct_pairs``) in place of the arrays."""
+    ready(rows.sparkSession)
+    arrays = ("a_ids", "b_ids", "cuts", "links")
+    given = rows.select(*(c for c in rows.columns if c not in arrays), *(F.size(c).alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b"), ("links", "n_links"))), *arrays)
+    kept = len(given.columns) - len(arrays)
+    schema = StructType([*given.schema.fields[:kept], StructField("groups_sha256", StringType()), StructField("pairs", PAIRS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *ids_and_cuts, links = (batch.column(kept + k) for k in range(len(arrays)))
+            told = [hashlib.sha256(x).hexdigest() if x else "" for x in _listings(*ids_and_cuts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), pa.array(told, pa.string()), _runs(links)], names=schema.names)
+
+    return given.mapInArrow(tidy(run), schema)
 
 
 def counts(pairs: DataFrame) -> DataFrame:
@@ -317,9 +409,7 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    aligned = align(tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("").alias("groups_sha256")
-    told = aligned.select("doc_id", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), digest, "links")
-    rows = cut(distinct_pairs(told).withColumn("row", F.monotonically_increasing_id()))
+    told = digests(cuts(tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))))
+    rows = cut(told.withColumn("row", F.monotonically_increasing_id()))
     whole = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.join(scores(rows), "row", "left").select("doc_id", *map(whole, ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), "groups_sha256")
